@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import chat, common, extract, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +32,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8(spark, sf_dir):
     out = quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: What both turns of the added conversation -7 say.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op5_chat_formatting",
+    r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      CAST(3 + sum(CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 10
+        ELSE 16 + length(role) + 2 * (length(role) - length(replace(replace(role, '%', ''), ']', ''))) END
+        + length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|ANS\]|ROLE |/ROLE\]|IMG\]|AUD\]|DOC\])'))) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+    """,
+)
+def op5(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    turns = turns.unionByName(added).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    got = chat.read_back(common.stored(chat.format_conversations(turns), "chat"))
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return got.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+    SELECT page_id, strlen(html) AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((CAST('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+      CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM p JOIN g USING (h)
+    """,
+)
+def op3(spark, sf_dir):
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_html_extraction")
+def op10(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
