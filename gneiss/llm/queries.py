@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, extract, packing, quality, warc
+from . import chat, common, extract, packing, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,3 +97,21 @@ def op3(spark, sf_dir):
 @query("op10_html_extraction")
 def op10(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op4_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+    g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM s),
+    r AS (SELECT doc_id, i, rank() OVER (PARTITION BY h ORDER BY doc_id, i) AS place FROM g),
+    x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE place > 1),
+    y AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM x GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+      sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN y USING (doc_id)
+    """,
+)
+def op4(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
