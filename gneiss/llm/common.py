@@ -1,11 +1,10 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, word splitting, hashing."""
+"""Shared pieces: tables in the cluster's shared folder, word splitting, joins that a hot group can't skew."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,69 +34,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def lower_ascii(raw: bytes) -> bytes:
-    """A-Z to a-z only, other bytes untouched (bytes.lower is ASCII only)."""
-    return raw.lower()
+#: A group with one of so many rows or more is hot; there can be no more hot groups than this times the groups that a row is in.
+HOT_PART = 1000
 
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_MIXES = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xD6E8FEB86659FD93))
-_powers: dict[int, np.ndarray] = {}
+def join_back(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` inner-joined to one row per group, whose number of rows is in column ``size``.
 
-
-def _power(base: int, n: int, inverse: bool) -> np.ndarray:
-    """Powers 0..n-1 of an odd 64-bit base (or of its inverse modulo 2**64), kept and doubled as needed."""
-    key = base * 2 + inverse
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        b = int(_BASES[base])
-        b = pow(b, -1, 1 << 64) if inverse else b
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.full(size, b, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[key] = have
-    return have[:n]
-
-
-def mix(x: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * _MIXES[which]
-    x = x ^ (x >> np.uint64(29))
-    x = x * _MIXES[1 - which]
-    return x ^ (x >> np.uint64(32))
-
-
-def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes as an array, and where each word starts and ends."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-    return data, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash for each word, by prefix sums over the bytes: no loop over words."""
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(which, len(data), False), out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * _power(which, len(data) + 1, True)[starts]
-    return mix(value + (ends - starts).astype(np.uint64), which)
-
-
-def window_hashes(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash for each run of ``size`` consecutive word hashes."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    weight = _power(1 - which, size, False)
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(size) if size <= 8 else ():
-        total += hashes[k : k + n] * weight[k]
-    if size > 8:
-        prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * _power(1 - which, len(hashes), False), out=prefix[1:])
-        total = (prefix[size:] - prefix[:n]) * _power(1 - which, n, True)
-    return mix(total, 1 - which)
+    Groups of at least a thousandth of ``total`` are few by that bound and are broadcast, so that
+    their rows stay where they are; the others are joined by a shuffle that no such group can skew.
+    ``groups`` should be stored, as it is read three times.
+    """
+    is_hot = F.col(size) * HOT_PART >= total
+    hot = F.broadcast(groups.where(is_hot))
+    common = rows.join(F.broadcast(groups.where(is_hot).select(*key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(common.join(groups.where(~is_hot), key))

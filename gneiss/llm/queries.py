@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, extract, packing, quality, substring, warc
+from . import chat, common, extract, neardup, packing, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,3 +115,20 @@ def op10(spark, sf_dir):
 )
 def op4(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query(
+    "op9_minhash",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT v, b FROM r JOIN e ON u = a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(l, doc_id) AS component_id, coalesce(l, doc_id) = doc_id AS kept
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v AS doc_id, min(u) AS l FROM r GROUP BY v) USING (doc_id)
+    """,
+)
+def op9(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
