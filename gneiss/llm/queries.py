@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, extract, neardup, packing, quality, substring, warc
+from . import chat, common, extract, neardup, packing, ppm, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,3 +132,8 @@ def op4(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_scoring")
+def op7(spark, sf_dir):
+    return ppm.score(table(spark, sf_dir, "documents"))
