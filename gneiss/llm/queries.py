@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, extract, neardup, packing, ppm, quality, substring, warc
+from . import chat, common, decontaminate, extract, licenses, neardup, packing, ppm, quality, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,3 +137,31 @@ def op9(spark, sf_dir):
 @query("op7_lm_scoring")
 def op7(spark, sf_dir):
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The templates as SQL rows, and units, word pairs and Dice coefficients by list functions."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(i)}, {quoted(text)})" for i, _, text in licenses.TEMPLATES)
+    norm = "list_filter(string_split(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    pairs = "list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+    return f"""
+    WITH t AS (SELECT license_id, {pairs} AS tp FROM (SELECT license_id, {norm.format("lower(body)")} AS w FROM (VALUES {rows}) v(license_id, body))),
+    x AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents),
+    u AS (SELECT doc_id, unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\\n\\s*\\n'), string_split(text, chr(10))))) AS u FROM x),
+    w AS (SELECT doc_id, {norm.format("u")} AS w FROM u),
+    p AS (SELECT DISTINCT doc_id, {pairs} AS up FROM w WHERE len(w) > 1),
+    m AS (SELECT doc_id, license_id, up, (2000 * len(list_intersect(up, tp))) // (len(up) + len(tp)) AS d FROM p JOIN t
+      ON len(up) * 3 >= len(tp) * 2 AND len(tp) * 3 >= len(up) * 2)
+    SELECT doc_id, license_id, CAST(max(d) AS BIGINT) AS dice_permille, count(DISTINCT up) AS n_units FROM m WHERE d >= 800 GROUP BY ALL
+    """
+
+
+@query("op2_license_scan", _license_sql())
+def op2(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

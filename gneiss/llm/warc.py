@@ -28,13 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import join_back, scratch, stored
 
 INDEX = "page_id bigint, url string, payload_digest string, record_type string, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A digest that holds at least one in so many rows is hot; there can be no more than this many of them.
-HOT_PART = 1000
 #: Ranges closer than GAP are read as one; a range begins anew at each multiple of BLOCK.
 GAP, BLOCK = 1 << 16, 1 << 23
 
@@ -46,9 +44,7 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     thin = stored(thin, "digests")
     groups = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups, total = stored(groups, "copies"), thin.count()
-    hot = F.broadcast(groups.where(F.col("n") * HOT_PART >= total))
-    common = thin.join(hot.select("digest"), "digest", "left_anti").join(groups.where(F.col("n") * HOT_PART < total), "digest")
-    return thin.join(hot, "digest").unionByName(common).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return join_back(thin, groups, ["digest"], "n", total).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
 
 
 def _digest(payload: bytes) -> str:
@@ -130,6 +126,8 @@ def read(selected: DataFrame, with_payload: bool = False) -> DataFrame:
     new = (F.col("offset") - F.col("_p.end") > GAP) | (F.floor(F.col("offset") / BLOCK) != F.col("_p.block"))
     rows = rows.withColumn("_r", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(per_file))
     ranges = rows.groupBy("file", "_r").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at")).select("file", "at")
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    ranges = ranges.repartition(1 + total // BLOCK)  # the ranges are few bytes for Spark, what they stand for isn't
     schema = RECORD + ", payload binary" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
