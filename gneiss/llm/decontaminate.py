@@ -23,6 +23,8 @@ table on either side gives no rows. Other columns can have any name.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,19 +50,29 @@ def word_arrays(column: pa.Array):
         yield lo, hi - lo, H.word_hashes(data, starts, ends), row
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, n: int, repeat: int) -> np.ndarray:
-    """LSH keys of the n-word windows at ``starts``: some steps of their CGK walks, hashed together."""
-    rng = np.random.default_rng((n, repeat))
-    steps = np.sort(rng.choice(2 * n, size=SAMPLED, replace=False))
-    coins = rng.integers(0, 1 << 63, size=int(steps[-1]) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    key = np.full(len(starts), (n << 16) + repeat, dtype=np.uint64)
-    at, end = starts.copy(), starts + n
-    for j, coin in enumerate(coins):
-        word = np.where(at < end, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        if j in steps:
-            key = H.mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-        at += ((word * coin) >> np.uint64(63)).astype(np.int64)
-    return key
+@lru_cache(maxsize=4096)
+def _walks(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per repeat and step of the walks over n-word windows: the random multiplier, and whether the step is sampled."""
+    rng = np.random.default_rng(n)
+    coins = rng.integers(0, 1 << 63, size=(REPEATS, 2 * n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sampled = np.zeros((REPEATS, 2 * n), dtype=bool)
+    for row in sampled:
+        row[rng.choice(2 * n, size=SAMPLED, replace=False)] = True
+    return coins, sampled
+
+
+def walk_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """LSH keys (repeats x windows) of the windows words[start:end], of n words or less: the sampled steps of their CGK walks, hashed together."""
+    coins, sampled = _walks(n)
+    keys = np.repeat(((np.uint64(n) << np.uint64(16)) + np.arange(REPEATS, dtype=np.uint64))[:, None], len(starts), axis=1)
+    at = np.repeat(starts[None, :], REPEATS, axis=0)
+    for j in range(2 * n):
+        word = np.where(at < ends, words[np.minimum(at, len(words) - 1)], np.uint64(0))
+        take = np.flatnonzero(sampled[:, j])
+        if len(take):
+            keys[take] = H.mix(keys[take] * np.uint64(0x9E3779B97F4A7C15) + word[take])
+        at += ((word * coins[:, j : j + 1]) >> np.uint64(63)).astype(np.int64)
+    return keys
 
 
 def edits(item: np.ndarray, words: np.ndarray) -> int:
@@ -76,66 +88,76 @@ def edits(item: np.ndarray, words: np.ndarray) -> int:
 
 
 class Items:
-    """Word arrays, word pairs and LSH tables of one block of the benchmark."""
+    """Word arrays, word pairs with their items, and LSH tables of one block of the benchmark."""
 
     def __init__(self, texts: list[str]):
         self.words: list[np.ndarray] = []
         for _, rows, words, row in word_arrays(pa.array(texts, pa.string())):
             self.words += np.split(words, np.searchsorted(row, np.arange(1, rows)))
-        self.sizes = sorted({len(w) for w in self.words if len(w) >= LEAST_WORDS})
-        some = [w for w in self.words if len(w) >= LEAST_WORDS]
-        self.pairs = np.unique(np.concatenate([H.window_hashes(w, 2) for w in some])) if some else np.empty(0, np.uint64)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        used = [i for i, n in enumerate(self.size) if n >= LEAST_WORDS]
+        self.need = np.array([n - 1 - 2 * allowed(n) for n in self.size], dtype=np.int64)
+        owner = np.concatenate([np.full(self.size[i] - 1, i) for i in used]) if used else np.empty(0, np.int64)
+        pair = np.concatenate([H.window_hashes(self.words[i], 2) for i in used]) if used else np.empty(0, np.uint64)
+        order = np.lexsort((owner, pair))
+        first = np.ones(len(order), dtype=bool)  # an item has a pair once
+        first[1:] = (pair[order][1:] != pair[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        self.pair_owner, pair = owner[order][first], pair[order][first]
+        self.pairs, self.pair_first = np.unique(pair, return_index=True)
+        self.pair_first = np.append(self.pair_first, len(pair))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.pairs & np.uint64(len(self.bits) - 1)] = True
-        keys, owners = [], []
-        for n in self.sizes:
-            own = np.array([i for i, w in enumerate(self.words) if len(w) == n])
+        keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for n in sorted({int(self.size[i]) for i in used}):
+            own = np.array([i for i in used if self.size[i] == n])
             joined, starts = np.concatenate([self.words[i] for i in own]), np.arange(len(own)) * n
-            for repeat in range(REPEATS):
-                keys.append(walk_keys(joined, starts, n, repeat))
-                owners.append(own)
-        keys, owners = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            keys.append(walk_keys(joined, starts, starts + n, n).ravel())
+            owners.append(np.tile(own, REPEATS))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
 
-    def known_pairs(self, words: np.ndarray) -> np.ndarray:
+    def windows(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, start) of the windows that hold enough of the word pairs of some item of n words."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(words) < 2 or not len(self.pairs):
+            return none
         pairs = H.window_hashes(words, 2)
-        found = self.bits[pairs & np.uint64(len(self.bits) - 1)]
-        at = np.flatnonzero(found)
+        at = np.flatnonzero(self.bits[pairs & np.uint64(len(self.bits) - 1)] & (row[1:] == row[:-1]))
         place = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
-        found[at] = self.pairs[place] == pairs[at]
-        return found
+        at, place = (x[self.pairs[place] == pairs[at]] for x in (at, place))
+        times = self.pair_first[place + 1] - self.pair_first[place]
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, at = self.pair_owner[np.repeat(self.pair_first[place], times) + inner], np.repeat(at, times)
+        order = np.lexsort((at, item, row[at]))
+        item, at = item[order], at[order]
+        # need-th known pair from here on, of the same document and item and within a window?
+        n, later = self.size[item], np.arange(len(item)) + self.need[item] - 1
+        inside = later < len(item)
+        later = np.minimum(later, max(0, len(item) - 1))
+        inside &= (item[later] == item) & (row[at[later]] == row[at]) & (at[later] - at <= n - 2)
+        low, high, n = at[later][inside] - (n[inside] - 2), at[inside], n[inside]
+        low = np.maximum(low, np.searchsorted(row, row[high]))
+        times = high - low + 1
+        starts = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        both = np.unique(np.repeat(n, times) * (len(words) + 1) + starts)
+        return both // (len(words) + 1), both % (len(words) + 1)
 
     def candidates(self, words: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(row, item) to the first and last window start at which a walk of the row met the item's."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        if len(words) < 2 or not self.sizes:
-            return out
-        known = self.known_pairs(words) & (row[1:] == row[:-1])
-        total = np.concatenate(([0], np.cumsum(known), [0]))
-        total[-1] = total[-2]
-        last_word = np.searchsorted(row, row, side="right")
-        for n in self.sizes:
-            need = n - 1 - 2 * allowed(n)
-            if total[-1] < need:
-                continue
-            ends = np.minimum(np.arange(len(words)) + n, last_word)  # a document may end inside the item
-            held = total[ends - 1] - total[: len(words)]
-            starts = np.flatnonzero((held >= need) & (ends - np.arange(len(words)) >= n - allowed(n)))
-            if not len(starts):
-                continue
-            cut = ends[starts]
-            for repeat in range(REPEATS):
-                keys = walk_keys(words, starts, n, repeat)
-                short = cut - starts < n
-                if short.any():
-                    keys[short] = [walk_keys(words[a:b], np.zeros(1, np.int64), n, repeat)[0] if b - a else 0 for a, b in zip(starts[short], cut[short], strict=True)]
-                left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-                for k in np.flatnonzero(left < right):
-                    for item in self.owners[left[k] : right[k]]:
-                        at = int(starts[k])
-                        first, last = out.get((int(row[at]), int(item)), (at, at))
-                        out[int(row[at]), int(item)] = (min(first, at), max(last, at))
+        sizes, starts = self.windows(words, row)
+        for n in np.unique(sizes):
+            own = starts[sizes == n]
+            ends = np.minimum(own + n, np.searchsorted(row, row[own], side="right"))  # a document may end inside the item
+            keys = walk_keys(words, own, ends, int(n)).ravel()
+            left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+            met = np.flatnonzero(left < right)
+            times = right[met] - left[met]
+            item = self.owners[np.repeat(left[met], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            for at, i in {*zip(own[np.repeat(met, times) % len(own)].tolist(), item.tolist(), strict=True)}:
+                first, last = out.get((int(row[at]), i), (at, at))
+                out[int(row[at]), i] = (min(first, at), max(last, at))
         return out
 
 
