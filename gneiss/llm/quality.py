@@ -27,7 +27,7 @@ CUTOFF = 23.5127
 COVER, STEPS = 0.6, 4
 #: Distance buckets: the square root of the shape of log(1 + d2) at this resolution, and their number.
 RESOLUTION, BUCKETS = 64, 2048
-#: An estimate table of at most so many groups is broadcast to rows that carry text.
+#: An estimate table of at most so many groups is broadcast.
 MAX_BROADCAST_GROUPS = 100_000
 
 
@@ -115,6 +115,11 @@ def _estimate(sums: DataFrame, dims: list[str], floors: list[float], inflate: fl
     return out.select("g_lang", "g_source", *keep)
 
 
+def _small(est: DataFrame) -> DataFrame:
+    """The estimates, to be broadcast if their counted number is within the bound."""
+    return F.broadcast(est) if est.count() <= MAX_BROADCAST_GROUPS else est
+
+
 def fit(vectored: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFrame:
     """One MCD estimate (mean, Cholesky factor) per group of the rows that pass the base rules."""
     dims, floors = list(FLOORS), list(FLOORS.values())
@@ -125,8 +130,7 @@ def fit(vectored: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFr
     sums += [F.sum(F.col(dims[i]) * F.col(dims[k])).alias(f"q_{i}_{k}") for i, k in pairs]
     est = _estimate(rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"), *sums), dims, floors, 1.0)
     for _ in range(steps):
-        est = est.checkpoint()
-        near = rows.join(est, ["g_lang", "g_source"]).withColumn("b", F.least(F.floor(F.log1p(_distance(dims)) * RESOLUTION), F.lit(BUCKETS - 1)))
+        near = rows.join(_small(est.checkpoint()), ["g_lang", "g_source"]).withColumn("b", F.least(F.floor(F.log1p(_distance(dims)) * RESOLUTION), F.lit(BUCKETS - 1)))
         by = near.groupBy("g_lang", "g_source", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
         group = "g_lang, g_source"
         by = by.withColumns({"below": F.expr(f"sum(n) OVER (PARTITION BY {group} ORDER BY b) - n"), "all": F.expr(f"sum(n) OVER (PARTITION BY {group})")})
@@ -143,8 +147,7 @@ def _grouped(df: DataFrame) -> DataFrame:
 
 def judge(stored_vectors: DataFrame, est: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Adds d2 and kept. The estimates are broadcast only if their counted number is within the bound."""
-    est = F.broadcast(est) if est.count() <= MAX_BROADCAST_GROUPS else est
-    out = stored_vectors.join(est, ["g_lang", "g_source"], "left").withColumn("d2", _distance(list(FLOORS)))
+    out = stored_vectors.join(_small(est), ["g_lang", "g_source"], "left").withColumn("d2", _distance(list(FLOORS)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff))
     return out.drop(*[c for c in est.columns if c not in ("g_lang", "g_source")])
 
