@@ -116,11 +116,11 @@ def _merge(sketches: DataFrame, parts: int) -> DataFrame:
 
 def repeated_cells(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Bits of the repeated cells (ROWS x cells / 8 bytes) and the number of cells in a row."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (int(total) // BYTES_A_CELL).bit_length()))
+    total, last = docs.agg(F.sum(F.octet_length("text")), F.max(F.spark_partition_id())).first()
+    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (int(total or 0) // BYTES_A_CELL).bit_length()))
     bits = np.zeros((ROWS, cells // CELLS_IN_BLOCK, CELLS_IN_BLOCK // 8), dtype=np.uint8)
     sketches = _sketch(docs, size, cells)
-    for r in _merge(sketches, docs.rdd.getNumPartitions()).toLocalIterator():
+    for r in _merge(sketches, 1 + (last or 0)).toLocalIterator():
         bits[r.k, r.block] = np.frombuffer(r.bits, dtype=np.uint8)
     return bits.reshape(ROWS, -1), cells
 
