@@ -97,3 +97,15 @@ def oracle(sql: str, *names: str) -> str:
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {parts}, {body[len('WITH RECURSIVE'):]}"
     return f"WITH {parts}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {parts} {body}"
+
+TABLES |= {
+    "references": """SELECT * FROM (VALUES ('raw.orders'), ('RAW.Orders'), ('"db"."raw"."customers"'), ('stg_orders'), ('STG_ORDERS'), ('nowhere.x'), ('r.events')) AS t(ref)""",
+    "known": """SELECT * FROM (VALUES ('source.orders', 'raw', 'orders', 'r'), ('source.customers', 'raw', 'customers', 'r'), ('source.events', 'raw', 'events', 'r'), ('model.stg_orders', 'main', 'stg_orders', 'none')) AS t(uid, schema, name, source_name)""",
+    "model_edges": """SELECT * FROM (VALUES ('raw_orders', 'stg_orders'), ('raw_customers', 'stg_customers'), ('stg_orders', 'int_orders'), ('stg_customers', 'int_orders'), ('int_orders', 'fct_orders'), ('fct_orders', 'summary')) AS t(source, target)""",
+    "model_columns": """SELECT * FROM (VALUES ('raw_orders', 'id'), ('raw_orders', 'cents'), ('raw_customers', 'full_name'), ('stg_orders', 'id'), ('stg_orders', 'amount'), ('int_orders', 'X'), ('int_orders', 'amount'), ('summary', 'total')) AS t(model, col)""",
+    "join_pairs": """SELECT * FROM (VALUES ('stg_orders', 'id', 'int_orders', 'order_id'), ('int_orders', 'cid', 'stg_customers', 'id'), ('stg_orders', 'id', 'int_orders', 'order_id'), ('a', 'x', 'b', 'y')) AS t(left_model, left_column, right_model, right_column)""",
+    "cte_nodes": """SELECT * FROM (VALUES ('src', false), ('p1', true), ('p2', true), ('calc', false), ('out', false)) AS t(node, passthrough)""",
+    "cte_edges": """SELECT * FROM (VALUES ('src', 'p1'), ('p1', 'p2'), ('p2', 'calc'), ('calc', 'out'), ('p1', 'out')) AS t(source, target)""",
+    "components": """SELECT * FROM (VALUES ('margin', 'revenue'), ('margin', 'cost'), ('cost', 'fees'), ('fees', 'cost')) AS t(measure, component)""",
+    "measure_sources": """SELECT * FROM (VALUES ('revenue', 'fct_orders', 'total'), ('cost', 'fct_costs', 'amount'), ('fees', 'fct_fees', 'fee')) AS t(measure, model, col)""",
+}

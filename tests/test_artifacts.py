@@ -64,6 +64,6 @@ def test_tables(spark):
 
 
 def test_templates(spark):
-    raw = "{{ config(materialized='table') }}{# note #}select {{ dbt_utils.star() }}, x from {{ ref('pkg', 'a') }} join {{ source('s', 't') }}{% if is_incremental() %} where x{% else %} where y{% endif %}"
+    raw = "{{ config(materialized='table') }}{# note #}select {{ utils.star() }}, x from {{ ref('pkg', 'a') }} join {{ source('s', 't') }}{% if is_incremental() %} where x{% else %} where y{% endif %}"
     row = spark.range(1).select(text.strip_templates(F.lit(raw)).alias("a"), text.referenced_models(F.lit(raw)).alias("b"), text.formula_columns(F.lit("sum(case when kind = 'x' then amount else 0 end) / count(id)")).alias("c"), text.bytes_text(F.lit(1536)).alias("d")).first()
     assert row.a == "select NULL, x from a join s.t where y" and row.b == ["a"] and row.c == ["kind", "amount", "id"] and row.d == "1.5 KB"
