@@ -67,13 +67,15 @@ def date_key_day(c: Column) -> Column:
     return F.when(F.length(text) == 8, F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
 
 
-def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
+def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False, bounded: bool = False) -> DataFrame:
     """One row per column with STATS, from a single aggregation over a single scan.
 
-    Distinct counts and medians are exact by default. ``approximate`` takes HyperLogLog and
-    percentile sketches instead, whose memory doesn't grow with the data.
+    Distinct counts and medians are exact by default, the latter from all distinct values in one
+    aggregation. ``bounded`` finds the same medians in a few passes of fixed memory, for very large
+    tables; ``approximate`` takes HyperLogLog and percentile sketches for both.
     """
     kinds = columns_of(df, columns)
+    medians = exact_medians(df, [c for c, k in kinds.items() if k == "numeric"]) if bounded else {}
     number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
     whole = F.lit(None).cast("bigint")
     rows = []
@@ -85,7 +87,7 @@ def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate
         numeric = kind == "numeric"
         x = c.cast("double")
         day = {"date": c.cast("date"), "date_key": date_key_day(c)}.get(kind)
-        middle = F.percentile_approx(x, 0.5, 10_000) if approximate else F.median(x)
+        middle = F.lit(medians[name]).cast("double") if name in medians else F.percentile_approx(x, 0.5, 10_000) if approximate else F.median(x)
         stats = {
             "row_count": count, "null_count": count - filled,
             "null_rate": F.when(count > 0, rounded((count - filled) / count, 4)).otherwise(0.0),
@@ -102,6 +104,42 @@ def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate
     return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
 
 
+def exact_medians(df: DataFrame, columns: Iterable[str], buckets: int = 4096) -> dict[str, float | None]:
+    """Exact medians of numeric columns in bounded memory, whatever the table's size.
+
+    Every pass counts the values of all open columns in equal buckets between their bounds (with each
+    bucket's least and largest value) and narrows a column to the bucket that holds its middle ranks.
+    A column is done when these are one value or lie in two buckets; the driver sees buckets only.
+    """
+    names = list(columns)
+    value = {c: quoted(c).cast("double") for c in names}
+    first = df.agg(*[f(F.when(~F.isnan(value[c]), value[c])).alias(f"{n}_{i}") for i, c in enumerate(names) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first() if names else None
+    state = {c: (first[f"a_{i}"], first[f"b_{i}"], (first[f"n_{i}"] - 1) // 2, first[f"n_{i}"] // 2) for i, c in enumerate(names) if first[f"n_{i}"]}
+    done: dict[str, float | None] = dict.fromkeys(names)
+    while True:
+        done |= {c: low for c, (low, high, _, _) in state.items() if low == high}
+        state = {c: s for c, s in state.items() if s[0] != s[1]}
+        if not state:
+            return done
+        cells = []
+        for c, (low, high, _, _) in state.items():
+            place = F.least(F.floor((value[c] - low) / (high - low) * buckets), F.lit(buckets - 1))
+            cells.append(F.struct(F.lit(c).alias("c"), F.when(value[c].between(low, high), place).alias("b"), value[c].alias("x")))
+        counts = df.select(F.inline(F.array(*cells))).where("b IS NOT NULL").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        found = sorted(counts.collect(), key=lambda r: (r.c, r.b))
+        for c, (_, _, left, right) in list(state.items()):
+            below, ends = 0, []
+            for r in (r for r in found if r.c == c):
+                ends += [(r, rank - below) for rank in (left, right) if below <= rank < below + r.n]
+                below += r.n
+            (r1, k1), (r2, k2) = ends
+            if r1.b != r2.b:  # the largest of one bucket and the least of the next
+                done[c] = (r1.high + r2.low) / 2
+                del state[c]
+            else:
+                state[c] = (r1.low, r1.high, k1, k2)
+
+
 def unpivoted(df: DataFrame, columns: Iterable[str], value: str = "string") -> DataFrame:
     """(column_name, value) of the columns, in one scan that reads only these."""
     cells = [F.struct(F.lit(c).alias("column_name"), quoted(c).cast(value).alias("value")) for c in columns]

@@ -43,6 +43,11 @@ for _name in KINDS:
     query(f"profile_{_name}", stats_sql(_name))(lambda spark, d, n=_name: profile.table_stats(table(spark, d, n)))
 
 
+@query("profile_lineitem_bounded", stats_sql("lineitem"))
+def bounded(spark, d):
+    return profile.table_stats(table(spark, d, "lineitem"), bounded=True)
+
+
 @query("profile_lineitem_approximate")
 def approximate(spark, d):
     return profile.table_stats(table(spark, d, "lineitem"), approximate=True).select("column_name", "category", "row_count", "null_count", "min_num", "max_num")

@@ -76,3 +76,10 @@ def test_sorted_table(spark):
     df = spark.createDataFrame([("item 10",), ("Item 2",), (None,), ("item 1",)], "n string")
     assert [r.n for r in profile.sorted_table(df, "n").collect()] == ["item 1", "Item 2", "item 10", None]
     assert [r.n for r in profile.sorted_table(df, "n", True).collect()] == [None, "item 10", "Item 2", "item 1"]
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0] * 9 + [-1e9, 1e9], [float(x * x % 97) / 7 for x in range(501)], [0.1, 0.1, 0.3, 0.3], [None, None, 4.0, None], [None]])
+def test_exact_medians(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = df.selectExpr("median(x) AS m").first().m
+    assert profile.exact_medians(df, ["x"], buckets=4)["x"] == pytest.approx(want) if want is not None else profile.exact_medians(df, ["x"])["x"] is None
