@@ -6,12 +6,14 @@ one contiguous run of the permutation table, and a signature is the minimum over
 
 1. Documents with the same shingle set (128-bit fingerprint) are one class, whose representative is
    the smallest doc_id; only representatives go on. A group of exact copies is thus one row.
-2. Signatures are cut into bands; representatives that share a band are a bucket. Each bucket pairs
-   its members with one hub, the member that has most company over all its buckets. Pairs whose set
-   sizes rule the threshold out are not made. Pairs are verified on their full shingle sets.
-3. Verified pairs give components. Where a bucket still spans several components, every pair of its
-   members from different components that wasn't tested is verified too, so that no pair of a
-   bucket that could join two components stays untested, and no bucket is capped.
+2. Signatures are cut into bands. Representatives that share a band belong to one family (the
+   connected components of sharing), so every pair that banding proposes lies within a family.
+3. Families are verified exactly on full shingle sets: an inverted index of a family's shingles
+   counts the common ones of each member with all others at once, and only links that join two
+   parts are passed on. A family larger than a block (BLOCK_ROWS rows or BLOCK_SHINGLES shingles)
+   is dealt into blocks, and every pair of its blocks is verified by a task of its own; no pair is
+   left out, no family is capped, and no pairs are written.
+4. The links' connected components are the result.
 
 Defined results: null or wordless text has an empty set, is linked with nothing and kept; fewer
 words than a shingle make the whole sequence the one shingle; a null doc_id is linked with nothing
@@ -30,6 +32,8 @@ from . import hashing as H
 from .common import join_back, stored
 
 UNIVERSE, COORDINATES, BANDS = 1 << 20, 128, 32
+#: Rows and shingles in a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1 << 20
 #: Shingles whose runs are gathered at once.
 GATHERED = 1 << 13
 
@@ -77,7 +81,7 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, count: int, seed: int) -> n
 
 
 def signed(docs: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (s1, s2) and its band hashes."""
+    """doc_id, n (shingles), the set's fingerprint (s1, s2) and its band hashes."""
     each = COORDINATES // BANDS
     weights = H.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -100,25 +104,91 @@ def signed(docs: DataFrame, size: int, seed: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets reach the threshold."""
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-
-    def sets(column):
-        for lo, hi, data, offsets in H.chunks(column, lower=True):
-            row, hashes = shingle_sets(data, offsets, size)
-            yield from np.split(hashes, np.searchsorted(row, np.arange(1, hi - lo)))
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (text and any other columns of numbers) with the text's distinct shingle hashes in place of the text."""
+    others = [f"{c} {kind}" for c, kind in docs.dtypes if c != "text"]
+    names = [c.split()[0] for c in others]
 
     def run(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(linked))
+            for lo, hi, data, offsets in H.chunks(batch.column("text"), lower=True):
+                rows, hashes = shingle_sets(data, offsets, size)
+                cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
+                raw = pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), raw], [*names, "shingles"])
+
+    return docs.mapInArrow(run, ", ".join([*others, "shingles binary"]))
+
+
+def joined(rep: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], percent: int):
+    """Links (a, b) that join parts of a block (side None) or of two (only pairs across sides), by an inverted index."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    postings, first = owner[order], np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
+    begin = np.cumsum(size) - size
+    root = np.arange(len(sets))
+    for y in range(1, len(sets)):
+        own = shingle[begin[y] : begin[y] + size[y]]
+        times = first[own + 1] - first[own]
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        both = np.bincount(postings[np.repeat(first[own], times) + inner], minlength=y)[:y]
+        near = np.flatnonzero((both > 0) & (100 * both >= percent * (size[:y] + size[y] - both)))
+        if side is not None:
+            near = near[side[near] != side[y]]
+        for r, x in zip(*np.unique(root[near], return_index=True), strict=True):
+            if r != root[y]:
+                yield min(rep[near[x]], rep[y]), max(rep[near[x]], rep[y])
+                root[root == r] = root[y]
+
+
+def _families(batches):
+    """Runs of equal (family, i, j) in batches sorted by them; a run may cross batches."""
+    held: list[pa.RecordBatch] = []
+    keys = ("family", "i", "j")
+
+    def split(last: bool):
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for k in keys:
+            column = table[k].to_numpy()
+            change |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), *([table.num_rows] if last else [])]
+        held[:] = [] if last else table.slice(cuts[-1]).combine_chunks().to_batches()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(a, b - a)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            yield from split(False)
+    if held:
+        yield from split(True)
+
+
+def verified(families: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the members of each family (rep, family, blocks) wherever their full sets reach the threshold."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    rows = shingled(texts.join(families.hint("shuffle_hash"), "rep"), size)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    rows = rows.select("family", "rep", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "shingles")
+
+    def run(batches):
+        out = []
+        for group in _families(batches):
+            if group.num_rows > 1:
+                sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["shingles"]]
+                across = group["i"][0].as_py() != group["j"][0].as_py()
+                out += joined(group["rep"].to_numpy(), group["own"].to_numpy() if across else None, sets, percent)
+            if len(out) > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,33 +207,15 @@ def components(edges: DataFrame) -> DataFrame:
 def link(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Components (v, label) of the representatives in ``classes`` (rep, n, bands) that are linked with any other."""
     total = classes.count()
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
-    live = stored(join_back(members, sizes, ["key"], "c", total), "members")
-    company = live.groupBy("rep").agg(F.sum("c").alias("w"))
-    best = F.max_by(F.struct("rep", "n"), F.struct("w", -F.col("rep")))
-    hubs = live.join(company, "rep").groupBy("key").agg(best.alias("hub"), F.count(F.lit(1)).alias("c2"))
-    hubs = stored(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "c2"), "hubs")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pairs = join_back(live, hubs, ["key"], "c2", total).where((F.col("rep") != F.col("hub")) & fits("n", "hub_n"))
-    pairs = pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    pairs = stored(pairs.distinct(), "pairs")
-    edges = stored(verified(pairs, docs, size, percent), "links")
-    labels = components(edges)
-
-    # buckets that still span several components: all untested pairs between different ones
-    label = F.coalesce("label", "rep")
-    members = live.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", label.alias("label"))
-    members = members.join(hubs.select("key", "hub"), "key").join(labels.toDF("hub", "hub_label"), "hub", "left")
-    members = members.select("key", "rep", "n", "label", (F.col("label") == F.coalesce("hub_label", "hub")).alias("main"))
-    mixed = stored(members.join(members.where("not main").select("key").distinct(), "key", "left_semi"), "mixed")
-    rest = mixed.where("not main").toDF("key", "y", "y_n", "y_label", "_m")
-    more = rest.join(mixed, "key").where((F.col("label") != F.col("y_label")) & fits("n", "y_n"))
-    more = more.select(F.least("y", "rep").alias("a"), F.greatest("y", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "rest")
-    if more.isEmpty():
-        return labels
-    return components(edges.union(verified(more, docs, size, percent)))
+    members = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("hub")).where("c > 1"), "buckets")
+    shares = join_back(members, buckets, ["key"], "c", total).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    family = components(shares).toDF("rep", "family").join(classes.select("rep", "n"), "rep")
+    weight = family.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES)).alias("blocks")
+    weight = stored(weight.select("family", "c", blocks), "families")
+    families = join_back(stored(family.select("rep", "family"), "family"), weight, ["family"], "c", total).select("rep", "family", "blocks")
+    return components(verified(families, docs, size, percent).where("a <> b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
