@@ -116,7 +116,7 @@ def _merge(sketches: DataFrame, parts: int) -> DataFrame:
 
 def repeated_cells(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Bits of the repeated cells (ROWS x cells / 8 bytes) and the number of cells in a row."""
-    total, last = docs.agg(F.sum(F.octet_length("text")), F.max(F.spark_partition_id())).first()
+    total, last = docs.select(F.octet_length("text").alias("b"), F.spark_partition_id().alias("p")).agg(F.sum("b"), F.max("p")).first()
     cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (int(total or 0) // BYTES_A_CELL).bit_length()))
     bits = np.zeros((ROWS, cells // CELLS_IN_BLOCK, CELLS_IN_BLOCK // 8), dtype=np.uint8)
     sketches = _sketch(docs, size, cells)
