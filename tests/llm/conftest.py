@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 LONG = " ".join(f"word{i % 977} filler{i % 31}" for i in range(12_000))
@@ -48,7 +49,7 @@ def records(df):
     """Rows as a sorted list of tuples, by column name."""
     pdf = df.toPandas() if hasattr(df, "toPandas") else df
     cols = sorted(pdf.columns)
-    clean = lambda v: None if v is None or v != v else (float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v)
+    clean = lambda v: None if v is None or v is pd.NA or v != v else (float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v)
     out = [tuple(clean(v) for v in row) for row in pdf[cols].itertuples(index=False)]
     out = [tuple(int(v) if isinstance(v, float) and v == int(v) else v for v in row) for row in out]
     return sorted(out, key=repr)
