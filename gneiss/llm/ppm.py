@@ -8,10 +8,10 @@ the next shorter context. Escapes are estimated by the number of distinct symbol
 after the shortest context the symbols not yet excluded are equally likely.
 
 The trie keeps every node, however many there are: it is a table for each order. A gram that was seen
-in training is coded in its longest context, which prices it once for all (``model``). Prices of the
-most frequent grams, and counts of the most frequent words, are broadcast (at most MAX_GRAMS and
-MAX_HEAD rows); the other grams and words of a document are joined to theirs by a shuffle, so results
-don't depend on these two numbers. Grams that training didn't see go down the orders by joins with
+in training is coded in its longest context, which prices it once for all (``model``). Prices of
+grams that are one in MAX_GRAMS of the corpus or more (so there are no more than MAX_GRAMS of them),
+and counts of the at most MAX_HEAD most frequent words, are broadcast; the other grams and words of a
+document are joined to theirs by a shuffle, so results don't depend on these two numbers. Grams that training didn't see go down the orders by joins with
 the contexts; of these the orders up to LOW, at most 256 ** (LOW + 1) nodes whatever the corpus, are
 broadcast.
 
@@ -235,8 +235,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     vocabulary, grams = (counts.where(x).select("key", "n") for x in ("not is_gram", "is_gram"))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     seen = model(grams)
-    least_word, least_gram = _threshold(vocabulary, MAX_HEAD), _threshold(seen, MAX_GRAMS)
-    shared = spark.sparkContext.broadcast((_arrays(vocabulary.where(F.col("n") >= least_word)), _arrays(seen.where(F.col("n") >= least_gram), "price")))
+    least_word, positions = _threshold(vocabulary, MAX_HEAD), seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent_gram = F.col("n") * MAX_GRAMS >= positions
+    shared = spark.sparkContext.broadcast((_arrays(vocabulary.where(F.col("n") >= least_word)), _arrays(seen.where(frequent_gram), "price")))
     room = total + 0.5 * (distinct + 1)
     unknown = float(np.log10(0.5 / room))
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, tail array<bigint>, score double, grams array<bigint>, times array<bigint>"
@@ -275,7 +276,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tail = rows.select("row", F.explode("tail").alias("key")).join(vocabulary.where(F.col("n") < least_word), "key")
     tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.sum(F.log10((F.col("n") + 0.5) / room)).alias("s"))
     rest = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("key"), F.col("g.times").alias("times"))
-    rare = seen.where(F.col("n") < least_gram).select("key", "price")
+    rare = seen.where(~frequent_gram).select("key", "price")
     unseen = unseen_prices(rest.select("key").distinct().join(rare, "key", "left_anti"), orders(grams, order))
     rest = rest.join(rare.unionByName(unseen), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("price")).alias("more"))
     out = rows.withColumn("t", F.size("tail")).drop("tail", "grams", "times").join(tail, "row", "left").join(rest, "row", "left")
