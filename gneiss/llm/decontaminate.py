@@ -1,17 +1,14 @@
-"""Benchmark decontamination under edit distance: CGK embedding, bit-sampling LSH, exact verification.
+"""Benchmark decontamination under edit distance: lossless word-pair count, exact verification of all that pass.
 
 Texts are lower-cased words without ASCII punctuation. A document leaks an item of n words if some
 stretch of it is within floor(SHARE * n) word edits of the item.
 
-* Every item-sized window of a document that can reach that (it must hold enough of the benchmark's
-  word pairs: k edits spoil at most 2k of an item's n - 1 pairs, so this loses nothing) walks
-  through the CGK embedding: at step j it emits the word it stands on and moves on or stays by a
-  random bit of that word, so that few edits become few differing steps.
-* Each of REPEATS independent walks samples SAMPLED steps; windows and items that agree on all of
-  them are candidates. The repeats are chosen for a recall above 0.99 at half the allowed edits
-  and above 0.9 at all of them (see the tests).
-* Candidates are verified exactly: the least number of word edits between the item and any stretch
-  of the document around the windows found.
+* Item-sized windows of a document that can reach that hold enough of the item's word pairs: k edits
+  spoil at most 2k of an item's n - 1 pairs, so this loses nothing, whatever the length and the edits.
+* Every run of such windows is verified exactly: the least number of word edits between the item
+  and any stretch of the document around them, by a bit-parallel table.
+* ``walk_keys`` (CGK embedding, bit-sampling LSH) is not asked before that: a fixed number of walks
+  loses ever more leaks as items get longer.
 
 The benchmark is the query set: it is taken in blocks of about BLOCK_ITEMS items, whose tables are
 broadcast; documents stay where they are and nothing is shuffled.
@@ -75,20 +72,38 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -
     return keys
 
 
+def _masks(item: np.ndarray) -> dict[int, int]:
+    """Word to the bits of its places in the item."""
+    out: dict[int, int] = {}
+    for i, word in enumerate(item.tolist()):
+        out[word] = out.get(word, 0) | 1 << i
+    return out
+
+
+def _edits(masks: dict[int, int], n: int, words: list[int]) -> int:
+    """As ``edits``, for an item of n words: a column of the table at a time, its steps up and down as bits (Myers)."""
+    full, top = (1 << n) - 1, 1 << (n - 1) if n else 0
+    up, down, now = full, 0, n
+    best = now
+    for word in words:
+        same = masks.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up) & full, up & across
+        now += (more & top != 0) - (less & top != 0)
+        best = min(best, now)
+        same |= down
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | ~(same | more) & full, more & same
+    return best
+
+
 def edits(item: np.ndarray, words: np.ndarray) -> int:
     """The least number of word edits that turn ``item`` into any stretch of ``words``."""
-    steps = np.arange(len(words) + 1)
-    best = np.zeros(len(words) + 1, dtype=np.int64)
-    for i, word in enumerate(item):
-        now = np.empty_like(best)
-        now[0] = i + 1
-        now[1:] = np.minimum(best[:-1] + (words != word), best[1:] + 1)
-        best = np.minimum.accumulate(now - steps) + steps
-    return int(best.min())
+    return _edits(_masks(item), len(item), words.tolist())
 
 
 class Items:
-    """Word arrays, word pairs with their items, and LSH tables of one block of the benchmark."""
+    """Word arrays, word pairs with their items, and places of words of one block of the benchmark."""
 
     def __init__(self, texts: list[str]):
         self.words: list[np.ndarray] = []
@@ -107,21 +122,12 @@ class Items:
         self.pair_first = np.append(self.pair_first, len(pair))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.pairs & np.uint64(len(self.bits) - 1)] = True
-        keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for n in sorted({int(self.size[i]) for i in used}):
-            own = np.array([i for i in used if self.size[i] == n])
-            joined, starts = np.concatenate([self.words[i] for i in own]), np.arange(len(own)) * n
-            keys.append(walk_keys(joined, starts, starts + n, n).ravel())
-            owners.append(np.tile(own, REPEATS))
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], owners[order]
-
-    def windows(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, start) of the windows that hold enough of the word pairs of some item of n words."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.masks = [_masks(w) for w in self.words]
+
+    def candidates(self, words: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, first, last): the runs of window starts at which the row holds enough of the item's word pairs."""
         if len(words) < 2 or not len(self.pairs):
-            return none
+            return []
         pairs = H.window_hashes(words, 2)
         at = np.flatnonzero(self.bits[pairs & np.uint64(len(self.bits) - 1)] & (row[1:] == row[:-1]))
         place = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
@@ -136,29 +142,16 @@ class Items:
         inside = later < len(item)
         later = np.minimum(later, max(0, len(item) - 1))
         inside &= (item[later] == item) & (row[at[later]] == row[at]) & (at[later] - at <= n - 2)
-        low, high, n = at[later][inside] - (n[inside] - 2), at[inside], n[inside]
+        item, n, low, high = item[inside], n[inside], at[later][inside] - (n[inside] - 2), at[inside]
         low = np.maximum(low, np.searchsorted(row, row[high]))
-        times = high - low + 1
-        starts = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        both = np.unique(np.repeat(n, times) * (len(words) + 1) + starts)
-        return both // (len(words) + 1), both % (len(words) + 1)
-
-    def candidates(self, words: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        """(row, item) to the first and last window start at which a walk of the row met the item's."""
-        out: dict[tuple[int, int], tuple[int, int]] = {}
-        sizes, starts = self.windows(words, row)
-        for n in np.unique(sizes):
-            own = starts[sizes == n]
-            ends = np.minimum(own + n, np.searchsorted(row, row[own], side="right"))  # a document may end inside the item
-            keys = walk_keys(words, own, ends, int(n)).ravel()
-            left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-            met = np.flatnonzero(left < right)
-            times = right[met] - left[met]
-            item = self.owners[np.repeat(left[met], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            for at, i in {*zip(own[np.repeat(met, times) % len(own)].tolist(), item.tolist(), strict=True)}:
-                first, last = out.get((int(row[at]), i), (at, at))
-                out[int(row[at]), i] = (min(first, at), max(last, at))
-        return out
+        if not len(item):
+            return []
+        # runs whose stretches can meet are one; starts ascend within a document and item
+        new = np.ones(len(item), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (row[high[1:]] != row[high[:-1]]) | (low[1:] > high[:-1] + 2 * n[1:])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(item)) - 1
+        return list(zip(row[high[first]].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -179,13 +172,14 @@ def _finder(shared):
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), []
             for lo, _, words, row in word_arrays(pc.fill_null(batch.column(1), "")):
-                for (r, i), (first, last) in sorted(items.candidates(words, row).items()):
-                    item = items.words[i]
-                    n, k = len(item), allowed(len(item))
+                least: dict[tuple[int, int], int] = {}
+                for r, i, first, last in items.candidates(words, row):
+                    n, k = int(items.size[i]), allowed(int(items.size[i]))
                     begin, end = np.searchsorted(row, (r, r + 1))
-                    distance = edits(item, words[max(begin, first - k) : min(end, last + n + k)])
+                    distance = _edits(items.masks[i], n, words[max(begin, first - k) : min(end, last + n + k)].tolist())
                     if distance <= k:
-                        found.append((ids[lo + r], item_ids[i], n, distance))
+                        least[r, i] = min(distance, least.get((r, i), distance))
+                found += [(ids[lo + r], item_ids[i], int(items.size[i]), distance) for (r, i), distance in sorted(least.items())]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "item_id", "item_words", "edit_distance"])
 

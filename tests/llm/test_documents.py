@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,38 @@ def test_walks_reach_their_recall(share, least):
     assert hits >= least * tries
 
 
+@pytest.mark.parametrize("n", [5, 50, 100, 200, 400])
+def test_every_allowed_leak_is_found(n):
+    rng, k = np.random.default_rng(n), decontaminate.allowed(n)
+    words = lambda m: rng.choice(5000, size=m).tolist()
+    for kind in ("insert", "delete", "replace", "mixed"):
+        for t in range(20):
+            item = words(n)
+            copy, now = list(item), kind
+            for _ in range(k):
+                now = ("insert", "delete", "replace")[int(rng.integers(3))] if kind == "mixed" else kind
+                p = int(rng.integers(len(copy)))
+                copy[p : p + (now != "insert")] = [] if now == "delete" else words(1)
+            items = decontaminate.Items([" ".join(map(str, x)) for x in (words(n), item)])
+            shared = type("Shared", (), {"value": ([1, 2], items)})
+            doc = " ".join(map(str, words(t) + copy + words(n) + (copy if t % 2 else [])))
+            rows = [x for out in decontaminate._finder(shared)([pa.record_batch([pa.array([7]), pa.array([doc])], ["doc_id", "text"])]) for x in out.to_pylist()]
+            assert [(r["doc_id"], r["item_id"], r["item_words"]) for r in rows] == [(7, 2, n)] and rows[0]["edit_distance"] <= k
+
+
+def test_edits_match_the_plain_table():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        item, words = (rng.integers(5, size=int(rng.integers(0, 80))).astype(np.uint64) for _ in range(2))
+        best = [0] * (len(words) + 1)
+        for i, a in enumerate(item):
+            now = [i + 1]
+            for j, b in enumerate(words):
+                now.append(min(best[j] + int(a != b), best[j + 1] + 1, now[j] + 1))
+            best = now
+        assert decontaminate.edits(item, words) == min(best)
+
+
 def test_edits():
     a = lambda s: np.array([ord(c) for c in s], dtype=np.uint64)
     assert decontaminate.edits(a("abcdef"), a("xxabcdefyy")) == 0
