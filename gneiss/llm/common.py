@@ -13,9 +13,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder from ``spark.checkpoint.dir``; a temporary one only in local mode, where all tasks share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,6 +36,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def text_key(text: str) -> Column:
+    """A number that tells texts of one doc_id apart; null and empty are the same text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 #: A group with one of so many rows or more is hot; there can be no more hot groups than this times the groups that a row is in.
 HOT_PART = 1000
 

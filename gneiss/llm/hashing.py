@@ -19,21 +19,10 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIXES = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xD6E8FEB86659FD93))
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _power(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0..n-1 of an odd 64-bit base, or of its inverse modulo 2**64; kept between calls."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
-        have = np.full(max(RUN, 1 << (n - 1).bit_length()), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[which, inverse] = have
-    return have[:n]
+#: The bits that a lane of 0 to 8 bytes keeps.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray, which: int = 0) -> np.ndarray:
@@ -71,30 +60,43 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    out, at = np.empty(len(starts), dtype=np.uint64), 0
-    while at < len(starts):
-        base = starts[at]
-        stop = max(at + 1, int(np.searchsorted(ends, base + 2 * CHUNK, side="right")))
-        part = data[base : ends[stop - 1]]
-        prefix = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power(which, len(part)), out=prefix[1:])
-        a, b = starts[at:stop] - base, ends[at:stop] - base
-        out[at:stop] = mix((prefix[b] - prefix[a]) * _power(which, len(part) + 1, True)[a] + (b - a).astype(np.uint64), which)
+    """A 64-bit hash of every word: its lanes of eight bytes are mixed with their numbers, summed, and mixed with the length."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    at_byte = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    sizes, base = ends - starts, _BASES[which]
+    out = mix((at_byte[starts] & _KEPT[np.minimum(sizes, 8)]) + base, which)
+    long = np.flatnonzero(sizes > 8)
+    lanes, at = (sizes[long] - 1) // 8, 0  # lanes after the first
+    total = np.cumsum(lanes)
+    while at < len(long):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, side="right")))
+        n, word = lanes[at:stop], long[at:stop]
+        first = np.cumsum(n) - n
+        lane = np.arange(n.sum()) - np.repeat(first, n) + 1
+        place, left = np.repeat(starts[word], n) + 8 * lane, np.repeat(sizes[word], n) - 8 * lane
+        mixed = mix((at_byte[place] & _KEPT[np.minimum(left, 8)]) + base * (lane + 1).astype(np.uint64), which)
+        out[word] += np.add.reduceat(mixed, first)
         at = stop
-    return out
+    return mix(out + sizes.astype(np.uint64) * _BASES[1 - which], which)
 
 
 def window_hashes(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every run of ``size`` consecutive word hashes."""
+    """A 64-bit hash of every run of ``size`` consecutive word hashes: runs of doubling length are mixed into pairs."""
     total = max(0, len(hashes) - size + 1)
     out = np.empty(total, dtype=np.uint64)
     for at in range(0, total, RUN):
         n = min(RUN, total - at)
-        part = hashes[at : at + n + size - 1]
-        prefix = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * _power(1 - which, len(part)), out=prefix[1:])
-        out[at : at + n] = mix((prefix[size:] - prefix[:n]) * _power(1 - which, n, True), 1 - which)
+        part, bit, run, have, made = hashes[at : at + n + size - 1], 1, 1, 0, None
+        while True:
+            if size & bit:  # what is made so far, then a run of ``bit`` words
+                made = part[:n] if made is None else mix(made * _BASES[which] + part[have : have + n], which)
+                have += bit
+            bit *= 2
+            if bit > size:
+                break
+            part = mix(part[:-run] * _BASES[1 - which] + part[run:], which)
+            run *= 2
+        out[at : at + n] = mix(made + np.uint64(size), 1 - which)
     return out
 
 
