@@ -1,45 +1,66 @@
 """Substring deduplication: words covered by a window of words that starts earlier elsewhere go.
 
-1. Every partition counts its windows in a sketch. Windows hash to cells by their anchor: the least
-   hash among the short word runs that a window holds. Neighbouring windows share an anchor, so a
-   sketch gets one count per anchor position, about a seventh of the windows, and a cell's count is
-   never below the count of any window that hashes to it. Only "once" and "more" are told apart.
-2. The partitions' sketches are merged block by block as a grouped job; what remains is one bit per
-   cell and row (repeated or not), of a size bounded by MAX_CELLS, and is broadcast.
-3. A second pass takes the windows whose cells are repeated in both rows and groups these alone,
+Texts are dealt over buckets by doc_id once (a bucketed table), so that what is found for a document
+meets its text again without moving it.
+
+1. Every partition sketches its windows. Windows hash by their anchor: the least hash among the short
+   word runs that a window holds. Neighbouring windows share an anchor, so a sketch gets one count
+   per anchor position, about a seventh of the windows, and a cell's count is never below the count
+   of any window that hashes to it. Only "once" and "more" are told apart. A sketch is cut into blocks
+   of cells, and their number is in proportion to the text, at every size.
+2. The partitions' sketches are merged block by block as a grouped job. A partition sends a block the
+   residues of its anchors, from which all its cells come, each with the document that asks; the answer
+   is those of them whose cells are repeated in every row. An anchor that repeats within the partition
+   is sent once and without documents, which have their answer there, so that no anchor is hot.
+3. A second pass takes each document's windows with repeated anchors and groups these alone,
    exactly, by a 128-bit fingerprint. A partition settles its own repeats first, so that a very
    frequent window is at most one row per partition in the shuffle.
 4. The starts to remove are gathered per document and applied to the text.
 
-More text than the sketch is made for lets more windows into step 3 and loses none.
-
 Defined results: null text has no words; rows with a null doc_id are kept as they are and count for
-nobody; rows that share a doc_id are judged alike and are no earlier than each other; a document
-shorter than a window is untouched; an empty table stays empty. Other columns can have any name.
+nobody; rows that share a doc_id but not the text are documents of their own, in an order that the
+texts' hashes give; repeated rows are one document and judged alike; a document shorter than a window
+is untouched; an empty table stays empty. Other columns can have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing as H
+from .common import scratch, text_key
+
+#: Words in an anchor; sketch rows; cells of a row in a block; bytes of text for each cell.
+ANCHOR, ROWS, CELLS_IN_BLOCK, BYTES_A_CELL = 8, 2, 1 << 19, 10
+#: Anchors or windows that a task holds before it passes them on; bytes of text in a bucket.
+HELD, BUCKET = 1 << 21, 1 << 26
+#: Bits of a window's place that hold its start; those above number the texts of one doc_id.
+START_BITS = 32
 
-#: Words in an anchor; sketch rows; cells in a block; bounds of the cells in a row (32 MB of bits at most).
-ANCHOR, ROWS, CELLS_IN_BLOCK, MIN_CELLS, MAX_CELLS = 8, 2, 1 << 16, 1 << 16, 1 << 28
-#: Bytes of text for each cell; anchors or windows that a task holds before it passes them on; sketches merged at once.
-BYTES_A_CELL, HELD, MERGED = 10, 1 << 21, 64
 
+def bucketed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """_c0, _c1, ... (``columns``), _id, _text, _nth (number of the text among those of its doc_id) and _key, in buckets by _key.
 
-def _cells(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (H.mix(anchors, row) & np.uint64(cells - 1)).astype(np.int64)
+    _key is the doc_id, or a number from the text where that is null, so that rows without one are spread.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    name = f"gneiss_texts_{uuid.uuid4().hex}"
+    place = F.dense_rank().over(Window.partitionBy("_key").orderBy(text_key("_text")))
+    rows = rows.withColumn("_key", F.coalesce("_id", text_key("_text"))).repartition(buckets, "_key").withColumn("_nth", (place - 1).cast("int"))
+    rows.write.bucketBy(buckets, "_key").sortBy("_key").option("compression", "zstd").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -52,25 +73,51 @@ def _windows(data: np.ndarray, offsets: np.ndarray, size: int):
     return (starts, ends), words, row, whole, grams, H.rolling(grams, size - short + 1, np.minimum)
 
 
-def _sketch(docs: DataFrame, size: int, cells: int) -> DataFrame:
-    """Per partition, sketch row and block: cells met once and cells met more often."""
+def _blocks(total: int) -> int:
+    """Blocks of a sketch for so many bytes of text."""
+    return 1 + total // (BYTES_A_CELL * CELLS_IN_BLOCK)
 
-    def packed(held: list[np.ndarray]):
-        anchors, rows = np.concatenate(held), []
-        for k in range(ROWS):
-            found, times = np.unique(_cells(anchors, k, cells), return_counts=True)
-            cuts = np.flatnonzero(np.diff(found // CELLS_IN_BLOCK)) + 1
-            for part, n in zip(np.split(found, cuts), np.split(times, cuts), strict=True):
-                low = (part % CELLS_IN_BLOCK).astype("<u2")
-                rows.append((k, int(part[0] // CELLS_IN_BLOCK), TaskContext.get().partitionId(), low[n == 1].tobytes(), low[n > 1].tobytes()))
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["k", "block", "part", "once", "more"])
+
+def _residues(anchors: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each anchor, and the 32 bits from which its cells in that block come."""
+    mixed = H.mix(anchors, 0)
+    return ((mixed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32), (H.mix(anchors, 1) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _cells(residues: np.ndarray, row: int, cells: int) -> np.ndarray:
+    return (H.mix(residues.astype(np.uint64) + np.uint64(1 + row), row) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _sketches(texts: DataFrame, size: int, blocks: int) -> DataFrame:
+    """Per partition and block the residues met once, with their documents, and those met more often; and, under the block of
+    the document, the residues of a document that are surely repeated."""
+    names, types = ["block", "docs", "once", "more", "doc_id", "known"], [pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.binary()]
+
+    def packed(held: list[tuple]):
+        anchors, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        block, residue = _residues(anchors, blocks)
+        order = np.lexsort((doc, residue, block))
+        block, residue, doc = block[order], residue[order], doc[order]
+        new = np.ones(len(block), dtype=bool)
+        new[1:] = (block[1:] != block[:-1]) | (residue[1:] != residue[:-1])
+        alone = new & np.append(new[1:], True)
+        more = new & ~alone
+        rows, cuts = [], np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            one = alone[a:b]
+            rows.append((int(block[a]), doc[a:b][one].tobytes(), residue[a:b][one].tobytes(), residue[a:b][more[a:b]].tobytes(), None, None))
+        if not alone.all():
+            pair = np.unique(np.stack((doc[~alone], residue[~alone].astype(np.int64))), axis=1)
+            cuts = np.append(np.flatnonzero(np.diff(pair[0], prepend=pair[0][0] - 1)), pair.shape[1])
+            rows += [(int(pair[0][a] % blocks), None, None, None, int(pair[0][a]), pair[1][a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            for _, _, data, offsets in H.chunks(batch.column(1)):
-                _, _, _, whole, grams, least = _windows(data, offsets, size)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _, data, offsets in H.chunks(batch.column(1)):
+                _, _, row, whole, grams, least = _windows(data, offsets, size)
                 if not len(whole):
                     continue
                 span = len(grams) - len(least) + 1
@@ -78,51 +125,49 @@ def _sketch(docs: DataFrame, size: int, cells: int) -> DataFrame:
                 counted[whole] = least[whole]
                 # a position is an anchor if it is the least of any whole window around it
                 padded = np.concatenate((np.zeros(span - 1, np.uint64), counted, np.zeros(span - 1, np.uint64)))
-                held.append(grams[H.rolling(padded, span, np.maximum) == grams])
-                count += len(held[-1])
+                at = np.flatnonzero(H.rolling(padded, span, np.maximum) == grams)
+                held.append((grams[at], ids[lo + row[at]]))
+                count += len(at)
                 if count >= HELD:
                     yield packed(held)
                     held, count = [], 0
         if count:
             yield packed(held)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "k int, block int, part int, once binary, more binary")
-
-
-def _merge(sketches: DataFrame, parts: int) -> DataFrame:
-    """One row per sketch row and block with its repeated cells as bits; at most MERGED sketches meet in a call."""
-
-    def total(pdf: pd.DataFrame) -> np.ndarray:
-        counts = np.zeros(CELLS_IN_BLOCK, dtype=np.uint8)
-        for once, more in zip(pdf["once"], pdf["more"], strict=True):
-            for raw, n in ((once, 1), (more, 2)):
-                at = np.frombuffer(raw, dtype="<u2")
-                counts[at] = np.minimum(counts[at] + n, 2)
-        return counts
-
-    def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = total(pdf)
-        pick = lambda n: np.flatnonzero(counts == n).astype("<u2").tobytes()
-        return pd.DataFrame({"k": pdf["k"][:1], "block": pdf["block"][:1], "part": pdf["part"][:1], "once": [pick(1)], "more": [pick(2)]})
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": pdf["k"][:1], "block": pdf["block"][:1], "bits": [np.packbits(total(pdf) > 1, bitorder="little").tobytes()]})
-
-    while parts > MERGED:
-        sketches = sketches.withColumn("part", (F.col("part") / MERGED).cast("int")).groupBy("k", "block", "part").applyInPandas(some, sketches.schema)
-        parts = -(-parts // MERGED)
-    return sketches.groupBy("k", "block").applyInPandas(last, "k int, block int, bits binary")
-
-
-def repeated_cells(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Bits of the repeated cells (ROWS x cells / 8 bytes) and the number of cells in a row."""
-    total, last = docs.select(F.octet_length("text").alias("b"), F.spark_partition_id().alias("p")).agg(F.sum("b"), F.max("p")).first()
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (int(total or 0) // BYTES_A_CELL).bit_length()))
-    bits = np.zeros((ROWS, cells // CELLS_IN_BLOCK, CELLS_IN_BLOCK // 8), dtype=np.uint8)
-    sketches = _sketch(docs, size, cells)
-    for r in _merge(sketches, 1 + (last or 0)).toLocalIterator():
-        bits[r.k, r.block] = np.frombuffer(r.bits, dtype=np.uint8)
-    return bits.reshape(ROWS, -1), cells
+    rows = texts.where("_id IS NOT NULL").select("_id", "_text")
+    return rows.mapInArrow(run, "block int, docs binary, once binary, more binary, doc_id bigint, known binary")
+
+
+def _answered(pdf: pd.DataFrame, cells: int) -> pd.DataFrame:
+    """(doc_id, residues): the merged sketch of a block asked for every residue sent once; what was known stays."""
+    counts = np.zeros((ROWS, cells), dtype=np.uint8)
+    sent = [(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.uint32)) for x, y in zip(pdf["docs"], pdf["once"], strict=True) if x is not None]
+    for k in range(ROWS):
+        for raw, n in [*((x, 2) for x in pdf["more"] if x is not None), *((y, 1) for _, y in sent)]:
+            at, times = np.unique(_cells(np.frombuffer(raw, dtype=np.uint32), k, cells), return_counts=True)
+            counts[k, at] = np.minimum(counts[k, at] + n * times, 2)
+    docs, residues = [], []
+    for doc, residue in sent:
+        repeated = np.ones(len(doc), dtype=bool)
+        for k in range(ROWS):
+            repeated &= counts[k, _cells(residue, k, cells)] > 1
+        docs.append(doc[repeated])
+        residues.append(residue[repeated])
+    doc, residue = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((docs, np.int64), (residues, np.uint32)))
+    order = np.argsort(doc, kind="stable")
+    doc, residue = doc[order], residue[order]
+    cuts = np.append(np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)), len(doc)) if len(doc) else np.zeros(1, np.int64)
+    got = pd.DataFrame({"doc_id": doc[cuts[:-1]] if len(doc) else doc, "residues": [residue[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
+    known = pdf.loc[pdf["known"].notna(), ["doc_id", "known"]].rename(columns={"known": "residues"})
+    return pd.concat([got, known.astype({"doc_id": "int64"})]) if len(known) else got
+
+
+def repeated_anchors(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id and the residues of its anchors that may stand elsewhere too: a list of packed numbers."""
+    total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    cells = CELLS_IN_BLOCK
+    answers = _sketches(texts, size, _blocks(total)).groupBy("block").applyInPandas(lambda pdf: _answered(pdf, cells), "doc_id bigint, residues binary")
+    return answers.groupBy("doc_id").agg(F.collect_list("residues").alias("residues"))
 
 
 def _settle(held: list[tuple]) -> tuple[list, list]:
@@ -137,15 +182,14 @@ def _settle(held: list[tuple]) -> tuple[list, list]:
     at = np.lexsort((start[later], doc[later]))
     d, s = doc[later][at], start[later][at]
     cuts = np.flatnonzero(np.diff(d)) + 1
-    gone = [(int(x[0]), y.astype("<i4").tobytes()) for x, y in zip(np.split(d, cuts), np.split(s, cuts), strict=True)] if len(d) else []
+    gone = [(int(x[0]), y.astype("<i8").tobytes()) for x, y in zip(np.split(d, cuts), np.split(s, cuts), strict=True)] if len(d) else []
     return [h1[new].view(np.int64), h2[new].view(np.int64), doc[new], start[new]], gone
 
 
-def later_starts(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the starts (word numbers) of its windows that also start earlier: lists ``one`` (ints) and ``many`` (packed ints)."""
-    bits, cells = repeated_cells(docs, size)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    names, types = ["h1", "h2", "doc_id", "start", "starts"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+def later_starts(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id and the places (text number and start) of its windows that also start earlier: lists ``one`` (numbers) and ``many`` (packed numbers)."""
+    names, types = ["h1", "h2", "doc_id", "start", "starts"], [pa.int64()] * 4 + [pa.binary()]
+    blocks = _blocks(texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
 
     def batches_of(held):
         firsts, gone = _settle(held)
@@ -154,23 +198,26 @@ def later_starts(docs: DataFrame, size: int) -> DataFrame:
         if gone:  # settled here: passed on under a key of its own
             ids, raw = zip(*gone, strict=True)
             key = H.mix(np.array(ids, dtype=np.int64).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(raw, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(raw, pa.binary())], names)
 
     def run(batches):
-        repeated, held, count = shared.value, [], 0
+        held, count = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in H.chunks(batch.column(1)):
+            ids, nth = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            residues = batch.column(3).to_pylist()
+            for lo, hi, data, offsets in H.chunks(batch.column(1)):
                 (starts, ends), words, row, whole, _, least = _windows(data, offsets, size)
-                for k in range(ROWS):
-                    at = _cells(least[whole], k, cells)
-                    whole = whole[(repeated[k][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                asked = [np.frombuffer(b"".join(x), dtype=np.uint32) for x in residues[lo:hi]]
+                repeated = np.concatenate(asked).astype(np.uint64) | np.repeat(np.arange(hi - lo, dtype=np.uint64) << np.uint64(32), [len(x) for x in asked])
+                repeated.sort()
+                whole = whole[_in_sorted(_residues(least[whole], blocks)[1].astype(np.uint64) | row[whole].astype(np.uint64) << np.uint64(32), repeated)]
                 if not len(whole):
                     continue
                 second = H.window_hashes(H.word_hashes(data, starts, ends, 1), size, 1)[whole]
                 first_word = np.searchsorted(row, np.arange(len(offsets)))
                 doc = row[whole]
-                held.append((H.window_hashes(words, size)[whole], second, ids[lo + doc], (whole - first_word[doc]).astype(np.int32)))
+                place = (whole - first_word[doc]) | nth[lo + doc].astype(np.int64) << START_BITS
+                held.append((H.window_hashes(words, size)[whole], second, ids[lo + doc], place))
                 count += len(whole)
                 if count >= HELD:
                     yield from batches_of(held)
@@ -178,18 +225,27 @@ def later_starts(docs: DataFrame, size: int) -> DataFrame:
         if count:
             yield from batches_of(held)
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, start int, starts binary")
+    asked = repeated_anchors(texts, size).withColumnRenamed("doc_id", "_doc")
+    rows = texts.where("_id IS NOT NULL").join(asked.hint("shuffle_hash"), F.col("_key") == F.col("_doc"))
+    rows = rows.select("_id", "_text", "_nth", "residues").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, start bigint, starts binary")
     place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "start"))
     gone = rows.withColumn("place", place).where("starts IS NOT NULL OR place > 1")
     return gone.groupBy("doc_id").agg(F.collect_list("start").alias("one"), F.collect_list("starts").alias("many"))
 
 
-def _cut(text: str | None, one, many, size: int) -> tuple[int, int, bytes, str | None]:
+def _in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x if len(table) else np.zeros(len(x), dtype=bool)
+
+
+def _cut(nth: int, text: str | None, one, many, size: int) -> tuple[int, int, bytes, str | None]:
     """Words, words removed, the kept words joined by one space, and the text without the removed words."""
     words = (text or "").encode().split()
-    if not one and not many:
+    starts = np.empty(0, np.int64)
+    if one or many:
+        starts = np.concatenate([np.array(one or [], dtype=np.int64), *(np.frombuffer(x, dtype="<i8") for x in many or [])])
+        starts = starts[starts >> START_BITS == nth] & ((1 << START_BITS) - 1)
+    if not len(starts):
         return len(words), 0, b" ".join(words), text
-    starts = np.concatenate([np.array(one or [], dtype=np.int64), *(np.frombuffer(x, dtype="<i4") for x in many or [])])
     change = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + size, -1)
@@ -198,25 +254,39 @@ def _cut(text: str | None, one, many, size: int) -> tuple[int, int, bytes, str |
     return len(words), int(len(words) - keep.sum()), kept, kept.decode()
 
 
-def remove_repeats(docs: DataFrame, size: int = 20, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of docs (by default doc_id) with n_words, n_removed, kept_sha256 and kept_text."""
-    columns = columns or ["doc_id"]
-    found = later_starts(docs, size).withColumnRenamed("doc_id", "_doc")
-    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    rows = rows.join(found.hint("shuffle_hash"), F.col("_id") == F.col("_doc"), "left").drop("_id", "_doc")
-    width = len(columns)
+MADE = "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+
+
+def cut_texts(docs: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """_c0, _c1, ... (the columns of docs) and the columns of MADE."""
+    texts = bucketed(docs, columns)
+    found = later_starts(texts, size).withColumnRenamed("doc_id", "_doc")
+    own, width = [f"_c{i}" for i in range(len(columns))], len(columns)
+    own_id = F.col("_id").isNotNull() & (F.col("_key") == F.col("_doc"))
+    rows = texts.join(found.hint("shuffle_hash"), own_id, "left").select(*own, "_nth", "_text", "one", "many")
+    schema = T.StructType([*rows.select(*own).schema.fields, *T.StructType.fromDDL(MADE).fields])
+    names = schema.names
 
     def run(batches):
         for batch in batches:
-            done = [_cut(*x, size) for x in zip(*(batch.column(width + k).to_pylist() for k in range(3)), strict=True)]
+            done = [_cut(*x, size) for x in zip(*(batch.column(width + k).to_pylist() for k in range(4)), strict=True)]
             made = [
                 pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()),
                 pa.array([hashlib.sha256(x[2]).hexdigest() for x in done], pa.string()), pa.array([x[3] for x in done], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*out.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row."""
+    return cut_texts(docs, ["doc_id"], size).withColumnRenamed("_c0", "doc_id")
+
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"_c{i} {kinds[c]}" for i, c in enumerate(columns)] + ["n_words bigint", "n_removed bigint", "kept_sha256 string", "kept_text string"])
-    out = docs.sparkSession.createDataFrame([], schema).schema
-    got = rows.mapInArrow(run, schema)
-    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)], "n_words", "n_removed", "kept_sha256", "kept_text")
+def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
+    """``docs`` (all its columns) with the kept text as text and its length as n_chars; rows of which nothing is left go."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = cut_texts(docs, others, size).where("n_words > n_removed")
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")} | {c: F.col(f"_c{i}") for i, c in enumerate(others)}
+    return rows.select(*[new[c].alias(c) for c in docs.columns])

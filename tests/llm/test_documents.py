@@ -117,14 +117,61 @@ def test_substring_dedup(awkward, empty, size):
     assert substring.remove_repeats(empty, size).count() == 0
 
 
-def test_sketch_loses_nothing_when_overfull(awkward, monkeypatch):
+def test_small_blocks_and_batches_lose_nothing(awkward, monkeypatch):
     want = sorted(map(tuple, substring.remove_repeats(awkward, 4).collect()), key=repr)
-    monkeypatch.setattr(substring, "MAX_CELLS", 1 << 16)
+    monkeypatch.setattr(substring, "CELLS_IN_BLOCK", 1 << 10)
     monkeypatch.setattr(substring, "HELD", 500)
-    monkeypatch.setattr(substring, "MERGED", 2)
     assert sorted(map(tuple, substring.remove_repeats(awkward, 4).collect()), key=repr) == want
 
 
+def test_share_of_windows_that_pass_does_not_grow_with_the_text(spark, monkeypatch):
+    """Texts without a repeat, ten times as many: the share of anchors estimated repeated stays (the blocks are small, so that there are many)."""
+    monkeypatch.setattr(substring, "CELLS_IN_BLOCK", 1 << 12)
+    shares = []
+    for n in (200, 2000):
+        rng = np.random.default_rng(n)
+        rows = [(i, " ".join(f"w{x}" for x in rng.integers(1 << 40, size=400))) for i in range(n)]
+        texts_ = substring.bucketed(spark.createDataFrame(rows, "doc_id bigint, text string"), [])
+        found = substring.repeated_anchors(texts_, 20).selectExpr("sum(aggregate(residues, 0, (n, x) -> n + octet_length(x)))").first()[0] or 0
+        shares.append(found / 4 / (n * 400 / 7))
+    assert shares[1] < 1.5 * shares[0] and shares[1] < 0.15
+
+
+def alternating(n):
+    """A word that a power sum modulo 2**64 can't tell from its complement, and that complement."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+def test_structured_words_are_told_apart(spark, n):
+    x, y = alternating(n)
+    plain = [f"p{i}" for i in range(19)]
+    rows = [(1, " ".join([x, *plain])), (2, " ".join([y, *plain])), (6, f"{x} {y}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 0, 6: 0}
+    many = spark.createDataFrame([(i, " ".join([w] * 3)) for i, w in enumerate((x, y))], "doc_id bigint, text string")
+    assert all(r.kept for r in neardup.near_duplicates(many).collect())
+    scored = {r.doc_id: r for r in ppm.score(df).collect()}
+    held = [i for i in (1, 2, 6) if ppm.is_held_out(i)]
+    known = set().union(*({*t.split()} for i, t in rows if i not in held))
+    assert all(scored[i].n_known == 1 + sum(w in known for w in t.split()) for i, t in rows)
+
+
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "y"), (7, b + " z", "z"), (7, b + " z", "z"), (None, b, "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, first string")
+    left = sorted((r.doc_id, r.text) for r in neardup.without_near_duplicates(df).where("doc_id IS NOT NULL").collect())
+    assert left == [(1, a), (5, b)] and neardup.without_near_duplicates(df).where("doc_id IS NULL").count() == 1
+    again = neardup.without_near_duplicates(spark.createDataFrame([(3, a, "q")] * 3, df.schema)).collect()
+    assert [tuple(r) for r in again] == [(3, a, "q")]
+    got = sorted(tuple(r) for r in substring.remove_repeats(df.where("doc_id = 5 OR doc_id = 7"), 20).select("doc_id", "n_words", "n_removed").collect())
+    assert got == [(5, 30, 0), (5, 30, 0), (7, 31, 30), (7, 31, 30)]
+
+
 # near-duplicates
 
 
