@@ -1,17 +1,24 @@
-"""Benchmark decontamination under edit distance: lossless word-pair count, exact verification of all that pass.
+"""Benchmark decontamination under edit distance: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Texts are lower-cased words without ASCII punctuation. A document leaks an item of n words if some
 stretch of it is within floor(SHARE * n) word edits of the item.
 
-* Item-sized windows of a document that can reach that hold enough of the item's word pairs: k edits
-  spoil at most 2k of an item's n - 1 pairs, so this loses nothing, whatever the length and the edits.
-* Every run of such windows is verified exactly: the least number of word edits between the item
-  and any stretch of the document around them, by a bit-parallel table.
-* ``walk_keys`` (CGK embedding, bit-sampling LSH) is not asked before that: a fixed number of walks
-  loses ever more leaks as items get longer.
+* An item is embedded in pieces of PIECE to 2 * PIECE - 1 words (one of n words if it is shorter).
+  The allowed edits deal over the pieces, so some piece has no more than its own share of them,
+  however long the item is; a fixed number of walks over whole items would lose ever more leaks.
+* Every piece-sized window of a document, where the item can stand at all (there have to be enough of
+  its word pairs: k edits spoil at most 2k of an item's n - 1 pairs, so this loses nothing), walks
+  through the CGK embedding: at each step it emits the word it stands on and moves on or stays by a
+  random bit of that word, so that few edits become few differing steps.
+* Each of REPEATS independent walks samples SAMPLED steps, hashed together; a window and a piece that
+  agree on all of them make the document and the item candidates. The tests measure the recall by
+  length and kind of edit, at all allowed edits: above 0.9 each.
+* Candidates are verified exactly, wherever in the document the word pairs suffice: edit_distance is
+  the least number of word edits between the item and any stretch of the document, by a bit-parallel table.
 
 The benchmark is the query set: it is taken in blocks of about BLOCK_ITEMS items, whose tables are
-broadcast; documents stay where they are and nothing is shuffled.
+broadcast; documents stay where they are and nothing is shuffled. Word pairs are expanded to the items
+that hold them by runs of EXPANDED at most, and item by item where a single document has more.
 
 Defined results: null text has no words; items of fewer than LEAST_WORDS words identify nothing and
 are left out; repeated rows give repeated results; a null doc_id or item_id stays null; an empty
@@ -30,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 
-SHARE, LEAST_WORDS, REPEATS, SAMPLED, BLOCK_ITEMS = 0.2, 5, 40, 4, 100_000
+SHARE, LEAST_WORDS, PIECE, REPEATS, SAMPLED = 0.2, 5, 10, 40, 4
+BLOCK_ITEMS, EXPANDED = 100_000, 1 << 21
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 
@@ -39,6 +47,12 @@ def allowed(n: int) -> int:
     return int(SHARE * n)
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """First word and number of words of each piece of an item of n words."""
+    cuts = np.linspace(0, n, max(1, n // PIECE) + 1).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def word_arrays(column: pa.Array):
     """(first row, rows, word hashes, row of each word) by chunks."""
     for lo, hi, data, offsets in H.chunks(pc.utf8_lower(column)):
@@ -103,38 +117,77 @@ def edits(item: np.ndarray, words: np.ndarray) -> int:
 
 
 class Items:
-    """Word arrays, word pairs with their items, and places of words of one block of the benchmark."""
+    """Word arrays, word pairs with their items, and LSH tables of the pieces of one block of the benchmark."""
 
     def __init__(self, texts: list[str]):
         self.words: list[np.ndarray] = []
         for _, rows, words, row in word_arrays(pa.array(texts, pa.string())):
             self.words += np.split(words, np.searchsorted(row, np.arange(1, rows)))
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.allowed = np.array([allowed(int(n)) for n in self.size], dtype=np.int64)
+        self.need = self.size - 1 - 2 * self.allowed
         used = [i for i, n in enumerate(self.size) if n >= LEAST_WORDS]
-        self.need = np.array([n - 1 - 2 * allowed(n) for n in self.size], dtype=np.int64)
         owner = np.concatenate([np.full(self.size[i] - 1, i) for i in used]) if used else np.empty(0, np.int64)
         pair = np.concatenate([H.window_hashes(self.words[i], 2) for i in used]) if used else np.empty(0, np.uint64)
         order = np.lexsort((owner, pair))
         first = np.ones(len(order), dtype=bool)  # an item has a pair once
         first[1:] = (pair[order][1:] != pair[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         self.pair_owner, pair = owner[order][first], pair[order][first]
-        self.pairs, self.pair_first = np.unique(pair, return_index=True)
+        self.pairs, self.pair_first, which = np.unique(pair, return_index=True, return_inverse=True)
         self.pair_first = np.append(self.pair_first, len(pair))
+        by_item = np.argsort(self.pair_owner, kind="stable")
+        self.item_pairs, self.item_first = which[by_item], np.searchsorted(self.pair_owner[by_item], np.arange(len(self.size) + 1))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.pairs & np.uint64(len(self.bits) - 1)] = True
         self.masks = [_masks(w) for w in self.words]
-
-    def candidates(self, words: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int]]:
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i in used:
+            for at, n in pieces(int(self.size[i])):
+                by_length.setdefault(n, []).append((i, at))
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, own in by_length.items():
+            joined, starts = np.concatenate([self.words[i][at : at + n] for i, at in own]), np.arange(len(own)) * n
+            keys, owners = walk_keys(joined, starts, starts + n, n).ravel(), np.tile([i for i, _ in own], REPEATS)
+            order = np.argsort(keys, kind="stable")
+            self.keys[n] = keys[order], owners[order]
+
+    def runs(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(row, item, first, last): the runs of window starts at which the row holds enough of the item's word pairs."""
+        none = np.empty((0, 4), np.int64)
         if len(words) < 2 or not len(self.pairs):
-            return []
+            return none
         pairs = H.window_hashes(words, 2)
         at = np.flatnonzero(self.bits[pairs & np.uint64(len(self.bits) - 1)] & (row[1:] == row[:-1]))
         place = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
-        at, place = (x[self.pairs[place] == pairs[at]] for x in (at, place))
-        times = self.pair_first[place + 1] - self.pair_first[place]
-        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, at = self.pair_owner[np.repeat(self.pair_first[place], times) + inner], np.repeat(at, times)
+        known = self.pairs[place] == pairs[at]
+        at, place = at[known], place[known]
+        if not len(at):
+            return none
+        times, out, lo = self.pair_first[place + 1] - self.pair_first[place], [], 0
+        total, ends = np.cumsum(times), np.append(np.flatnonzero(np.diff(row[at])) + 1, len(at))
+        while lo < len(at):
+            done = total[lo - 1] if lo else 0
+            k = np.searchsorted(ends, lo, side="right")
+            hi = int(ends[max(k, np.searchsorted(total[ends - 1], done + EXPANDED, side="right") - 1)])
+            if total[hi - 1] - done <= EXPANDED:
+                inner = np.arange(total[hi - 1] - done) - np.repeat(total[lo:hi] - times[lo:hi] - done, times[lo:hi])
+                item = self.pair_owner[np.repeat(self.pair_first[place[lo:hi]], times[lo:hi]) + inner]
+                out.append(self._enough(item, np.repeat(at[lo:hi], times[lo:hi]), row))
+            else:  # one document, item by item, for those of which it has enough pairs at all
+                for i in self._possible(np.unique(place[lo:hi])):
+                    own = at[lo:hi][np.isin(place[lo:hi], self.item_pairs[self.item_first[i] : self.item_first[i + 1]])]
+                    out.append(self._enough(np.full(len(own), i), own, row))
+            lo = hi
+        return np.concatenate(out)
+
+    def _possible(self, place: np.ndarray) -> np.ndarray:
+        """Items of which all pairs but those that the allowed edits spoil are among the distinct pairs ``place``."""
+        count = np.zeros(len(self.size), dtype=np.int64)
+        for p in place:
+            count[self.pair_owner[self.pair_first[p] : self.pair_first[p + 1]]] += 1
+        return np.flatnonzero((count > 0) & (count >= np.diff(self.item_first) - 2 * self.allowed))
+
+    def _enough(self, item: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
         order = np.lexsort((at, item, row[at]))
         item, at = item[order], at[order]
         # need-th known pair from here on, of the same document and item and within a window?
@@ -145,23 +198,65 @@ class Items:
         item, n, low, high = item[inside], n[inside], at[later][inside] - (n[inside] - 2), at[inside]
         low = np.maximum(low, np.searchsorted(row, row[high]))
         if not len(item):
-            return []
+            return np.empty((0, 4), np.int64)
         # runs whose stretches can meet are one; starts ascend within a document and item
         new = np.ones(len(item), dtype=bool)
         new[1:] = (item[1:] != item[:-1]) | (row[high[1:]] != row[high[:-1]]) | (low[1:] > high[:-1] + 2 * n[1:])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(item)) - 1
-        return list(zip(row[high[first]].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True))
+        return np.stack((row[high[first]], item[first], low[first], high[last]), axis=1)
+
+    def met(self, runs: np.ndarray, words: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) of the runs in which a walk of a window of the row met that of a piece of the item."""
+        asked: dict[int, list[np.ndarray]] = {}
+        for r, i, first, last in runs.tolist():
+            begin, end = np.searchsorted(row, (r, r + 1)).tolist()
+            k = int(self.allowed[i])
+            for at, n in pieces(int(self.size[i])):
+                asked.setdefault(n, []).append(np.arange(max(begin, first + at - k), min(end, last + at + k + 1)))
+        out: set[tuple[int, int]] = set()
+        for n, starts in asked.items():
+            starts = np.unique(np.concatenate(starts))
+            table, owners = self.keys[n]
+            for lo in range(0, len(starts), 1 << 13):
+                own = starts[lo : lo + (1 << 13)]
+                keys = walk_keys(words, own, np.minimum(own + n, np.searchsorted(row, row[own], side="right")), n).ravel()
+                left, right = np.searchsorted(table, keys), np.searchsorted(table, keys, side="right")
+                hit = np.flatnonzero(left < right)
+                times = right[hit] - left[hit]
+                item = owners[np.repeat(left[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                out.update(zip(row[own[np.repeat(hit, times) % len(own)]].tolist(), item.tolist(), strict=True))
+        return out
+
+    def leaked(self, words: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], int]:
+        """(row, item) of every leak, with its edit distance."""
+        least: dict[tuple[int, int], int] = {}
+        runs = self.runs(words, row)
+        met = self.met(runs, words, row) if len(runs) else set()
+        for r, i, first, last in runs.tolist():
+            if (r, i) in met:
+                n, k = int(self.size[i]), int(self.allowed[i])
+                begin, end = np.searchsorted(row, (r, r + 1))
+                distance = _edits(self.masks[i], n, words[max(begin, first - k) : min(end, last + n + k)].tolist())
+                if distance <= k:
+                    least[r, i] = min(distance, least.get((r, i), distance))
+        return least
+
+
+def _blocks(benchmark: DataFrame):
+    """Item ids and tables of each block of the benchmark, broadcast."""
+    blocks = -(-benchmark.count() // BLOCK_ITEMS)
+    for block in range(blocks):
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = rows.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], Items([r.text for r in rows])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_words and edit_distance of every document and item that it leaks."""
-    spark, schema = docs.sparkSession, "doc_id bigint, item_id bigint, item_words bigint, edit_distance bigint"
-    blocks = -(-benchmark.count() // BLOCK_ITEMS)
-    out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).collect()
-        shared = spark.sparkContext.broadcast(([r.item_id for r in rows], Items([r.text for r in rows])))
+    schema = "doc_id bigint, item_id bigint, item_words bigint, edit_distance bigint"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _blocks(benchmark):
         out = out.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_finder(shared), schema))
     return out
 
@@ -172,15 +267,28 @@ def _finder(shared):
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), []
             for lo, _, words, row in word_arrays(pc.fill_null(batch.column(1), "")):
-                least: dict[tuple[int, int], int] = {}
-                for r, i, first, last in items.candidates(words, row):
-                    n, k = int(items.size[i]), allowed(int(items.size[i]))
-                    begin, end = np.searchsorted(row, (r, r + 1))
-                    distance = _edits(items.masks[i], n, words[max(begin, first - k) : min(end, last + n + k)].tolist())
-                    if distance <= k:
-                        least[r, i] = min(distance, least.get((r, i), distance))
-                found += [(ids[lo + r], item_ids[i], int(items.size[i]), distance) for (r, i), distance in sorted(least.items())]
+                found += [(ids[lo + r], item_ids[i], int(items.size[i]), distance) for (r, i), distance in sorted(items.leaked(words, row).items())]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "item_id", "item_words", "edit_distance"])
 
     return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that leak no item. Every row is judged by its own text."""
+    place = docs.columns.index("text")
+
+    def keeper(shared):
+        def run(batches):
+            _, items = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for lo, _, words, row in word_arrays(pc.fill_null(batch.column(place), "")):
+                    keep[[lo + r for r, _ in items.leaked(words, row)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for shared in _blocks(benchmark):
+        docs = docs.mapInArrow(keeper(shared), docs.schema)
+    return docs

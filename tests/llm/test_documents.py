@@ -267,20 +267,48 @@ def test_decontamination_finds_edited_items_and_leaves_others(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("share", "least"), [(0.5, 0.98), (1.0, 0.9)])
-def test_walks_reach_their_recall(share, least):
-    rng, hits, tries = np.random.default_rng(5), 0, 300
-    for t in range(tries):
-        n = (10, 16, 30, 45)[t % 4]
-        item = rng.integers(1 << 60, size=n).astype(np.uint64)
-        copy = list(item)
-        for _ in range(max(1, int(share * decontaminate.allowed(n)))):
-            p, kind = int(rng.integers(len(copy))), int(rng.integers(3))
-            copy[p : p + (kind != 2)] = [] if kind == 1 else [rng.integers(1 << 60)]
-        doc = np.concatenate((np.array(copy, dtype=np.uint64), rng.integers(1 << 60, size=n).astype(np.uint64)))
-        own = decontaminate.walk_keys(item, np.zeros(1, np.int64), np.full(1, n), n)
-        hits += np.isin(own, decontaminate.walk_keys(doc, np.arange(3), np.arange(3) + n, n)).any()
-    assert hits >= least * tries
+@pytest.mark.parametrize("n", [5, 7, 9, 10, 16, 19, 20, 29, 46, 59, 80, 150, 400])
+def test_walks_reach_their_recall(n):
+    """At all allowed edits, by length and kind of edit; the walks alone, without the verification."""
+    rng, tries, k = np.random.default_rng(n), 40, decontaminate.allowed(n)
+    for kind in (0, 1, 2, None):
+        hits = 0
+        for _ in range(tries):
+            item = rng.integers(1 << 60, size=n).astype(np.uint64)
+            copy = item.tolist()
+            for _ in range(k):
+                p, now = int(rng.integers(len(copy))), int(rng.integers(3)) if kind is None else kind
+                copy[p : p + (now != 2)] = [] if now == 1 else [int(rng.integers(1 << 60))]
+            doc = np.concatenate((rng.integers(1 << 60, size=6), np.array(copy), rng.integers(1 << 60, size=n))).astype(np.uint64)
+            found = False
+            for at, m in decontaminate.pieces(n):
+                starts = np.arange(max(0, 6 + at - k), min(len(doc), 6 + at + k + 1))
+                own = decontaminate.walk_keys(item[at : at + m], np.zeros(1, np.int64), np.full(1, m), m)
+                found |= bool((own == decontaminate.walk_keys(doc, starts, np.minimum(starts + m, len(doc)), m)).any())
+            hits += found
+        assert hits >= 0.9 * tries
+
+
+def test_walks_of_other_texts_seldom_meet():
+    rng, hits = np.random.default_rng(1), 0
+    for n in (10, 15, 19) * 20:
+        x, y = (rng.integers(1 << 60, size=n).astype(np.uint64) for _ in range(2))
+        hits += (decontaminate.walk_keys(x, np.zeros(1, np.int64), np.full(1, n), n) == decontaminate.walk_keys(y, np.zeros(1, np.int64), np.full(1, n), n)).any()
+    assert hits == 0
+
+
+def test_a_common_pair_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    items = [" ".join(f"w{x}" for x in rng.integers(5000, size=8)) + " of the " + " ".join(f"w{x}" for x in rng.integers(5000, size=8)) for _ in range(2000)]
+    text = ("of the end " * 11_000 + items[700] + " of the").strip()
+    made = decontaminate.Items(items)
+    tracemalloc.start()
+    found = [x for _, _, words, row in decontaminate.word_arrays(pa.array(["", text])) for x in made.leaked(words, row)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(1, 700)] and peak < 200 << 20
 
 
 @pytest.mark.parametrize("n", [5, 50, 100, 200, 400])
