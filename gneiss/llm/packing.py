@@ -16,6 +16,7 @@ the same again when a task is repeated on the same partition.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,11 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+#: White space in a row that tiktoken is given; its regular expression fails on runs of about a million.
+LONGEST_GAP = 100_000
+_GAP = re.compile(rf"(?<!\s)\s{{{LONGEST_GAP}}}")
 #: Pieces in an output batch.
 PIECES_AT_ONCE = 8192
 # Fixed value: how byte-level BPE files of the tokenizers library split text before merging.
@@ -51,6 +56,18 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
+_tokenizers: dict[str, Tokenizer] = {}
+
+
+def token_ids(path: str, text: str) -> np.ndarray:
+    """The text's ids; texts with a very long run of white space go through the tokenizers library itself."""
+    if len(text) > LONGEST_GAP and _GAP.search(text):
+        if path not in _tokenizers:
+            _tokenizers[path] = Tokenizer.from_file(path)
+        return np.array(_tokenizers[path].encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return encoding(path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+
+
 class LevelPacker:
     """Open sequences by fill level; ``place`` gives back the sequences that it fills."""
 
@@ -93,10 +110,10 @@ class LevelPacker:
 
 def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple]:
     """(doc_id, its ids and the end id) of every row."""
-    encode, end = encoding(path).encode_to_numpy, np.array([end_id], dtype="<u4")
+    end = np.array([end_id], dtype="<u4")
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc, np.concatenate((encode(text.as_py() or "", allowed_special="all").astype("<u4", copy=False), end))
+            yield doc, np.concatenate((token_ids(path, text.as_py() or ""), end))
 
 
 def _sequences(documents: Iterator[tuple], size: int) -> Iterator[list]:

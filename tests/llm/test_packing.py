@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gneiss.llm.packing import LevelPacker, encoding, pack
+from gneiss.llm.packing import LevelPacker, encoding, pack, token_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +16,15 @@ def test_same_ids_as_tokenizers(awkward):
         assert own.encode_to_numpy(text, allowed_special="all").tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_white_space(spark):
+    other = Tokenizer.from_file(PATH)
+    spaces, mixed = "a" + " " * 5_000_000 + "b", "\n\n \t" * 300_000 + "x"
+    for text in (spaces, "\n" * 2_000_000, mixed, " " * 99_999 + "y"):
+        assert token_ids(PATH, text).tolist() == other.encode(text, add_special_tokens=False).ids
+    got = pack(spark.createDataFrame([(1, spaces), (2, "c")], "doc_id bigint, text string"), PATH).toPandas()
+    assert got[got.doc_id == 1].length.sum() == len(other.encode(spaces, add_special_tokens=False).ids) + 1
+
+
 def test_every_id_is_in_one_piece_and_sequences_are_gapless(awkward):
     other = Tokenizer.from_file(PATH)
     got = pack(awkward.where("doc_id <> 9"), PATH, size=64, with_ids=True).toPandas()
