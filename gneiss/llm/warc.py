@@ -11,7 +11,8 @@ The folder may be on any store that pyarrow's file systems open (file, hdfs, s3,
 
 Defined results: null html is an empty payload; a null url leaves the target header out; rows that
 share both page_id and payload with the response are responses too; rows without page_id are
-responses without a record id; an empty table gives an empty index. Other columns are not read.
+responses without a record id; rows that share a page_id but not the payload are records of their own,
+with one record id; an empty table gives an empty index. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_back, scratch, stored
@@ -38,13 +39,16 @@ GAP, BLOCK = 1 << 16, 1 << 23
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of every record whose payload an earlier page_id has too."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    thin = pages.where(F.octet_length(payload) >= least_bytes).select("page_id", F.sha1(payload).alias("digest"))
+    """(page_id, digest, refers_to) of every record whose payload an earlier page_id has too."""
+    thin = pages.where(F.octet_length(_payload()) >= least_bytes).select("page_id", F.sha1(_payload()).alias("digest"))
     thin = stored(thin, "digests")
     groups = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups, total = stored(groups, "copies"), thin.count()
-    return join_back(thin, groups, ["digest"], "n", total).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return join_back(thin, groups, ["digest"], "n", total).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
 
 
 def _digest(payload: bytes) -> str:
@@ -76,7 +80,7 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, level: int = 1) -> DataFrame:
     """Writes the archives under ``folder`` (by default in the shared folder) and returns the stored index."""
     folder = folder or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    rows = pages.select("page_id", "url", "html").join(revisits(pages, least_bytes), "page_id", "left")
+    rows = pages.select("page_id", "url", "html", F.sha1(_payload()).alias("digest")).join(revisits(pages, least_bytes), ["page_id", "digest"], "left")
     names = [x.split()[0] for x in INDEX.split(", ")]
     types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64()]
 

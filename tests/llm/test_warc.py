@@ -48,3 +48,10 @@ def test_hot_payload_and_empty_table(spark, pages):
     got = warc.read(warc.write(many)).groupBy("record_type").count().collect()
     assert {r.record_type: r["count"] for r in got} == {"response": 4000 - 1333, "revisit": 1333}
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+
+
+def test_payloads_that_share_a_page_id(spark):
+    rows = [(1, "u", "A", "x"), (5, "u", "A", "x"), (5, "u", "B", "x"), (7, "u", "A", "x"), (7, "u", "Z", "x"), (7, "u", "Z", "x")]
+    index = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string, refers_to string"))
+    got = sorted((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in warc.read(index, with_payload=True).collect())
+    assert got == [(1, "response", None, b"A"), (5, "response", None, b"B"), (5, "revisit", 1, b""), (7, "response", None, b"Z"), (7, "response", None, b"Z"), (7, "revisit", 1, b"")]
