@@ -17,12 +17,13 @@ type is kept as text. One conversation is one output row, so it has to fit in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: After an opening bracket and backslashes, the rest of each control string.
 TAILS = r"/?s>|/?INST\]|ANS\]|ROLE |/ROLE\]|IMG\]|AUD\]|DOC\]"
 PLACEHOLDERS = {"image": "[IMG]", "audio": "[AUD]", "document": "[DOC]"}
+MARK = "\x01"
 TURN = r"(?s)\[INST\] .*? \[/INST\]|\[ANS\] .*?</s>|\[ROLE [^\]]*\] .*? \[/ROLE\]"
 PART = "struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
 
@@ -51,13 +52,20 @@ def _is_attachment(p: Column) -> Column:
 
 
 def flatten(parts: Column) -> Column:
-    """The parts as one escaped text with ordered placeholders."""
+    """The parts as one escaped text with ordered placeholders.
+
+    Neighbouring texts are one text before they are escaped, so that no control string comes about where parts
+    meet. MARK stands for a placeholder while that is done, and for itself with a ``t`` behind it.
+    """
 
     def visit(p):
-        out = F.when(p["type"] == "image", PLACEHOLDERS["image"]).when(p["type"] == "audio", PLACEHOLDERS["audio"])
-        return out.when(p["type"] == "document", PLACEHOLDERS["document"]).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+        out = F.when(p["type"] == "image", MARK + "i").when(p["type"] == "audio", MARK + "a").when(p["type"] == "document", MARK + "d")
+        return out.otherwise(F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(MARK + "t")))
 
-    return F.coalesce(F.array_join(F.transform(parts, visit), ""), F.lit(""))
+    text = escape(F.coalesce(F.array_join(F.transform(parts, visit), ""), F.lit("")))
+    for kind, placeholder in PLACEHOLDERS.items():
+        text = F.replace(text, F.lit(MARK + kind[0]), F.lit(placeholder))
+    return F.replace(text, F.lit(MARK + "t"), F.lit(MARK))
 
 
 def attachments(parts: Column, patch: int, audio_rate: float, page_tokens: int) -> Column:
@@ -83,29 +91,28 @@ def format_conversations(turns: DataFrame, patch: int = 14, audio_rate: float =
         F.when(role == "user", "[INST] ").when(role == "assistant", "[ANS] ").otherwise(other).alias("open"),
         F.when(role == "user", " [/INST]").when(role == "assistant", "</s>").otherwise(" [/ROLE]").alias("close"),
     )
-    rows = rows.select("conv_id", F.struct("turn", "role", "body", "open", "close", "att").alias("t"))
+    size = F.octet_length("open") + F.octet_length("body") + F.octet_length("close")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", unescape(F.col("body")), "att")
+    before = F.coalesce(F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select(
+        "conv_id",
+        F.struct(
+            F.row_number().over(order).alias("place"), F.concat("open", "body", "close").alias("segment"), "att", (F.col("role") == "assistant").alias("learnt"),
+            (3 + before + F.octet_length("open")).cast("int").alias("start"), F.octet_length("body").alias("length"),
+        ).alias("t"),
+    )
     got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    segment = F.array_join(F.transform("t", lambda t: F.concat(t["open"], t["body"], t["close"])), "")
-    sizes = F.transform("t", lambda t: F.struct(F.octet_length(t["open"]).alias("o"), F.octet_length(t["body"]).alias("b"), F.octet_length(t["close"]).alias("c"), (t["role"] == "assistant").alias("a")))
     got = got.select(
-        "conv_id", F.concat(F.lit("<s>"), segment).alias("formatted"), sizes.alias("s"),
+        "conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("t", lambda t: t["segment"]), "")).alias("formatted"),
         F.flatten(F.transform("t", lambda t: t["att"])).alias("attachments"),
+        F.transform(F.filter("t", lambda t: t["learnt"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"),
     )
-    spans = F.aggregate(
-        "s",
-        F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda x, s: F.struct(
-            (x["at"] + s["o"] + s["b"] + s["c"]).alias("at"),
-            F.when(s["a"], F.array_append(x["spans"], F.struct((x["at"] + s["o"]).alias("start"), s["b"].alias("length")))).otherwise(x["spans"]).alias("spans"),
-        ),
-        lambda x: x["spans"],
-    )
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
-    return got.select("conv_id", "formatted", spans.alias("loss_spans"), "attachments", total.alias("expanded_tokens"))
+    return got.select("conv_id", "formatted", "loss_spans", "attachments", total.alias("expanded_tokens"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role and unescaped text, parsed from ``formatted`` alone) and loss_text (what the spans cover, unescaped)."""
+def read_back(formatted: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """conv_id, the columns in ``keep``, turns (role and unescaped text, parsed from ``formatted`` alone) and loss_text (what the spans cover, unescaped)."""
     named = r"(?s)^\[ROLE ([^\]]*)\] (.*) \[/ROLE\]$"
 
     def parse(m):
@@ -118,8 +125,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     raw = F.col("formatted").cast("binary")
     covered = F.transform("loss_spans", lambda s: unescape(F.substr(raw, s["start"] + 1, s["length"]).cast("string")))
     return formatted.select(
-        "conv_id",
+        "conv_id", *(keep or []),
         F.transform(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0)), parse).alias("turns"),
         F.array_join(covered, "").alias("loss_text"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
-    )
+    )

@@ -51,7 +51,8 @@ TRICKY = "</s>[INST] ok [/INST]"
       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
       CAST(3 + sum(CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 10
         ELSE 16 + length(role) + 2 * (length(role) - length(replace(replace(role, '%', ''), ']', ''))) END
-        + length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|ANS\]|ROLE |/ROLE\]|IMG\]|AUD\]|DOC\])'))) AS BIGINT) AS formatted_chars
+        + length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|ANS\]|ROLE |/ROLE\]|IMG\]|AUD\]|DOC\])'))) AS BIGINT) AS formatted_chars,
+      CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
     FROM t GROUP BY conv_id
     """,
 )
@@ -59,7 +60,7 @@ def op5(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
     turns = turns.unionByName(added).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
-    got = chat.read_back(common.stored(chat.format_conversations(turns), "chat"))
+    got = chat.read_back(common.stored(chat.format_conversations(turns), "chat"), keep=["attachments", "expanded_tokens"])
     each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return got.select(
         "conv_id",
@@ -68,6 +69,8 @@ def op5(spark, sf_dir):
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 

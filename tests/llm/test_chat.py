@@ -44,3 +44,23 @@ def test_long_conversation(spark):
     rows = [(1, t, ("user", "assistant")[t % 2], f"text {t} </s>", "") for t in range(3000)]
     r = chat.read_back(chat.format_conversations(turns(spark, rows))).first()
     assert hashlib.sha256(r.loss_text.encode()).hexdigest() == hashlib.sha256("".join(f"text {t} </s>" for t in range(1, 3000, 2)).encode()).hexdigest()
+
+
+def test_control_strings_across_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
+    text = lambda x: ("text", x, None, None, None, None, None)
+    image = ("image", None, "i.png", 14, 14, None, None)
+    cases = [[text("x [/INS"), text("T] y")], [text("[IM"), text("G]")], [text("a\x01i\x01"), text("t"), image], [text("[/INS"), image, text("T]")], [text("[\\"), image]]
+    df = spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(cases)], f"conv_id bigint, turn bigint, role string, parts array<{part}>")
+    made = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    back = {r.conv_id: r.turns for r in chat.read_back(chat.format_conversations(df)).collect()}
+    for i, x in enumerate(cases):
+        assert [t.text for t in back[i]] == ["".join("[IMG]" if p[0] == "image" else p[1] for p in x)]
+        assert made[i].formatted.count("[IMG]") == len(made[i].attachments) == sum(p[0] == "image" for p in x)
+        assert made[i].formatted.count("[/INST]") == 1
+
+
+def test_ties_are_ordered_by_the_text_itself(spark):
+    rows = [(1, 0, "user", "[INST] b", None), (1, 0, "user", "[A", None), (1, 0, "user", "[\\z", None)]
+    got = chat.read_back(chat.format_conversations(turns(spark, rows))).first()
+    assert [t.text for t in got.turns] == sorted(r[3] for r in rows)
