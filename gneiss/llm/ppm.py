@@ -10,10 +10,10 @@ after the shortest context the symbols not yet excluded are equally likely.
 The trie keeps every node, however many there are: it is a table for each order. A gram that was seen
 in training is coded in its longest context, which prices it once for all (``model``). Prices of
 grams that are one in MAX_GRAMS of the corpus or more (so there are no more than MAX_GRAMS of them),
-and counts of the at most MAX_HEAD most frequent words, are broadcast; the other grams and words of a
-document are joined to theirs by a shuffle, so results don't depend on these two numbers. Grams that training didn't see go down the orders by joins with
-the contexts; of these the orders up to LOW, at most 256 ** (LOW + 1) nodes whatever the corpus, are
-broadcast.
+and counts of words that are one in MAX_HEAD of it or more, are broadcast; the other grams and words of
+a document are joined to theirs by a shuffle, so results don't depend on these two numbers. Grams that
+training didn't see go down the orders by joins with the contexts; of these the orders up to LOW, at
+most 256 ** (LOW + 1) nodes whatever the corpus, are broadcast.
 
 Defined results: null text is the end mark alone; a null doc_id has the empty text as its number and
 trains; repeated rows train and are scored each; without training rows every symbol is uniform and
@@ -39,7 +39,6 @@ MARK, SYMBOLS = 255, 256
 LOW, MAX_GRAMS, MAX_HEAD = 2, 1 << 22, 1 << 21
 #: Counted words or grams that a training task holds before it passes them on.
 HELD = 1 << 21
-THRESHOLDS = sorted({*range(1, 9), *(round(1.5**k) for k in range(5, 100))})
 _END = np.uint64(0x243F6A8885A308D3)
 
 
@@ -97,12 +96,6 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return stored(rows.groupBy("is_gram", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def _threshold(table: DataFrame, most: int) -> int:
-    """The least count t such that no more than ``most`` rows of the table have n >= t."""
-    row = table.agg(*[F.coalesce(F.sum((F.col("n") >= t).cast("long")), F.lit(0)) for t in THRESHOLDS]).first()
-    return next(t for t, n in zip(THRESHOLDS, row, strict=True) if n <= most)
-
-
 def _arrays(table: DataFrame, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
     """A bounded (key, value) table as arrays sorted by key."""
     got = table.select("key", value).toArrow()
@@ -235,9 +228,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     vocabulary, grams = (counts.where(x).select("key", "n") for x in ("not is_gram", "is_gram"))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     seen = model(grams)
-    least_word, positions = _threshold(vocabulary, MAX_HEAD), seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent_gram = F.col("n") * MAX_GRAMS >= positions
-    shared = spark.sparkContext.broadcast((_arrays(vocabulary.where(F.col("n") >= least_word)), _arrays(seen.where(frequent_gram), "price")))
+    positions = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent_word, frequent_gram = F.col("n") * MAX_HEAD >= int(total), F.col("n") * MAX_GRAMS >= positions
+    shared = spark.sparkContext.broadcast((_arrays(vocabulary.where(frequent_word)), _arrays(seen.where(frequent_gram), "price")))
     room = total + 0.5 * (distinct + 1)
     unknown = float(np.log10(0.5 / room))
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, tail array<bigint>, score double, grams array<bigint>, times array<bigint>"
@@ -273,7 +266,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 row_id += n_rows
 
     rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "scored")
-    tail = rows.select("row", F.explode("tail").alias("key")).join(vocabulary.where(F.col("n") < least_word), "key")
+    tail = rows.select("row", F.explode("tail").alias("key")).join(vocabulary.where(~frequent_word), "key")
     tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.sum(F.log10((F.col("n") + 0.5) / room)).alias("s"))
     rest = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("key"), F.col("g.times").alias("times"))
     rare = seen.where(~frequent_gram).select("key", "price")
