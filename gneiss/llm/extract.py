@@ -1,17 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. The first pass classifies every block by itself:
-by what element holds it, link density, length and stop-word density. The second pass decides what
-was left ambiguous (short blocks and those of middling density) from the nearest decided
-neighbours on both sides. Blocks that come out good are the text.
+The page is cut into blocks at block-level tags. The first pass judges every block by itself: link
+density, length and stop-word density make it good or bad, or leave it ambiguous if it is short or of
+middling density. The second pass lets ambiguous blocks inherit the label of their nearest decided
+neighbours. Blocks that come out good are the text.
 
-An article or main element settles the matter for the blocks inside it, unless they are mostly
-links or stand in a menu, form, advert, notice, sidebar or comment section; where a page has such
-an element, what lies outside is not text. Pages without one are judged by the densities.
+What element holds a block is a feature of the rules. Menus, forms, adverts, notices, sidebars, comment
+sections and the like are bad by that cue alone, and so is what lies outside the article or main element
+of a page that has one. Inside it, densities and neighbours decide, with a leaning: few stop words make
+a block ambiguous, not bad (it may be in any language); its edges count as good neighbours; and an
+ambiguous block is bad only between two bad neighbours.
 
 Defined results: null or empty html gives an empty text; an unclosed comment, script or excluded
-element reaches to the end of its parent or the page; each row is a page, repeated ones too; only
-page_id, url and html are read, so other columns can have any name; an empty table stays empty.
+element reaches to the end of its parent or the page, an unclosed tag to the end of the page; after
+QUOTE_FAILURES tags whose quotes never close, quotes in tags are no longer minded, so that reading takes
+time in proportion to the page; each row is a page, repeated ones too; only page_id, url and html are
+read, so other columns can have any name; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -49,15 +53,20 @@ STOP = frozenset(
     "der die das und ist von zu den mit nicht ein eine auf für im dem als auch es sich an werden aus er hat dass sie nach bei wird "
     "el los las y del por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre".split()
 )
+#: What can decide a block.
+BY = ("cue", "density", "neighbours")
 #: Lengths in characters, densities as shares.
 SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.5, 0.15, 0.25
 
-_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b(?:{_ATTRS}>|[^>]*>).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS}>|[^>]*>)|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Tags with quotes that don't close before quotes are given up.
+QUOTE_FAILURES = 16
+
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW.split("|")}
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 
@@ -71,18 +80,39 @@ class Block:
     text: str = ""
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role hold one of the words, alone or joined by hyphens or underscores."""
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role hold one of the words, alone or joined by hyphens or underscores. An article's own header is no mark."""
     for value in _MARKS.findall(attributes):
         for word in _WORD.findall(value.lower().replace("_", "-")):
-            if word in MARKED or not MARKED.isdisjoint(word.split("-")):
+            if not MARKED.isdisjoint({word, *word.split("-")} - ({"header"} if inside else set())):
                 return True
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is it an end tag, attributes) of every piece of markup in order; what is no element has no name."""
+    at, failures, last = 0, 0, page.rfind(">")
+    while m := _START.search(page, at):
+        name, attributes, end = (m[3] or "").lower(), "", len(page)
+        if m[1]:
+            closed = _COMMENT_END.search(page, m.end())
+            end = closed.end() if closed else end
+        elif m.end() <= last:
+            quoted = _QUOTED.match(page, m.end()) if name and failures < QUOTE_FAILURES else None
+            failures += bool(name) and quoted is None
+            end = quoted.end() if quoted else page.index(">", m.end()) + 1
+            attributes = page[m.end() : end - 1]
+        if name in _RAW_END and not m[2]:
+            closed = _RAW_END[name].search(page, end)
+            name, end = "", closed.end() if closed else len(page)
+        at = end
+        yield m.start(), end, name, m[2] == "/", attributes
+
+
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks that hold text, in order."""
     stack: list[tuple[str, bool, bool]] = []  # name, outside, inside, of the open nested elements
+    opened: dict[str, int] = {}
     now, links, at = Block(), 0, 0
     heading = False
 
@@ -94,97 +124,102 @@ def blocks(page: str) -> Iterator[Block]:
         top = stack[-1] if stack else ("", False, False)
         return Block(outside=top[1], inside=top[2], heading=heading)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            now.parts.append(page[at : m.start()])
-            now.link_chars += (m.start() - at) * bool(links)
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            continue
+    for start, end, name, is_end, attributes in tags(page):
+        if start > at:
+            now.parts.append(page[at:start])
+            now.link_chars += (start - at) * bool(links)
+        at = end
         if name == "a":
-            links = max(0, links - 1) if m[2] else links + 1
+            links = max(0, links - 1) if is_end else links + 1
         if name not in BLOCK and name not in NESTED:
             continue
         if done := closed():
             yield done
         links = 0 if name in NESTED else links
-        heading = name in HEADING and not m[2]
+        heading = name in HEADING and not is_end
         if name in NESTED:
-            if not m[2]:
+            if not is_end:
                 outside, inside = stack[-1][1:] if stack else (False, False)
-                is_main = name in INSIDE or re.search(r"""role\s*=\s*["']?main\b""", m[4], re.I) is not None
-                apart = name in OUTSIDE and not (name == "header" and inside) or name not in ("body", "html") and not is_main and _marked(m[4])
-                apart = apart or name == "article" and inside and _marked(m[4])
-                if not m[4].rstrip(">").endswith("/"):
+                is_main = name in INSIDE or _MAIN.search(attributes) is not None
+                apart = name in OUTSIDE and not (name == "header" and inside) or name not in ("body", "html") and not is_main and _marked(attributes, inside)
+                apart = apart or name == "article" and inside and _marked(attributes, inside)
+                if not attributes.endswith("/"):
                     stack.append((name, outside or apart, inside or is_main and not (outside or apart)))
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                    opened[name] = opened.get(name, 0) + 1
+            elif opened.get(name):
+                gone = ""
+                while gone != name:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
         now = fresh()
     if at < len(page):
-        tail = page[at:]
-        cut = tail.rfind("<")
-        now.parts.append(tail if cut < 0 or not re.match(r"</?[a-zA-Z!]", tail[cut:]) else tail[:cut])
+        now.parts.append(page[at:])
     if done := closed():
         yield done
 
 
-def classify(block: Block, has_main: bool) -> str:
-    """First pass: good, bad, short or near (middling), from the block alone."""
+def classify(block: Block, has_main: bool) -> tuple[str, str]:
+    """First pass: good, bad, or what is ambiguous (near: middling, short), from the block alone; and whether a cue or the densities say so."""
+    if block.outside or has_main and not block.inside:
+        return "bad", "cue"
     size = len(block.text)
     linked = min(block.link_chars, size) / size
-    if block.outside or has_main and not block.inside:
-        return "bad"
-    if block.inside:
-        return "bad" if linked > LINKED and not block.heading else "good"
-    if linked > LINKED / 2:
-        return "bad"
+    if linked > (LINKED if has_main else LINKED / 2) and not (has_main and block.heading):
+        return "bad", "density"
     if size < SHORT:
-        return "bad" if linked > 0 else "short"
+        return ("bad", "density") if linked > 0 and not has_main else ("short", "")
     tokens = block.text.lower().split()
     density = sum(w.strip(".,;:!?\"'()") in STOP for w in tokens) / len(tokens)
-    if density >= STOP_HIGH:
-        return "good" if size > LONG else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    if density >= STOP_HIGH and size > LONG:
+        return "good", "density"
+    return ("near", "") if density >= STOP_LOW or has_main else ("bad", "density")
 
 
-def main_text(page: str | None) -> str:
-    """Second pass: ambiguous blocks take the label of their nearest decided neighbours."""
-    found = list(blocks(page or ""))
+def labels(found: list[Block]) -> list[tuple[bool, str]]:
+    """For every block whether it is text, and what decided that: cue, density, or neighbours (the second pass)."""
     has_main = any(b.inside and not b.outside for b in found)
-    labels = [classify(b, has_main) for b in found]
-    before, after, last = [], [], "bad"
-    for label in labels:
-        last = label if label in ("good", "bad") else last
-        before.append(last)
-    last = "bad"
-    for label in reversed(labels):
-        last = label if label in ("good", "bad") else last
-        after.append(last)
-    after.reverse()
-    kept = []
-    for block, label, left, right in zip(found, labels, before, after, strict=True):
-        if label == "near":  # middling: one good neighbour is enough
-            label = "good" if "good" in (left, right) or not {"good"} & set(labels) else "bad"
-        elif label == "short":  # short: both, or what follows for a heading
-            label = "good" if left == right == "good" or block.heading and right == "good" else "bad"
-        if label == "good":
-            kept.append(block.text)
-    return " ".join(kept)
+    first = [classify(b, has_main) for b in found]
+    edge = "good" if has_main else "bad"
+    before, after = _nearest(first, edge, has_main), _nearest(first[::-1], edge, has_main)[::-1]
+    none_good = not any(label == "good" for label, _ in first)
+    out = []
+    for block, (label, by), left, right in zip(found, first, before, after, strict=True):
+        if by:
+            out.append((label == "good", by))
+        elif has_main or label == "near":  # one good neighbour is enough
+            out.append(("good" in (left, right) or not has_main and none_good, "neighbours"))
+        else:  # short: both, or what follows for a heading
+            out.append((left == right == "good" or block.heading and right == "good", "neighbours"))
+    return out
+
+
+def _nearest(first: list[tuple[str, str]], edge: str, has_main: bool) -> list[str]:
+    """The label of the nearest decided block at or before each; where a page has a main element, cues don't speak for what is in it."""
+    out, last = [], edge
+    for label, by in first:
+        last = label if by == "density" or by == "cue" and not has_main else last
+        out.append(last)
+    return out
+
+
+def main_text(page: str | None) -> tuple[str, list[int]]:
+    """The text, and how many blocks were decided by cues, by densities and by neighbours."""
+    found = list(blocks(page or ""))
+    decided = labels(found)
+    by = [b for _, b in decided]
+    return " ".join(b.text for b, (good, _) in zip(found, decided, strict=True) if good), [by.count(x) for x in BY]
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text, n_chars, and by_cue, by_density, by_neighbours (how many blocks each decided) of every page."""
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+            done = [main_text(x) for x in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in done], pa.string()), pa.array([len(x) for x, _ in done], pa.int64())]
+            columns += [pa.array([n[k] for _, n in done], pa.int64()) for k in range(len(BY))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", *(f"by_{x}" for x in BY)])
 
     rows = pages.select("page_id", "url", "html")
     kind = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")
+    return rows.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint" + "".join(f", by_{x} bigint" for x in BY))

@@ -446,20 +446,60 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    assert extract.main_text(PAGE) == "Head&line First paragraph of the text. Next line <here>. short Quoted é"
-    assert extract.main_text(None) == extract.main_text("") == extract.main_text("<nav>only a menu") == ""
+    assert extract.main_text(PAGE)[0] == "Head&line First paragraph of the text. Next line <here>. short Quoted é"
+    assert all(extract.main_text(x)[0] == "" for x in (None, "", "<nav>only a menu"))
 
 
 def test_pages_without_an_article():
     good = "<p>" + "It is one of the things that they say is in the book and it was for the best of us all. " * 4 + "</p>"
     page = f"<div id='menu'><a href='a'>One</a> <a href='b'>Two</a></div><h2>The heading</h2>{good}<p>And so on.</p>{good}<p><a href='x'>More</a> links</p><p>xyz</p>"
-    text = extract.main_text(page)
+    text, _ = extract.main_text(page)
     assert text.startswith("The heading It is one") and "And so on." in text and "More" not in text and "One" not in text and "xyz" not in text
 
 
 @pytest.mark.parametrize("broken", ["<p>a <b", "<p title=\"x>y'>z", "<!-- open", "<script>never closed", "<div" * 2000, "<p>&am", "a < b > c", "<article><p>x</article></div></div>y"])
 def test_broken_pages(broken):
-    assert isinstance(extract.main_text(broken), str)
+    assert isinstance(extract.main_text(broken)[0], str)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pages_made_of_known_parts(seed):
+    """Pages put together from article blocks, whose text is noted, and from other parts; nothing is shared with the rules under test."""
+    rng = np.random.default_rng(seed)
+    few, many = "lorem ipsum dolor sit amet consetetur".split(), "the of and to in is that it for was".split()
+    pick = lambda n: " ".join(str(rng.choice(many if rng.random() < 0.4 else few)) for _ in range(n))
+    other = [
+        lambda: f"<nav><ul><li><a href='/'>{pick(2)}</a></li></ul></nav>", lambda: f'<div class="ad">{pick(30)}</div>', lambda: f"<aside><p>{pick(60)}</p></aside>",
+        lambda: f"<form><label>{pick(3)}</label><textarea>{pick(50)}</textarea></form>", lambda: f"<!-- {pick(5)} <p>{pick(5)}</p> -->", lambda: f"<script>if (a < b) '<p>{pick(9)}</p>'</script>",
+        lambda: f"<section id=comments><p>{pick(50)}</p></section>", lambda: f"<div class='cookie-notice'><p>{pick(40)}</p></div>",
+    ]
+    want, body = [], []
+    for _ in range(int(rng.integers(1, 12))):
+        if rng.random() < 0.3:
+            body.append(other[int(rng.integers(len(other)))]())
+        text = pick(int(rng.integers(1, 120)))
+        tag = str(rng.choice(["p", "blockquote", "h2", "li", "div", "pre"]))
+        shown = text.replace(" the ", " <em>the</em> ", 1).replace(" of ", "\n &#111;f\t", 1).replace(" is ", " <a href='x>y'>is</a> ", 1)
+        body.append(f"<{tag} title=\"a > b\">{shown}</{tag}>")
+        want.append(text)
+    head = pick(4)
+    page = f"<html><head><title>{pick(3)}</title></head><body><header><p>{pick(60)}</p></header>{other[0]()}<article><header class='entry-header'><h1>{head}</h1></header>{''.join(body)}</article><p>{pick(80)}</p><footer>{pick(60)}</footer></body></html>"
+    assert extract.main_text(page)[0] == " ".join([head, *want])
+
+
+@pytest.mark.parametrize("piece", ["<p class='", "<a ", "<a \"'>", "<!", "<ul></li>", "<!-- ", "<script>", "</div>", "<p class=\"x"])
+def test_reading_takes_time_in_proportion(piece):
+    import time
+
+    began = time.perf_counter()
+    extract.main_text(piece * (2_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+def test_both_passes_decide_blocks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    row = extract.extract(pages).agg(F.sum("by_density").alias("d"), F.sum("by_neighbours").alias("n"), F.min("by_neighbours").alias("least")).first()
+    assert row.d > 0 and row.n > pages.count() and row.least > 0
 
 
 def test_pages_table(spark):
