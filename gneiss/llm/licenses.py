@@ -1,10 +1,16 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A document is compared as a whole, by paragraph and by line. Text is lower-cased, everything but
-a-z and 0-9 separates words, and a unit is its set of word pairs. A Dice coefficient of at least t
-needs a set size between t/(2-t) and (2-t)/t of the template's; the templates are therefore keyed
-by the sizes that they admit, and a unit meets only those of its own size, by an equality join with
-a table fixed in size. DataFrame functions only; nothing but matched rows is shuffled.
+A document is compared as a whole, by line, and by runs of consecutive paragraphs, so that a licence of
+several paragraphs is found inside a longer text. A run has RUN_WORDS words at most (more than any
+template admits), and its first and last paragraph hold a word pair of some template. Text is
+lower-cased, everything but a-z and 0-9 separates words, and a unit is its set of word pairs. A Dice
+coefficient of at least t needs a set size between t/(2-t) and (2-t)/t of the template's; templates that
+do not admit a unit's size are left out before pairs are compared. Of the templates over the threshold
+those of the highest coefficient count, so that versions and variants of one wording are told apart.
+
+A document without any of the words that ``needed`` gives can't reach the threshold (the pairs of a template that do
+without them are too few), and is left out by one pattern before any pairs are made. DataFrame functions
+only; nothing but matched rows is shuffled.
 
 Defined results: null text has no units; units without a word pair match nothing; of a document's
 units the best one counts for each licence, and equal doc_ids are one document; an empty table
@@ -16,7 +22,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Public licence texts and notices, each without its copyright line.
@@ -45,8 +51,21 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
-#: Least Dice coefficient of a match, in percent.
+_BSD_2 = next(text for name, kind, text in TEMPLATES if (name, kind) == ("BSD-2-Clause", "text"))
+_GPL_3 = next(text for name, kind, text in TEMPLATES if (name, kind) == ("GPL-3.0", "text"))
+# What further public licences add to those above, and more of them.
+_BSD_3_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+TEMPLATES += [
+    ("BSD-3-Clause", "text", _BSD_2.replace("THIS SOFTWARE", _BSD_3_CLAUSE + "THIS SOFTWARE", 1)),
+    ("LGPL-3.0", "text", _GPL_3.replace("This program", "This library").replace("General Public", "Lesser General Public")),
+    ("AGPL-3.0", "text", _GPL_3.replace("General Public", "Affero General Public")),
+    ("GPL-2.0", "text", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("Zlib", "text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "text", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+]
+#: Least Dice coefficient of a match, in percent, and most words in a run of paragraphs.
 LEAST = 80
+RUN_WORDS = max(len(text.split()) for _, _, text in TEMPLATES) * 3 // 2
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -55,35 +74,87 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def templates(spark: SparkSession, least: int = LEAST) -> DataFrame:
-    """One row for each template and admissible unit size."""
+def bounds(n: int, least: int = LEAST) -> tuple[int, int, int]:
+    """The least and most pairs of a unit that can match a template of n pairs, and the least pairs that they share."""
+    low, high = -(-n * least // (200 - least)), n * (200 - least) // least
+    return low, high, -(-least * (n + low) // 200)
+
+
+def needed(least: int = LEAST) -> list[str]:
+    """Words of which every unit over the threshold has one: pairs without them are too few in each template.
+
+    Chosen one by one, the word that most templates still ask for first; common words are not taken.
+    """
+    common = set("the of to and in a is this for by or any be not with you may from that on as an are it all under if at no other 0 1 2 3 4".split())
+    open_ = [[set(pair.split()) for pair in bigrams_of(text)] for _, _, text in TEMPLATES]
+    least_shared, out = [bounds(len(pairs), least)[2] for pairs in open_], []
+    while any(len(pairs) >= n for pairs, n in zip(open_, least_shared, strict=True)):
+        left = [pairs for pairs, n in zip(open_, least_shared, strict=True) if len(pairs) >= n]
+        words = sorted({w for pairs in left for pair in pairs for w in pair} - common)
+        best = max(words, key=lambda w: sum(sum(w in pair for pair in pairs) / len(pairs) for pairs in left))
+        out.append(best)
+        open_ = [[pair for pair in pairs if best not in pair] for pairs in open_]
+    return sorted(out)
+
+
+def templates(least: int = LEAST) -> Column:
+    """The templates as a constant array of structs."""
     rows = []
-    for number, (license_id, kind, text) in enumerate(TEMPLATES):
+    for license_id, _, text in TEMPLATES:
         pairs = bigrams_of(text)
-        low, high = -(-len(pairs) * least // (200 - least)), len(pairs) * (200 - least) // least
-        rows.append({"t_no": number, "license_id": license_id, "t_kind": kind, "t_pairs": pairs, "t_low": low, "t_high": high})
-    schema = "array<struct<t_no:int,license_id:string,t_kind:string,t_pairs:array<string>,t_low:int,t_high:int>>"
-    got = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    return got.withColumn("n_pairs", F.explode(F.sequence("t_low", "t_high")))
+        low, high, shared = bounds(len(pairs), least)
+        rows.append({"license_id": license_id, "pairs": pairs, "low": low, "high": high, "shared": shared})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<license_id:string,pairs:array<string>,low:int,high:int,shared:int>>")
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), "")
+
+
+def _pairs(w: Column) -> Column:
+    made = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) > 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id and the distinct word pairs of the whole text, of each line and of each run of paragraphs, where a match is possible at all."""
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select("doc_id", text.alias("t")).where(F.col("t").rlike(rf"(?<![a-z0-9])(?:{'|'.join(needed(least))})(?![a-z0-9])"))
+    known = F.from_json(F.lit(json.dumps(sorted({pair for _, _, text in TEMPLATES for pair in bigrams_of(text)}))), "array<string>")
+    rows = rows.withColumn("hits", F.array_intersect(_pairs(_words(F.col("t"))), known))
+    rows = rows.where(F.exists(templates(least), lambda t: F.size(F.array_intersect(F.col("hits"), t["pairs"])) >= t["shared"])).drop("hits")
+    paragraph = lambda p: F.struct(_words(p).alias("w"), F.arrays_overlap(_pairs(_words(p)), known).alias("end"))
+    parts = F.filter(F.transform(F.split("t", r"\n\s*\n"), paragraph), lambda p: F.size(p["w"]) > 0)
+    rows = rows.withColumn("p", parts)
+
+    def ends(p, i):
+        """Numbers of words of the runs from paragraph i."""
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+
+        def more(x, q):
+            n = x["n"] + F.size(q["w"])
+            return F.struct(n.alias("n"), F.when(q["end"] & (n <= RUN_WORDS), F.array_append(x["at"], n)).otherwise(x["at"]).alias("at"))
+
+        return F.aggregate(F.slice(p, i, F.lit(RUN_WORDS)), start, more, lambda x: x["at"])
 
+    def run(i):
+        words = F.flatten(F.transform(F.slice("p", i, F.lit(RUN_WORDS)), lambda q: q["w"]))
+        return F.struct(F.slice(words, 1, F.lit(RUN_WORDS)).alias("w"), ends(F.col("p"), i).alias("at"))
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id and the distinct word pairs of the whole text, of each paragraph and of each line."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    parts = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n")))
-    rows = docs.select("doc_id", F.explode(parts).alias("_u"))
-    rows = rows.select("doc_id", F.array_remove(F.split(F.regexp_replace("_u", "[^a-z0-9]+", " "), " "), "").alias("_w"))
-    rows = rows.where(F.size("_w") > 1)
-    pairs = F.zip_with(F.slice("_w", 1, F.size("_w") - 1), F.slice("_w", 2, F.size("_w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return rows.select("doc_id", F.array_distinct(pairs).alias("pairs"))
+    places = F.when(F.size("p") > 0, F.sequence(F.lit(1), F.size("p"))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(F.filter(places, lambda i: F.col("p")[i - 1]["end"]), run)
+    whole = lambda w: F.struct(w.alias("w"), F.array(F.size(w)).alias("at"))
+    lines = F.transform(F.array_distinct(F.split("t", "\n")), lambda x: whole(_words(x)))
+    rows = rows.select("doc_id", F.inline(F.concat(runs, F.array(whole(_words(F.col("t")))), lines)))
+    rows = rows.select("doc_id", "w", F.explode("at").alias("n")).select("doc_id", _pairs(F.slice("w", 1, F.col("n"))).alias("pairs"))
+    return rows.where(F.size("pairs") > 0)
 
 
 def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, license_id, dice_permille (best unit, rounded down) and n_units matched."""
-    sizes = F.size("pairs")
-    rows = units(docs).withColumn("n_pairs", sizes)
-    met = rows.join(F.broadcast(templates(docs.sparkSession, least)), "n_pairs")
-    dice = F.floor(2000 * F.size(F.array_intersect("pairs", "t_pairs")) / (F.col("n_pairs") + F.size("t_pairs")))
-    met = met.select("doc_id", "license_id", "pairs", dice.cast("long").alias("d")).where(F.col("d") >= 10 * least)
-    best = met.groupBy("doc_id", "license_id").agg(F.max("d").alias("dice_permille"), F.count_distinct(F.xxhash64("pairs")).alias("n_units"))
-    return best
+    n = F.size("pairs")
+    admitted = F.filter(templates(least), lambda t: (t["low"] <= n) & (n <= t["high"]))
+    dice = F.transform(admitted, lambda t: F.struct(F.floor(2000 * F.size(F.array_intersect(F.col("pairs"), t["pairs"])) / (n + F.size(t["pairs"]))).cast("long").alias("d"), t["license_id"].alias("license_id")))
+    met = units(docs, least).withColumn("m", dice).withColumn("best", F.array_max(F.transform("m", lambda x: x["d"]))).where(F.col("best") >= 10 * least)
+    met = met.select("doc_id", F.xxhash64("pairs").alias("u"), F.explode(F.array_distinct(F.filter("m", lambda x: x["d"] == F.col("best")))).alias("x"))
+    return met.groupBy("doc_id", F.col("x.license_id").alias("license_id")).agg(F.max("x.d").alias("dice_permille"), F.count_distinct("u").alias("n_units"))

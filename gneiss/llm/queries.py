@@ -150,13 +150,20 @@ def _license_sql() -> str:
     pairs = "list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
     return f"""
     WITH t AS (SELECT license_id, {pairs} AS tp FROM (SELECT license_id, {norm.format("lower(body)")} AS w FROM (VALUES {rows}) v(license_id, body))),
+    known AS (SELECT list_distinct(flatten(list(tp))) AS every FROM t),
     x AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents),
-    u AS (SELECT doc_id, unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\\n\\s*\\n'), string_split(text, chr(10))))) AS u FROM x),
-    w AS (SELECT doc_id, {norm.format("u")} AS w FROM u),
-    p AS (SELECT DISTINCT doc_id, {pairs} AS up FROM w WHERE len(w) > 1),
+    q AS (SELECT DISTINCT doc_id, text, p, {norm.format("p")} AS w FROM (SELECT doc_id, text, unnest(list_distinct(list_concat([text], string_split(text, chr(10))))) AS p FROM x)),
+    a AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_split_to_array(text, '\\n\\s*\\n') AS ps FROM (SELECT DISTINCT doc_id, text FROM x)),
+    b AS (SELECT doc_id, r, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM a),
+    c AS (SELECT doc_id, r, i, {norm.format("p")} AS w FROM b),
+    e AS (SELECT doc_id, r, w, list_has_any({pairs}, every) AS ends, row_number() OVER (PARTITION BY r ORDER BY i) AS i, sum(len(w)) OVER (PARTITION BY r ORDER BY i) AS upto FROM c, known WHERE len(w) > 0),
+    f AS (SELECT s.doc_id, s.r, s.i, z.i AS j FROM e s JOIN e z ON z.r = s.r AND z.i >= s.i AND z.upto - s.upto + len(s.w) <= {licenses.RUN_WORDS} WHERE s.ends AND z.ends),
+    g AS (SELECT f.doc_id, f.r, f.i, f.j, flatten(list(m.w ORDER BY m.i)) AS w FROM f JOIN e m ON m.r = f.r AND m.i BETWEEN f.i AND f.j GROUP BY ALL),
+    p AS (SELECT DISTINCT doc_id, {pairs} AS up FROM (SELECT doc_id, w FROM q UNION ALL SELECT doc_id, w FROM g) WHERE len(w) > 1),
     m AS (SELECT doc_id, license_id, up, (2000 * len(list_intersect(up, tp))) // (len(up) + len(tp)) AS d FROM p JOIN t
-      ON len(up) * 3 >= len(tp) * 2 AND len(tp) * 3 >= len(up) * 2)
-    SELECT doc_id, license_id, CAST(max(d) AS BIGINT) AS dice_permille, count(DISTINCT up) AS n_units FROM m WHERE d >= 800 GROUP BY ALL
+      ON len(up) * 3 >= len(tp) * 2 AND len(tp) * 3 >= len(up) * 2),
+    best AS (SELECT *, max(d) OVER (PARTITION BY doc_id, up) AS top FROM m WHERE d >= 800)
+    SELECT doc_id, license_id, CAST(max(d) AS BIGINT) AS dice_permille, count(DISTINCT up) AS n_units FROM best WHERE d = top GROUP BY ALL
     """
 
 

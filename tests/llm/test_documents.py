@@ -429,12 +429,45 @@ def test_licences(awkward, empty, spark):
     assert licenses.scan(empty).count() == 0 and licenses.scan(awkward).count() == 0
 
 
-def test_size_bounds_admit_every_match(spark):
-    rows = licenses.templates(spark).select("t_no", "n_pairs").groupBy("t_no").agg(F.min("n_pairs").alias("a"), F.max("n_pairs").alias("b")).collect()
-    for r in rows:
-        n = len(licenses.bigrams_of(licenses.TEMPLATES[r.t_no][2]))
+def test_size_bounds_admit_every_match():
+    for _, _, text in licenses.TEMPLATES:
+        n = len(licenses.bigrams_of(text))
         fits = [m for m in range(1, 4 * n) if 2000 * min(m, n) // (m + n) >= 10 * licenses.LEAST]
-        assert (r.a, r.b) == (fits[0], fits[-1])
+        low, high, shared = licenses.bounds(n)
+        assert (low, high) == (fits[0], fits[-1])
+        assert all(2000 * (shared - 1) // (m + n) < 10 * licenses.LEAST for m in fits)
+
+
+def test_units_without_the_needed_words_match_nothing():
+    every = set(licenses.needed())
+    for _, _, text in licenses.TEMPLATES:
+        pairs = licenses.bigrams_of(text)
+        left = [p for p in pairs if every.isdisjoint(p.split())]
+        assert len(left) < licenses.bounds(len(pairs))[2]
+
+
+def paragraphs_of(text):
+    """The published layout: a paragraph for each numbered clause, and for what is written in capitals."""
+    return re.sub(r" (?=\d\. [A-Z]|THE SOFTWARE IS|THIS SOFTWARE IS|The above copyright notice and)", "\n\n", text)
+
+
+def test_licences_of_several_paragraphs_inside_long_texts(spark):
+    rng = np.random.default_rng(6)
+    filler = lambda: "\n\n".join(" ".join(f"w{x}" for x in rng.integers(100_000, size=40)) for _ in range(10))
+    wanted = {i: (name, text) for i, (name, kind, text) in enumerate(licenses.TEMPLATES) if kind == "text"}
+    rows = [(i, filler() + "\n\n" + paragraphs_of(text) + "\n\n" + filler()) for i, (_, text) in wanted.items()]
+    assert sum("\n\n" in paragraphs_of(text) for _, text in wanted.values()) >= 5
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    best = {}
+    for r in got:
+        best.setdefault(r.doc_id, []).append((r.dice_permille, r.license_id))
+    assert {i: max(x) for i, x in best.items()} == {i: (1000, name) for i, (name, _) in wanted.items()}
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    rows = [(i, f"some text here\n{text}\nand more of it") for i, (_, kind, text) in enumerate(licenses.TEMPLATES) if kind == "notice"]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.license_id) for r in got) == [(i, licenses.TEMPLATES[i][0]) for i, _ in rows]
 
 
 # pages
