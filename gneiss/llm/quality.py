@@ -1,10 +1,13 @@
 """Quality rules: robust multivariate outliers per language and source, in DataFrame functions only.
 
 Each document becomes a vector of transformed statistics. For every (lang, source) group a
-minimum-covariance-determinant estimate is found by concentration steps: distances under the
-current estimate are put in fine buckets, sums per bucket give mean and covariance of the h nearest
-rows, and these are the next estimate. Each step is one partially aggregated pass over a thin table
-of statistics; no group is ever gathered. Documents beyond a Mahalanobis cutoff are rejected.
+minimum-covariance-determinant estimate is sought from several starts: all rows, medians with quartile
+ranges, and HASHED samples by a hash of the vector (copies are in one or not together, so that a hot
+group of copies is in few of them). Concentration steps are taken from all starts at once: distances
+under each estimate are put in fine buckets, sums per bucket give mean and covariance of the h nearest
+rows, and these are the next estimate. When determinants fall no more, the start of the least one is
+the group's estimate. Each step is one partially aggregated pass over a thin table of statistics; no
+group is ever gathered. Documents beyond a Mahalanobis cutoff are rejected.
 
 Defined results: null text counts as empty (no words, base_failed); null lang or source form groups
 of their own; an empty table gives an empty table; repeated rows are judged one by one and alike;
@@ -13,7 +16,9 @@ a group of a single row lies at its own centre. Variance floors keep degenerate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +28,12 @@ from .common import SPACE, stored, words
 FLOORS = {"x_len": 0.10, "x_sym": 0.35, "x_dup": 0.15, "x_rep": 0.15}
 #: 0.9999 quantile of chi-square with four degrees of freedom.
 CUTOFF = 23.5127
-#: Share of a group's rows that the estimate must cover, and the concentration steps taken.
-COVER, STEPS = 0.6, 4
+#: Share of a group's rows that the estimate must cover, and the most concentration steps taken.
+COVER, STEPS = 0.6, 10
+#: Hashed starts, and how many rows one of their rows stands for.
+HASHED, ONE_IN = 5, 8
+#: Buckets a unit of a statistic for its quartiles.
+QUARTILE_RESOLUTION = 256
 #: Distance buckets: the square root of the shape of log(1 + d2) at this resolution, and their number.
 RESOLUTION, BUCKETS = 64, 2048
 #: An estimate table of at most so many groups is broadcast.
@@ -83,6 +92,9 @@ def vectors(stats: DataFrame, min_words: int = 50, max_repeat: int = 50) -> Data
     )
 
 
+GROUP = ["g_lang", "g_source"]
+
+
 def _distance(dims: list[str]) -> Column:
     """Squared Mahalanobis distance by forward substitution with the Cholesky columns."""
     solved: list[Column] = []
@@ -94,8 +106,30 @@ def _distance(dims: list[str]) -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
+def consistency(cover: float, dims: int) -> float:
+    """What the covariance of the nearest ``cover`` of normal rows in an even number of dimensions is to be multiplied by."""
+    below = lambda x, k: 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(k // 2))  # noqa: E731  chi-square, k even
+    low, high = 0.0, 100.0
+    for _ in range(100):
+        low, high = ((low + high) / 2, high) if below((low + high) / 2, dims) < cover else (low, (low + high) / 2)
+    return cover / below(low, dims + 2)
+
+
+def _cholesky(est: DataFrame, dims: list[str], floors: list[float]) -> DataFrame:
+    """Per group and start the mean m_i, the Cholesky factor c_i_k of the covariance v_i_k, and the logarithm of its determinant."""
+    for i in range(len(dims)):
+        for k in range(i + 1):
+            rest = F.col(f"v_{i}_{k}")
+            for j in range(k):
+                rest = rest - F.col(f"c_{i}_{j}") * F.col(f"c_{k}_{j}")
+            est = est.withColumn(f"c_{i}_{k}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == k else rest / F.col(f"c_{k}_{k}"))
+    keep = [f"m_{i}" for i in range(len(dims))] + [f"c_{i}_{k}" for i in range(len(dims)) for k in range(i + 1)]
+    log_det = sum((F.log(F.col(f"c_{i}_{i}")) for i in range(1, len(dims))), F.log(F.col("c_0_0")))
+    return est.select(*GROUP, "start", *keep, log_det.alias("log_det"))
+
+
 def _estimate(sums: DataFrame, dims: list[str], floors: list[float], inflate: float) -> DataFrame:
-    """Mean and Cholesky factor per group from its sums."""
+    """The estimate per group and start from its sums."""
     n = F.col("n").cast("double")
     out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / n for i in range(len(dims))})
     out = out.withColumns(
@@ -105,14 +139,23 @@ def _estimate(sums: DataFrame, dims: list[str], floors: list[float], inflate: fl
             for k in range(i + 1)
         }
     )
+    return _cholesky(out, dims, floors)
+
+
+def _quartile_start(rows: DataFrame, dims: list[str], floors: list[float], start: int) -> DataFrame:
+    """Medians and quartile ranges per group, by counts of fine buckets."""
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * QUARTILE_RESOLUTION).alias("b")) for i, x in enumerate(dims)])).alias("x")
+    counts = rows.select(*GROUP, one).groupBy(*GROUP, "x.i", "x.b").agg(F.count(F.lit(1)).alias("n"))
+    each = Window.partitionBy(*GROUP, "i")
+    counts = counts.withColumns({"upto": F.sum("n").over(each.orderBy("b")), "every": F.sum("n").over(each)})
+    at = lambda share, i: F.min(F.when((F.col("i") == i) & (F.col("upto") >= share * F.col("every")), F.col("b") + 0.5)) / QUARTILE_RESOLUTION
+    found = counts.groupBy(*GROUP).agg(*[at(q / 4, i).alias(f"q{q}_{i}") for i in range(len(dims)) for q in (1, 2, 3)])
+    made = {f"m_{i}": F.col(f"q2_{i}") for i in range(len(dims))}
     for i in range(len(dims)):
         for k in range(i + 1):
-            rest = F.col(f"v_{i}_{k}")
-            for j in range(k):
-                rest = rest - F.col(f"c_{i}_{j}") * F.col(f"c_{k}_{j}")
-            out = out.withColumn(f"c_{i}_{k}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 4))) if i == k else rest / F.col(f"c_{k}_{k}"))
-    keep = [f"m_{i}" for i in range(len(dims))] + [f"c_{i}_{k}" for i in range(len(dims)) for k in range(i + 1)]
-    return out.select("g_lang", "g_source", *keep)
+            # a normal variable's quartiles are 1.349 deviations apart
+            made[f"v_{i}_{k}"] = F.pow((F.col(f"q3_{i}") - F.col(f"q1_{i}")) / 1.349, 2) + floors[i] ** 2 if i == k else F.lit(0.0)
+    return _cholesky(found.withColumns(made).withColumn("start", F.lit(start)), dims, floors)
 
 
 def _small(est: DataFrame) -> DataFrame:
@@ -121,22 +164,30 @@ def _small(est: DataFrame) -> DataFrame:
 
 
 def fit(vectored: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFrame:
-    """One MCD estimate (mean, Cholesky factor) per group of the rows that pass the base rules."""
+    """One MCD estimate (mean, Cholesky factor, log_det) per group of the rows that pass the base rules."""
     dims, floors = list(FLOORS), list(FLOORS.values())
     pairs = [(i, k) for i in range(len(dims)) for k in range(i + 1)]
-    rows = vectored.where(~F.col("base_failed")).select("g_lang", "g_source", *dims)
+    rows = vectored.where(~F.col("base_failed")).select(*GROUP, *dims)
     names = [f"s_{i}" for i in range(len(dims))] + [f"q_{i}_{k}" for i, k in pairs]
     sums = [F.sum(x).alias(f"s_{i}") for i, x in enumerate(dims)]
     sums += [F.sum(F.col(dims[i]) * F.col(dims[k])).alias(f"q_{i}_{k}") for i, k in pairs]
-    est = _estimate(rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"), *sums), dims, floors, 1.0)
+    sampled = F.filter(F.sequence(F.lit(1), F.lit(HASHED)), lambda seed: F.pmod(F.xxhash64(*dims, seed), F.lit(ONE_IN)) == 0)
+    starts = rows.withColumn("start", F.explode(F.concat(F.array(F.lit(0)), sampled)))
+    est = _estimate(starts.groupBy(*GROUP, "start").agg(F.count(F.lit(1)).alias("n"), *sums), dims, floors, 1.0)
+    est, inflate, before = est.unionByName(_quartile_start(rows, dims, floors, HASHED + 1)), consistency(cover, len(dims)), None
     for _ in range(steps):
-        near = rows.join(_small(est.checkpoint()), ["g_lang", "g_source"]).withColumn("b", F.least(F.floor(F.log1p(_distance(dims)) * RESOLUTION), F.lit(BUCKETS - 1)))
-        by = near.groupBy("g_lang", "g_source", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
-        group = "g_lang, g_source"
-        by = by.withColumns({"below": F.expr(f"sum(n) OVER (PARTITION BY {group} ORDER BY b) - n"), "all": F.expr(f"sum(n) OVER (PARTITION BY {group})")})
-        core = by.where(F.col("below") < cover * F.col("all")).groupBy("g_lang", "g_source").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
-        est = _estimate(core, dims, floors, 1.0 / cover)
-    return est.checkpoint()
+        near = rows.join(_small(est.checkpoint()), GROUP).withColumn("b", F.least(F.floor(F.log1p(_distance(dims)) * RESOLUTION), F.lit(BUCKETS - 1)))
+        by = near.groupBy(*GROUP, "start", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
+        each = Window.partitionBy(*GROUP, "start")
+        by = by.withColumns({"below": F.sum("n").over(each.orderBy("b")) - F.col("n"), "all": F.sum("n").over(each)})
+        core = by.where(F.col("below") < cover * F.col("all")).groupBy(*GROUP, "start").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+        est = _estimate(core, dims, floors, inflate).checkpoint()
+        least = est.groupBy(*GROUP).agg(F.min("log_det").alias("d")).agg(F.sum("d")).first()[0]
+        if least is None or before is not None and abs(before - least) < 1e-9:
+            break
+        before = least
+    first = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_det", "start"))
+    return est.withColumn("place", first).where("place = 1").drop("place", "start").checkpoint()
 
 
 def _grouped(df: DataFrame) -> DataFrame:
@@ -158,3 +209,11 @@ def quality_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     table = stored(out.select(*keep, *[c for c in made if c not in keep], "g_lang", "g_source", *FLOORS), "quality")
     return judge(table, fit(table)).drop("g_lang", "g_source", *FLOORS)
+
+
+def without_poor(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others).alias("row"), "text", F.col("lang").alias("lang"), F.col("source").alias("source"))
+    kept = quality_rules(packed, keep=["row", "text"]).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
