@@ -16,7 +16,7 @@ from gneiss.llm import common, decontaminate, neardup, packing, quality, substri
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.quality_rules(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    return quality.without_poor(docs)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
