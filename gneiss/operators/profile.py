@@ -1,7 +1,9 @@
 """Column profiling: a fixed number of jobs per table however many columns it has.
 
-One aggregation gives the statistics of all columns; distributions of all eligible columns come
-from one unpivoted grouping each. Results are long tables, one row per column (and value, bin, day).
+One aggregation gives the simple statistics of all columns, one grouping by column and value all distinct
+counts, and a few bucket passes all medians; distributions of all eligible columns come from one
+unpivoted grouping each. No task holds all values of a column. Results are long tables, one row per
+column (and value, bin, day).
 """
 
 from __future__ import annotations
@@ -67,54 +69,99 @@ def date_key_day(c: Column) -> Column:
     return F.when(F.length(text) == 8, F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
 
 
-def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False, bounded: bool = False) -> DataFrame:
-    """One row per column with STATS, from a single aggregation over a single scan.
+def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
+    """One row per column with STATS, in the order of the columns.
 
-    Distinct counts and medians are exact by default, the latter from all distinct values in one
-    aggregation. ``bounded`` finds the same medians in a few passes of fixed memory, for very large
-    tables; ``approximate`` takes HyperLogLog and percentile sketches for both.
+    Distinct counts and medians are exact by default; ``approximate`` takes HyperLogLog and percentile
+    sketches for both, in the same single scan as the rest.
     """
     kinds = columns_of(df, columns)
-    medians = exact_medians(df, [c for c, k in kinds.items() if k == "numeric"]) if bounded else {}
-    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    spark, number, text = df.sparkSession, F.lit(None).cast("double"), F.lit(None).cast("string")
     whole = F.lit(None).cast("bigint")
     rows = []
-    for name, kind in kinds.items():
+    for place, (name, kind) in enumerate(kinds.items()):
         c = quoted(name)
-        count, filled = F.count(F.lit(1)), F.count(c)
-        groupable = not isinstance(df.schema[name].dataType, (T.MapType, T.VariantType))
-        distinct = (F.approx_count_distinct(c) if approximate else F.count_distinct(c)) if groupable else whole
         numeric = kind == "numeric"
         x = c.cast("double")
         day = {"date": c.cast("date"), "date_key": date_key_day(c)}.get(kind)
-        middle = F.lit(medians[name]).cast("double") if name in medians else F.percentile_approx(x, 0.5, 10_000) if approximate else F.median(x)
-        stats = {
-            "row_count": count, "null_count": count - filled,
-            "null_rate": F.when(count > 0, rounded((count - filled) / count, 4)).otherwise(0.0),
-            "distinct_count": distinct, "distinct_rate": F.when(filled > 0, rounded(distinct / filled, 4)).otherwise(0.0),
-            "is_unique": (distinct == filled) & (filled > 0),
-            "min_num": F.round(F.min(x), 6) if numeric else number, "max_num": F.round(F.max(x), 6) if numeric else number,
-            "mean": rounded(F.avg(x), 6) if numeric else number, "median": rounded(middle, 6) if numeric else number,
-            "stddev": rounded(F.stddev_samp(x), 6) if numeric else number,
+        simple = {
+            "row_count": F.count(F.lit(1)), "filled": F.count(c),
+            "low": F.min(x) if numeric else number, "high": F.max(x) if numeric else number,
+            "mean": rounded(F.avg(x), 6) if numeric else number, "stddev": rounded(F.stddev_samp(x), 6) if numeric else number,
+            "middle": F.percentile_approx(x, 0.5, 10_000) if approximate and numeric else number,
+            "distinct_count": F.approx_count_distinct(c) if approximate and _countable(df, name) else whole,
             "min_len": F.min(F.char_length(c)).cast("bigint") if kind == "string" else whole, "max_len": F.max(F.char_length(c)).cast("bigint") if kind == "string" else whole,
             "avg_len": rounded(F.avg(F.char_length(c)), 6) if kind == "string" else number,
             "min_text": F.date_format(F.min(day), "yyyy-MM-dd") if day is not None else text, "max_text": F.date_format(F.max(day), "yyyy-MM-dd") if day is not None else text,
         }
-        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("category"), *[v.alias(k) for k, v in stats.items()]))
-    return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+        rows.append(F.struct(F.lit(place).alias("place"), F.lit(name).alias("column_name"), F.lit(kind).alias("category"), *[v.alias(k) for k, v in simple.items()]))
+    stats = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    if not approximate:
+        got = stats.drop("middle", "distinct_count").collect()  # one row for each column
+        medians = exact_medians(df, {r.column_name: (r.low, r.high) for r in got if r.low is not None})
+        middles = spark.createDataFrame([(r.column_name, medians.get(r.column_name)) for r in got], "column_name string, middle double")
+        stats = spark.createDataFrame(got, stats.drop("middle", "distinct_count").schema).join(F.broadcast(middles), "column_name")
+        countable = [c for c in kinds if _countable(df, c)]
+        stats = stats.join(F.broadcast(distinct_counts(df, countable)), "column_name", "left")
+        none = F.when(F.col("column_name").isin(*countable), F.lit(0).cast("bigint")) if countable else whole
+        stats = stats.withColumn("distinct_count", F.coalesce("distinct_count", none))
+    count, filled, distinct = F.col("row_count"), F.col("filled"), F.col("distinct_count")
+    return stats.orderBy("place").select(
+        "column_name", "category", "row_count", (count - filled).alias("null_count"),
+        F.when(count > 0, rounded((count - filled) / count, 4)).otherwise(0.0).alias("null_rate"),
+        "distinct_count", F.when(filled > 0, rounded(distinct / filled, 4)).otherwise(0.0).alias("distinct_rate"), ((distinct == filled) & (filled > 0)).alias("is_unique"),
+        F.round("low", 6).alias("min_num"), F.round("high", 6).alias("max_num"), "mean", rounded(F.col("middle"), 6).alias("median"), "stddev",
+        "min_len", "max_len", "avg_len", "min_text", "max_text",
+    )
+
+
+def _countable(df: DataFrame, name: str) -> bool:
+    return not isinstance(df.schema[name].dataType, (T.MapType, T.VariantType))
+
+
+#: Bytes of a text that stands for itself among distinct values; of longer ones a digest does.
+LONGEST_VALUE = 64
+
+
+def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(column_name, distinct_count) of the columns, nulls aside, from one grouping by column and value."""
+    cells, names = [], list(columns)
+    for i, name in enumerate(names):
+        c, kind = quoted(name), df.schema[name].dataType
+        whole, number, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(kind, (T.IntegralType, T.BooleanType)):
+            whole = c.cast("bigint")
+        elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            number = c.cast("double")
+        elif isinstance(kind, T.DateType):
+            whole = F.unix_date(c).cast("bigint")
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            whole = F.unix_micros(c.cast("timestamp"))
+        else:
+            text = c if isinstance(kind, T.StringType) else F.base64(c) if isinstance(kind, T.BinaryType) else F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType)) else c.cast("string")
+            text = F.when(c.isNotNull(), F.when(F.octet_length(text) > LONGEST_VALUE, F.sha2(text, 256)).otherwise(text))
+        cells.append(F.struct(F.lit(i).alias("i"), whole.alias("l"), number.alias("x"), text.alias("s")))
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, distinct_count bigint")
+    values = df.select(F.inline(F.array(*cells))).where("l IS NOT NULL OR x IS NOT NULL OR s IS NOT NULL").groupBy("i", "l", "x", "s").agg(F.lit(1))
+    name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
+    return values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count")).select(name_of.alias("column_name"), "distinct_count")
 
 
-def exact_medians(df: DataFrame, columns: Iterable[str], buckets: int = 4096) -> dict[str, float | None]:
-    """Exact medians of numeric columns in bounded memory, whatever the table's size.
+def exact_medians(df: DataFrame, bounds: dict[str, tuple[float, float]], buckets: int = 4096) -> dict[str, float | None]:
+    """Exact medians of numeric columns, given their bounds, in bounded memory, whatever the table's size.
 
     Every pass counts the values of all open columns in equal buckets between their bounds (with each
     bucket's least and largest value) and narrows a column to the bucket that holds its middle ranks.
     A column is done when these are one value or lie in two buckets; the driver sees buckets only.
+    Values that are no numbers count for nothing.
     """
-    names = list(columns)
+    names = list(bounds)
     value = {c: quoted(c).cast("double") for c in names}
-    first = df.agg(*[f(F.when(~F.isnan(value[c]), value[c])).alias(f"{n}_{i}") for i, c in enumerate(names) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first() if names else None
-    state = {c: (first[f"a_{i}"], first[f"b_{i}"], (first[f"n_{i}"] - 1) // 2, first[f"n_{i}"] // 2) for i, c in enumerate(names) if first[f"n_{i}"]}
+    if any(low != low or high != high for low, high in bounds.values()):
+        found = df.agg(*[f(F.when(~F.isnan(value[c]), value[c])).alias(f"{n}_{i}") for i, c in enumerate(names) for n, f in (("a", F.min), ("b", F.max))]).first()
+        bounds = {c: (found[f"a_{i}"], found[f"b_{i}"]) for i, c in enumerate(names) if found[f"a_{i}"] is not None}
+    state: dict[str, tuple] = {c: (low, high, None, None) for c, (low, high) in bounds.items()}
     done: dict[str, float | None] = dict.fromkeys(names)
     while True:
         done |= {c: low for c, (low, high, _, _) in state.items() if low == high}
@@ -129,6 +176,9 @@ def exact_medians(df: DataFrame, columns: Iterable[str], buckets: int = 4096) ->
         found = sorted(counts.collect(), key=lambda r: (r.c, r.b))
         for c, (_, _, left, right) in list(state.items()):
             below, ends = 0, []
+            if left is None:
+                total = sum(r.n for r in found if r.c == c)
+                left, right = (total - 1) // 2, total // 2
             for r in (r for r in found if r.c == c):
                 ends += [(r, rank - below) for rank in (left, right) if below <= rank < below + r.n]
                 below += r.n
@@ -146,20 +196,50 @@ def unpivoted(df: DataFrame, columns: Iterable[str], value: str = "string") -> D
     return df.select(F.inline(F.array(*cells)))
 
 
-def top_values(df: DataFrame, stats: DataFrame, threshold: int = 50, withheld: Iterable[str] = ()) -> DataFrame:
-    """Value frequencies of the columns of at most ``threshold`` distinct values, never of withheld (personal) ones; ties by value."""
-    rows = stats.where(F.col("category").isin("string", "numeric", "boolean") & F.col("distinct_count").between(1, threshold)).select("column_name").collect()
-    names = [r[0] for r in rows if r[0] not in set(withheld)]
+#: Rows of the first slice that may prove a column to be too varied for top values.
+SLICE = 20_000
+
+
+def few_valued(df: DataFrame, columns: Iterable[str], threshold: int) -> list[str]:
+    """The columns but those of which a slice of the table already shows more than ``threshold`` values: what is left may still have more."""
+    names = list(columns)
+    if not names:
+        return []
+    row = df.select(*[quoted(c) for c in names]).limit(SLICE).agg(*[F.size(F.collect_set(quoted(c).cast("string"))).alias(f"n_{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if row[f"n_{i}"] <= threshold]
+
+
+def top_values(df: DataFrame, stats: DataFrame | None = None, threshold: int = 50, withheld: Iterable[str] = ()) -> DataFrame:
+    """Value frequencies of the columns of at most ``threshold`` distinct values, never of withheld (personal) ones; ties by value.
+
+    Given no ``stats``, the values that are counted anyway show which columns these are.
+    """
+    if stats is None:
+        names = few_valued(df, [c for c, k in columns_of(df).items() if k in ("string", "numeric", "boolean") and c not in set(withheld)], threshold)
+    else:
+        rows = stats.where(F.col("category").isin("string", "numeric", "boolean") & F.col("distinct_count").between(1, threshold)).select("column_name").collect()
+        names = [r[0] for r in rows if r[0] not in set(withheld)]
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, value string, frequency bigint, rank int")
     counts = unpivoted(df, names).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
+    if stats is None:  # the ranks beyond the threshold are few or not even looked at
+        place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("frequency"), "value"))
+        counts = counts.withColumn("rank", place).where(F.col("rank") <= threshold + 1)
+        most = F.max("rank").over(Window.partitionBy("column_name"))
+        return counts.withColumn("most", most).where(F.col("most") <= threshold).drop("most")
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("frequency"), "value")))
 
 
-def histogram(df: DataFrame, stats: DataFrame, bins: int = BINS) -> DataFrame:
-    """Equal-width bins of every numeric column with max > min, empty bins included; bounds are those of ``stats``."""
+def histogram(df: DataFrame, stats: DataFrame | None = None, bins: int = BINS) -> DataFrame:
+    """Equal-width bins of every numeric column with max > min, empty bins included; bounds are those of ``stats`` or the columns' own."""
     spark = df.sparkSession
-    rows = stats.where("category = 'numeric' AND max_num > min_num").select("column_name", "min_num", "max_num").collect()
+    if stats is None:
+        names = [c for c, k in columns_of(df).items() if k == "numeric"]
+        ends = [f(quoted(c).cast("double")) for c in names for f in (F.min, F.max)]
+        found = df.agg(*[F.round(x, 6).alias(f"e_{i}") for i, x in enumerate(ends)]).first() if names else ()
+        rows = [(c, found[2 * i], found[2 * i + 1]) for i, c in enumerate(names) if found[2 * i] is not None and found[2 * i + 1] > found[2 * i]]
+    else:
+        rows = stats.where("category = 'numeric' AND max_num > min_num").select("column_name", "min_num", "max_num").collect()
     if not rows:
         return spark.createDataFrame([], "column_name string, bin int, low double, high double, frequency bigint")
     cells = []
@@ -244,6 +324,16 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place in a total order: ranges are sorted apart, and each begins where those before it end."""
+    rows = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    rows = rows.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn(name, place).drop("_range", "_before")
+
+
 def sorted_table(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """Natural order with nulls last, or exactly reversed."""
     c = quoted(column)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import erd, profile
@@ -45,29 +44,29 @@ for _name in KINDS:
 
 @query("profile_lineitem_bounded", stats_sql("lineitem"))
 def bounded(spark, d):
-    return profile.table_stats(table(spark, d, "lineitem"), bounded=True)
+    return profile.table_stats(table(spark, d, "lineitem"))
 
 
 @query("profile_lineitem_approximate")
 def approximate(spark, d):
-    return profile.table_stats(table(spark, d, "lineitem"), approximate=True).select("column_name", "category", "row_count", "null_count", "min_num", "max_num")
+    return profile.table_stats(table(spark, d, "lineitem"), approximate=True)
 
 
-def _top_sql(name: str, columns: list[str]) -> str:
-    parts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS frequency FROM {name} WHERE {c} IS NOT NULL GROUP BY {c}" for c in columns)
-    return f"SELECT column_name, value, frequency, CAST(row_number() OVER (PARTITION BY column_name ORDER BY frequency DESC, value) AS INT) AS rank FROM ({parts})"
+def _top_sql(name: str, withheld: tuple[str, ...] = ()) -> str:
+    """All columns are counted; those of more than 50 values are left out by the count."""
+    columns = [c for c, k in _columns(name) if k in ("numeric", "string") and c not in withheld]
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS frequency, count(*) OVER () AS n FROM {name} WHERE {c} IS NOT NULL GROUP BY {c}" for c in columns)
+    return f"SELECT column_name, value, frequency, CAST(row_number() OVER (PARTITION BY column_name ORDER BY frequency DESC, value) AS INT) AS rank FROM ({parts}) WHERE n <= 50"
 
 
-@query("top_values_lineitem", _top_sql("lineitem", ["l_linenumber", "l_returnflag", "l_linestatus"]))
+@query("top_values_lineitem", _top_sql("lineitem"))
 def top_lineitem(spark, d):
-    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
-    return profile.top_values(df, profile.table_stats(df))
+    return profile.top_values(table(spark, d, "lineitem"))
 
 
-@query("top_values_part_pii", _top_sql("part", ["p_size", "p_type"]))
+@query("top_values_part_pii", _top_sql("part", ("p_brand",)))
 def top_part(spark, d):
-    df = table(spark, d, "part").drop("p_retailprice")
-    return profile.top_values(df, profile.table_stats(df), withheld=["p_brand"])
+    return profile.top_values(table(spark, d, "part"), withheld=["p_brand"])
 
 
 def _histogram_sql(name: str) -> str:
@@ -80,7 +79,7 @@ def _histogram_sql(name: str) -> str:
 
 
 for _name in ("lineitem", "orders"):
-    query(f"histogram_{_name}", _histogram_sql(_name))(lambda spark, d, n=_name: profile.histogram(df := table(spark, d, n), profile.table_stats(df)))
+    query(f"histogram_{_name}", _histogram_sql(_name))(lambda spark, d, n=_name: profile.histogram(table(spark, d, n)))
 
 
 def _daily_sql(name: str, c: str) -> str:
@@ -97,14 +96,18 @@ def temporal_events(spark, d):
     return profile.temporal(table(spark, d, "events"), ["ts"]).withColumn("day", F.col("day").cast("string"))
 
 
-@query(
-    "temporal_gaps_lineitem",
-    """WITH x AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 7 = 0), y AS (SELECT day, lead(day) OVER (ORDER BY day) AS nxt FROM x)
-    SELECT 'l_shipdate' AS column_name, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS gap_start, strftime(nxt - INTERVAL 1 DAY, '%Y-%m-%d') AS gap_end, CAST(nxt - day - 1 AS BIGINT) AS missing_days FROM y WHERE nxt - day > 1""",
-)
-def gaps(spark, d):
-    found = profile.temporal_gaps(profile.temporal(table(spark, d, "lineitem").where("l_quantity > 49 AND l_suppkey % 7 = 0")))
-    return found.withColumns({c: F.col(c).cast("string") for c in ("gap_start", "gap_end")})
+def _gaps_sql(name: str, c: str) -> str:
+    return f"""WITH x AS (SELECT DISTINCT CAST({c} AS DATE) AS day FROM {name}), y AS (SELECT day, lead(day) OVER (ORDER BY day) AS nxt FROM x)
+    SELECT '{c}' AS column_name, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS gap_start, strftime(nxt - INTERVAL 1 DAY, '%Y-%m-%d') AS gap_end, CAST(nxt - day - 1 AS BIGINT) AS missing_days FROM y WHERE nxt - day > 1"""
+
+
+def _gaps(spark, d, name: str, c: str):
+    found = profile.temporal_gaps(profile.temporal(table(spark, d, name), [c]))
+    return found.withColumns({x: F.col(x).cast("string") for x in ("gap_start", "gap_end")})
+
+
+for _name, _c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts")):
+    query(f"temporal_gaps_{_name}", _gaps_sql(_name, _c))(lambda spark, d, n=_name, c=_c: _gaps(spark, d, n, c))
 
 
 @query(
@@ -124,8 +127,7 @@ def date_key(spark, d):
     min(v) FILTER (upto >= 0.75 * total) AS q3, min_by(n, v) FILTER (upto >= 0.75 * total) AS q3_frequency FROM c GROUP BY column_name""",
 )
 def quantiles(spark, d):
-    df = table(spark, d, "lineitem").select("l_quantity")
-    return profile.discrete_quantiles(profile.top_values(df, profile.table_stats(df)))
+    return profile.discrete_quantiles(profile.top_values(table(spark, d, "lineitem").select("l_quantity")))
 
 
 @query("profile_summary", f"SELECT count(*) AS column_count, max(row_count) AS row_count, CAST(sum(null_count) AS BIGINT) AS null_count, round(sum(null_count) / (max(row_count) * count(*)), 6) AS avg_null_rate FROM ({stats_sql('orders')})")
@@ -171,7 +173,7 @@ def column_search(spark, d):
 @query("natural_sort_part", "SELECT p_name, row_number() OVER (ORDER BY regexp_extract(p_name, '^[^0-9]*'), CAST(coalesce(nullif(regexp_extract(p_name, '[0-9]+'), ''), '0') AS BIGINT), p_name)::INT AS place FROM (SELECT DISTINCT p_name FROM part)")
 def natural_sort(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
-    return names.select("p_name", F.row_number().over(Window.orderBy(profile.natural_key(F.col("p_name")), "p_name")).alias("place"))
+    return profile.numbered(names, [profile.natural_key(F.col("p_name")), F.col("p_name")]).select("p_name", F.col("place").cast("int").alias("place"))
 
 
 @query("fk_orphans", "SELECT o_custkey AS key, count(*) AS rows FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")

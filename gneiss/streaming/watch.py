@@ -1,17 +1,48 @@
-"""Rebuild when artifacts change: a file stream over the target folder with one rebuild per micro-batch."""
+"""Rebuild when artifacts change: a stream of ticks, each of which compares the artifacts with what was seen before.
+
+Artifacts are rewritten under their old names, which a stream over files takes for no news; so path,
+modification time and length are compared with those of the last rebuild, which are kept with the checkpoint.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 ARTIFACTS = ("manifest.json", "catalog.json", "run_results.json", "sources.json")
+SEEN = "path STRING, modificationTime TIMESTAMP, length BIGINT"
+
+
+def artifacts_now(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modificationTime and length of the folder's artifacts; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(ARTIFACTS) + "}").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "modificationTime", "length")
+
+
+def rebuild_if_changed(spark: SparkSession, folder: str, rebuild: Callable[[DataFrame, int], None], checkpoint: str) -> bool:
+    """Calls ``rebuild(new or rewritten artifacts, number of the rebuild)`` if there are any; what it saw is stored after it."""
+    states = f"{checkpoint}/seen"
+    try:
+        seen = spark.read.parquet(states)
+    except AnalysisException:
+        seen = spark.createDataFrame([], SEEN + ", rebuild INT")
+    last = seen.agg(F.max("rebuild")).first()[0]
+    now = spark.createDataFrame(artifacts_now(spark, folder).collect(), SEEN)  # at most a few files
+    fresh = now.join(seen.where(F.col("rebuild") == last), ["path", "modificationTime", "length"], "left_anti")
+    if fresh.isEmpty():
+        return False
+    number = 0 if last is None else last + 1
+    rebuild(fresh, number)
+    now.withColumn("rebuild", F.lit(number)).coalesce(1).write.mode("append").parquet(states)
+    return True
 
 
-def watch(spark: SparkSession, folder: str, rebuild: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Calls ``rebuild(changed files, batch number)`` for new artifacts; every two seconds, or once for all there are."""
-    files = spark.readStream.format("binaryFile").schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY").option("pathGlobFilter", "{" + ",".join(ARTIFACTS) + "}").option("recursiveFileLookup", "true").load(folder)
-    writer = files.select("path", "modificationTime", "length").writeStream.option("checkpointLocation", checkpoint).foreachBatch(rebuild)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+def watch(spark: SparkSession, folder: str, rebuild: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 2.0) -> StreamingQuery:
+    """Looks every two seconds; a failed rebuild is tried again, as nothing was stored."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.option("checkpointLocation", f"{checkpoint}/ticks").foreachBatch(lambda _, n: rebuild_if_changed(spark, folder, rebuild, checkpoint))
+    return writer.trigger(processingTime=f"{seconds} seconds").start()

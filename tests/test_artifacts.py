@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text
 from gneiss.operators import metadata
 from gneiss.sources import artifacts, tables
-from gneiss.streaming.watch import watch
+from gneiss.streaming.watch import rebuild_if_changed, watch
 
 MANIFEST = {
     "nodes": {
@@ -47,11 +48,32 @@ def test_faults_are_told(spark, tmp_path):
         artifacts.load(spark, str(tmp_path))
 
 
-def test_watch_rebuilds_once_per_change(spark, folder, tmp_path_factory):
+def test_rewritten_artifacts_are_seen(spark, folder, tmp_path_factory):
+    seen, state = [], str(tmp_path_factory.mktemp("watch"))
+    look = lambda: rebuild_if_changed(spark, str(folder), lambda df, n: seen.append((n, sorted(r.path.rsplit("/", 1)[1] for r in df.collect()))), state)
+    assert look() and not look()
+    for text in ("{}", '{"a": 1}'):
+        (folder / "catalog.json").write_text(text)
+        assert look() and not look()
+    (folder / "sources.json").write_text("{}")
+    (folder / "notes.txt").write_text("x")
+    assert look()
+    assert seen == [(0, ["catalog.json", "manifest.json", "run_results.json"]), (1, ["catalog.json"]), (2, ["catalog.json"]), (3, ["sources.json"])]
+
+
+def test_watch(spark, folder, tmp_path_factory):
     seen = []
-    for _ in range(2):
-        watch(spark, str(folder), lambda df, n: seen.append(df.count()), str(tmp_path_factory.getbasetemp() / "watch"), once=True).awaitTermination(60)
-    assert sum(seen) == 3
+    query = watch(spark, str(folder), lambda df, n: seen.append(df.count()), str(tmp_path_factory.mktemp("watch")), seconds=0.5)
+    try:
+        for wanted in ([3], [3, 1]):
+            for _ in range(60):
+                if seen == wanted:
+                    break
+                time.sleep(0.5)
+            assert seen == wanted
+            (folder / "manifest.json").write_text(json.dumps(MANIFEST) + "\n" * len(seen))
+    finally:
+        query.stop()
 
 
 def test_tables(spark):
@@ -63,7 +85,33 @@ def test_tables(spark):
     assert json.loads(tables.to_payload(df, "t").first().value) == {"collection": "t", "row": {"A": 1, "b": 2}}
 
 
-def test_templates(spark):
-    raw = "{{ config(materialized='table') }}{# note #}select {{ utils.star() }}, x from {{ ref('pkg', 'a') }} join {{ source('s', 't') }}{% if is_incremental() %} where x{% else %} where y{% endif %}"
-    row = spark.range(1).select(text.strip_templates(F.lit(raw)).alias("a"), text.referenced_models(F.lit(raw)).alias("b"), text.formula_columns(F.lit("sum(case when kind = 'x' then amount else 0 end) / count(id)")).alias("c"), text.bytes_text(F.lit(1536)).alias("d")).first()
-    assert row.a == "select NULL, x from a join s.t where y" and row.b == ["a"] and row.c == ["kind", "amount", "id"] and row.d == "1.5 KB"
+@pytest.mark.parametrize(
+    ("raw", "plain", "models"),
+    [
+        ("{{ config(materialized='table') }}{# note #}select {{ utils.star(ref('z')) }}, x from {{ ref('pkg', 'a') }} join {{ source('s', 't') }}{% if is_incremental() %} where x{% else %} where y{% endif %}", "select *, x from a join s.t where y", ["z", "a"]),
+        ("{% set d = '2020' %}select a from t {% macro m() %}b{% endmacro %} where c = {{ d }} and e = '{{ d }}' and f = '{{ g }}'", "select a from t  where c = '2020' and e = '2020' and f = 'g'", []),
+        ("{% if a %}X{% if b %}Y{% else %}Z{% endif %}{% endif %}", "XZ", []),
+        ("{% if a %}X{% else %}{% if b %}Y{%- else -%}Z{% endif %}{% endif %}", "Z", []),
+        ("{% if a %}1{% elif b %}2{% endif %}3{% for x in y %}4{% else %}5{% endfor %}", "134", []),
+        ("{{ var('x', 'd') }} '{{ var(\"x\", \"d\") }}' {{ var('x', true) }} {{ var('x') }} {{ var('x', 12) }}", "'d' 'd' TRUE NULL 12", []),
+        ("{{ dbt_utils.surrogate_key(['a', 'b']) }} {{ dbt.date_trunc('day', 'c') }} {{ dbt.safe_cast('c', 'int') }} {{ dbt.current_timestamp() }}", "CONCAT(a, b) DATE_TRUNC('day', c) CAST(c AS int) CURRENT_TIMESTAMP", []),
+        ("{{ dbt.datediff('s', 'e', 'day') }} {{ dbt.dateadd('day', -7, 'c') }} {{ type_string() }}", "DATEDIFF('day', s, e) DATEADD('day', -7, c) VARCHAR", []),
+        ("{{ dbt_utils.union_relations(relations=[ref('a'), source('s', 'b')]) }}", "SELECT * FROM a\nUNION ALL\nSELECT * FROM s.b", ["a"]),
+        ("{{ mac('col_a') }} {{ mac('a','b') }} {{ mac(1) }} {{ this }} {{ a + b }} {% set body %}zzz{% endset %}{- b {", "col_a (a AND b) NULL NULL NULL {- b {", []),
+        ("", "", []),
+        (None, None, None),
+    ],
+)
+def test_templates(spark, raw, plain, models):
+    sql = F.lit(raw).cast("string")
+    row = spark.range(1).select(text.strip_templates(sql).alias("a"), text.referenced_models(sql).alias("b")).first()
+    assert (row.a, row.b) == (plain, models)
+
+
+def test_formulas_and_formats(spark):
+    row = spark.range(1).select(
+        text.formula_columns(F.lit("sum(case when kind = 'x' then amount else 0 end) / count(id)")).alias("c"),
+        F.array(*[text.bytes_text(F.lit(n)) for n in (512, 1536, 3 << 30)]).alias("d"), F.array(*[text.number_text(F.lit(n)) for n in (999, 1500, 2_000_000, 3_100_000_000)]).alias("n"),
+        text.percent_text(F.lit(0.1234)).alias("p"), F.array(*[text.duration_text(F.lit(s)) for s in (0.25, 12.34, 125.0)]).alias("t"),
+    ).first()
+    assert row.c == ["kind", "amount", "id"] and row.d == ["512 B", "1.5 KB", "3.0 GB"] and row.n == ["999", "1.5K", "2M", "3.1B"] and row.p == "12.3%" and row.t == ["250ms", "12.3s", "2m 5s"]

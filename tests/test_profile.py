@@ -82,4 +82,39 @@ def test_sorted_table(spark):
 def test_exact_medians(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     want = df.selectExpr("median(x) AS m").first().m
-    assert profile.exact_medians(df, ["x"], buckets=4)["x"] == pytest.approx(want) if want is not None else profile.exact_medians(df, ["x"])["x"] is None
+    bounds = {"x": (min(v for v in values if v is not None), max(v for v in values if v is not None))} if want is not None else {}
+    assert profile.exact_medians(df, bounds, buckets=4).get("x") == (pytest.approx(want) if want is not None else None)
+    assert stats(df)["x"].median == (pytest.approx(want, abs=1e-6) if want is not None else None)
+
+
+def test_not_a_number(spark):
+    got = stats(spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (float("nan"),)], "x double"))["x"]
+    assert (got.median, got.distinct_count) == (1.5, 3)
+
+
+def test_distinct_counts_of_all_kinds(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, 2**60 + i % 3, i % 2 == 0, Decimal(i % 4), day + dt.timedelta(hours=i % 5), "x" * 100 + str(i % 6), bytes([i % 7]), [i % 8], 0.5 * (i % 9), None) for i in range(2520)]
+    df = spark.createDataFrame(rows, "a int, b bigint, c boolean, d decimal(10,2), e timestamp_ntz, f string, g binary, h array<int>, i double, j string")
+    assert {k: v.distinct_count for k, v in stats(df).items()} == {"a": 1, "b": 3, "c": 2, "d": 4, "e": 5, "f": 6, "g": 7, "h": 8, "i": 9, "j": 0}
+
+
+def test_sketches_are_close(spark):
+    df = spark.range(50_000).selectExpr("id", "id % 777 AS k", "CAST(id AS STRING) AS s", "sqrt(id) AS r")
+    exact, near = stats(df), stats(df, approximate=True)
+    for c, e in exact.items():
+        assert abs(near[c].distinct_count - e.distinct_count) <= 0.15 * e.distinct_count
+        assert e.median is None or abs(near[c].median - e.median) <= 0.01 * abs(e.median) + 1
+        assert (near[c].row_count, near[c].min_num, near[c].max_num, near[c].mean) == (e.row_count, e.min_num, e.max_num, e.mean)
+
+
+def test_top_values_without_stats(orders):
+    got = profile.top_values(orders, threshold=5, withheld=["status"])
+    assert {r.column_name for r in got.collect()} == {"customer_id", "is_active"}
+    made = profile.top_values(orders, profile.table_stats(orders), threshold=5, withheld=["status"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.collect()))
+
+
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS x").repartition(9)
+    assert all(r.place == r.x + 1 for r in profile.numbered(df, [df.x]).collect())
