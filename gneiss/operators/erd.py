@@ -53,6 +53,60 @@ def tested_relationships(tests: DataFrame, facts: DataFrame, results: DataFrame)
     )
 
 
+def test_ends(tests: DataFrame, names: DataFrame, columns: DataFrame) -> DataFrame:
+    """Children and parents of relationship tests, ready for ``tested_relationships``, and whether the parent has the column.
+
+    ``tests``: test_id, name, namespace, column_name, kwargs, refs (name, package; parent first), sources (schema and
+    table), severity. The built-in test names the parent's column ``field``, or has a source as parent and the child as
+    last ref; the constraint package's foreign key names it pk_column_name. Tests across packages, of several columns
+    or with ends that ``names`` (name, uid) doesn't hold are left out. ``columns``: (uid, name).
+    """
+    plain = (F.col("name") == "relationships") & F.col("namespace").isNull()
+    constraint = (F.col("name") == "foreign_key") & (F.col("namespace") == "dbt_constraints") & F.col("kwargs.pk_table_name").isNotNull()
+    constraint = constraint & F.col("kwargs.fk_column_names").isNull() & F.col("kwargs.pk_column_names").isNull()
+    by_source = plain & (F.coalesce(F.size("sources"), F.lit(0)) > 0)
+    child = F.when(by_source, F.try_element_at("refs", F.lit(-1))).otherwise(F.get("refs", F.lit(1)))
+    parent = F.get("refs", F.lit(0))
+    rows = tests.where(plain | constraint).select(
+        "test_id", F.col("column_name").alias("child_column"), F.when(plain, F.col("kwargs.field")).otherwise(F.col("kwargs.pk_column_name")).alias("parent_column"), "severity",
+        F.when(by_source, F.get(F.get("sources", F.lit(0)), F.lit(1))).otherwise(parent["name"]).alias("parent_name"), child["name"].alias("child_name"),
+        (child["package"].isNotNull() | ~by_source & parent["package"].isNotNull()).alias("across"),
+    )
+    rows = rows.where("NOT across AND coalesce(child_column, '') <> '' AND coalesce(parent_column, '') <> ''")
+    rows = rows.join(names.toDF("parent_name", "parent"), "parent_name").join(names.toDF("child_name", "child"), "child_name")
+    return _with_parent_column(rows, columns).select("test_id", "child", "child_column", "parent", "parent_column", "severity", "parent_column_exists")
+
+
+def _with_parent_column(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    have = columns.select(F.col("uid").alias("parent"), F.lower("name").alias("_key"), F.lit(True).alias("_has")).distinct()
+    rows = rows.withColumn("_key", F.lower("parent_column")).join(have, ["parent", "_key"], "left")
+    return rows.withColumn("parent_column_exists", F.coalesce("_has", F.lit(False))).drop("_has", "_key")
+
+
+def declared_relationships(columns: DataFrame, names: DataFrame, block: str) -> DataFrame:
+    """Relationships that columns (uid, name, meta, resource_type) of models declare in the list ``relationships`` of a block of their meta.
+
+    An entry needs the texts ``to`` and ``field``; a kind that is none is no kind, severity is warn unless given, and of
+    entries with equal ``to`` and ``field`` the last one holds. A model that isn't known gives a ghost with an empty target.
+    """
+    entry = "struct<to:string,field:string,kind:string,label:string,severity:string>"
+    declared = F.from_json(F.get_json_object("meta", f"$.{block}.relationships"), f"array<{entry}>")
+    rows = columns.where("resource_type = 'model'").select(F.col("uid").alias("source"), F.col("name").alias("source_column"), F.posexplode(declared).alias("position", "e"))
+    rows = rows.where("coalesce(e.to, '') <> '' AND coalesce(e.field, '') <> ''")
+    last = F.row_number().over(Window.partitionBy("source", "source_column", "e.to", "e.field").orderBy(F.desc("position")))
+    rows = rows.withColumn("place", last).where("place = 1").withColumn("to", F.col("e.to")).join(names.toDF("to", "parent"), "to", "left")
+    rows = _with_parent_column(rows.withColumn("parent_column", F.col("e.field")), columns.select("uid", "name"))
+    return rows.select(
+        "source", "source_column", F.coalesce("parent", F.lit("")).alias("target"), F.col("parent_column").alias("target_column"), F.when(F.col("e.kind").isin(*KINDS), F.col("e.kind")).alias("kind"),
+        F.col("e.label").alias("label"), F.lower(F.coalesce("e.severity", F.lit("warn"))).alias("severity"), "position", "parent_column_exists",
+    )
+
+
+def related_only(nodes: DataFrame, relationships: DataFrame) -> DataFrame:
+    """The nodes that stand in a relationship."""
+    return nodes.join(partner_stats(relationships).select(F.col("node").alias("uid")), "uid", "left_semi")
+
+
 def compose(tested: DataFrame, declared: DataFrame) -> DataFrame:
     """Tested and declared (source, source_column, target, target_column, kind, label) relationships as one set with ids.
 

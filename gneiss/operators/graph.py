@@ -13,11 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds of a search that are kept apart.
+MOST_ROUNDS = 8
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """Checkpointed in spark.checkpoint.dir; a temporary folder only in local mode, where all tasks share it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gneiss-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gneiss-"))
     return df.checkpoint()
 
 
@@ -26,15 +33,26 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max
     forward, back = edges.select(F.col("source").alias("a"), F.col("target").alias("b")), edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
     steps = {"downstream": forward, "upstream": back, "both": forward.union(back)}[direction].where("a IS NOT NULL AND b IS NOT NULL").distinct()
     frontier = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    found, depth = frontier, 0
+    rounds, depth = [_cut(frontier)], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        fresh = frontier.join(steps, frontier["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        frontier = _cut(fresh.join(found, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        fresh = rounds[-1].join(steps, rounds[-1]["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
+        for earlier in rounds:  # each round's frontier is written once
+            fresh = fresh.join(earlier, ["seed", "node"], "left_anti")
+        frontier = _cut(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        found = _cut(found.unionByName(frontier))
-    return found
+        rounds.append(frontier)
+        if len(rounds) > MOST_ROUNDS:  # keep the plans of long searches short
+            rounds = [_cut(_all(rounds[:-1])), rounds[-1]]
+    return _all(rounds)
+
+
+def _all(rounds: list[DataFrame]) -> DataFrame:
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def distances(edges: DataFrame, focal: str, direction: str, max_depth: int | None = None) -> DataFrame:
@@ -173,6 +191,84 @@ def select_nodes(nodes: DataFrame, edges: DataFrame, select: str | None, exclude
     return kept if not exclude else kept.join(chosen(exclude), "node", "left_anti")
 
 
+def lineage_subset(nodes: DataFrame, edges: DataFrame, pattern: str, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): what is to be traced for the terms of ``pattern``, between commas or blanks, by globs on name, folder or path.
+
+    A term stands for its nodes and what is upstream of them; ``x+`` for them and what is downstream, ``+x+`` for both.
+    Depth is the least distance from any match.
+    """
+    out = None
+    for term in pattern.replace(",", " ").split():
+        glob = glob_regex(term.strip("+"))
+        hit = F.col("name").rlike(glob)
+        for c in ("folder", "path"):
+            hit = hit | F.coalesce(F.col(c).rlike(glob), F.lit(False))
+        seeds = nodes.where(hit).select("node")
+        ways = ["upstream"] * (not term.endswith("+") or term.startswith("+")) + ["downstream"] * term.endswith("+")
+        for way in ways:
+            got = reach(edges, seeds, way, max_depth).select("node", "depth")
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        return edges.sparkSession.createDataFrame([], "node string, depth int")
+    return out.groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def select_expression(nodes: DataFrame, expression: str) -> DataFrame:
+    """(term, node) of every term of a selection and what it matches; a term without a match has a null node.
+
+    Terms are tag:x, name globs, ids, names, and names whatever their case: of the last three the first that matches.
+    A plus before or after a term is taken as read.
+    """
+    terms = expression.split()
+    if not terms:
+        return nodes.sparkSession.createDataFrame([], "term string, node string")
+    rows = []
+    for raw in terms:
+        term = raw.removeprefix("+").removesuffix("+")
+        if term.startswith("tag:"):
+            hit = F.when(F.array_contains(F.transform("tags", F.lower), term[4:].lower()), 0)
+        elif "*" in term:
+            hit = F.when(F.lower("name").rlike(glob_regex(term.lower())), 0)
+        else:
+            hit = F.when(F.col("node") == term, 0).when(F.col("name") == term, 1).when(F.lower("name") == term.lower(), 2)
+        rows.append(F.struct(F.lit(raw).alias("term"), hit.alias("place")))
+    hits = nodes.select("node", F.inline(F.array(*rows))).where("place IS NOT NULL")
+    best = hits.groupBy("term").agg(F.min("place").alias("place"))
+    asked = nodes.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+    return asked.join(hits.join(F.broadcast(best), ["term", "place"]).select("term", "node"), "term", "left")  # a row for each term is few
+
+
+def combined_trace(*traces: DataFrame) -> DataFrame:
+    """(model, columns): of several traces (model, column) the columns to highlight of every model, sorted."""
+    out = traces[0].select("model", "column")
+    for t in traces[1:]:
+        out = out.unionByName(t.select("model", "column"))
+    return out.groupBy("model").agg(F.array_sort(F.collect_set("column")).alias("columns"))
+
+
+def field_path(lineage: DataFrame, model: str, field: str, max_depth: int = 6) -> DataFrame:
+    """(model, column, depth) of a field's path: one step from the field to its leaves, and from these all the way upstream."""
+    key = lambda m, c: F.concat(F.col(m), F.lit("\x1f"), F.lower(c))
+    real = lineage.where(~F.col("transformation").isin("constant", "untraced", "unknown"))
+    own = real.where((F.col("target_model") == model) & (F.lower("target_column") == field.lower()))
+    leaves = own.select(key("source_model", "source_column").alias("seed")).distinct()
+    rest = real.where(F.col("target_model") != model).select(key("source_model", "source_column").alias("source"), key("target_model", "target_column").alias("target"))
+    above = reach(rest, leaves, "upstream", max_depth).groupBy("node").agg((F.min("depth") + 1).alias("depth"))
+    at = lambda k: F.split_part("node", F.lit("\x1f"), F.lit(k))
+    start = lineage.sparkSession.createDataFrame([(model, field.lower(), 0)], "model string, column string, depth int")
+    return start.unionByName(above.select(at(1).alias("model"), at(2).alias("column"), "depth"))
+
+
+def path_subgraph(edges: DataFrame, path: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(source, target): the edges between models of a path, and those that only the lineage of its columns shows."""
+    models = path.select("model").distinct()
+    kept = edges.join(models.toDF("source"), "source", "left_semi").join(models.toDF("target"), "target", "left_semi").select("source", "target")
+    on = path.select("model", "column").distinct()
+    shown = lineage.select(F.col("source_model"), F.lower("source_column").alias("source_column"), F.col("target_model"), F.lower("target_column").alias("target_column"))
+    shown = shown.join(on.toDF("source_model", "source_column"), ["source_model", "source_column"], "left_semi").join(on.toDF("target_model", "target_column"), ["target_model", "target_column"], "left_semi")
+    return kept.unionByName(shown.select(F.col("source_model").alias("source"), F.col("target_model").alias("target"))).where("source <> target").distinct()
+
+
 def filter_lineage(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """The nodes that ``keep`` holds for, and the edges with both ends among them."""
     kept = nodes.where(F.coalesce(keep, F.lit(False)))

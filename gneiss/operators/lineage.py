@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import formula_columns
 from .graph import reach
 
 #: Seconds that tracing a column may take at worst, and the number of models from which a warning is due.
@@ -81,3 +82,52 @@ def missing_columns(lineage: DataFrame, columns: DataFrame) -> DataFrame:
     """(model, column) that lineage rows name and the models don't have."""
     named = lineage.select(F.col("target_model").alias("model"), F.lower("target_column").alias("column")).union(lineage.where("source_model <> ''").select("source_model", F.lower("source_column"))).distinct()
     return named.join(columns.select("model", F.lower("column").alias("column")), ["model", "column"], "left_anti")
+
+
+# Transformations that lineage knows, and other names for them.
+TRANSFORMATIONS = ("passthrough", "rename", "derived", "aggregated", "constant", "untraced", "unknown", "direct")
+ALIASES = {"renamed": "rename", "cast": "passthrough"}
+
+
+def transformation_name(raw: Column) -> Column:
+    """A transformation as lineage names it; what isn't known is aggregated."""
+    name = F.lower(F.trim(raw))
+    out = F.when(name.isin(*TRANSFORMATIONS), name)
+    for other, known in ALIASES.items():
+        out = out.when(name == other, known)
+    return out.otherwise("aggregated")
+
+
+def migrated(cached: DataFrame) -> DataFrame:
+    """Lineage rows of an older cache: what was direct is passthrough now."""
+    return cached.withColumn("transformation", F.when(F.col("transformation") == "direct", "passthrough").otherwise(F.col("transformation")))
+
+
+def marts_of(fields: DataFrame) -> DataFrame:
+    """(model): the models that fields of exposures name, trimmed."""
+    return fields.select(F.explode("depends_on").alias("d")).select(F.trim("d.model").alias("model")).where("model <> ''").distinct()
+
+
+def field_dependencies(fields: DataFrame, names: DataFrame) -> DataFrame:
+    """(exposure, field, source_model, source_column, transformation, expression) of the fields' own dependencies.
+
+    ``fields``: exposure, field, expression, depends_on (model, column, transformation). ``names``: (name, uid, place);
+    of equal names the one of least place holds. A column may be an expression, which stands for the columns it names.
+    The formula goes with a field's first dependency, or with an aggregated one made for it.
+    """
+    known = names.groupBy("name").agg(F.min_by("uid", F.struct("place", "uid")).alias("source_model"))
+    plain, dotted = r"^[A-Za-z_]\w*$", r"^[A-Za-z_][\w.]*$"
+    column = F.trim("d.column")
+    columns = F.when(column.rlike(plain), F.array(column)).when(column.rlike(dotted), F.array(F.element_at(F.split(column, r"\."), -1))).otherwise(formula_columns(column))
+    rows = fields.select("exposure", "field", F.posexplode("depends_on").alias("i", "d"))
+    rows = rows.select("exposure", "field", "i", F.col("d.model").alias("name"), transformation_name(F.col("d.transformation")).alias("transformation"), F.posexplode(columns).alias("j", "source_column"))
+    rows = rows.join(known, "name")
+    first = F.row_number().over(Window.partitionBy("exposure", "field", "source_model", "source_column").orderBy("i", "j"))
+    rows = rows.withColumn("first", first).where("first = 1")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("exposure", "field").orderBy("i", "j")))
+    formula = fields.select("exposure", "field", F.when(F.trim("expression") != "", F.trim("expression")).alias("expression"))
+    out = formula.join(rows, ["exposure", "field"], "left").where("place IS NOT NULL OR expression IS NOT NULL")
+    return out.select(
+        "exposure", "field", "source_model", "source_column", F.coalesce("transformation", F.lit("aggregated")).alias("transformation"),
+        F.when(F.coalesce("place", F.lit(1)) == 1, F.col("expression")).alias("expression"),
+    )

@@ -159,7 +159,42 @@ def health(covered: DataFrame, complex_models: DataFrame, named: DataFrame, fres
 def ranked(models: DataFrame, missing: Column, downstream: DataFrame, limit: int = 50) -> DataFrame:
     """The models for which ``missing`` holds, by downstream count, then id; ``total`` counts them before the limit."""
     rows = models.where(missing).join(downstream, "uid", "left").withColumn("downstream", F.coalesce("downstream", F.lit(0)))
-    return rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).orderBy(F.desc("downstream"), "uid").limit(limit).select("uid", "downstream", "total")
+    total = models.where(missing).agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(F.desc("downstream"), "uid").limit(limit).crossJoin(F.broadcast(total)).select("uid", "downstream", "total")  # one row
+
+
+def looked_up(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(identifier, uid) for every identifier of ``asked``: an id, else a name, else source_name.name; of several the least id, null without any."""
+    keys = entries.select("uid", F.posexplode(F.array("uid", "name", F.concat_ws(".", "source_name", "name"))).alias("place", "identifier"))
+    best = keys.groupBy("identifier").agg(F.min(F.struct("place", "uid")).alias("best"))
+    return asked.select("identifier").distinct().join(best, "identifier", "left").select("identifier", F.col("best.uid").alias("uid"))
+
+
+def with_freshness(sources: DataFrame, freshness: DataFrame) -> DataFrame:
+    """Sources with status, max_loaded_at and snapshotted_at of their first freshness row (by ``position``), unknown without one."""
+    first = freshness.groupBy("unique_id").agg(*[F.min_by(c, "position").alias(c) for c in ("status", "max_loaded_at", "snapshotted_at")])
+    out = sources.join(first.withColumnRenamed("unique_id", "uid"), "uid", "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
+def declared_questions(models: DataFrame, block: str) -> DataFrame:
+    """(uid, question, test_name) of the questions in a block of the models' meta, trimmed; blank ones go."""
+    entries = F.from_json(F.get_json_object("meta", f"$.{block}.questions"), "array<struct<question:string,test:string>>")
+    rows = models.select("uid", F.posexplode(entries).alias("position", "e")).select("uid", "position", F.trim("e.question").alias("question"), F.trim("e.test").alias("test_name"))
+    return rows.where("coalesce(question, '') <> ''").select("uid", "question", "test_name")
+
+
+def test_sql(tests: DataFrame) -> DataFrame:
+    """(test_id, sql) as run, else as compiled, else as written."""
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    return tests.select("test_id", F.coalesce(filled("run_sql"), filled("compiled_sql"), filled("raw_sql"), F.lit("")).alias("sql"))
+
+
+def explanations(scores: DataFrame) -> DataFrame:
+    """(dimension, score, reading, text) of health scores by dimension: good from 80, fair from 50, else poor."""
+    reading = F.when(F.col("score").isNull(), "unknown").when(F.col("score") >= 80, "good").when(F.col("score") >= 50, "fair").otherwise("poor")
+    said = F.when(F.col("score").isNull(), F.concat(F.col("dimension"), F.lit(": no data"))).otherwise(F.concat(F.col("dimension"), F.lit(" is "), reading, F.lit(" at "), F.format_number("score", 0), F.lit("%")))
+    return scores.select("dimension", "score", reading.alias("reading"), said.alias("text"))
 
 
 def verified_questions(questions: DataFrame, tests: DataFrame, results: DataFrame) -> DataFrame:

@@ -28,8 +28,9 @@ def two_tier(resources: DataFrame, columns: DataFrame, needle: str, few: int = 5
     """(tier, id, name): resources that hit; columns only where fewer than ``few`` resources do."""
     hit = lambda df, tier: df.where(fuzzy_hit(F.col("name"), needle)).select(F.lit(tier).alias("tier"), "id", "name")
     first = hit(resources, 1)
-    out = first if first.limit(few).count() >= few else first.unionByName(hit(columns, 2))
-    return out.orderBy("tier", "name", "id").limit(limit)
+    enough = first.limit(few).agg((F.count(F.lit(1)) >= few).alias("enough"))
+    second = hit(columns, 2).crossJoin(F.broadcast(enough)).where("NOT enough").drop("enough")  # one row
+    return first.unionByName(second).orderBy("tier", "name", "id").limit(limit)
 
 
 def inverted_index(texts: DataFrame) -> DataFrame:
@@ -48,3 +49,26 @@ def list_models(models: DataFrame, pattern: str = "*", folder: str = "", tag: st
     out = models.where(F.col("name").rlike(glob_regex(pattern)) & F.startswith("folder", F.lit(folder)))
     out = out if tag is None else out.where(F.array_contains("tags", tag))
     return out if packages else out.where("not is_package")
+
+
+#: What a hit in a name counts more than one in other texts.
+NAME_BOOST = 2
+
+
+def indexed_search(index: DataFrame, needle: str, limit: int = 20) -> DataFrame:
+    """(id, score) from an index (token, id, tf, is_name): every word of the needle that a token equals (1), begins with (1/2) or nearly is (1/4), by tf and boost."""
+    hits = []
+    for q in needle.lower().split():
+        worth = F.when(F.col("token") == q, 1.0).when(F.startswith("token", F.lit(q)), 0.5).when(F.levenshtein("token", F.lit(q)) <= int(0.2 * len(q)), 0.25)
+        hits.append(F.struct(F.lit(q).alias("q"), worth.alias("worth")))
+    if not hits:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    rows = index.select("id", "tf", "is_name", F.inline(F.array(*hits))).where("worth IS NOT NULL")
+    score = F.sum(F.col("worth") * F.col("tf") * F.when(F.col("is_name"), NAME_BOOST).otherwise(1))
+    return rows.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def refreshed(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index with the rows of changed texts (id, text; null: gone) put in place of their old ones."""
+    kept = index.join(changed.select("id").distinct(), "id", "left_anti")
+    return kept.unionByName(inverted_index(changed.where("text IS NOT NULL")).select(*index.columns))

@@ -52,3 +52,50 @@ def to_payload(df: DataFrame, name: str) -> DataFrame:
 def slim(df: DataFrame, columns: Iterable[str] = ("sql", "raw_code", "compiled_code")) -> DataFrame:
     """SQL texts taken out, their columns kept empty."""
     return df.withColumns({c: F.lit("") for c in columns if c in df.columns})
+
+
+def write_profiles(stats: DataFrame, path: str, table_name: str, key: str) -> None:
+    """Adds a table's profile to the cache under the hash of its schema and size."""
+    stats.withColumns({"table_name": F.lit(table_name), "schema_hash": F.lit(key)}).write.mode("append").parquet(path)
+
+
+def profile_payload(stats: DataFrame, meta: DataFrame) -> DataFrame:
+    """One JSON object: all columns of a profile, and about what rows it is."""
+    columns = stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("columns"))  # a row for each column of a table
+    return columns.crossJoin(meta.select(F.struct(*meta.columns).alias("meta"))).select(F.to_json(F.struct("columns", "meta")).alias("value"))
+
+
+def sample_payload(df: DataFrame, schema: str, name: str, limit: int = 50) -> DataFrame:
+    """One JSON object of a table's first rows by all columns: schema, table, columns, rows, row_count, limit."""
+    order = [f"`{c}`" for c in df.columns]
+    cells = F.array(*[F.col(c).cast("string") for c in order])
+    rows = df.orderBy(*order).limit(limit).agg(F.sort_array(F.collect_list(cells)).alias("rows"))
+    head = [F.lit(schema).alias("schema"), F.lit(name).alias("table"), F.array(*[F.lit(c) for c in df.columns]).alias("columns")]
+    return rows.select(F.to_json(F.struct(*head, "rows", F.size("rows").alias("row_count"), F.lit(limit).alias("limit"))).alias("value"))
+
+
+def read_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, sample): sample payloads of a folder, one file for each model; those that lack a key are left out."""
+    schema = "schema string, table string, columns array<string>, rows array<array<string>>, row_count bigint, `limit` bigint"
+    texts = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("model"), F.from_json("value", schema).alias("sample"))
+    whole = F.lit(True)
+    for key in ("schema", "table", "columns", "rows", "row_count", "limit"):
+        whole = whole & F.col(f"sample.{key}").isNotNull()
+    return texts.where(whole)
+
+
+def selected_by_file(nodes: DataFrame, path: str) -> DataFrame:
+    """The nodes whose names stand in a text file, one on a line; blank lines and comments (#) count for nothing."""
+    names = nodes.sparkSession.read.text(path).select(F.trim("value").alias("name")).where("name <> '' AND NOT startswith(name, '#')").distinct()
+    return nodes.join(names, "name", "left_semi")
+
+
+def read_exposure_fields(spark: SparkSession, path: str) -> DataFrame:
+    """exposure, field, kind, expression, depends_on and components from an exposure sidecar of version 1; raises on any other."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<version:int,exposures:map<string,string>>").alias("x"))
+    row = text.select("x.version", F.col("x.exposures").isNotNull().alias("ok")).first()
+    if row is None or row.version != 1 or not row.ok:
+        raise ValueError(f"{path}: an object of version 1 with exposures is expected")
+    field = "struct<name:string,kind:string,expression:string,depends_on:array<struct<model:string,column:string,transformation:string>>,components:array<string>>"
+    rows = text.select(F.explode("x.exposures").alias("exposure", "v")).select("exposure", F.explode(F.from_json(F.get_json_object("v", "$.fields"), f"array<{field}>")).alias("f"))
+    return rows.select("exposure", F.col("f.name").alias("field"), F.coalesce("f.kind", F.lit("measure")).alias("kind"), "f.expression", "f.depends_on", "f.components")

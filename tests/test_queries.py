@@ -5,7 +5,7 @@ import pathlib
 import duckdb
 import pytest
 
-from gneiss.plans import analytics, lineage, metadata, profiling, registry  # noqa: F401
+from gneiss.plans import analytics, catalogue, lineage, metadata, profiling, registry  # noqa: F401
 
 SMALL = pathlib.Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
