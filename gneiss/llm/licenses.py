@@ -116,16 +116,20 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once for each row, however often it is used; a plain projection would be copied into its uses."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id and the distinct word pairs of the whole text, of each line and of each run of paragraphs, where a match is possible at all."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select("doc_id", text.alias("t")).where(F.col("t").rlike(rf"(?<![a-z0-9])(?:{'|'.join(needed(least))})(?![a-z0-9])"))
     known = F.from_json(F.lit(json.dumps(sorted({pair for _, _, text in TEMPLATES for pair in bigrams_of(text)}))), "array<string>")
-    rows = rows.withColumn("hits", F.array_intersect(_pairs(_words(F.col("t"))), known))
+    rows = _settled(_settled(rows, "own", _words(F.col("t"))), "hits", F.array_intersect(_pairs(F.col("own")), known))
     rows = rows.where(F.exists(templates(least), lambda t: F.size(F.array_intersect(F.col("hits"), t["pairs"])) >= t["shared"])).drop("hits")
-    paragraph = lambda p: F.struct(_words(p).alias("w"), F.arrays_overlap(_pairs(_words(p)), known).alias("end"))
-    parts = F.filter(F.transform(F.split("t", r"\n\s*\n"), paragraph), lambda p: F.size(p["w"]) > 0)
-    rows = rows.withColumn("p", parts)
+    rows = _settled(rows, "pw", F.filter(F.transform(F.split("t", r"\n\s*\n"), _words), lambda w: F.size(w) > 0))
+    rows = _settled(rows, "p", F.transform("pw", lambda w: F.struct(w.alias("w"), F.arrays_overlap(_pairs(w), known).alias("end")))).drop("pw")
 
     def ends(p, i):
         """Numbers of words of the runs from paragraph i."""
@@ -144,10 +148,10 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
     places = F.when(F.size("p") > 0, F.sequence(F.lit(1), F.size("p"))).otherwise(F.array().cast("array<int>"))
     runs = F.transform(F.filter(places, lambda i: F.col("p")[i - 1]["end"]), run)
     whole = lambda w: F.struct(w.alias("w"), F.array(F.size(w)).alias("at"))
-    lines = F.transform(F.array_distinct(F.split("t", "\n")), lambda x: whole(_words(x)))
-    rows = rows.select("doc_id", F.inline(F.concat(runs, F.array(whole(_words(F.col("t")))), lines)))
-    rows = rows.select("doc_id", "w", F.explode("at").alias("n")).select("doc_id", _pairs(F.slice("w", 1, F.col("n"))).alias("pairs"))
-    return rows.where(F.size("pairs") > 0)
+    lines = F.transform(F.transform(F.array_distinct(F.split("t", "\n")), _words), whole)
+    rows = rows.select("doc_id", F.inline(F.concat(runs, F.array(whole(F.col("own"))), lines)))
+    rows = rows.select("doc_id", "w", F.explode("at").alias("n")).select("doc_id", F.slice("w", 1, F.col("n")).alias("w"))
+    return _settled(rows.where(F.size("w") > 1), "pairs", _pairs(F.col("w"))).drop("w")
 
 
 def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -155,6 +159,6 @@ def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     n = F.size("pairs")
     admitted = F.filter(templates(least), lambda t: (t["low"] <= n) & (n <= t["high"]))
     dice = F.transform(admitted, lambda t: F.struct(F.floor(2000 * F.size(F.array_intersect(F.col("pairs"), t["pairs"])) / (n + F.size(t["pairs"]))).cast("long").alias("d"), t["license_id"].alias("license_id")))
-    met = units(docs, least).withColumn("m", dice).withColumn("best", F.array_max(F.transform("m", lambda x: x["d"]))).where(F.col("best") >= 10 * least)
+    met = _settled(_settled(units(docs, least), "m", dice), "best", F.array_max(F.transform("m", lambda x: x["d"]))).where(F.col("best") >= 10 * least)
     met = met.select("doc_id", F.xxhash64("pairs").alias("u"), F.explode(F.array_distinct(F.filter("m", lambda x: x["d"] == F.col("best")))).alias("x"))
     return met.groupBy("doc_id", F.col("x.license_id").alias("license_id")).agg(F.max("x.d").alias("dice_permille"), F.count_distinct("u").alias("n_units"))
