@@ -55,7 +55,8 @@ def bucketed(docs: DataFrame, columns: list[str]) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # Spark allows no more; buckets are larger then
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)), most)
     name = f"gneiss_texts_{uuid.uuid4().hex}"
     place = F.dense_rank().over(Window.partitionBy("_key").orderBy(text_key("_text")))
     rows = rows.withColumn("_key", F.coalesce("_id", text_key("_text"))).repartition(buckets, "_key").withColumn("_nth", (place - 1).cast("int"))
