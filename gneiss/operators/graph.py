@@ -129,6 +129,7 @@ def folder_nodes(nodes: DataFrame) -> DataFrame:
 
 #: Ranks of the default layers, and the ordered default rules (kind, pattern, layer).
 LAYERS = {"source": 0, "staging": 1, "intermediate": 2, "mart": 3, "exposure": 4}
+# Which layer a folder, prefix or suffix of a name stands for.
 LAYER_RULES = [
     ("folder", "staging", "staging"), ("folder", "prep", "staging"), ("folder", "intermediate", "intermediate"), ("folder", "mart", "mart"),
     ("prefix", "stg_", "staging"), ("prefix", "int_", "intermediate"), ("prefix", "fct_", "mart"), ("prefix", "dim_", "mart"), ("prefix", "fact_", "mart"), ("prefix", "mart_", "mart"),

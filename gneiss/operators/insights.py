@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 # Semantic types by name pattern, first match wins.
 SEMANTIC = [
-    ("identifier", r"^.*_id$|^.*_key$|^id$"), ("timestamp", r"^.*_at$|^.*_date$|^.*_time$|^.*_timestamp$|^created_.*|^updated_.*"), ("boolean", r"^is_.*|^has_.*|^was_.*"),
-    ("amount", r"^.*_(amount|total|price|cost|revenue|fee)$"), ("count", r"^.*_(count|num|qty|quantity)$"), ("percentage", r"^.*_(pct|percent|rate|ratio)$"),
-    ("categorical", r"^.*_(status|state|type|category)$|^status$|^type$"), ("name", r"^.*_(name|title|label)$|^name$"), ("email", r"^.*_email$|^email$"), ("url", r"^.*_(url|uri|link)$"),
-]
+    ("identifier", r".*_id$|.*_key$|^id$"),
+    ("timestamp", r".*_at$|.*_date$|.*_time$|.*_timestamp$|^created_.*|^updated_.*"),
+    ("boolean", r"^is_.*|^has_.*|^was_.*"),
+    ("amount", r".*_amount$|.*_total$|.*_price$|.*_cost$|.*_revenue$|.*_fee$"),
+    ("count", r".*_count$|.*_num$|.*_qty$|.*_quantity$"),
+    ("percentage", r".*_pct$|.*_percent$|.*_rate$|.*_ratio$"),
+    ("categorical", r".*_status$|.*_state$|.*_type$|.*_category$|^status$|^type$"),
+    ("name", r".*_name$|.*_title$|.*_label$|^name$"),
+    ("email", r".*_email$|^email$"),
+    ("url", r".*_url$|.*_uri$|.*_link$"),
+]
 # What supports a role's confidence: tests, usages, semantic types.
 SUPPORT = {
     "primary_key": (("unique", "not_null"), ("join_key",), ("identifier",)), "foreign_key": (("relationships",), ("join_key", "filtered"), ("identifier",)),

@@ -35,6 +35,7 @@ def classify(dtype: T.DataType, name: str) -> str:
 def classify_name(type_name: str, column: str = "") -> str:
     """The category of a warehouse type that is known by name only: exact first, then by what the name contains."""
     base = type_name.split("(")[0].strip().upper()
+    # Names of types by category.
     exact = {
         "numeric": "TINYINT SMALLINT INTEGER INT BIGINT HUGEINT UTINYINT USMALLINT UINTEGER UBIGINT FLOAT DOUBLE REAL DECIMAL NUMERIC NUMBER INT2 INT4 INT8 FLOAT4 FLOAT8",
         "date": "DATE TIMESTAMP TIMESTAMPTZ TIMESTAMP_NTZ TIMESTAMP_LTZ TIMESTAMP_TZ DATETIME",
