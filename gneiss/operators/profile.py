@@ -70,6 +70,12 @@ def date_key_day(c: Column) -> Column:
     return F.when(F.length(text) == 8, F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over all cores if it comes in fewer pieces than there are cores (a file of one row group is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row per column with STATS, in the order of the columns.
 
@@ -77,6 +83,18 @@ def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate
     sketches for both, in the same single scan as the rest.
     """
     kinds = columns_of(df, columns)
+    rows = df.select(*[quoted(c) for c in kinds])
+    pieces = spread(rows)
+    if approximate or pieces is rows:
+        return _table_stats(pieces, kinds, approximate)
+    pieces = pieces.persist()  # few pieces of a table, which several jobs are to read
+    try:
+        return _table_stats(pieces, kinds, approximate)
+    finally:
+        pieces.unpersist()
+
+
+def _table_stats(df: DataFrame, kinds: dict[str, str], approximate: bool) -> DataFrame:
     spark, number, text = df.sparkSession, F.lit(None).cast("double"), F.lit(None).cast("string")
     whole = F.lit(None).cast("bigint")
     rows = []
@@ -89,7 +107,7 @@ def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate
             "row_count": F.count(F.lit(1)), "filled": F.count(c),
             "low": F.min(x) if numeric else number, "high": F.max(x) if numeric else number,
             "mean": rounded(F.avg(x), 6) if numeric else number, "stddev": rounded(F.stddev_samp(x), 6) if numeric else number,
-            "middle": F.percentile_approx(x, 0.5, 10_000) if approximate and numeric else number,
+            "middle": F.percentile_approx(x, 0.5, 1_000) if approximate and numeric else number,
             "distinct_count": F.approx_count_distinct(c) if approximate and _countable(df, name) else whole,
             "min_len": F.min(F.char_length(c)).cast("bigint") if kind == "string" else whole, "max_len": F.max(F.char_length(c)).cast("bigint") if kind == "string" else whole,
             "avg_len": rounded(F.avg(F.char_length(c)), 6) if kind == "string" else number,
@@ -100,12 +118,10 @@ def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate
     if not approximate:
         got = stats.drop("middle", "distinct_count").collect()  # one row for each column
         medians = exact_medians(df, {r.column_name: (r.low, r.high) for r in got if r.low is not None})
-        middles = spark.createDataFrame([(r.column_name, medians.get(r.column_name)) for r in got], "column_name string, middle double")
-        stats = spark.createDataFrame(got, stats.drop("middle", "distinct_count").schema).join(F.broadcast(middles), "column_name")
         countable = [c for c in kinds if _countable(df, c)]
-        stats = stats.join(F.broadcast(distinct_counts(df, countable)), "column_name", "left")
-        none = F.when(F.col("column_name").isin(*countable), F.lit(0).cast("bigint")) if countable else whole
-        stats = stats.withColumn("distinct_count", F.coalesce("distinct_count", none))
+        counted = dict.fromkeys(countable, 0) | {r.column_name: r.distinct_count for r in distinct_counts(df, countable).collect()}
+        rows = [(*r, medians.get(r.column_name), counted.get(r.column_name)) for r in got]
+        stats = spark.createDataFrame(rows, T.StructType([*stats.drop("middle", "distinct_count").schema.fields, *T.StructType.fromDDL("middle double, distinct_count bigint").fields]))
     count, filled, distinct = F.col("row_count"), F.col("filled"), F.col("distinct_count")
     return stats.orderBy("place").select(
         "column_name", "category", "row_count", (count - filled).alias("null_count"),
@@ -170,17 +186,19 @@ def exact_medians(df: DataFrame, bounds: dict[str, tuple[float, float]], buckets
         if not state:
             return done
         cells = []
+        inside, number = F.lit(False), {c: i for i, c in enumerate(state)}
         for c, (low, high, _, _) in state.items():
             place = F.least(F.floor((value[c] - low) / (high - low) * buckets), F.lit(buckets - 1))
-            cells.append(F.struct(F.lit(c).alias("c"), F.when(value[c].between(low, high), place).alias("b"), value[c].alias("x")))
-        counts = df.select(F.inline(F.array(*cells))).where("b IS NOT NULL").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+            cells.append(F.struct(F.lit(number[c]).alias("c"), F.when(value[c].between(low, high), place).cast("int").alias("b"), value[c].alias("x")))
+            inside = inside | value[c].between(low, high)
+        counts = df.where(inside).select(F.inline(F.array(*cells))).where("b IS NOT NULL").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         found = sorted(counts.collect(), key=lambda r: (r.c, r.b))
         for c, (_, _, left, right) in list(state.items()):
             below, ends = 0, []
             if left is None:
-                total = sum(r.n for r in found if r.c == c)
+                total = sum(r.n for r in found if r.c == number[c])
                 left, right = (total - 1) // 2, total // 2
-            for r in (r for r in found if r.c == c):
+            for r in (r for r in found if r.c == number[c]):
                 ends += [(r, rank - below) for rank in (left, right) if below <= rank < below + r.n]
                 below += r.n
             (r1, k1), (r2, k2) = ends

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import text
-from gneiss.operators import metadata
+from gneiss.operators import metadata, profile
 from gneiss.sources import artifacts, tables
 from gneiss.streaming.watch import rebuild_if_changed, watch
 
@@ -85,6 +85,35 @@ def test_tables(spark):
     assert json.loads(tables.to_payload(df, "t").first().value) == {"collection": "t", "row": {"A": 1, "b": 2}}
 
 
+def test_samples_sidecars_and_selection_files(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (3, None)], "id int, name string")
+    made = tables.sample_payload(df, "main", "t", 2).first().value
+    (tmp_path / "good.json").write_text(made)
+    (tmp_path / "bad.json").write_text('{"schema": "main"}')
+    got = tables.read_samples(spark, str(tmp_path)).collect()
+    assert [r.model for r in got] == ["good"] and got[0].sample.rows == [["1", "a"], ["2", "b"]] and got[0].sample.row_count == 2
+    (tmp_path / "names.txt").write_text("a\n\n# no\n  c \n")
+    nodes = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "node string, name string")
+    assert sorted(r.name for r in tables.selected_by_file(nodes, str(tmp_path / "names.txt")).collect()) == ["a", "c"]
+    (tmp_path / "side").write_text(json.dumps({"version": 1, "exposures": {"e": {"fields": [{"name": "m", "expression": "x", "depends_on": [{"model": "a", "column": "b", "transformation": "cast"}]}, {"name": "n", "components": ["m"]}]}}}))
+    rows = {r.field: r for r in tables.read_exposure_fields(spark, str(tmp_path / "side")).collect()}
+    assert rows["m"].kind == "measure" and rows["m"].depends_on[0].model == "a" and rows["n"].components == ["m"]
+    (tmp_path / "old").write_text('{"version": 2, "exposures": {}}')
+    with pytest.raises(ValueError, match="version 1"):
+        tables.read_exposure_fields(spark, str(tmp_path / "old"))
+
+
+def test_profile_cache_and_payload(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    stats, key = profile.table_stats(df), tables.schema_hash(df, 2)
+    tables.write_profiles(stats, str(tmp_path / "cache"), "t", key)
+    wanted = spark.createDataFrame([("t", key), ("u", "x")], "table_name string, schema_hash string")
+    valid, anew = tables.cached_profiles(spark, str(tmp_path / "cache"), wanted)
+    assert valid.count() == 2 and [r.table_name for r in anew.collect()] == ["u"]
+    made = json.loads(tables.profile_payload(stats, profile.profiling_meta(df)).first().value)
+    assert [c["column_name"] for c in made["columns"]] == ["id", "name"] and made["meta"]["total_rows"] == 2
+
+
 @pytest.mark.parametrize(
     ("raw", "plain", "models"),
     [
