@@ -37,9 +37,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max
     while max_depth is None or depth < max_depth:
         depth += 1
         fresh = rounds[-1].join(steps, rounds[-1]["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        for earlier in rounds:  # each round's frontier is written once
-            fresh = fresh.join(earlier, ["seed", "node"], "left_anti")
-        frontier = _cut(fresh.withColumn("depth", F.lit(depth)))
+        frontier = _cut(fresh.join(_all(rounds), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))  # each round's frontier is written once
         if frontier.isEmpty():
             break
         rounds.append(frontier)

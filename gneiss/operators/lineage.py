@@ -131,3 +131,48 @@ def field_dependencies(fields: DataFrame, names: DataFrame) -> DataFrame:
         "exposure", "field", "source_model", "source_column", F.coalesce("transformation", F.lit("aggregated")).alias("transformation"),
         F.when(F.coalesce("place", F.lit(1)) == 1, F.col("expression")).alias("expression"),
     )
+
+
+def join_badge(join_type: Column) -> Column:
+    """INNER for no or a blank type, else the type in capitals, its words joined by hyphens, eight characters at most; null has none."""
+    name = F.upper(F.regexp_replace(F.trim(join_type), r"\s+", "-"))
+    return F.when(name == "", "INNER").otherwise(F.substring(name, 1, 8))
+
+
+def role_badges(pairs: DataFrame, indirect: DataFrame, bases: DataFrame, focus: DataFrame) -> DataFrame:
+    """(model, badge) of the parents of the focused models: how they are joined, or AGG or CTE for those that come in by one alone.
+
+    ``pairs``: model, position, left_model, right_model, join_type. ``indirect``: model, position, parent, kind. ``bases``:
+    (model, base), the parent that stands in FROM, which gets no badge from its child. ``focus``: (model, place). Of several
+    badges the first holds, by place and position, and a direct one before an indirect one.
+    """
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left_model").alias("m")), F.struct(F.lit(1).alias("side"), F.col("right_model").alias("m")))).alias("e")
+    direct = pairs.where("join_type IS NOT NULL").select("model", "position", ends, join_badge(F.col("join_type")).alias("badge")).select("model", "position", "e.side", F.col("e.m").alias("parent"), "badge", F.lit(0).alias("way"))
+    kind = F.when(F.lower(F.coalesce("kind", F.lit("cte"))) == "agg", "AGG").otherwise("CTE")
+    rest = indirect.where("coalesce(parent, '') <> ''").select("model", "position", F.lit(0).alias("side"), "parent", kind.alias("badge"), F.lit(1).alias("way"))
+    rows = direct.unionByName(rest).join(focus, "model").join(bases, "model", "left").where("base IS NULL OR base <> parent")
+    return rows.groupBy(F.col("parent").alias("model")).agg(F.min_by("badge", F.struct("way", "place", "position", "side")).alias("badge"))
+
+
+def visible_endpoints(pairs: DataFrame, visible: DataFrame) -> DataFrame:
+    """(model, column, relationship) of join keys whose two models are both visible; relationships are numbered by first sight, and of several the first holds.
+
+    ``pairs``: position, left_model, left_column, right_model, right_column.
+    """
+    shown = pairs.join(visible.select(F.col("model").alias("left_model")), "left_model", "left_semi").join(visible.select(F.col("model").alias("right_model")), "right_model", "left_semi")
+    shown = shown.withColumns({"a": F.least("left_model", "right_model"), "b": F.greatest("left_model", "right_model")})
+    first = shown.groupBy("a", "b").agg(F.min("position").alias("seen"))
+    ends = F.inline(F.array(F.struct(F.col("left_model").alias("model"), F.col("left_column").alias("column")), F.struct(F.col("right_model").alias("model"), F.col("right_column").alias("column"))))
+    rows = shown.join(first, ["a", "b"]).select("position", "seen", ends)
+    return rows.groupBy("model", "column").agg(F.min_by("seen", "position").alias("relationship"))
+
+
+def cached_lineage(cached: DataFrame, wanted: DataFrame, version: int, dialect: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of a cache that still hold, models to trace anew) for ``wanted`` (uid, sql_hash): same text, same version, same dialect."""
+    valid = cached.where((F.col("version") == version) & (F.col("dialect") == dialect))
+    return migrated(valid.join(wanted, ["uid", "sql_hash"], "left_semi")), wanted.join(valid.select("uid", "sql_hash").distinct(), ["uid", "sql_hash"], "left_anti")
+
+
+def failure_report(failures: DataFrame) -> DataFrame:
+    """(line) of failed models (name, uid, error), by name, the error on one line."""
+    return failures.orderBy("name", "uid").select(F.concat_ws(": ", "name", F.regexp_replace("error", r"\s+", " ")).alias("line"))

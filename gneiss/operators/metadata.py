@@ -202,3 +202,14 @@ def verified_questions(questions: DataFrame, tests: DataFrame, results: DataFram
     rows = questions.join(tests.select("test_name", "test_id").distinct(), "test_name", "left").join(results, "test_id", "left")
     verdict = F.when(F.col("test_id").isNull(), "misconfigured").otherwise(F.coalesce(status_name(F.col("status")), F.lit("not_run")))
     return rows.select("question", "test_name", verdict.alias("verdict"))
+
+
+#: Projects of more models than this are listed without columns.
+MOST_WITH_COLUMNS = 500
+
+
+def compact_sources(sources: DataFrame, columns: DataFrame, model_count: int) -> DataFrame:
+    """(name, description, schema, columns, freshness_status) of sources (uid, source_name, name, ...), the columns (uid, name, pos) in order."""
+    named = columns.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("columns"))
+    out = sources.join(named, "uid", "left") if model_count <= MOST_WITH_COLUMNS else sources.withColumn("columns", F.lit(None).cast("array<string>"))
+    return out.select(F.concat_ws(".", "source_name", "name").alias("name"), F.coalesce("description", F.lit("")).alias("description"), "schema", "columns", "freshness_status")

@@ -272,3 +272,55 @@ def sample_rows(spark, d):
     made = tables.sample_payload(table(spark, d, "nation"), "main", "nation", 50)
     got = made.select(F.from_json("value", "schema string, table string, rows array<array<string>>, row_count int").alias("x"))
     return got.select("x.schema", "x.table", "x.row_count", F.size("x.rows").cast("bigint").alias("rows"))
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Join keys of every part from 4 on with its parent and grandparent."""
+    n, half = nodes(spark, d).where("k >= 4"), F.floor(F.col("k") / 2).cast("string")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("left", "", " Left  semi ", "cross")]), (F.col("k") % 4 + 1).cast("int"))
+    return n.select(
+        F.col("node").alias("model"), F.col("k").alias("position"), F.concat(F.lit("m."), half).alias("left_model"), F.lit("id").alias("left_column"),
+        F.concat(F.lit("m."), F.floor(F.col("k") / 4).cast("string")).alias("right_model"), F.concat(F.lit("k"), (F.col("k") % 2).cast("string")).alias("right_column"), F.when(F.col("k") % 9 != 0, kind).alias("join_type"),
+    )
+
+
+@query(
+    "join_role_badges_parts",
+    """WITH f AS (SELECT p_partkey AS k, 'm.' || (p_partkey // 2) AS l, 'm.' || (p_partkey // 4) AS r, list_extract(['LEFT', 'INNER', 'LEFT-SEM', 'CROSS'], CAST(p_partkey % 4 + 1 AS INT)) AS badge FROM part WHERE p_partkey >= 4),
+    d AS (SELECT l AS model, badge, 0 AS way, k, 0 AS side FROM f WHERE k % 9 <> 0 AND k % 3 = 0 AND k % 2 <> 0 UNION ALL SELECT r, badge, 0, k, 1 FROM f WHERE k % 9 <> 0 AND k % 3 = 0
+      UNION ALL SELECT 'm.' || (k + 1), CASE WHEN k % 2 = 0 THEN 'AGG' ELSE 'CTE' END, 1, k, 0 FROM f WHERE k % 3 = 0)
+    SELECT model, badge FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY way, k, side) AS place FROM d) WHERE place = 1""",
+)
+def join_roles(spark, d):
+    n = nodes(spark, d).where("k >= 4")
+    indirect = n.select(F.col("node").alias("model"), F.col("k").alias("position"), F.concat(F.lit("m."), (F.col("k") + 1).cast("string")).alias("parent"), F.when(F.col("k") % 2 == 0, "Agg").alias("kind"))
+    bases = n.where("k % 2 = 0").select(F.col("node").alias("model"), F.concat(F.lit("m."), F.floor(F.col("k") / 2).cast("string")).alias("base"))
+    return lineage.role_badges(_pairs(spark, d), indirect, bases, n.where("k % 3 = 0").select(F.col("node").alias("model"), F.col("k").alias("place")))
+
+
+@query(
+    "visible_join_endpoints_parts",
+    """WITH f AS (SELECT p_partkey AS k, p_partkey // 2 AS l, p_partkey // 4 AS r FROM part WHERE p_partkey >= 4 AND (p_partkey // 2) % 5 <> 0 AND (p_partkey // 4) % 5 <> 0),
+    g AS (SELECT *, min(k) OVER (PARTITION BY l, r) AS seen FROM f), e AS (SELECT 'm.' || l AS model, 'id' AS "column", k, seen FROM g UNION ALL SELECT 'm.' || r, 'k' || (k % 2), k, seen FROM g)
+    SELECT model, "column", min_by(seen, k) AS relationship FROM e GROUP BY ALL""",
+)
+def endpoints(spark, d):
+    visible = spark.range(0, 1_000_000).where("id % 5 <> 0").select(F.concat(F.lit("m."), "id").alias("model"))
+    return lineage.visible_endpoints(_pairs(spark, d), visible)
+
+
+@query("compact_sources", "SELECT 'raw.' || s_name AS name, '' AS description, 'main' AS schema, 'id,' || s_suppkey AS columns, CASE WHEN s_suppkey % 2 = 0 THEN 'pass' END AS freshness_status FROM supplier")
+def compact_sources(spark, d):
+    s = table(spark, d, "supplier").withColumn("uid", F.col("s_suppkey").cast("string"))
+    sources = s.select("uid", F.lit("raw").alias("source_name"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("description"), F.lit("main").alias("schema"), F.when(F.col("s_suppkey") % 2 == 0, "pass").alias("freshness_status"))
+    columns = s.select("uid", F.col("uid").alias("name"), F.lit(2).alias("pos")).unionByName(s.select("uid", F.lit("id").alias("name"), F.lit(1).alias("pos")))
+    return metadata.compact_sources(sources, columns, 500).withColumn("columns", F.array_join("columns", ","))
+
+
+@query("cached_lineage_parts", "SELECT 'm.' || p_partkey AS uid, CASE WHEN p_partkey % 2 = 0 THEN 'rename' ELSE 'passthrough' END AS transformation, false AS anew FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 5 <> 0 UNION ALL SELECT 'm.' || p_partkey, NULL, true FROM part WHERE NOT (p_partkey % 3 = 1 AND p_partkey % 5 <> 0)")
+def cached_lineage(spark, d):
+    n = nodes(spark, d)
+    cached = n.select(F.col("node").alias("uid"), "k", F.col("name").alias("sql_hash"), F.when(F.col("k") % 3 == 1, 2).otherwise(1).alias("version"), F.lit("duckdb").alias("dialect"), F.when(F.col("k") % 2 == 0, "rename").otherwise("direct").alias("transformation"))
+    wanted = n.select(F.col("node").alias("uid"), F.when(F.col("k") % 5 == 0, "changed").otherwise(F.col("name")).alias("sql_hash"))
+    valid, anew = lineage.cached_lineage(cached, wanted, 2, "duckdb")
+    return valid.select("uid", "transformation", F.lit(False).alias("anew")).unionByName(anew.select("uid", F.lit(None).cast("string").alias("transformation"), F.lit(True).alias("anew")))
