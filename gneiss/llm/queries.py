@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, extract, licenses, neardup, packing, ppm, quality, substring, warc
+from . import chat, common, decontaminate, extract, fim, language, licenses, neardup, packing, ppm, quality, resample, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,3 +175,50 @@ def op2(spark, sf_dir):
 @query("op6_decontamination")
 def op6(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_importance_resampling",
+    r"""
+    WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    x AS (SELECT true AS raw, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT false, NULL, row_number() OVER (), text FROM benchmark),
+    w AS MATERIALIZED (SELECT raw, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+    f AS (SELECT raw, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+    n AS MATERIALIZED (SELECT raw, r, f, count(*) AS n FROM f GROUP BY ALL),
+    b AS MATERIALIZED (SELECT f, xor(list_reduce([4294967295] || list_transform(range(CAST(length(hex(encode(f))) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT)),
+      lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM n), crc),
+    c AS (SELECT b, coalesce(sum(n) FILTER (WHERE raw), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT raw), 0) AS t FROM n JOIN b USING (f) GROUP BY b),
+    g AS (SELECT b, CAST(floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM c),
+    m AS (SELECT r, CAST(sum(n) AS BIGINT) AS k, CAST(sum(n * gain) AS BIGINT) AS total FROM n JOIN b USING (f) JOIN g USING (b) WHERE raw GROUP BY r),
+    y AS (SELECT doc_id, len(w) AS words, coalesce(k, 0) AS n_features, coalesce((total - ((total % k) + k) % k) // k, 0) AS weight,
+      CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (r) WHERE raw),
+    z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM y),
+    e AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place, count(*) OVER (PARTITION BY words >= 20) AS many FROM z)
+    SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * many // 100 THEN place END AS rank FROM e
+    """,
+)
+def op11(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+    h AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, list_transform(range(4), lambda i: CAST('0x' || substr(x, 8 * i + 1, 8) AS BIGINT)) AS h FROM d),
+    c AS (SELECT *, len(t) AS n, h[1] % (len(t) + 1) AS a, h[2] % (len(t) + 1) AS b FROM h),
+    p AS (SELECT *, coalesce(array_to_string(t[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(t[least(a, b) + 1:greatest(a, b)], ''), '') AS m, coalesce(array_to_string(t[greatest(a, b) + 1:], ''), '') AS s,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+    """,
+)
+def op13(spark, sf_dir):
+    got = fim.transform(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op12_language_id")
+def op12(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
