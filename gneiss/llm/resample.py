@@ -7,12 +7,13 @@ from the document's number makes the highest scores a sample without replacement
 
 Scores are whole numbers in a range that no corpus widens, so the ranks need no sort of all documents:
 a histogram of the scores, summed from the top, gives the rank at which each score begins and the score
-at which the draw ends; documents of that score or more are numbered by doc_id within their score, which
-the noise spreads over thousands of scores.
+at which the draw ends; documents of that score or more are numbered by doc_id within their score. The
+noise spreads documents over thousands of scores; only rows that repeat a document share its score however
+many they are, so equal rows are counted first, are numbered as one, and take as many numbers as they are.
 
 Defined results: null text has no words, weight 0 and no rank; a null doc_id has the empty text as its
-number and comes before other ids; rows that repeat a doc_id are drawn each, ties of one doc_id by their
-features. Without documents or target texts the sums are 0. Other columns of the input can have any
+number and comes before other ids; rows that repeat a doc_id are drawn each, ties of one doc_id by the
+other columns. Without documents or target texts the sums are 0. Other columns of the input can have any
 name; an empty table stays empty.
 """
 
@@ -32,8 +33,8 @@ from .common import stored
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Features that are held before they are counted.
-RUN = 1 << 18
+#: Features that are held before they are counted, and equal rows that are numbered at once.
+RUN, COPIES = 1 << 18, 1 << 16
 
 
 def features(text: bytes, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
@@ -121,10 +122,14 @@ def drawn(rows: DataFrame, eligible, percent: int = PERCENT) -> DataFrame:
         return rows.select(*columns, none)
     offsets = spark.createDataFrame([(int(s), int(b)) for s, b in zip(score[kept], before[kept], strict=True)], "score bigint, before bigint")
     survivor = F.col("_may") & (F.col("score") >= cutoff)
-    place = F.row_number().over(Window.partitionBy("score").orderBy(F.col("doc_id").asc_nulls_first(), *[c for c in columns if c not in ("doc_id", "score")])).cast("bigint")
-    ranked = rows.where(survivor).withColumn("place", place).join(F.broadcast(offsets), "score")
-    rank = F.col("before") + F.col("place")
-    ranked = ranked.select(*columns, F.when(rank <= draw, rank).alias("rank"))
+    order = [F.col("doc_id").asc_nulls_first(), *[c for c in columns if c not in ("doc_id", "score")]]
+    upto = F.sum("copies").over(Window.partitionBy("score").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # a row_number that counts copies
+    ranked = rows.where(survivor).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    ranked = ranked.withColumn("upto", F.coalesce(upto, F.lit(0))).join(F.broadcast(offsets), "score")
+    ranked = ranked.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))))
+    number = F.sequence(F.col("block") * COPIES + 1, F.least("copies", (F.col("block") + 1) * COPIES))
+    ranked = ranked.withColumn("number", F.explode(number)).withColumn("place", F.col("before") + F.col("upto") + F.col("number"))
+    ranked = ranked.select(*columns, F.when(F.col("place") <= draw, F.col("place")).alias("rank"))
     return ranked.unionByName(rows.where(~survivor).select(*columns, none))
 
 
