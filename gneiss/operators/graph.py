@@ -1,49 +1,97 @@
 """Graph queries over an edge table (source, target): bounded breadth-first search and what rests on it.
 
-Every search keeps one table of reached (seed, node, depth) and joins the last frontier to the edges;
-nodes reached before never enter it again, so cycles end and depths are least distances. Rounds are
-checkpointed into the shared checkpoint folder, so a lost executor costs a reread, not a replay.
+A search takes several steps in one job and stores what it reached after each; nodes reached before
+never enter it again, so cycles end and depths are least distances. Where a graph turns out to be deep,
+its unbranched chains are contracted into single weighted steps by pointer doubling, in a number of jobs that grows with
+the logarithm of their length, searched, and unfolded again. Tables between jobs lie in the shared
+checkpoint folder, so a lost executor costs a reread, not a replay.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-#: Rounds of a search that are kept apart.
+#: Tables of a search that are kept apart.
 MOST_ROUNDS = 8
+#: Steps that one job takes, jobs after which a graph counts as deep, and how many times as far each job of a contraction looks.
+HOPS, SHALLOW_JOBS, FOLDS = 4, 2, 4
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in spark.checkpoint.dir; a temporary folder only in local mode, where all tasks share it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only in local mode, where all tasks share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gneiss-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="gneiss-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written into the shared folder and read back, which cuts its lineage."""
+    path = f"{_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
-    """(seed, node, depth) with depth 0 for the seed itself; upstream walks edges backwards, both ignores their direction."""
+    """(seed, node, depth) with depth 0 for the seed itself; upstream walks edges backwards, both ignores their direction.
+
+    ``seeds`` has nodes in its only column, or in its last one if its first is a label: nodes of one label are
+    one seed, and depth is the least distance from any of them. Chains are not contracted where direction is ignored.
+    """
     forward, back = edges.select(F.col("source").alias("a"), F.col("target").alias("b")), edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    steps = {"downstream": forward, "upstream": back, "both": forward.union(back)}[direction].where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    frontier = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    rounds, depth = [_cut(frontier)], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        fresh = rounds[-1].join(steps, rounds[-1]["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        frontier = _cut(fresh.join(_all(rounds), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))  # each round's frontier is written once
+    steps = {"downstream": forward, "upstream": back, "both": forward.union(back)}[direction].where("a <> b").distinct()
+    start = stored(seeds.select(F.col(seeds.columns[0]).alias("seed"), F.col(seeds.columns[-1]).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    steps = stored(steps.withColumn("w", F.lit(1)))
+    found, deep = _search(steps, start, max_depth, SHALLOW_JOBS if direction != "both" else None)
+    if not deep:
+        return found
+    members = _chains(steps, start.select("node"))
+    if members is None:
+        return _search(steps, start, max_depth)[0]
+    heads, _ = _search(stored(_contracted(steps, members)), start, max_depth, weighted=True)
+    inside = heads.join(members.select(F.col("head").alias("node"), F.col("node").alias("member"), "place"), "node").select("seed", F.col("member").alias("node"), (F.col("depth") + F.col("place")).alias("depth"))
+    return heads.unionByName(inside if max_depth is None else inside.where(F.col("depth") <= max_depth))
+
+
+def _search(steps: DataFrame, start: DataFrame, max_depth: int | None, jobs: int | None = None, weighted: bool = False) -> tuple[DataFrame, bool]:
+    """What ``start`` reaches over stored (a, b, w), and whether ``jobs`` jobs have left something to do.
+
+    Every node also has a step of weight 0 to itself, over which what is found so far is carried along, while only what
+    the last step found goes on: one join and one grouping a step, however many steps a job takes.
+    """
+    ends = steps.select(F.col("b").alias("a")).union(start.select("node")).distinct()
+    moves = stored(steps.unionByName(ends.select("a", F.col("a").alias("b"), F.lit(0).alias("w"))))
+    rounds, frontier, job = [start], start, 0
+    while True:
+        if jobs is not None and job == jobs:
+            return _all(rounds), True
+        job += 1
+        now = frontier.select("seed", "node", "depth", F.lit(0).alias("hop"))
+        for hop in range(1, HOPS + 1):
+            now = now.join(moves, (F.col("node") == F.col("a")) & ((F.col("w") == 0) | (F.col("hop") == hop - 1)))
+            now = now.select("seed", F.col("b").alias("node"), (F.col("depth") + F.col("w")).alias("depth"), F.when(F.col("w") == 0, F.col("hop")).otherwise(hop).alias("hop"))
+            now = now if max_depth is None else now.where(F.col("depth") <= max_depth)
+            now = now.groupBy("seed", "node").agg(F.min(F.struct("depth", "hop")).alias("best")).select("seed", "node", "best.depth", "best.hop")
+        now, before = now.where("hop > 0"), _all(rounds)
+        if weighted:  # a way of more steps may be the shorter one
+            before = before.groupBy("seed", "node").agg(F.min("depth").alias("before"))
+            fresh = now.join(before, ["seed", "node"], "left").where("before IS NULL OR depth < before").drop("before")
+        else:
+            fresh = now.join(before, ["seed", "node"], "left_anti")
+        fresh = stored(fresh)
+        rounds.append(fresh.drop("hop"))
+        frontier = fresh.where(F.col("hop") == HOPS)
         if frontier.isEmpty():
-            break
-        rounds.append(frontier)
+            return _least(rounds) if weighted else _all(rounds), False
         if len(rounds) > MOST_ROUNDS:  # keep the plans of long searches short
-            rounds = [_cut(_all(rounds[:-1])), rounds[-1]]
-    return _all(rounds)
+            rounds = [stored(_least(rounds) if weighted else _all(rounds))]
 
 
 def _all(rounds: list[DataFrame]) -> DataFrame:
@@ -53,6 +101,43 @@ def _all(rounds: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _least(rounds: list[DataFrame]) -> DataFrame:
+    return _all(rounds).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+
+
+def _chains(steps: DataFrame, cut: DataFrame) -> DataFrame | None:
+    """(node, head, place) of the nodes of unbranched chains after their heads, or None if there are none.
+
+    A link is a step that is the only one from its node and the only one to the next, unless that one is in ``cut``.
+    Every job looks FOLDS times as far back as the one before. What is then still open lies on a cycle of links, which no
+    other step leads to or leaves; such nodes belong to no chain.
+    """
+    single = steps.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b")).where("n = 1").select("a", "b")
+    entered = steps.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("b")
+    links = single.join(entered, "b").join(cut.select(F.col("node").alias("b")).distinct(), "b", "left_anti")
+    links = stored(links.select(F.col("b").alias("node"), F.col("a").alias("head"), F.lit(1).alias("place")))
+    many, far = links.count(), 1
+    if not many:
+        return None
+    while True:
+        jump = links.select(F.col("node").alias("at"), F.col("head").alias("further"), F.col("place").alias("more"))
+        for _ in range(FOLDS - 1):
+            links = links.join(jump, F.col("head") == F.col("at"), "left")
+            links = links.select("node", F.coalesce("further", "head").alias("head"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
+        links = links.join(jump.select("at"), F.col("head") == F.col("at"), "left").select("node", "head", "place", F.col("at").isNotNull().alias("open"))
+        links, far = stored(links), far * FOLDS
+        if far > many or links.where("open").isEmpty():
+            return links.where("NOT open").drop("open")
+        links = links.drop("open")
+
+
+def _contracted(steps: DataFrame, members: DataFrame) -> DataFrame:
+    """The steps between heads of chains, with what they weigh: those from inside a chain begin at its head."""
+    rest = steps.join(members.select(F.col("node").alias("b")), "b", "left_anti")
+    rest = rest.join(members.select(F.col("node").alias("a"), "head", "place"), "a", "left")
+    return rest.select(F.coalesce("head", "a").alias("a"), "b", (F.coalesce("place", F.lit(0)) + F.col("w")).alias("w"))
+
+
 def distances(edges: DataFrame, focal: str, direction: str, max_depth: int | None = None) -> DataFrame:
     """(node, depth) from one focal node."""
     seed = edges.sparkSession.createDataFrame([(focal,)], "seed string")
@@ -76,7 +161,7 @@ def union_subgraph(edges: DataFrame, pins: DataFrame, up: int | None = None, dow
     """Edges between nodes that any pin reaches upstream, or between those that any reaches downstream."""
     out = None
     for direction, depth in (("upstream", up), ("downstream", down)):
-        nodes = reach(edges, pins, direction, depth).select("node").distinct()
+        nodes = reach(edges, pins.select(F.lit("").alias("seed"), F.col(pins.columns[0]).alias("node")), direction, depth).select("node")
         part = edges.join(nodes.withColumnRenamed("node", "source"), "source", "left_semi").join(nodes.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target")
         out = part if out is None else out.union(part)
     return out.distinct()
@@ -84,19 +169,43 @@ def union_subgraph(edges: DataFrame, pins: DataFrame, up: int | None = None, dow
 
 def depth_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, wave): a node's wave is one more than its parents' last; nodes on or behind cycles share a final wave."""
-    left = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
-    open_edges = _cut(edges.join(left.toDF("source"), "source", "left_semi").join(left.toDF("target"), "target", "left_semi").select("source", "target").distinct())
-    done, wave = None, 0
-    while True:
-        ready = left.join(open_edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
-        ready = _cut(ready.withColumn("wave", F.lit(wave)))
-        if ready.isEmpty():
-            rest = left.withColumn("wave", F.lit(wave))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else _cut(done.unionByName(ready))
-        left = _cut(left.join(ready, "node", "left_anti"))
-        open_edges = _cut(open_edges.join(ready.select(F.col("node").alias("source")), "source", "left_anti"))
-        wave += 1
+    every = stored(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct())
+    steps = edges.join(every.toDF("source"), "source", "left_semi").join(every.toDF("target"), "target", "left_semi")
+    steps = stored(steps.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1).alias("w")).distinct())
+    state, deep = _waves(every, steps, SHALLOW_JOBS)
+    members = _chains(steps, every.limit(0)) if deep else None
+    if members is not None:
+        heads = stored(every.join(members.select("node"), "node", "left_anti"))
+        state, deep = _waves(heads, stored(_contracted(steps, members)))
+        inside = state.join(members.select(F.col("head").alias("node"), F.col("node").alias("member"), "place"), "node")
+        state = state.unionByName(inside.select(F.col("member").alias("node"), "left", (F.col("wave") + F.col("place")).alias("wave")))
+    elif deep:
+        state, deep = _waves(every, steps)
+    last = state.agg(F.coalesce(F.max(F.when(F.col("left") == 0, F.col("wave") + 1)), F.lit(0)).alias("last"))
+    return state.crossJoin(F.broadcast(last)).select("node", F.when(F.col("left") == 0, F.col("wave")).otherwise(F.col("last")).alias("wave"))  # one row
+
+
+def _waves(nodes: DataFrame, steps: DataFrame, jobs: int | None = None) -> tuple[DataFrame, bool]:
+    """(node, left, wave): the parents that are not numbered, and one more than the last of those that are; and whether ``jobs`` jobs have left something to do.
+
+    A node that has just no parents left tells its children; all carry what they know along over a step to themselves.
+    """
+    moves = stored(steps.withColumn("own", F.lit(False)).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("w"), F.lit(True).alias("own"))))
+    parents = steps.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    left = F.coalesce("n", F.lit(0))
+    state = stored(nodes.join(parents, "node", "left").select("node", left.alias("left"), F.lit(0).alias("wave"), (left == 0).alias("ready")))
+    job = 0
+    while not state.where("ready").isEmpty():
+        if jobs is not None and job == jobs:
+            return state.drop("ready"), True
+        job += 1
+        for _ in range(HOPS):
+            told = state.join(moves, (F.col("node") == F.col("a")) & (F.col("own") | F.col("ready")))
+            had = F.max(F.when(F.col("own"), F.col("left")))
+            state = told.groupBy(F.col("b").alias("node")).agg(had.alias("had"), F.count_if(~F.col("own")).alias("told"), F.max(F.col("wave") + F.col("w")).alias("wave"))
+            state = state.select("node", (F.col("had") - F.col("told")).alias("left"), "wave", ((F.col("told") > 0) & (F.col("had") == F.col("told"))).alias("ready"))
+        state = stored(state)
+    return state.drop("ready"), False
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
@@ -161,8 +270,11 @@ def relaxed_layers(nodes: DataFrame, edges: DataFrame, layers: dict[str, float]
         known = state.where("layer IS NOT NULL").select("node", "layer")
         hints = edges.join(known.toDF("source", "l"), "source").select(F.col("target").alias("node"), (F.col("l") + 1).alias("h"))
         hints = hints.union(edges.join(known.toDF("target", "l"), "target").select(F.col("source").alias("node"), (F.col("l") - 1).alias("h")))
-        middle = hints.groupBy("node").agg(F.array_sort(F.collect_list("h")).alias("hs")).select("node", F.greatest(F.element_at("hs", F.floor(F.size("hs") / 2).cast("int") + 1), F.lit(0.0)).alias("h"))
-        state = _cut(state.join(middle, "node", "left").select("node", F.coalesce("layer", "h").alias("layer"), (F.col("auto") | (F.col("layer").isNull() & F.col("h").isNotNull())).alias("auto")))
+        counts = hints.groupBy("node", "h").agg(F.count(F.lit(1)).alias("n"))  # a hub has as many rows as its neighbours have layers
+        upto = F.sum("n").over(Window.partitionBy("node").orderBy("h"))
+        counts = counts.select("node", "h", upto.alias("upto"), F.sum("n").over(Window.partitionBy("node")).alias("total"))
+        middle = counts.where("upto > floor(total / 2)").groupBy("node").agg(F.greatest(F.min("h"), F.lit(0.0)).alias("h"))
+        state = stored(state.join(middle, "node", "left").select("node", F.coalesce("layer", "h").alias("layer"), (F.col("auto") | (F.col("layer").isNull() & F.col("h").isNotNull())).alias("auto")))
     last = F.lit(float(ranks[len(ranks) // 2]))
     return state.select("node", F.coalesce("layer", last).alias("layer"), (F.col("auto") | F.col("layer").isNull()).alias("layer_auto"))
 
@@ -173,17 +285,35 @@ def glob_regex(pattern: str) -> str:
     return f"^(?:{out})$"
 
 
+def matching(term: str) -> Column:
+    """Whether a node's name, folder or path matches the glob of a term, its pluses aside."""
+    glob = glob_regex(term.strip("+"))
+    hit = F.col("name").rlike(glob)
+    for c in ("folder", "path"):
+        hit = hit | F.coalesce(F.col(c).rlike(glob), F.lit(False))
+    return hit
+
+
+def _nearest(nodes: DataFrame, edges: DataFrame, terms: list[str], direction: str, max_depth: int | None = None) -> DataFrame | None:
+    """(node, depth): least distance from any match of any of the terms, by one search; None without terms."""
+    hit = F.lit(False)
+    for term in terms:
+        hit = hit | matching(term)
+    return reach(edges, nodes.where(hit).select(F.lit("").alias("seed"), "node"), direction, max_depth).select("node", "depth") if terms else None
+
+
 def select_nodes(nodes: DataFrame, edges: DataFrame, select: str | None, exclude: str | None = None) -> DataFrame:
     """Nodes by globs on name, folder or path; ``+x`` adds what is upstream, ``x+`` downstream; exclude is taken off afterwards."""
 
-    def chosen(terms: str) -> DataFrame:
-        out = None
-        for term in terms.replace(",", " ").split():
-            matched = nodes.where(F.col("name").rlike(glob_regex(term.strip("+"))) | F.coalesce(F.col("folder").rlike(glob_regex(term.strip("+"))), F.lit(False)) | F.coalesce(F.col("path").rlike(glob_regex(term.strip("+"))), F.lit(False))).select("node")
-            parts = [matched]
-            parts += [reach(edges, matched, "upstream").select("node")] * term.startswith("+") + [reach(edges, matched, "downstream").select("node")] * term.endswith("+")
-            for p in parts:
-                out = p if out is None else out.union(p)
+    def chosen(expression: str) -> DataFrame:
+        terms = expression.replace(",", " ").split()
+        hit = F.lit(False)
+        for term in terms:
+            hit = hit | matching(term)
+        out = nodes.where(hit).select("node")
+        for direction, some in (("upstream", [t for t in terms if t.startswith("+")]), ("downstream", [t for t in terms if t.endswith("+")])):
+            more = _nearest(nodes, edges, some, direction)
+            out = out if more is None else out.union(more.select("node"))
         return out.distinct()
 
     kept = nodes if not select else nodes.join(chosen(select), "node", "left_semi")
@@ -196,20 +326,13 @@ def lineage_subset(nodes: DataFrame, edges: DataFrame, pattern: str, max_depth:
     A term stands for its nodes and what is upstream of them; ``x+`` for them and what is downstream, ``+x+`` for both.
     Depth is the least distance from any match.
     """
-    out = None
-    for term in pattern.replace(",", " ").split():
-        glob = glob_regex(term.strip("+"))
-        hit = F.col("name").rlike(glob)
-        for c in ("folder", "path"):
-            hit = hit | F.coalesce(F.col(c).rlike(glob), F.lit(False))
-        seeds = nodes.where(hit).select("node")
-        ways = ["upstream"] * (not term.endswith("+") or term.startswith("+")) + ["downstream"] * term.endswith("+")
-        for way in ways:
-            got = reach(edges, seeds, way, max_depth).select("node", "depth")
-            out = got if out is None else out.unionByName(got)
-    if out is None:
+    terms = pattern.replace(",", " ").split()
+    up = _nearest(nodes, edges, [t for t in terms if not t.endswith("+") or t.startswith("+")], "upstream", max_depth)
+    down = _nearest(nodes, edges, [t for t in terms if t.endswith("+")], "downstream", max_depth)
+    parts = [p for p in (up, down) if p is not None]
+    if not parts:
         return edges.sparkSession.createDataFrame([], "node string, depth int")
-    return out.groupBy("node").agg(F.min("depth").alias("depth"))
+    return _all(parts).groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def select_expression(nodes: DataFrame, expression: str) -> DataFrame:
@@ -250,7 +373,7 @@ def field_path(lineage: DataFrame, model: str, field: str, max_depth: int = 6) -
     key = lambda m, c: F.concat(F.col(m), F.lit("\x1f"), F.lower(c))
     real = lineage.where(~F.col("transformation").isin("constant", "untraced", "unknown"))
     own = real.where((F.col("target_model") == model) & (F.lower("target_column") == field.lower()))
-    leaves = own.select(key("source_model", "source_column").alias("seed")).distinct()
+    leaves = own.select(F.lit("").alias("seed"), key("source_model", "source_column").alias("node")).distinct()
     rest = real.where(F.col("target_model") != model).select(key("source_model", "source_column").alias("source"), key("target_model", "target_column").alias("target"))
     above = reach(rest, leaves, "upstream", max_depth).groupBy("node").agg((F.min("depth") + 1).alias("depth"))
     at = lambda k: F.split_part("node", F.lit("\x1f"), F.lit(k))

@@ -69,3 +69,113 @@ def test_partners_of_self_and_ghost(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", ""), ("b", "c")], "source string, target string")
     got = {r.node: (r.total, r.partners) for r in erd.partner_stats(df).collect()}
     assert got == {"a": (4, "a,b"), "b": (2, "a,c"), "c": (1, "b")}
+
+
+def with_chains(rng, n):
+    """A random graph of which many steps are replaced by chains, some of them closed to cycles."""
+    pairs = []
+    for k in range(n):
+        ends = [f"n{rng.randrange(n // 2)}", *[f"c{k}_{i}" for i in range(rng.choice([0, 0, 1, 3, 9]))], f"n{rng.randrange(n // 2)}"]
+        pairs += zip(ends, ends[1:], strict=False)
+    return pairs + [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "y")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contraction_changes_no_distance(spark, seed, monkeypatch):
+    monkeypatch.setattr(graph, "SHALLOW_JOBS", 0)
+    rng = random.Random(seed)
+    pairs = with_chains(rng, 24)
+    df = edges_of(spark, pairs).repartition(3)
+    back = [(b, a) for a, b in pairs]
+    starts = ["n0", pairs[rng.randrange(len(pairs) - 4)][0], "x2", "y"]
+    for direction, way in (("downstream", pairs), ("upstream", back)):
+        for limit in (None, 6):
+            got = graph.reach(df, spark.createDataFrame([(s,) for s in starts], "node string"), direction, limit)
+            assert sorted(got.collect()) == sorted((s, v, d) for s in set(starts) for v, d in bfs(way, s, limit).items())
+
+
+def test_seeds_of_one_label_are_one_seed(spark):
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(30)]
+    seeds = spark.createDataFrame([("x", "c3"), ("x", "c20"), ("y", "c25")], "label string, node string")
+    got = {(r.seed, r.node): r.depth for r in graph.reach(edges_of(spark, pairs), seeds).collect()}
+    assert got == {**{("x", f"c{i}"): i - 3 if i < 20 else i - 20 for i in range(3, 31)}, **{("y", f"c{i}"): i - 25 for i in range(25, 31)}}
+
+
+def tables_of(monkeypatch):
+    made, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: made.append(0) or write(df))
+    return made
+
+
+def test_a_chain_of_thousands_takes_few_jobs(spark, monkeypatch):
+    made = tables_of(monkeypatch)
+    df = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("c"), F.col("id") + 1).alias("target"))
+    got = graph.distances(df, "c0", "downstream")
+    assert got.count() == 2001 and got.where("concat('c', depth) <> node").isEmpty()
+    assert len(made) - 4 <= 12  # seeds, steps, and moves of both searches aside
+
+
+def waves(nodes, pairs):
+    """Waves by removing nodes without parents, one level after the other."""
+    left, out, wave = set(nodes), {}, 0
+    pairs = {(a, b) for a, b in pairs if a in left and b in left}
+    while True:
+        ready = {v for v in left if all(b != v for _, b in pairs)}
+        if not ready:
+            return out | dict.fromkeys(left, wave)
+        out |= dict.fromkeys(ready, wave)
+        left -= ready
+        pairs = {(a, b) for a, b in pairs if a not in ready}
+        wave += 1
+
+
+@pytest.mark.parametrize("shallow", [0, 2])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_waves_on_random_graphs(spark, seed, shallow, monkeypatch):
+    monkeypatch.setattr(graph, "SHALLOW_JOBS", shallow)
+    rng = random.Random(seed)
+    pairs = with_chains(rng, 16)
+    order = {v: rng.random() for p in pairs for v in p}
+    for some in (pairs, [(a, b) for a, b in pairs if order[a] < order[b]]):
+        nodes = sorted({v for p in pairs for v in p} - {"n1"} | {"alone"})
+        got = graph.depth_waves(spark.createDataFrame([(v,) for v in nodes], "node string"), edges_of(spark, some))
+        assert {r.node: r.wave for r in got.collect()} == waves(nodes, some)
+    assert graph.depth_waves(spark.createDataFrame([], "node string"), edges_of(spark, pairs)).count() == 0
+
+
+def test_waves_of_a_long_chain(spark, monkeypatch):
+    made = tables_of(monkeypatch)
+    df = spark.range(5000).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("c"), F.col("id") + 1).alias("target"))
+    got = graph.depth_waves(spark.range(5001).select(F.concat(F.lit("c"), "id").alias("node")), df)
+    assert got.count() == 5001 and got.where("concat('c', wave) <> node").isEmpty()
+    assert len(made) <= 22
+
+
+def test_relaxation_takes_the_upper_median_of_all_neighbours(spark):
+    rng = random.Random(5)
+    layers = {f"a{i}": float(rng.randrange(5)) for i in range(200)}
+    nodes = [(v, x) for v, x in layers.items()] + [("hub", None), ("even", None), ("far", None), ("alone", None)]
+    pairs = [(v, "hub") if i % 3 else ("hub", v) for i, v in enumerate(layers)] + [("a0", "even"), ("a1", "even"), ("hub", "far")]
+    hints = sorted(layers[v] + (1 if i % 3 else -1) for i, v in enumerate(layers))
+    got = {r.node: (r.layer, r.layer_auto) for r in graph.relaxed_layers(spark.createDataFrame(nodes, "node string, layer double"), edges_of(spark, pairs)).collect()}
+    assert got["hub"] == (max(hints[100], 0.0), True)
+    assert got["even"] == (max(layers["a0"], layers["a1"]) + 1, True)
+    assert got["far"] == (got["hub"][0] + 1, True) and got["alone"] == (2.0, True) and got["a5"] == (layers["a5"], False)
+
+
+def test_relaxation_of_a_hub_gathers_no_edges(spark):
+    n = 200_000
+    nodes = spark.range(n).select(F.concat(F.lit("a"), "id").alias("node"), (F.col("id") % 5).cast("double").alias("layer")).union(spark.sql("SELECT 'hub', CAST(NULL AS DOUBLE)"))
+    df = spark.range(n).select(F.concat(F.lit("a"), "id").alias("source"), F.lit("hub").alias("target"))
+    assert graph.relaxed_layers(nodes, df).where("node = 'hub'").first().layer == 3.0
+
+
+def test_selections_share_their_searches(spark, monkeypatch):
+    pairs = [("s", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("q", "b")]
+    nodes = spark.createDataFrame([(v, v, f"f_{v}", None) for v in "sabcdq"], "node string, name string, folder string, path string")
+    df, calls, search = edges_of(spark, pairs), [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda *x: calls.append(x) or search(*x))
+    assert sorted(r.node for r in graph.select_nodes(nodes, df, "+b, c+ f_q+", "d").collect()) == ["a", "b", "c", "q", "s"]
+    assert {(r.node, r.depth) for r in graph.lineage_subset(nodes, df, "+b+ c, a+", 1).collect()} == {("b", 0), ("a", 0), ("q", 1), ("c", 0)}
+    assert len(calls) == 4
+    assert graph.lineage_subset(nodes, df, " , ").count() == 0
