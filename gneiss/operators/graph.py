@@ -46,28 +46,34 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max
     one seed, and depth is the least distance from any of them. Chains are not contracted where direction is ignored.
     """
     forward, back = edges.select(F.col("source").alias("a"), F.col("target").alias("b")), edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    steps = {"downstream": forward, "upstream": back, "both": forward.union(back)}[direction].where("a <> b").distinct()
+    steps = {"downstream": forward, "upstream": back, "both": forward.union(back)}[direction].where("a <> b")
     start = stored(seeds.select(F.col(seeds.columns[0]).alias("seed"), F.col(seeds.columns[-1]).alias("node")).distinct().withColumn("depth", F.lit(0)))
-    steps = stored(steps.withColumn("w", F.lit(1)))
-    found, deep = _search(steps, start, max_depth, SHALLOW_JOBS if direction != "both" else None)
+    moves = _moves(steps.withColumn("w", F.lit(1)), start)
+    found, deep = _search(moves, start, max_depth, SHALLOW_JOBS if direction != "both" else None)
     if not deep:
         return found
+    steps = moves.where("w > 0")
     members = _chains(steps, start.select("node"))
     if members is None:
-        return _search(steps, start, max_depth)[0]
-    heads, _ = _search(stored(_contracted(steps, members)), start, max_depth, weighted=True)
+        return _search(moves, start, max_depth)[0]
+    heads, _ = _search(_moves(_contracted(steps, members), start), start, max_depth, weighted=True)
     inside = heads.join(members.select(F.col("head").alias("node"), F.col("node").alias("member"), "place"), "node").select("seed", F.col("member").alias("node"), (F.col("depth") + F.col("place")).alias("depth"))
     return heads.unionByName(inside if max_depth is None else inside.where(F.col("depth") <= max_depth))
 
 
-def _search(steps: DataFrame, start: DataFrame, max_depth: int | None, jobs: int | None = None, weighted: bool = False) -> tuple[DataFrame, bool]:
-    """What ``start`` reaches over stored (a, b, w), and whether ``jobs`` jobs have left something to do.
+def _moves(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """Steps (a, b, w), stored, and one of weight 0 from every node to itself."""
+    own = F.inline(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("b"), F.lit(0).alias("w"))))
+    begin = start.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("w"))
+    return stored(steps.select(own).unionByName(begin).distinct())
 
-    Every node also has a step of weight 0 to itself, over which what is found so far is carried along, while only what
-    the last step found goes on: one join and one grouping a step, however many steps a job takes.
+
+def _search(moves: DataFrame, start: DataFrame, max_depth: int | None, jobs: int | None = None, weighted: bool = False) -> tuple[DataFrame, bool]:
+    """What ``start`` reaches over ``moves``, and whether ``jobs`` jobs have left something to do.
+
+    What is found so far is carried along over the moves of weight 0, while only what the last step found goes on:
+    one join and one grouping a step, however many steps a job takes.
     """
-    ends = steps.select(F.col("b").alias("a")).union(start.select("node")).distinct()
-    moves = stored(steps.unionByName(ends.select("a", F.col("a").alias("b"), F.lit(0).alias("w"))))
     rounds, frontier, job = [start], start, 0
     while True:
         if jobs is not None and job == jobs:
