@@ -1,9 +1,9 @@
 """Column profiling: a fixed number of jobs per table however many columns it has.
 
-One aggregation gives the simple statistics of all columns, one grouping by column and value all distinct
-counts, and a few bucket passes all medians; distributions of all eligible columns come from one
-unpivoted grouping each. No task holds all values of a column. Results are long tables, one row per
-column (and value, bin, day).
+One job gives the simple statistics and distinct counts of all columns, another one the medians; each column is
+read by a branch of its own, so that a table in columns is read once in all and the generated code of a
+branch stays small. Distributions of all eligible columns come from one unpivoted grouping each. No task
+holds all values of a column. Results are long tables, one row per column (and value, bin, day).
 """
 
 from __future__ import annotations
@@ -70,58 +70,76 @@ def date_key_day(c: Column) -> Column:
     return F.when(F.length(text) == 8, F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, over all cores if it comes in fewer pieces than there are cores (a file of one row group is one task)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table_stats(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row per column with STATS, in the order of the columns.
 
-    Distinct counts and medians are exact by default; ``approximate`` takes HyperLogLog and percentile
-    sketches for both, in the same single scan as the rest.
+    Distinct counts and medians are exact by default; ``approximate`` takes HyperLogLog and percentile sketches for
+    both, with the rest. What is not read from files is kept while it is profiled, as every column reads it.
     """
     kinds = columns_of(df, columns)
     rows = df.select(*[quoted(c) for c in kinds])
-    pieces = spread(rows)
-    if approximate or pieces is rows:
-        return _table_stats(pieces, kinds, approximate)
-    pieces = pieces.persist()  # few pieces of a table, which several jobs are to read
+    if approximate or not kinds or df.inputFiles():
+        return _table_stats(rows, kinds, approximate)
+    rows = rows.persist()
     try:
-        return _table_stats(pieces, kinds, approximate)
+        return _table_stats(rows, kinds, approximate)
     finally:
-        pieces.unpersist()
+        rows.unpersist()
+
+
+#: Columns that one job profiles.
+COLUMNS_AT_ONCE = 64
+
+
+def _numbered(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns as c0, c1, ... and, where values can be told apart, what tells them apart as k0, k1, ..."""
+    keys = [value_key(df, c).alias(f"k{i}") for i, c in enumerate(names) if _countable(df, c)]
+    return df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], *keys)
+
+
+def _branches(df: DataFrame, branches: list[str]) -> DataFrame:
+    """Selects from ``df``, as {t}, put together; one text is parsed much faster than as many plans are built."""
+    return df.sparkSession.sql(" UNION ALL ".join(branches), t=df)
+
+
+def _simple_sql(i: int, kind: str, dtype: T.DataType, approximate: bool, countable: bool) -> str:
+    """The simple statistics of column number ``i`` as one row."""
+    c, x = f"c{i}", f"double(c{i})"
+    real = f"if(isnan({x}), NULL, {x})"
+    half_up = lambda v: f"round({v} + 1e-10D, 6)"
+    day = {"date": f"date({c})", "date_key": f"if(length(string({c})) = 8, to_date(try_to_timestamp(string({c}), 'yyyyMMdd')), NULL)"}.get(kind)
+    number, text = kind == "numeric", kind == "string"
+    made = {
+        "place": f"{i}", "category": f"'{kind}'", "row_count": "count(*)", "filled": f"count({c})",
+        "low": f"min({x})" if number else "double(NULL)", "high": f"max({x})" if number else "double(NULL)", "mean": half_up(f"avg({x})") if number else "double(NULL)", "stddev": half_up(f"stddev_samp({x})") if number else "double(NULL)",
+        "middle": f"percentile_approx({x}, 0.5D, 1000)" if number and approximate else "double(NULL)", "distinct_count": f"approx_count_distinct({c})" if approximate and countable else "bigint(NULL)",
+        "min_len": f"bigint(min(char_length({c})))" if text else "bigint(NULL)", "max_len": f"bigint(max(char_length({c})))" if text else "bigint(NULL)", "avg_len": half_up(f"avg(char_length({c}))") if text else "double(NULL)",
+        "min_text": f"date_format(min({day}), 'yyyy-MM-dd')" if day else "string(NULL)", "max_text": f"date_format(max({day}), 'yyyy-MM-dd')" if day else "string(NULL)",
+        "numbers": f"count({real})" if number else "bigint(NULL)", "around": f"percentile_approx({real}, array({0.5 - AROUND}D, {0.5 + AROUND}D), {FINENESS})" if number and not approximate else "CAST(NULL AS ARRAY<DOUBLE>)",
+    }
+    return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in made.items()) + " FROM {t}"
+
+
+def _distinct_sql(i: int) -> str:
+    return f"SELECT {i} AS place, count(DISTINCT k{i}) AS distinct_count FROM {{t}}"
 
 
 def _table_stats(df: DataFrame, kinds: dict[str, str], approximate: bool) -> DataFrame:
-    spark, number, text = df.sparkSession, F.lit(None).cast("double"), F.lit(None).cast("string")
-    whole = F.lit(None).cast("bigint")
-    rows = []
-    for place, (name, kind) in enumerate(kinds.items()):
-        c = quoted(name)
-        numeric = kind == "numeric"
-        x = c.cast("double")
-        day = {"date": c.cast("date"), "date_key": date_key_day(c)}.get(kind)
-        simple = {
-            "row_count": F.count(F.lit(1)), "filled": F.count(c),
-            "low": F.min(x) if numeric else number, "high": F.max(x) if numeric else number,
-            "mean": rounded(F.avg(x), 6) if numeric else number, "stddev": rounded(F.stddev_samp(x), 6) if numeric else number,
-            "middle": F.percentile_approx(x, 0.5, 1_000) if approximate and numeric else number,
-            "distinct_count": F.approx_count_distinct(c) if approximate and _countable(df, name) else whole,
-            "min_len": F.min(F.char_length(c)).cast("bigint") if kind == "string" else whole, "max_len": F.max(F.char_length(c)).cast("bigint") if kind == "string" else whole,
-            "avg_len": rounded(F.avg(F.char_length(c)), 6) if kind == "string" else number,
-            "min_text": F.date_format(F.min(day), "yyyy-MM-dd") if day is not None else text, "max_text": F.date_format(F.max(day), "yyyy-MM-dd") if day is not None else text,
-        }
-        rows.append(F.struct(F.lit(place).alias("place"), F.lit(name).alias("column_name"), F.lit(kind).alias("category"), *[v.alias(k) for k, v in simple.items()]))
-    stats = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
-    if not approximate:
-        got = stats.drop("middle", "distinct_count").collect()  # one row for each column
-        medians = exact_medians(df, {r.column_name: (r.low, r.high) for r in got if r.low is not None})
-        countable = [c for c in kinds if _countable(df, c)]
-        counted = dict.fromkeys(countable, 0) | {r.column_name: r.distinct_count for r in distinct_counts(df, countable).collect()}
-        rows = [(*r, medians.get(r.column_name), counted.get(r.column_name)) for r in got]
-        stats = spark.createDataFrame(rows, T.StructType([*stats.drop("middle", "distinct_count").schema.fields, *T.StructType.fromDDL("middle double, distinct_count bigint").fields]))
+    spark, names = df.sparkSession, list(kinds)
+    rows = _numbered(df, names)
+    parts = [_simple_sql(i, kinds[c], df.schema[c].dataType, approximate, _countable(df, c)) for i, c in enumerate(names)] or [_simple_sql(0, "", T.NullType(), True, False).replace("c0", "NULL") + " LIMIT 0"]
+    if approximate or not names:
+        stats = _branches(rows, parts)
+    else:
+        got, counted, schema = [], {}, None
+        for at in range(0, len(names), COLUMNS_AT_ONCE):
+            some = _branches(rows, parts[at : at + COLUMNS_AT_ONCE])
+            schema, got = some.schema, got + some.collect()  # a row for each column
+            counted |= {r.place: r.distinct_count for r in _distinct_counts(df, rows, range(at, min(at + COLUMNS_AT_ONCE, len(names))), names)}
+        medians = exact_medians(df, {names[r.place]: (r.numbers, *r.around) for r in got if r.numbers})
+        got = [r.asDict() | {"middle": medians.get(names[r.place]), "distinct_count": counted.get(r.place)} for r in got]
+        stats = spark.createDataFrame([tuple(r[f] for f in schema.names) for r in got], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    stats = stats.withColumn("column_name", F.element_at(F.array(*[F.lit(c) for c in names] or [F.lit("")]), F.col("place") + 1))
     count, filled, distinct = F.col("row_count"), F.col("filled"), F.col("distinct_count")
     return stats.orderBy("place").select(
         "column_name", "category", "row_count", (count - filled).alias("null_count"),
@@ -140,73 +158,117 @@ def _countable(df: DataFrame, name: str) -> bool:
 LONGEST_VALUE = 64
 
 
-def distinct_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """(column_name, distinct_count) of the columns, nulls aside, from one grouping by column and value."""
-    cells, names = [], list(columns)
-    for i, name in enumerate(names):
-        c, kind = quoted(name), df.schema[name].dataType
-        whole, number, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
-        if isinstance(kind, (T.IntegralType, T.BooleanType)):
-            whole = c.cast("bigint")
-        elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
-            number = c.cast("double")
-        elif isinstance(kind, T.DateType):
-            whole = F.unix_date(c).cast("bigint")
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            whole = F.unix_micros(c.cast("timestamp"))
-        else:
-            text = c if isinstance(kind, T.StringType) else F.base64(c) if isinstance(kind, T.BinaryType) else F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType)) else c.cast("string")
-            text = F.when(c.isNotNull(), F.when(F.octet_length(text) > LONGEST_VALUE, F.sha2(text, 256)).otherwise(text))
-        cells.append(F.struct(F.lit(i).alias("i"), whole.alias("l"), number.alias("x"), text.alias("s")))
-    if not names:
-        return df.sparkSession.createDataFrame([], "column_name string, distinct_count bigint")
-    values = df.select(F.inline(F.array(*cells))).where("l IS NOT NULL OR x IS NOT NULL OR s IS NOT NULL").groupBy("i", "l", "x", "s").agg(F.lit(1))
-    name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
-    return values.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count")).select(name_of.alias("column_name"), "distinct_count")
+def value_key(df: DataFrame, name: str) -> Column:
+    """What tells the values of a column apart and can be grouped by: long texts go by their digest, nested values by their JSON."""
+    c, kind = quoted(name), df.schema[name].dataType
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        c = F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    elif isinstance(kind, T.BinaryType):
+        c = F.base64(c)
+    elif not isinstance(kind, T.StringType):
+        return c
+    return F.when(F.octet_length(c) > LONGEST_VALUE, F.sha2(c, 256)).otherwise(c)
 
 
-def exact_medians(df: DataFrame, bounds: dict[str, tuple[float, float]], buckets: int = 4096) -> dict[str, float | None]:
-    """Exact medians of numeric columns, given their bounds, in bounded memory, whatever the table's size.
+def _distinct_counts(df: DataFrame, rows: DataFrame, places: Iterable[int], names: list[str]) -> list:
+    """(place, distinct_count) of the columns that have one, a row each."""
+    parts = [_distinct_sql(i) for i in places if _countable(df, names[i])]
+    return _branches(rows, parts).collect() if parts else []
 
-    Every pass counts the values of all open columns in equal buckets between their bounds (with each
-    bucket's least and largest value) and narrows a column to the bucket that holds its middle ranks.
-    A column is done when these are one value or lie in two buckets; the driver sees buckets only.
-    Values that are no numbers count for nothing.
+
+def distinct_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, int]:
+    """The exact distinct counts of columns, nulls aside."""
+    names = list(columns)
+    return {names[r.place]: r.distinct_count for r in _distinct_counts(df, _numbered(df, names), range(len(names)), names)}
+
+
+#: Shares on either side of the middle that a first sketch gives values for, the sketch's fineness, and values that the driver may see of a column.
+AROUND, FINENESS, HELD = 0.001, 10_000, 100_000
+
+
+def exact_medians(df: DataFrame, around: dict[str, tuple[int, float, float]], held: int = HELD) -> dict[str, float]:
+    """Exact medians of numeric columns in bounded memory, given how many numbers each has and two values near its middle.
+
+    The values are a sketch's; whatever they are, every pass counts the values below, at and between them. A column of which
+    at most ``held`` values can lie between is done when these are counted one by one. Of others a sketch of what lies strictly
+    between gives closer values, so that a pass leaves about a fiftieth of it. Ranks decide and not widths: infinite, denormal
+    and overflowing values are values like any other, and many equal ones are one. NaN counts for nothing.
     """
-    names = list(bounds)
-    value = {c: quoted(c).cast("double") for c in names}
-    if any(low != low or high != high for low, high in bounds.values()):
-        found = df.agg(*[f(F.when(~F.isnan(value[c]), value[c])).alias(f"{n}_{i}") for i, c in enumerate(names) for n, f in (("a", F.min), ("b", F.max))]).first()
-        bounds = {c: (found[f"a_{i}"], found[f"b_{i}"]) for i, c in enumerate(names) if found[f"a_{i}"] is not None}
-    state: dict[str, tuple] = {c: (low, high, None, None) for c, (low, high) in bounds.items()}
-    done: dict[str, float | None] = dict.fromkeys(names)
-    while True:
-        done |= {c: low for c, (low, high, _, _) in state.items() if low == high}
-        state = {c: s for c, s in state.items() if s[0] != s[1]}
-        if not state:
-            return done
-        cells = []
-        inside, number = F.lit(False), {c: i for i, c in enumerate(state)}
-        for c, (low, high, _, _) in state.items():
-            place = F.least(F.floor((value[c] - low) / (high - low) * buckets), F.lit(buckets - 1))
-            cells.append(F.struct(F.lit(number[c]).alias("c"), F.when(value[c].between(low, high), place).cast("int").alias("b"), value[c].alias("x")))
-            inside = inside | value[c].between(low, high)
-        counts = df.where(inside).select(F.inline(F.array(*cells))).where("b IS NOT NULL").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        found = sorted(counts.collect(), key=lambda r: (r.c, r.b))
-        for c, (_, _, left, right) in list(state.items()):
-            below, ends = 0, []
-            if left is None:
-                total = sum(r.n for r in found if r.c == number[c])
-                left, right = (total - 1) // 2, total // 2
-            for r in (r for r in found if r.c == number[c]):
-                ends += [(r, rank - below) for rank in (left, right) if below <= rank < below + r.n]
-                below += r.n
-            (r1, k1), (r2, k2) = ends
-            if r1.b != r2.b:  # the largest of one bucket and the least of the next
-                done[c] = (r1.high + r2.low) / 2
-                del state[c]
+    bounds = {c: (low, high, int(n * 2 * (AROUND + 2 / FINENESS))) for c, (n, low, high) in around.items()}
+    ranks = {c: ((n - 1) // 2, n // 2) for c, (n, _, _) in around.items()}
+    done: dict[str, float] = {}
+    while len(done) < len(around):
+        few = {c: b[:2] for c, b in bounds.items() if c not in done and b[2] <= held}
+        many = {c: b[:2] for c, b in bounds.items() if c not in done and b[2] > held}
+        for c, (below, values) in (_counted_between(df, few) if few else {}).items():
+            found = _at_ranks(ranks[c], below, values)
+            if None in found:  # the sketch erred: from here on bounds rest on counts
+                bounds[c] = (-float("inf"), float("inf"), 1 << 62)
             else:
-                state[c] = (r1.low, r1.high, k1, k2)
+                done[c] = _middle(*found)
+        for c, (below, at_low, inside, at_high, steps) in (_sketched_between(df, many) if many else {}).items():
+            low, high, _ = bounds[c]
+            left, right = _at_ranks(ranks[c], below, [(low, at_low), (None, inside), (high, at_high)])
+            first, last = ((r - below - at_low) for r in ranks[c])
+            if not below <= ranks[c][0] <= ranks[c][1] < below + at_low + inside + at_high:
+                bounds[c] = (-float("inf"), float("inf"), 1 << 62)
+            elif left is not None and right is not None:
+                done[c] = _middle(left, right)
+            else:
+                first = 0 if first < 0 else max(first * STEPS // inside - 1, 0)
+                last = STEPS if last >= inside else min(-(-(last + 1) * STEPS // inside) + 1, STEPS)
+                most = int(inside * ((last - first) / STEPS + 2 / FINENESS))
+                bounds[c] = (steps[first] if left is None else low, steps[last] if right is None else high, most if most < inside else inside - 1)
+    return done
+
+
+def _at_ranks(ranks: tuple[int, int], below: int, values: list[tuple[float | None, int]]) -> list[float | None]:
+    """The values at two ranks, of values in order with their counts after ``below`` others; None outside."""
+    out: list[float | None] = [None, None]
+    for x, n in values:
+        for k, rank in enumerate(ranks):
+            if below <= rank < below + n:
+                out[k] = x
+        below += n
+    return out
+
+
+def _middle(a: float, b: float) -> float:
+    return a if a == b else (a + b) / 2 if abs(a + b) < float("inf") else a / 2 + b / 2
+
+
+def _double(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _counted_between(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, tuple[int, list[tuple[float, int]]]]:
+    """How many values of each column lie below its bounds, and each value between them with its count."""
+    names, parts = list(bounds), []
+    for i, (low, high) in enumerate(bounds.values()):  # NaN is above all
+        parts.append(f"SELECT {i} AS i, x, count(*) AS n FROM (SELECT if(double(c{i}) >= {_double(low)}, double(c{i}), NULL) AS x FROM {{t}} WHERE double(c{i}) <= {_double(high)}) GROUP BY x")
+    out: dict[str, tuple[int, list]] = {c: (0, []) for c in bounds}
+    for r in _branches(df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)]), parts).collect():
+        below, values = out[names[r.i]]
+        if r.x is None:
+            out[names[r.i]] = (r.n, values)
+        else:
+            values.append((r.x, r.n))
+    return {c: (below, sorted(values)) for c, (below, values) in out.items()}
+
+
+#: Values between the bounds that a sketch gives.
+STEPS = 200
+
+
+def _sketched_between(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, tuple]:
+    """How many values of each column lie below its bounds, at the lower, strictly between, and at the upper if it is another; and STEPS + 1 of those between at equal ranks."""
+    cells = []
+    for i, (c, (low, high)) in enumerate(bounds.items()):
+        x, low, high = quoted(c).cast("double"), F.lit(low), F.lit(high)
+        inside = F.when((x > low) & (x < high), x)
+        cells += [F.count_if(x < low).alias(f"a_{i}"), F.count_if(x == low).alias(f"b_{i}"), F.count(inside).alias(f"n_{i}"), F.count_if((x == high) & (low != high)).alias(f"c_{i}"), F.percentile_approx(inside, [k / STEPS for k in range(STEPS + 1)], FINENESS).alias(f"s_{i}")]
+    row = df.agg(*cells).first()
+    return {c: tuple(row[f"{k}_{i}"] for k in "abncs") for i, c in enumerate(bounds)}
 
 
 def unpivoted(df: DataFrame, columns: Iterable[str], value: str = "string") -> DataFrame:
@@ -250,7 +312,7 @@ def top_values(df: DataFrame, stats: DataFrame | None = None, threshold: int = 5
 
 
 def histogram(df: DataFrame, stats: DataFrame | None = None, bins: int = BINS) -> DataFrame:
-    """Equal-width bins of every numeric column with max > min, empty bins included; bounds are those of ``stats`` or the columns' own."""
+    """Equal-width bins of every numeric column with finite max > min, empty bins included; bounds are those of ``stats`` or the columns' own."""
     spark = df.sparkSession
     if stats is None:
         names = [c for c, k in columns_of(df).items() if k == "numeric"]
@@ -259,6 +321,7 @@ def histogram(df: DataFrame, stats: DataFrame | None = None, bins: int = BINS) -
         rows = [(c, found[2 * i], found[2 * i + 1]) for i, c in enumerate(names) if found[2 * i] is not None and found[2 * i + 1] > found[2 * i]]
     else:
         rows = stats.where("category = 'numeric' AND max_num > min_num").select("column_name", "min_num", "max_num").collect()
+    rows = [r for r in rows if abs(r[1]) + abs(r[2]) < float("inf")]  # no bins are of equal width between infinite bounds
     if not rows:
         return spark.createDataFrame([], "column_name string, bin int, low double, high double, frequency bigint")
     cells = []

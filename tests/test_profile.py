@@ -1,4 +1,5 @@
 import datetime as dt
+import statistics
 from decimal import Decimal
 
 import pytest
@@ -78,13 +79,40 @@ def test_sorted_table(spark):
     assert [r.n for r in profile.sorted_table(df, "n", True).collect()] == [None, "item 10", "Item 2", "item 1"]
 
 
-@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0] * 9 + [-1e9, 1e9], [float(x * x % 97) / 7 for x in range(501)], [0.1, 0.1, 0.3, 0.3], [None, None, 4.0, None], [None]])
+INF, NAN = float("inf"), float("nan")
+VALUES = [
+    [1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0] * 9 + [-1e9, 1e9], [float(x * x % 97) / 7 for x in range(501)], [0.1, 0.1, 0.3, 0.3], [None, None, 4.0, None], [None],
+    [1.0, 2.0, INF], [-INF, 1.0, INF], [INF, INF, 1.0], [INF], [-1e308, 1e308, 1e308], [1.7e308, 1.7e308, 1.7e308, -1.7e308], [-0.0, 0.0, 1.0], [5e-324, 1e-323, 1.5e-323, 1e308], [NAN, NAN, 1.0, INF, NAN], [NAN],
+]
+
+
+@pytest.mark.parametrize("values", VALUES, ids=range(len(VALUES)))
 def test_exact_medians(spark, values):
+    real = sorted(v for v in values if v is not None and v == v)
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    want = df.selectExpr("median(x) AS m").first().m
-    bounds = {"x": (min(v for v in values if v is not None), max(v for v in values if v is not None))} if want is not None else {}
-    assert profile.exact_medians(df, bounds, buckets=4).get("x") == (pytest.approx(want) if want is not None else None)
+    want = statistics.median(real[(len(real) - 1) // 2 : len(real) // 2 + 1] if len(set(real[(len(real) - 1) // 2 : len(real) // 2 + 1])) > 1 else real[len(real) // 2 :][:1]) if real else None
     assert stats(df)["x"].median == (pytest.approx(want, abs=1e-6) if want is not None else None)
+    for near in ((real[0], real[-1]), (real[-1], real[-1]), (-5.0, -4.0), (INF, INF)) if real else ():  # bounds that a sketch would not give
+        assert profile.exact_medians(df, {"x": (len(real), *near)}) == {"x": pytest.approx(want)}
+
+
+def test_medians_by_several_passes(spark, monkeypatch):
+    df = spark.range(40_000).selectExpr("pmod(xxhash64(id), 30001) / 7.0 - 900 AS x", "IF(id % 3 = 0, DOUBLE('inf'), id) AS y", "IF(id % 10 < 6, 4.0, id) AS z", "CAST(id AS DECIMAL(12, 2)) AS d").repartition(4)
+    rows = df.collect()
+    want = {c: sorted(float(r[c]) for r in rows)[19_999:20_001] for c in df.columns}
+    passes, run = [], profile._sketched_between
+    monkeypatch.setattr(profile, "_sketched_between", lambda *a: passes.append(0) or run(*a))
+    for near in ((0.0, 1.0), (-1e9, 1e9), (4.0, 4.0)):
+        passes.clear()
+        assert profile.exact_medians(df, {c: (40_000, *near) for c in want}, held=40) == {c: pytest.approx(sum(v) / 2) for c, v in want.items()}
+        assert 1 <= len(passes) <= 7
+
+
+def test_statistics_of_infinite_columns(spark):
+    got = stats(spark.createDataFrame([(1.0, -1e308), (2.0, 1e308), (INF, 0.0)], "x double, y double"))
+    assert (got["x"].min_num, got["x"].max_num, got["x"].mean, got["x"].median) == (1.0, INF, INF, 2.0) and got["y"].median == 0.0
+    df = spark.createDataFrame([(1.0, 1), (INF, 2)], "x double, y int")
+    assert {r.column_name for r in profile.histogram(df).collect()} == {"y"} == {r.column_name for r in profile.histogram(df, profile.table_stats(df)).collect()}
 
 
 def test_not_a_number(spark):
