@@ -397,6 +397,57 @@ def path_subgraph(edges: DataFrame, path: DataFrame, lineage: DataFrame) -> Data
     return kept.unionByName(shown.select(F.col("source_model").alias("source"), F.col("target_model").alias("target"))).where("source <> target").distinct()
 
 
+def columns_mode(nodes: DataFrame, edges: DataFrame, all_nodes: DataFrame, all_edges: DataFrame, lineage: DataFrame, selected: tuple[str, str] | None = None, direction: str = "both", always: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The shown nodes and edges with what the lineage of columns adds, and of these only a field's path if one is selected.
+
+    Nodes (node, injected): those shown, and models that columns of shown ones come from though nothing declares it. Edges
+    (source, target, implied): if any model was added, all known ones between them and those that only lineage shows, else those
+    shown. With ``selected`` (model, column) the models of its path, up, down or both, and of ``always`` stay, whether shown or not.
+    """
+    real = lineage.where(~F.col("transformation").isin("constant", "untraced") & (F.coalesce("source_model", F.lit("")) != ""))
+    used = real.join(nodes.select(F.col("node").alias("target_model")), "target_model", "left_semi").select(F.col("source_model").alias("node")).distinct()
+    added = stored(used.join(nodes, "node", "left_anti").join(all_nodes.select("node"), "node", "left_semi"))
+    shown = nodes.select("node", F.lit(False).alias("injected")).unionByName(added.withColumn("injected", F.lit(True)))
+    plain, known = edges.select("source", "target"), all_edges.select("source", "target")
+    traced = real.select(F.col("source_model").alias("source"), F.col("target_model").alias("target"))
+    if added.isEmpty():
+        pairs = plain.withColumn("implied", F.lit(False))
+    else:
+        pairs = plain.unionByName(known).withColumn("implied", F.lit(False)).unionByName(traced.withColumn("implied", F.lit(True)))
+    if selected is not None:
+        path = None
+        for way in ("upstream", "downstream"):
+            if direction in (way, "both"):
+                turned = lineage if way == "upstream" else lineage.select(*[F.col(f"{a}_{c}").alias(f"{b}_{c}") for a, b in (("source", "target"), ("target", "source")) for c in ("model", "column")], "transformation")
+                part = field_path(turned, *selected)
+                path = part if path is None else path.unionByName(part)
+        path = stored(path)
+        models = path.select(F.col("model").alias("node")).unionByName(path.sparkSession.createDataFrame([(x,) for x in always], "node string")).distinct()
+        shown = models.join(shown, "node", "left").join(all_nodes.select("node", F.lit(True).alias("known")), "node", "left").where("known OR injected IS NOT NULL").select("node", F.coalesce("injected", F.lit(True)).alias("injected"))
+        on_path = path_subgraph(known.limit(0), path, lineage)
+        pairs = pairs.unionByName(known.withColumn("implied", F.lit(False))).unionByName(on_path.withColumn("implied", F.lit(True)))
+    ends = stored(shown.select("node").distinct())
+    pairs = pairs.where("source <> target").join(ends.toDF("source"), "source", "left_semi").join(ends.toDF("target"), "target", "left_semi")
+    return shown, pairs.groupBy("source", "target").agg(F.min("implied").alias("implied"))
+
+
+def chosen_by(types=None, tags=None, folders=None, layers=None) -> Column:
+    """A condition for ``filter_lineage`` from a filter (mode, values) each, include or exclude; a filter without values keeps all.
+
+    Nodes without a layer are left out by an include and kept by an exclude.
+    """
+    out = F.lit(True)
+    tests = {"resource_type": types, "folder": folders, "layer": layers}
+    for c, given in tests.items():
+        if given and given[1]:
+            hit = F.coalesce(F.col(c).cast("string").isin(*map(str, given[1])), F.lit(False))
+            out = out & (hit if given[0] == "include" else ~hit)
+    if tags and tags[1]:
+        hit = F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags[1]])), F.lit(False))
+        out = out & (hit if tags[0] == "include" else ~hit)
+    return out
+
+
 def filter_lineage(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """The nodes that ``keep`` holds for, and the edges with both ends among them."""
     kept = nodes.where(F.coalesce(keep, F.lit(False)))

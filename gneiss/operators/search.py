@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .graph import glob_regex
+from .graph import glob_regex, stored
 
 
 def scored(entries: DataFrame, needle: str, limit: int = 20) -> DataFrame:
@@ -26,11 +27,10 @@ def fuzzy_hit(name, needle: str):
 
 def two_tier(resources: DataFrame, columns: DataFrame, needle: str, few: int = 5, limit: int = 20) -> DataFrame:
     """(tier, id, name): resources that hit; columns only where fewer than ``few`` resources do."""
-    hit = lambda df, tier: df.where(fuzzy_hit(F.col("name"), needle)).select(F.lit(tier).alias("tier"), "id", "name")
-    first = hit(resources, 1)
-    enough = first.limit(few).agg((F.count(F.lit(1)) >= few).alias("enough"))
-    second = hit(columns, 2).crossJoin(F.broadcast(enough)).where("NOT enough").drop("enough")  # one row
-    return first.unionByName(second).orderBy("tier", "name", "id").limit(limit)
+    hit = lambda df, tier: df.where(fuzzy_hit(F.col("name"), needle)).select(F.lit(tier).alias("tier"), "id", "name").orderBy("name", "id").limit(limit)
+    first = hit(resources, 1).collect()  # as many rows as are shown
+    found = resources.sparkSession.createDataFrame(first, T.StructType.fromDDL(f"tier int, id {resources.schema['id'].dataType.simpleString()}, name string"))
+    return found if len(first) >= min(few, limit) else found.unionByName(hit(columns, 2)).orderBy("tier", "name", "id").limit(limit)
 
 
 def inverted_index(texts: DataFrame) -> DataFrame:
@@ -55,15 +55,65 @@ def list_models(models: DataFrame, pattern: str = "*", folder: str = "", tag: st
 NAME_BOOST = 2
 
 
-def indexed_search(index: DataFrame, needle: str, limit: int = 20) -> DataFrame:
-    """(id, score) from an index (token, id, tf, is_name): every word of the needle that a token equals (1), begins with (1/2) or nearly is (1/4), by tf and boost."""
-    hits = []
-    for q in needle.lower().split():
-        worth = F.when(F.col("token") == q, 1.0).when(F.startswith("token", F.lit(q)), 0.5).when(F.levenshtein("token", F.lit(q)) <= int(0.2 * len(q)), 0.25)
-        hits.append(F.struct(F.lit(q).alias("q"), worth.alias("worth")))
-    if not hits:
+#: Deletions that the variants of a token go to, and letters of a needle for each edit that is allowed.
+DEPTH, LETTERS_PER_EDIT = 2, 5
+
+
+def deletions(word: Column, edits: int) -> Column:
+    """All texts that are left of ``word`` when at most so many letters are taken out of it."""
+    out = F.array(word)
+    for _ in range(edits):
+        less = F.transform(out, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1))), lambda i, x=x: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x)))))
+        out = F.array_distinct(F.concat(out, F.flatten(less)))
+    return out
+
+
+def token_variants(tokens: DataFrame) -> DataFrame:
+    """(variant, token) of distinct tokens, each under its deletions up to the edits that any needle near it is allowed, DEPTH at most.
+
+    A needle of q letters is allowed q // LETTERS_PER_EDIT edits, so a token within them has at least four letters for each.
+    """
+    edits = F.least(F.floor(F.char_length("token") / (LETTERS_PER_EDIT - 1)), F.lit(DEPTH))
+    made = F.when(edits == 0, deletions(F.col("token"), 0)).when(edits == 1, deletions(F.col("token"), 1)).otherwise(deletions(F.col("token"), 2))
+    return tokens.select("token").distinct().select(F.explode(made).alias("variant"), "token")
+
+
+def near_tokens(tokens: DataFrame, needles: list[str], variants: DataFrame | None = None) -> DataFrame:
+    """(q, token) of the tokens within the edits that each needle is allowed.
+
+    Two words within k edits have a text in common that is left of both after k deletions: needle and tokens meet
+    by equality of variants, and only those that do are compared. Needles that are allowed more than DEPTH edits are compared with
+    the distinct tokens of about their length.
+    """
+    spark, found = tokens.sparkSession, None
+    for k in sorted({len(q) // LETTERS_PER_EDIT for q in needles}):
+        some = [q for q in needles if len(q) // LETTERS_PER_EDIT == k]
+        asked = spark.createDataFrame([(q,) for q in dict.fromkeys(some)], "q string")
+        if k <= DEPTH:
+            variants = token_variants(tokens) if variants is None else variants
+            pairs = variants.join(asked.select("q", F.explode(deletions(F.col("q"), k)).alias("variant")), "variant").select("q", "token").distinct()
+        else:
+            of_length = F.char_length("token").between(min(map(len, some)) - k, max(map(len, some)) + k)
+            pairs = tokens.where(of_length).select("token").distinct().select(F.explode(F.array(*[F.lit(q) for q in dict.fromkeys(some)])).alias("q"), "token")
+        near = pairs.where(F.levenshtein("token", "q") <= k)
+        found = near if found is None else found.unionByName(near)
+    return found
+
+
+def indexed_search(index: DataFrame, needle: str, limit: int = 20, variants: DataFrame | None = None) -> DataFrame:
+    """(id, score) from an index (token, id, tf, is_name): every word of the needle that a token equals (1), begins with (1/2) or nearly is (1/4), by tf and boost.
+
+    ``variants``: those of the index's tokens (see ``token_variants``), where they are stored.
+    """
+    words = needle.lower().split()
+    if not words:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    rows = index.select("id", "tf", "is_name", F.inline(F.array(*hits))).where("worth IS NOT NULL")
+    hits = [F.struct(F.lit(q).alias("q"), F.when(F.col("token") == q, 1.0).when(F.startswith("token", F.lit(q)), 0.5).alias("worth")) for q in dict.fromkeys(words)]
+    begins = index.select("token").distinct().select("token", F.inline(F.array(*hits))).where("worth IS NOT NULL")
+    near = near_tokens(index.select("token"), words, variants).withColumn("worth", F.lit(0.25))
+    worth = begins.unionByName(near.select("token", "q", "worth")).groupBy("q", "token").agg(F.max("worth").alias("worth"))
+    times = F.element_at(F.create_map(*[x for q in dict.fromkeys(words) for x in (F.lit(q), F.lit(words.count(q)))]), F.col("q"))
+    rows = index.join(worth.groupBy("token").agg(F.sum(F.col("worth") * times).alias("worth")), "token")
     score = F.sum(F.col("worth") * F.col("tf") * F.when(F.col("is_name"), NAME_BOOST).otherwise(1))
     return rows.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
@@ -72,3 +122,37 @@ def refreshed(index: DataFrame, changed: DataFrame) -> DataFrame:
     """The index with the rows of changed texts (id, text; null: gone) put in place of their old ones."""
     kept = index.join(changed.select("id").distinct(), "id", "left_anti")
     return kept.unionByName(inverted_index(changed.where("text IS NOT NULL")).select(*index.columns))
+
+
+#: Parts that an index is stored in.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def write_index(texts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Stores the index of (id, text) in buckets by id; every bucket has a row without a token, so that none is ever empty."""
+    rows = inverted_index(texts)
+    marks = rows.sparkSession.range(buckets).select(F.lit(None).cast("string").alias("token"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(0).cast("bigint").alias("tf"), F.col("id").cast("int").alias("bucket"))
+    _bucketed(rows, buckets).unionByName(marks).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("token IS NOT NULL").select("token", "id", "tf")
+
+
+def refresh_index(spark: SparkSession, path: str, changed: DataFrame) -> None:
+    """Brings a stored index up to date with changed texts (id, text; null: gone): only their buckets are read and written.
+
+    The new rows are stored before the first is put in place, so a refresh that failed half-way can be run again.
+    """
+    old = spark.read.parquet(path)
+    buckets = old.select("bucket").distinct().count()  # every bucket has a row
+    changed = _bucketed(changed, buckets)
+    touched = changed.select("bucket").distinct()
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi")  # at most as many rows as there are buckets
+    kept = kept.join(changed.select("id").distinct(), "id", "left_anti").select("token", "id", "tf", "bucket")
+    fresh = _bucketed(inverted_index(changed.where("text IS NOT NULL")), buckets).select("token", "id", "tf", "bucket")
+    stored(kept.unionByName(fresh)).repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -21,9 +21,46 @@ def connection_options(adapter: str, params: dict[str, str]) -> dict[str, str]:
     return out | {k: str(params[k]) for k in ("user", "password") if k in params}
 
 
-def scan(spark: SparkSession, options: dict[str, str], schema: str, name: str) -> DataFrame:
-    """A warehouse table by its quoted name."""
-    return spark.read.format("jdbc").options(**options, dbtable=f'"{schema}"."{name}"').load()
+def scan(spark: SparkSession, options: dict[str, str], schema: str, name: str, key: str | None = None, partitions: int = 8) -> DataFrame:
+    """A warehouse table by its quoted name; with a numeric ``key`` in several partitions of about as many rows, each row in one of them."""
+    table = f'"{schema}"."{name}"'
+    if key is None:
+        return spark.read.format("jdbc").options(**options, dbtable=table).load()
+    rest = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], table, predicates=key_ranges(spark, options, table, key, partitions), properties=rest)
+
+
+#: Equal steps of a key whose rows the warehouse counts, so that ranges of them can be put together.
+KEY_STEPS = 1000
+
+
+def key_ranges(spark: SparkSession, options: dict[str, str], table: str, key: str, partitions: int) -> list[str]:
+    """Conditions on a numeric key that hold about as many rows each; the first also holds rows without a key.
+
+    The warehouse counts its rows by KEY_STEPS equal steps between the key's bounds; only these counts travel.
+    """
+    ask = lambda sql: spark.read.format("jdbc").options(**options, query=sql).load()
+    quoted = f'"{key}"'
+    low, high = (None if x is None else float(x) for x in ask(f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table}").first())
+    if low is None or not low < high:
+        return ["1 = 1"]
+    width = (high - low) / KEY_STEPS
+    counts = ask(f"SELECT b, COUNT(*) AS n FROM (SELECT CAST(FLOOR((CAST({quoted} AS DOUBLE PRECISION) - {low!r}) / {width!r}) AS INTEGER) AS b FROM {table} WHERE {quoted} IS NOT NULL) x GROUP BY b")
+    steps = sorted((int(r[0]), int(r[1])) for r in counts.collect())  # at most KEY_STEPS + 1 rows
+    total, upto, ends = sum(n for _, n in steps), 0, []
+    for b, n in steps:
+        if len(ends) < partitions - 1 and upto >= (len(ends) + 1) * total / partitions:
+            ends.append(low + b * width)
+        upto += n
+    if not ends:
+        return ["1 = 1"]
+    inner = [f"{quoted} >= {a!r} AND {quoted} < {b!r}" for a, b in zip(ends, ends[1:], strict=False)]
+    return [f"({quoted} < {ends[0]!r} OR {quoted} IS NULL)", *inner, f"{quoted} >= {ends[-1]!r}"]
+
+
+def profiled_models(models: DataFrame) -> DataFrame:
+    """The models that are tables or views of the warehouse: ephemeral ones are not."""
+    return models.where("coalesce(lower(materialization), '') <> 'ephemeral'")
 
 
 def existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
@@ -55,8 +92,9 @@ def slim(df: DataFrame, columns: Iterable[str] = ("sql", "raw_code", "compiled_c
 
 
 def write_profiles(stats: DataFrame, path: str, table_name: str, key: str) -> None:
-    """Adds a table's profile to the cache under the hash of its schema and size."""
-    stats.withColumns({"table_name": F.lit(table_name), "schema_hash": F.lit(key)}).write.mode("append").parquet(path)
+    """Puts a table's profile into the cache under the hash of its schema and size, in place of any older one of the table."""
+    rows = stats.withColumns({"table_name": F.lit(table_name), "schema_hash": F.lit(key)})
+    rows.write.partitionBy("table_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def profile_payload(stats: DataFrame, meta: DataFrame) -> DataFrame:

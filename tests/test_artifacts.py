@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text
 from gneiss.operators import metadata, profile
 from gneiss.sources import artifacts, tables
-from gneiss.streaming.watch import rebuild_if_changed, watch
+from gneiss.streaming.watch import watch
 
 MANIFEST = {
     "nodes": {
@@ -48,32 +48,104 @@ def test_faults_are_told(spark, tmp_path):
         artifacts.load(spark, str(tmp_path))
 
 
-def test_rewritten_artifacts_are_seen(spark, folder, tmp_path_factory):
-    seen, state = [], str(tmp_path_factory.mktemp("watch"))
-    look = lambda: rebuild_if_changed(spark, str(folder), lambda df, n: seen.append((n, sorted(r.path.rsplit("/", 1)[1] for r in df.collect()))), state)
-    assert look() and not look()
-    for text in ("{}", '{"a": 1}'):
-        (folder / "catalog.json").write_text(text)
-        assert look() and not look()
-    (folder / "sources.json").write_text("{}")
-    (folder / "notes.txt").write_text("x")
-    assert look()
-    assert seen == [(0, ["catalog.json", "manifest.json", "run_results.json"]), (1, ["catalog.json"]), (2, ["catalog.json"]), (3, ["sources.json"])]
+def split(text, size):
+    splitter, out = artifacts.Splitter(), []
+    for i in range(0, len(text), size):
+        out += splitter.feed(text[i : i + size])
+    splitter.finish()
+    return [(a, b, c, json.loads(v)) for a, b, c, v in out]
 
 
-def test_watch(spark, folder, tmp_path_factory):
-    seen = []
-    query = watch(spark, str(folder), lambda df, n: seen.append(df.count()), str(tmp_path_factory.mktemp("watch")), seconds=0.5)
+WHOLE = {"metadata": {"a": 1, "b": {"c": [1, {"d": "}{]["}]}}, "version": 3, "none": None, "text": 'q"\\" , : }', "empty": {}, "list": [], "results": [{"x": "\\\\"}, [1, 2], "é\n日", 5, None, {}], "nodes": {"m.\"1": {"sql": "select '{{ x }}'"}, "m.2": [], "": 1}}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("size", [1, 2, 7, 10_000])
+def test_sections_are_split_like_json(size, indent):
+    want = []
+    for k, v in WHOLE.items():
+        want += [(k, a, i, b) for i, (a, b) in enumerate(v.items())] if isinstance(v, dict) else [(k, None, i, b) for i, b in enumerate(v)] if isinstance(v, list) else [(k, None, 0, v)]
+    assert split(json.dumps(WHOLE, indent=indent, ensure_ascii=False), size) == want
+    assert split(" \n" + json.dumps(WHOLE, indent=indent) + "\n ", size) == want
+
+
+@pytest.mark.parametrize("text", ['{"a": {"b": 1}', '{"a": {"b": 1', '{"a": {"b": }}', '{"a": [1,]}', '{"a": 1,, "b": 2}', '{"a": {"b" 1}}', '{"a": 1} x', '{"a": 1}}', '{"a": "x', "", " ", "[1]", "{a: 1}", '{"a": {"b": 1]}', '{"a": {"b": {"c": }}}', '{"a": nope}', '{"a": {"b": 1, , "c": 2}}', '{"a": tru}', '{"a": {"b": {"c": 1}, "d"}}'])
+def test_what_is_no_json_is_told(text):
+    for size in (1, 3, 100):
+        with pytest.raises(ValueError, match="line 1, column"):
+            split(text, size)
+    with pytest.raises(json.JSONDecodeError):
+        if isinstance(json.loads(text), list):
+            raise json.JSONDecodeError("a list", text, 0)
+
+
+def test_large_manifest_in_many_pieces(spark, tmp_path, monkeypatch):
+    nodes = {f"model.p.m{i}": {"unique_id": f"model.p.m{i}", "name": f"m{i}", "resource_type": "model", "raw_code": "select '{' || a || '}' from {{ ref('x') }}\n" * (i % 7), "depends_on": {"nodes": [f"model.p.m{i // 2}"]}} for i in range(4000)}
+    (tmp_path / "manifest.json").write_text(json.dumps({"metadata": {"v": "x}"}, "nodes": nodes, "child_map": {"model.p.m0": ["model.p.m1", "model.p.m2"]}}))
+    monkeypatch.setattr(artifacts, "HELD", 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
-        for wanted in ([3], [3, 1]):
-            for _ in range(60):
-                if seen == wanted:
-                    break
-                time.sleep(0.5)
-            assert seen == wanted
-            (folder / "manifest.json").write_text(json.dumps(MANIFEST) + "\n" * len(seen))
+        p = artifacts.load(spark, str(tmp_path))
+        got = {r.unique_id: (r.raw_code, r.depends_on.nodes) for r in p.nodes.collect()}
     finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: (v["raw_code"], v["depends_on"]["nodes"]) for k, v in nodes.items()}
+    assert {(r.source, r.target) for r in artifacts.consumer_edges(p.nodes, p.child_map).collect()} == {("model.p.m0", "model.p.m1"), ("model.p.m0", "model.p.m2")}
+    assert artifacts.consumer_edges(p.nodes, p.child_map.limit(0)).count() == 4000
+
+
+def test_exposures_metrics_and_accepted_values(spark, tmp_path):
+    made = {
+        "nodes": {"t": {"name": "t", "resource_type": "test", "depends_on": {"nodes": ["m"]}, "test_metadata": {"name": "accepted_values", "kwargs": {"values": ["a", "b"], "column_name": "c"}}}, "u": {"name": "u", "resource_type": "test", "test_metadata": {"name": "unique", "kwargs": {}}}},
+        "exposures": {"e.1": {"name": "board", "type": "dashboard", "url": "u", "label": "Board", "maturity": "high", "owner": {"name": "n"}, "depends_on": {"nodes": ["m"]}, "meta": {"k": 1}}, "e.2": {"name": "bare"}},
+        "metrics": {"x": {"name": "revenue", "type": "simple", "label": "Revenue", "depends_on": {"nodes": ["m"]}, "tags": ["kpi"]}},
+    }
+    (tmp_path / "manifest.json").write_text(json.dumps(made))
+    p = artifacts.load(spark, str(tmp_path))
+    assert {r.test_id: r.accepted for r in artifacts.tests(p.nodes).collect()} == {"t": ["a", "b"], "u": None}
+    rows = {r.unique_id: r for r in artifacts.exposure_rows(p.exposures).collect()}
+    assert (rows["e.1"].maturity, rows["e.1"].depends_on, rows["e.1"].columns, json.loads(rows["e.1"].meta)) == ("high", ["m"], [], {"k": 1}) and rows["e.2"].tags == []
+    assert [tuple(r) for r in artifacts.metric_rows(p.metrics).collect()] == [("x", "revenue", None, "Revenue", "simple", ["m"], ["kpi"])]
+
+
+def until(query, done):
+    for _ in range(80):
+        if done() or not query.isActive:
+            return
+        time.sleep(0.25)
+
+
+def test_rewrites_deletions_failures_and_restarts_of_a_watch(spark, folder, tmp_path_factory):
+    state, seen, broken = str(tmp_path_factory.mktemp("watch")), [], []
+
+    def rebuild(df, number):
+        if broken:
+            raise RuntimeError("cannot rebuild")
+        seen.append((number, sorted((r.path.rsplit("/", 1)[1], r.change) for r in df.collect())))
+
+    start = lambda: watch(spark, str(folder), rebuild, state, seconds=0.2)
+    query = start()
+    try:
+        until(query, lambda: len(seen) == 1)
+        (folder / "manifest.json").write_text(json.dumps(MANIFEST) + "\n")
+        (folder / "notes.txt").write_text("x")
+        until(query, lambda: len(seen) == 2)
+        (folder / "catalog.json").unlink()
+        until(query, lambda: len(seen) == 3)
         query.stop()
+        (folder / "sources.json").write_text("{}")  # while nobody looks
+        broken.append(1)
+        query = start()
+        until(query, lambda: False)
+        assert query.exception() is not None and len(seen) == 3
+        broken.clear()
+        query = start()
+        until(query, lambda: len(seen) == 4)
+        time.sleep(1)
+    finally:
+        query.stop()
+    names = [("manifest.json", "new"), ("run_results.json", "new")]
+    assert seen == [(0, [("catalog.json", "new"), *names]), (1, [("manifest.json", "rewritten")]), (2, [("catalog.json", "gone")]), (3, [("sources.json", "new")])]
 
 
 def test_tables(spark):
@@ -108,6 +180,7 @@ def test_profile_cache_and_payload(spark, tmp_path):
     stats, key = profile.table_stats(df), tables.schema_hash(df, 2)
     tables.write_profiles(stats, str(tmp_path / "cache"), "t", key)
     wanted = spark.createDataFrame([("t", key), ("u", "x")], "table_name string, schema_hash string")
+    tables.write_profiles(stats, str(tmp_path / "cache"), "t", key)  # again: in place of the first
     valid, anew = tables.cached_profiles(spark, str(tmp_path / "cache"), wanted)
     assert valid.count() == 2 and [r.table_name for r in anew.collect()] == ["u"]
     made = json.loads(tables.profile_payload(stats, profile.profiling_meta(df)).first().value)
@@ -144,3 +217,28 @@ def test_formulas_and_formats(spark):
         text.percent_text(F.lit(0.1234)).alias("p"), F.array(*[text.duration_text(F.lit(s)) for s in (0.25, 12.34, 125.0)]).alias("t"),
     ).first()
     assert row.c == ["kind", "amount", "id"] and row.d == ["512 B", "1.5 KB", "3.0 GB"] and row.n == ["999", "1.5K", "2M", "3.1B"] and row.p == "12.3%" and row.t == ["250ms", "12.3s", "2m 5s"]
+
+
+@pytest.fixture(scope="module")
+def warehouse(spark):
+    """A table of an embedded database, by JDBC."""
+    options = {"url": "jdbc:derby:memory:gneiss;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(5000).selectExpr("IF(id % 50 = 0, NULL, IF(id < 3000, id % 7, id * id)) AS k", "id AS v")
+    rows.write.format("jdbc").options(**options, dbtable='"APP"."facts"').save()
+    spark.sql("SELECT 1D AS k, 2L AS v").limit(0).write.format("jdbc").options(**options, dbtable='"APP"."nothing"').save()
+    return options
+
+
+def test_warehouse_tables_are_read_in_ranges(spark, warehouse):
+    df = tables.scan(spark, warehouse, "APP", "facts", key="k", partitions=6)
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    assert 2 <= len(sizes) <= 6 and sum(sizes) == 5000 and df.agg(F.count_distinct("v")).first()[0] == 5000
+    assert max(sizes) < 3200  # most rows have one of seven keys, which lie in one step
+    assert tables.scan(spark, warehouse, "APP", "facts").count() == 5000
+    assert tables.scan(spark, warehouse, "APP", "facts", key="v", partitions=4).rdd.glom().map(len).collect() == [1250] * 4
+    assert tables.scan(spark, warehouse, "APP", "nothing", key="k").count() == 0
+
+
+def test_ephemeral_models_are_no_tables(spark):
+    models = spark.createDataFrame([("a", "table"), ("b", "Ephemeral"), ("c", None)], "uid string, materialization string")
+    assert sorted(r.uid for r in tables.profiled_models(models).collect()) == ["a", "c"]

@@ -179,3 +179,41 @@ def test_selections_share_their_searches(spark, monkeypatch):
     assert {(r.node, r.depth) for r in graph.lineage_subset(nodes, df, "+b+ c, a+", 1).collect()} == {("b", 0), ("a", 0), ("q", 1), ("c", 0)}
     assert len(calls) == 4
     assert graph.lineage_subset(nodes, df, " , ").count() == 0
+
+
+LINEAGE = [("mart", "total", "fct", "amount", "aggregated"), ("fct", "amount", "int", "amount", "passthrough"), ("int", "amount", "stg", "cents", "derived"), ("mart", "kind", "", "", "constant"), ("mart", "odd", "far", "x", "untraced"), ("mart", "name", "dim", "name", "rename"), ("board", "m", "mart", "total", "passthrough")]
+
+
+def columns_mode(spark, shown, edges, **more):
+    nodes = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    lineage = spark.createDataFrame(LINEAGE, "target_model string, target_column string, source_model string, source_column string, transformation string")
+    every = ["mart", "fct", "int", "stg", "far", "board", "else"]
+    known = [("stg", "int"), ("int", "fct"), ("stg", "else"), ("mart", "board")]
+    n, e = graph.columns_mode(nodes(shown), edges_of(spark, edges), nodes(every), edges_of(spark, known), lineage, **more)
+    return {r.node: r.injected for r in n.collect()}, {(r.source, r.target): r.implied for r in e.collect()}
+
+
+def test_columns_mode_adds_what_lineage_names(spark):
+    assert columns_mode(spark, ["mart", "int"], [("int", "mart")]) == ({"mart": False, "int": False, "fct": True, "stg": True}, {("int", "mart"): False, ("int", "fct"): False, ("stg", "int"): False, ("fct", "mart"): True})
+    whole = ["mart", "fct", "int", "stg"]
+    assert columns_mode(spark, whole, [("int", "fct")]) == (dict.fromkeys(whole, False), {("int", "fct"): False})  # nothing is missing: edges stay as shown
+
+
+def test_columns_mode_narrows_to_a_path(spark):
+    nodes, edges = columns_mode(spark, ["mart"], [], selected=("mart", "TOTAL"), direction="upstream", always=("else", "unknown"))
+    assert nodes == {"mart": False, "fct": True, "int": True, "stg": True, "else": True}
+    assert edges == {("fct", "mart"): True, ("int", "fct"): False, ("stg", "int"): False, ("stg", "else"): False}
+    nodes, edges = columns_mode(spark, ["mart"], [], selected=("mart", "total"), direction="downstream")
+    assert nodes == {"mart": False, "board": True} and edges == {("mart", "board"): False}
+    nodes, _ = columns_mode(spark, ["mart", "int"], [], selected=("mart", "total"))
+    assert nodes == {"mart": False, "int": False, "fct": True, "stg": True, "board": True}
+
+
+def test_filters_include_and_exclude(spark):
+    nodes = spark.createDataFrame([("a", "model", "f1", ["x"], 1.0), ("b", "source", "f2", [], None), ("c", "model", "f2", ["x", "y"], 2.0), ("d", "seed", None, None, 1.0)], "node string, resource_type string, folder string, tags array<string>, layer double")
+    kept = lambda **f: "".join(sorted(r.node for r in graph.filter_lineage(nodes, edges_of(spark, [("a", "b")]), graph.chosen_by(**f))[0].collect()))
+    assert kept() == kept(types=("include", [])) == "abcd"
+    assert kept(types=("include", ["model"])) == "ac" and kept(types=("exclude", ["model"])) == "bd"
+    assert kept(tags=("include", ["y"])) == "c" and kept(tags=("exclude", ["x"])) == "bd"
+    assert kept(layers=("include", [1.0])) == "ad" and kept(layers=("exclude", [1.0])) == "bc"
+    assert kept(folders=("include", ["f2"]), layers=("exclude", [2.0])) == "b" and kept(folders=("exclude", ["f2"])) == "ad"
