@@ -21,7 +21,7 @@ MOST_ROUNDS = 8
 HOPS, SHALLOW_JOBS, FOLDS = 4, 2, 4
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only in local mode, where all tasks share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -34,7 +34,7 @@ def _folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written into the shared folder and read back, which cuts its lineage."""
-    path = f"{_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

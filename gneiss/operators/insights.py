@@ -22,7 +22,7 @@ SEMANTIC = [
 SUPPORT = {
     "primary_key": (("unique", "not_null"), ("join_key",), ("identifier",)), "foreign_key": (("relationships",), ("join_key", "filtered"), ("identifier",)),
     "timestamp": ((), (), ("timestamp",)), "metric": ((), ("aggregated",), ("amount", "count", "percentage")),
-    "categorical": (("accepted_values",), ("filtered",), ("categorical", "boolean")), "dimension": ((), ("group_by",), ("name", "email", "url")),
+    "categorical": (("accepted_values",), ("filtered",), ("categorical",)), "dimension": ((), ("group_by",), ("name", "email", "url")),
 }
 
 
@@ -40,7 +40,7 @@ def role(semantic: Column, tests: Column, usages: Column) -> Column:
     out = F.when(has("unique") & has("not_null"), "primary_key")
     out = out.when(has("relationships") | ((semantic == "identifier") & used("join_key") & ~has("unique")), "foreign_key")
     out = out.when(semantic == "timestamp", "timestamp").when(semantic.isin("amount", "count", "percentage") | used("aggregated"), "metric")
-    out = out.when(semantic.isin("categorical", "boolean") | has("accepted_values"), "categorical")
+    out = out.when((semantic == "categorical") | has("accepted_values"), "categorical")
     return out.when(semantic.isin("name", "email", "url") | used("group_by"), "dimension")
 
 

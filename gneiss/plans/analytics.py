@@ -14,22 +14,22 @@ _REACH = "WITH RECURSIVE r AS (SELECT '{s}' AS node, 0 AS depth UNION SELECT {to
 
 @query("closure_upstream", oracle(_REACH.format(s="model.p.summary", to="source", frm="target", k=20), "edges"))
 def upstream(spark, d):
-    return graph.distances(table(spark, "edges"), "model.p.summary", "upstream")
+    return graph.distances(table(spark, d, "edges"), "model.p.summary", "upstream")
 
 
 @query("closure_downstream", oracle(_REACH.format(s="model.p.stg_customers", to="target", frm="source", k=20), "edges"))
 def downstream(spark, d):
-    return graph.distances(table(spark, "edges"), "model.p.stg_customers", "downstream")
+    return graph.distances(table(spark, d, "edges"), "model.p.stg_customers", "downstream")
 
 
 @query("k_hop", oracle(_REACH.format(s="source.p.raw.orders", to="target", frm="source", k=2), "edges"))
 def k_hop(spark, d):
-    return graph.distances(table(spark, "edges"), "source.p.raw.orders", "downstream", 2)
+    return graph.distances(table(spark, d, "edges"), "source.p.raw.orders", "downstream", 2)
 
 
 @query("closure_cyclic", oracle("WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM cyclic), r AS (SELECT 'a' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM r JOIN e ON source = node WHERE depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY node", "cyclic"))
 def cyclic(spark, d):
-    return graph.distances(table(spark, "cyclic"), "a", "downstream")
+    return graph.distances(table(spark, d, "cyclic"), "a", "downstream")
 
 
 @query(
@@ -52,12 +52,12 @@ _FOCAL = """SELECT source, target FROM edges JOIN up a ON a.node = source JOIN u
 
 @query("focal_subgraph", oracle(f"WITH {_DIST.format(f='model.p.int_orders')} {_FOCAL}", "edges"))
 def focal(spark, d):
-    return graph.focal_subgraph(table(spark, "edges"), "model.p.int_orders")
+    return graph.focal_subgraph(table(spark, d, "edges"), "model.p.int_orders")
 
 
 @query("parent_siblings", oracle(f"WITH {_DIST.format(f='model.p.int_orders')} {_FOCAL} UNION SELECT source, target FROM edges WHERE source IN (SELECT node FROM up WHERE depth = 1)", "edges"))
 def siblings(spark, d):
-    return graph.focal_subgraph(table(spark, "edges"), "model.p.int_orders", siblings=True)
+    return graph.focal_subgraph(table(spark, d, "edges"), "model.p.int_orders", siblings=True)
 
 
 @query(
@@ -70,17 +70,17 @@ def siblings(spark, d):
 )
 def union_subgraph(spark, d):
     pins = spark.sql("SELECT * FROM (VALUES ('model.p.stg_orders'), ('model.p.helper')) AS t(seed)")
-    return graph.union_subgraph(table(spark, "edges"), pins)
+    return graph.union_subgraph(table(spark, d, "edges"), pins)
 
 
 @query("depth_waves", oracle("WITH RECURSIVE r AS (SELECT node, 0 AS wave FROM nodes WHERE node NOT IN (SELECT target FROM edges) UNION SELECT target, wave + 1 FROM r JOIN edges ON source = node) SELECT node, max(wave) AS wave FROM r GROUP BY node", "nodes", "edges"))
 def waves(spark, d):
-    return graph.depth_waves(table(spark, "nodes").select("node"), table(spark, "edges"))
+    return graph.depth_waves(table(spark, d, "nodes").select("node"), table(spark, d, "edges"))
 
 
 @query("orphan_nodes", oracle("SELECT node, name FROM nodes WHERE resource_type = 'model' AND node NOT IN (SELECT source FROM edges)", "nodes", "edges"))
 def orphan_nodes(spark, d):
-    return graph.orphans(table(spark, "nodes").where("resource_type = 'model'"), table(spark, "edges")).select("node", "name")
+    return graph.orphans(table(spark, d, "nodes").where("resource_type = 'model'"), table(spark, d, "edges")).select("node", "name")
 
 
 _FOLDER = "CASE WHEN resource_type = 'source' THEN 'sources/' || coalesce(source_name, 'unknown') WHEN coalesce(folder, '') = '' THEN '_ungrouped' ELSE folder END"
@@ -88,30 +88,30 @@ _FOLDER = "CASE WHEN resource_type = 'source' THEN 'sources/' || coalesce(source
 
 @query("folder_rollup", oracle(f"WITH f AS (SELECT node, {_FOLDER} AS g FROM nodes) SELECT a.g AS source, b.g AS target, count(DISTINCT (e.source, e.target)) AS edge_count FROM edges e JOIN f a ON a.node = e.source JOIN f b ON b.node = e.target WHERE a.g <> b.g GROUP BY ALL", "nodes", "edges"))
 def folder_rollup(spark, d):
-    return graph.folder_edges(table(spark, "nodes"), table(spark, "edges"))
+    return graph.folder_edges(table(spark, d, "nodes"), table(spark, d, "edges"))
 
 
 @query("folder_rollup_nodes", oracle(f"SELECT {_FOLDER} AS folder, count(*) AS node_count, count(*) FILTER (resource_type = 'model') AS model_count FROM nodes GROUP BY 1", "nodes"))
 def folder_nodes(spark, d):
-    return graph.folder_nodes(table(spark, "nodes"))
+    return graph.folder_nodes(table(spark, d, "nodes"))
 
 
 @query("folder_mixed", oracle(f"WITH f AS (SELECT node, CASE WHEN {_FOLDER} = 'models/staging' THEN node ELSE {_FOLDER} END AS g FROM nodes) SELECT a.g AS source, b.g AS target, count(DISTINCT (e.source, e.target)) AS edge_count FROM edges e JOIN f a ON a.node = e.source JOIN f b ON b.node = e.target WHERE a.g <> b.g GROUP BY ALL", "nodes", "edges"))
 def folder_mixed(spark, d):
-    return graph.folder_edges(table(spark, "nodes"), table(spark, "edges"), ["models/staging"])
+    return graph.folder_edges(table(spark, d, "nodes"), table(spark, d, "edges"), ["models/staging"])
 
 
 _LAYER = """CASE WHEN meta_layer = 'mart' THEN 3.0 WHEN contains(lower(folder), 'staging') THEN 1.0 WHEN contains(lower(folder), 'prep') THEN 1.0 WHEN contains(lower(folder), 'intermediate') THEN 2.0 WHEN contains(lower(folder), 'mart') THEN 3.0 WHEN name LIKE 'stg\\_%' ESCAPE '\\' THEN 1.0
   WHEN name LIKE 'int\\_%' ESCAPE '\\' THEN 2.0 WHEN name LIKE 'fct\\_%' ESCAPE '\\' OR name LIKE 'dim\\_%' ESCAPE '\\' THEN 3.0 WHEN resource_type IN ('source', 'seed') THEN 0.0 WHEN resource_type = 'exposure' THEN 4.0 END::DOUBLE"""
 
 
-def _layered(spark):
-    return table(spark, "nodes").withColumns({"schema": F.lit(None).cast("string")}).withColumn("layer", graph.layer_by_rules())
+def _layered(spark, d):
+    return table(spark, d, "nodes").withColumns({"schema": F.lit(None).cast("string")}).withColumn("layer", graph.layer_by_rules())
 
 
 @query("layer_rules", oracle(f"SELECT node, {_LAYER} AS layer FROM nodes", "nodes"))
 def layer_rules(spark, d):
-    return _layered(spark).select("node", "layer")
+    return _layered(spark, d).select("node", "layer")
 
 
 def _sweep(before: str, after: str) -> str:
@@ -121,22 +121,22 @@ def _sweep(before: str, after: str) -> str:
 
 @query("layer_relaxation", oracle(f"WITH s0 AS (SELECT node, {_LAYER} AS layer, false AS auto FROM nodes), {_sweep('s0', 's1')}, {_sweep('s1', 's2')}, {_sweep('s2', 's3')} SELECT node, coalesce(layer, 2.0)::DOUBLE AS layer, auto OR layer IS NULL AS layer_auto FROM s3", "nodes", "edges"))
 def layer_relaxation(spark, d):
-    return graph.relaxed_layers(_layered(spark), table(spark, "edges"))
+    return graph.relaxed_layers(_layered(spark, d), table(spark, d, "edges"))
 
 
 @query("select_exclude", oracle("WITH RECURSIVE u AS (SELECT 'model.p.summary' AS node UNION SELECT source FROM u JOIN edges ON target = node) SELECT n.node, n.name FROM nodes n WHERE node IN (FROM u) AND NOT (name LIKE 'stg%' OR folder LIKE 'stg%' OR path LIKE 'stg%')", "nodes", "edges"))
 def select_exclude(spark, d):
-    return graph.select_nodes(table(spark, "nodes"), table(spark, "edges"), "+summary", "stg*").select("node", "name")
+    return graph.select_nodes(table(spark, d, "nodes"), table(spark, d, "edges"), "+summary", "stg*").select("node", "name")
 
 
 @query("lineage_filter_edges", oracle("WITH k AS (SELECT node FROM nodes WHERE resource_type = 'model' AND list_contains(string_split(tags, ','), 'core')) SELECT source, target FROM edges WHERE source IN (FROM k) AND target IN (FROM k)", "nodes", "edges"))
 def lineage_filter(spark, d):
-    return graph.filter_lineage(table(spark, "nodes"), table(spark, "edges"), (F.col("resource_type") == "model") & F.array_contains("tags", "core"))[1]
+    return graph.filter_lineage(table(spark, d, "nodes"), table(spark, d, "edges"), (F.col("resource_type") == "model") & F.array_contains("tags", "core"))[1]
 
 
 @query("lineage_filter_facets", oracle(f"SELECT DISTINCT * FROM (SELECT 'tag' AS facet, unnest(string_split(tags, ',')) AS value FROM nodes UNION ALL SELECT 'folder', folder FROM nodes UNION ALL SELECT 'resource_type', resource_type FROM nodes UNION ALL SELECT 'layer', CAST({_LAYER} AS VARCHAR) FROM nodes) WHERE coalesce(value, '') <> ''", "nodes"))
 def facets(spark, d):
-    return graph.facets(_layered(spark))
+    return graph.facets(_layered(spark, d))
 
 
 _TRACE = "WITH RECURSIVE l AS (SELECT source_model || '.' || lower(source_column) AS s, target_model || '.' || lower(target_column) AS t FROM column_lineage WHERE transformation NOT IN ('constant', 'untraced', 'unknown')), r AS (SELECT '{start}' AS k, 0 AS depth UNION SELECT {to}, depth + 1 FROM r JOIN l ON {frm} = k WHERE depth < 6) SELECT split_part(k, '.', 1) AS model, split_part(k, '.', 2) AS column, min(depth) AS depth FROM r GROUP BY ALL"
@@ -144,12 +144,12 @@ _TRACE = "WITH RECURSIVE l AS (SELECT source_model || '.' || lower(source_column
 
 @query("column_trace_up", oracle(_TRACE.format(start="summary.total", to="s", frm="t"), "column_lineage"))
 def trace_up(spark, d):
-    return graph.columns_trace(table(spark, "column_lineage"), "summary", "total", "upstream")
+    return graph.columns_trace(table(spark, d, "column_lineage"), "summary", "total", "upstream")
 
 
 @query("column_trace_down", oracle(_TRACE.format(start="raw_orders.cents", to="t", frm="s"), "column_lineage"))
 def trace_down(spark, d):
-    return graph.columns_trace(table(spark, "column_lineage"), "raw_orders", "cents", "downstream")
+    return graph.columns_trace(table(spark, d, "column_lineage"), "raw_orders", "cents", "downstream")
 
 
 _STRENGTH = ["unknown", "untraced", "passthrough", "rename", "constant", "derived", "aggregated"]
@@ -158,7 +158,7 @@ _STRENGTH = ["unknown", "untraced", "passthrough", "rename", "constant", "derive
 @query("strongest_transformation", oracle(f"SELECT target_model, target_column, max_by(transformation, list_position({_STRENGTH}, transformation)) AS transformation FROM column_lineage GROUP BY ALL", "column_lineage"))
 def strongest(spark, d):
     order = F.array_position(F.array(*[F.lit(x) for x in _STRENGTH]), F.col("transformation"))
-    return table(spark, "column_lineage").groupBy("target_model", "target_column").agg(F.max_by("transformation", order).alias("transformation"))
+    return table(spark, d, "column_lineage").groupBy("target_model", "target_column").agg(F.max_by("transformation", order).alias("transformation"))
 
 
 # Project-style models over the driver tables, which double as workloads.

@@ -5,7 +5,9 @@ Every part is a model; its children are the parts of twice its number and one mo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -227,14 +229,14 @@ def refreshed_index(spark, d):
 @query(
     "indexed_search_parts",
     f"""WITH i AS (SELECT id, token, tf, false AS is_name FROM ({_TOKENS.format('p_type', '')}) UNION ALL SELECT id, token, tf, true FROM ({_TOKENS.format('p_name', '')})),
-    h AS (SELECT id, tf * CASE WHEN is_name THEN 2 ELSE 1 END * CASE WHEN token = q THEN 1.0 WHEN starts_with(token, q) THEN 0.5 WHEN levenshtein(token, q) <= length(q) // 5 THEN 0.25 END AS s FROM i, (SELECT unnest(['steal', 'part']) AS q))
+    h AS (SELECT id, tf * CASE WHEN is_name THEN 2 ELSE 1 END * CASE WHEN token = q THEN 1.0 WHEN starts_with(token, q) THEN 0.5 WHEN levenshtein(token, q) <= length(q) // 5 THEN 0.25 END AS s FROM i, (SELECT unnest(['mediun', 'widgets', 'bo', 'red']) AS q))
     SELECT id, CAST(sum(s) AS DOUBLE) AS score FROM h WHERE s IS NOT NULL GROUP BY id ORDER BY score DESC, id LIMIT 20""",
 )
 def indexed_search(spark, d):
     part = table(spark, d, "part").withColumnRenamed("p_partkey", "id")
     index = search.inverted_index(part.select("id", F.col("p_type").alias("text"))).withColumn("is_name", F.lit(False))
     index = index.unionByName(search.inverted_index(part.select("id", F.col("p_name").alias("text"))).withColumn("is_name", F.lit(True)))
-    return search.indexed_search(index, "Steal part")
+    return search.indexed_search(index, "Mediun widgets bo red")
 
 
 @query(
@@ -324,3 +326,68 @@ def cached_lineage(spark, d):
     wanted = n.select(F.col("node").alias("uid"), F.when(F.col("k") % 5 == 0, "changed").otherwise(F.col("name")).alias("sql_hash"))
     valid, anew = lineage.cached_lineage(cached, wanted, 2, "duckdb")
     return valid.select("uid", "transformation", F.lit(False).alias("anew")).unionByName(anew.select("uid", F.lit(None).cast("string").alias("transformation"), F.lit(True).alias("anew")))
+
+
+@query(
+    "columns_mode_parts",
+    f"""WITH RECURSIVE {EDGES_SQL}, {_LINEAGE_SQL}, s AS (SELECT 'm.150' AS node, 0 AS depth UNION SELECT e.source, depth + 1 FROM s JOIN e ON e.target = s.node WHERE depth < 3),
+    a AS (SELECT DISTINCT sm AS node FROM l WHERE tm IN (SELECT node FROM s) EXCEPT SELECT node FROM s), k AS (SELECT node FROM s UNION SELECT node FROM a),
+    f AS (SELECT source, target, false AS implied FROM e UNION ALL SELECT sm, tm, true FROM l),
+    {{path}} AS (SELECT * FROM p_c), q AS (SELECT 'm.1' AS node UNION SELECT model FROM p),
+    g AS (SELECT * FROM f WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k) UNION ALL SELECT source, target, false FROM e
+      UNION ALL SELECT sm, tm, true FROM l WHERE (sm, sc) IN (SELECT (model, "column") FROM p) AND (tm, tc) IN (SELECT (model, "column") FROM p))
+    SELECT 'shown' AS mode, source, target, bool_and(implied) AS implied FROM f WHERE source <> target AND source IN (SELECT node FROM k) AND target IN (SELECT node FROM k) GROUP BY ALL
+    UNION ALL SELECT 'path', source, target, bool_and(implied) FROM g WHERE source <> target AND source IN (SELECT node FROM q) AND target IN (SELECT node FROM q) GROUP BY ALL""".replace("{path}", f"p_c AS ({_path_sql('m.150', 'c')}), p"),
+)
+def columns_mode(spark, d):
+    every, known, rows = nodes(spark, d), edges(spark, d), column_lineage(spark, d)
+    shown = graph.distances(known, "m.150", "upstream", 3).select("node")
+    inside = known.join(shown.toDF("source"), "source", "left_semi").join(shown.toDF("target"), "target", "left_semi")
+    _, wide = graph.columns_mode(shown, inside, every, known, rows)
+    _, path = graph.columns_mode(shown, inside, every, known, rows, selected=("m.150", "c"), direction="upstream", always=("m.1",))
+    return wide.select(F.lit("shown").alias("mode"), "source", "target", "implied").unionByName(path.select(F.lit("path").alias("mode"), "source", "target", "implied"))
+
+
+@query(
+    "excluding_filters_parts",
+    f"""WITH {NODES_SQL}, k AS (SELECT node FROM n WHERE NOT list_contains(string_split(kind, ' '), 'promo') AND folder NOT IN ('Brand#1', 'Brand#2') AND (n.k % 4 = 0 OR n.k % 4 <> 2)), {EDGES_SQL}
+    SELECT source, target FROM e WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k)""",
+)
+def excluding(spark, d):
+    layered = nodes(spark, d).withColumns({"layer": F.when(F.col("k") % 4 != 0, (F.col("k") % 4).cast("double")), "resource_type": F.lit("model")})
+    keep = graph.chosen_by(types=("include", ["model"]), tags=("exclude", ["promo"]), folders=("exclude", ["Brand#1", "Brand#2"]), layers=("exclude", [2.0]))
+    return graph.filter_lineage(layered, edges(spark, d), keep)[1]
+
+
+@query(
+    "waves_of_chains_parts",
+    """WITH RECURSIVE c AS (SELECT p_partkey AS k, p_brand AS b, lag(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS back FROM part),
+    w AS (SELECT k, CAST(row_number() OVER (PARTITION BY b ORDER BY k) - 1 AS INT) AS wave FROM c) SELECT 'm.' || k AS node, wave FROM w""",
+)
+def waves_of_chains(spark, d):
+    """The parts of each brand as one chain, a few dozen to a few hundred nodes long."""
+    n = nodes(spark, d)
+    back = F.lag("node").over(Window.partitionBy("folder").orderBy("k"))
+    return graph.depth_waves(n.select("node"), n.select(back.alias("source"), F.col("node").alias("target")).where("source IS NOT NULL"))
+
+
+_NEAR = "SELECT q, token FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || replace(p_brand, '#', '')), '[^a-z0-9]+')) AS token FROM part), (SELECT unnest(['standar', 'widgte', 'meduim', 'brand11', 'economyy', 'prom']) AS q) WHERE levenshtein(token, q) <= length(q) // 5"
+
+
+@query("near_tokens_parts", _NEAR)
+def near_tokens(spark, d):
+    text = F.concat_ws(" ", "p_name", "p_type", F.translate("p_brand", "#", ""))
+    tokens = search.inverted_index(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))).select("token").distinct()
+    return search.near_tokens(tokens, ["standar", "widgte", "meduim", "brand11", "economyy", "prom"])
+
+
+@query(
+    "stored_index_refresh_parts",
+    f"{_TOKENS.format('p_type', 'WHERE p_partkey % 50 > 1')} UNION ALL {_TOKENS.format('p_name', 'WHERE p_partkey % 50 = 1')}",
+)
+def stored_index_refresh(spark, d):
+    """An index written in buckets, of which a refresh rewrites those of changed and withdrawn texts."""
+    part, path = table(spark, d, "part"), f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("text")), path)
+    search.refresh_index(spark, path, part.where("p_partkey % 50 < 2").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 50 == 1, F.col("p_name")).alias("text")))
+    return search.read_index(spark, path)

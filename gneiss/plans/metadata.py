@@ -1,4 +1,4 @@
-"""Metadata queries: columns, tests, coverage, health, relationships, insights and search over the inline project."""
+"""Metadata queries: columns, tests, coverage, health, relationships, insights and search over the project derived from the driver tables."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from .registry import query
 from .registry import table as data_table
 
 
-def _attached(spark):
-    tests = table(spark, "tests")
-    return metadata.attached_tests(tests, table(spark, "results"))
+def _attached(spark, d):
+    tests = table(spark, d, "tests")
+    return metadata.attached_tests(tests, table(spark, d, "results"))
 
 
 _STATUS = "CASE status WHEN 'success' THEN 'pass' WHEN 'failure' THEN 'fail' WHEN 'warning' THEN 'warn' WHEN 'skipped' THEN 'not_run' ELSE status END"
@@ -26,12 +26,12 @@ _MERGED = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid,
 
 @query("merged_columns", oracle(f"WITH {_MERGED} SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY idx IS NULL, idx, pos, name) AS INT) AS ordinal, name, data_type, description, in_catalog, declared FROM m", "declared_columns", "catalog_columns"))
 def merged_columns(spark, d):
-    return metadata.merged_columns(table(spark, "declared_columns"), table(spark, "catalog_columns"))
+    return metadata.merged_columns(table(spark, d, "declared_columns"), table(spark, d, "catalog_columns"))
 
 
 @query("attached_tests", oracle(f"WITH {_ATTACHED} SELECT * FROM a", "tests", "results"))
 def attached(spark, d):
-    return _attached(spark)
+    return _attached(spark, d)
 
 
 @query(
@@ -43,7 +43,7 @@ def attached(spark, d):
     ),
 )
 def rollup(spark, d):
-    return metadata.test_rollup(_attached(spark))
+    return metadata.test_rollup(_attached(spark, d))
 
 
 def _coverage_sql(group: str) -> str:
@@ -58,28 +58,28 @@ def _coverage_sql(group: str) -> str:
     )
 
 
-def _covered(spark, by_folder=False):
-    columns = metadata.merged_columns(table(spark, "declared_columns"), table(spark, "catalog_columns"))
-    return metadata.coverage(table(spark, "models"), columns, _attached(spark), by_folder)
+def _covered(spark, d, by_folder=False):
+    columns = metadata.merged_columns(table(spark, d, "declared_columns"), table(spark, d, "catalog_columns"))
+    return metadata.coverage(table(spark, d, "models"), columns, _attached(spark, d), by_folder)
 
 
 @query("coverage", _coverage_sql(""))
 def coverage(spark, d):
-    return _covered(spark)
+    return _covered(spark, d)
 
 
 @query("coverage_by_folder", _coverage_sql("folder"))
 def coverage_by_folder(spark, d):
-    return _covered(spark, True)
+    return _covered(spark, d, True)
 
 
-_COMPLEX = r"""SELECT uid, CAST(CASE WHEN trim(sql) = '' THEN 0 ELSE len(string_split(trim(sql), chr(10))) END AS BIGINT) AS lines, len(regexp_extract_all(lower(sql), '\bjoin\b')) AS joins,
+_COMPLEX = r"""SELECT uid, CAST(CASE WHEN trim(sql, E' \t\n') = '' THEN 0 ELSE len(string_split(trim(sql, E' \t\n'), chr(10))) END AS BIGINT) AS lines, len(regexp_extract_all(lower(sql), '\bjoin\b')) AS joins,
   CASE WHEN regexp_matches(lower(sql), '\bwith\b') THEN len(regexp_extract_all(lower(sql), '\b\w+\s+as\s*\(')) ELSE 0 END AS ctes, len(regexp_extract_all(lower(sql), '\(\s*select\b')) AS subqueries FROM models"""
 
 
 @query("complexity", oracle(f"SELECT *, lines > 200 OR joins > 8 OR ctes > 10 OR subqueries > 5 AS is_high, lines + 10 * joins + 5 * ctes + 8 * subqueries AS score FROM ({_COMPLEX})", "models"))
 def complexity(spark, d):
-    return metadata.complexity(table(spark, "models"))
+    return metadata.complexity(table(spark, d, "models"))
 
 
 _NAMED = """SELECT uid, name, layer, regexp_matches(name, CASE layer WHEN 'staging' THEN '^stg_' WHEN 'intermediate' THEN '^int_' ELSE '^(fct_|dim_)' END) AS compliant FROM (
@@ -88,18 +88,18 @@ _NAMED = """SELECT uid, name, layer, regexp_matches(name, CASE layer WHEN 'stagi
 
 @query("naming_compliance", oracle(_NAMED, "models"))
 def naming(spark, d):
-    return metadata.naming(table(spark, "models"))
+    return metadata.naming(table(spark, d, "models"))
 
 
 @query("freshness_score", oracle("SELECT count(*) AS monitored, round(100 * sum(CASE WHEN status IN ('pass', 'runtime error') THEN 1.0 WHEN status = 'warn' THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS score FROM freshness WHERE status IS NOT NULL", "freshness"))
 def freshness(spark, d):
-    return metadata.freshness_score(table(spark, "freshness"))
+    return metadata.freshness_score(table(spark, d, "freshness"))
 
 
-def _health(spark, fresh):
-    models = table(spark, "models")
-    edges = table(spark, "edges")
-    return metadata.health(_covered(spark), metadata.complexity(models), metadata.naming(models), metadata.freshness_score(fresh), models, graph.orphans(models, edges, "uid"))
+def _health(spark, d, fresh):
+    models = table(spark, d, "models")
+    edges = table(spark, d, "edges")
+    return metadata.health(_covered(spark, d), metadata.complexity(models), metadata.naming(models), metadata.freshness_score(fresh), models, graph.orphans(models, edges, "uid"))
 
 
 def _health_sql(fresh: str) -> str:
@@ -113,35 +113,35 @@ def _health_sql(fresh: str) -> str:
 
 
 for _n, _f, _w in (("health_score", "SELECT 100 * sum(CASE WHEN status IN ('pass', 'runtime error') THEN 1.0 WHEN status = 'warn' THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS freshness FROM freshness WHERE status IS NOT NULL", "true"), ("health_score_unmonitored", "SELECT CAST(NULL AS DOUBLE) AS freshness", "false")):
-    query(_n, oracle(_health_sql(_f).replace("{cov}", _coverage_sql("")), "models", "edges", "freshness"))(lambda spark, d, w=_w: _health(spark, table(spark, "freshness").where(w)))
+    query(_n, oracle(_health_sql(_f).replace("{cov}", _coverage_sql("")), "models", "edges", "freshness"))(lambda spark, d, w=_w: _health(spark, d, table(spark, d, "freshness").where(w)))
 
 
 _DOWN = "SELECT source AS uid, count(*) AS downstream FROM edges WHERE target NOT LIKE 'test.%' GROUP BY source"
 
 
-def _downstream(spark):
-    return metadata.referenced_by(table(spark, "edges")).select("uid", F.size("consumers").cast("bigint").alias("downstream"))
+def _downstream(spark, d):
+    return metadata.referenced_by(table(spark, d, "edges")).select("uid", F.size("consumers").cast("bigint").alias("downstream"))
 
 
 @query("undocumented_topk", oracle(f"WITH w AS ({_DOWN}) SELECT uid, coalesce(downstream, 0) AS downstream, count(*) OVER () AS total FROM models LEFT JOIN w USING (uid) WHERE trim(description) = ''", "models", "edges"))
 def undocumented(spark, d):
-    return metadata.ranked(table(spark, "models"), F.trim("description") == "", _downstream(spark))
+    return metadata.ranked(table(spark, d, "models"), F.trim("description") == "", _downstream(spark, d))
 
 
 @query("untested_topk", oracle(f"WITH w AS ({_DOWN}), x AS (SELECT DISTINCT unnest(string_split(depends_on, ',')) AS uid FROM tests) SELECT uid, coalesce(downstream, 0) AS downstream, count(*) OVER () AS total FROM models LEFT JOIN w USING (uid) WHERE uid NOT IN (SELECT uid FROM x) ORDER BY 2 DESC, 1 LIMIT 2", "models", "edges", "tests"))
 def untested(spark, d):
-    models = table(spark, "models").join(_attached(spark).select("uid").distinct(), "uid", "left_anti")
-    return metadata.ranked(models, F.lit(True), _downstream(spark), limit=2)
+    models = table(spark, d, "models").join(_attached(spark, d).select("uid").distinct(), "uid", "left_anti")
+    return metadata.ranked(models, F.lit(True), _downstream(spark, d), limit=2)
 
 
 @query("referenced_by", oracle("SELECT source AS uid, string_agg(DISTINCT target, ',' ORDER BY target) AS consumers FROM edges GROUP BY source", "edges"))
 def referenced(spark, d):
-    return metadata.referenced_by(table(spark, "edges")).withColumn("consumers", F.array_join("consumers", ","))
+    return metadata.referenced_by(table(spark, d, "edges")).withColumn("consumers", F.array_join("consumers", ","))
 
 
 @query("question_verification", oracle(f"SELECT question, q.test_name, CASE WHEN t.test_id IS NULL THEN 'misconfigured' ELSE coalesce({_STATUS}, 'not_run') END AS verdict FROM questions q LEFT JOIN tests t USING (test_name) LEFT JOIN results r ON r.test_id = t.test_id", "questions", "tests", "results"))
 def questions(spark, d):
-    return metadata.verified_questions(table(spark, "questions"), table(spark, "tests"), table(spark, "results"))
+    return metadata.verified_questions(table(spark, d, "questions"), table(spark, d, "tests"), table(spark, d, "results"))
 
 
 _TESTED = """rt AS (SELECT child AS source, child_column AS source_column, parent AS target, parent_column AS target_column,
@@ -157,14 +157,14 @@ _COMPOSED = f"""{_TESTED}, dr AS (SELECT * FROM (SELECT *, row_number() OVER (PA
 _REL = ("relationship_tests", "relationship_results", "facts", "declared_relationships")
 
 
-def _relationships(spark):
-    tested = erd.tested_relationships(table(spark, "relationship_tests"), table(spark, "facts"), table(spark, "relationship_results"))
-    return erd.compose(tested, table(spark, "declared_relationships"))
+def _relationships(spark, d):
+    tested = erd.tested_relationships(table(spark, d, "relationship_tests"), table(spark, d, "facts"), table(spark, d, "relationship_results"))
+    return erd.compose(tested, table(spark, d, "declared_relationships"))
 
 
 @query("erd_compose", oracle(f"WITH {_COMPOSED} SELECT *, target = '' AS is_ghost, substr(sha1(concat_ws('|', source, source_column, target, target_column, origin)), 1, 12) AS relationship_id FROM cm", *_REL))
 def compose(spark, d):
-    return _relationships(spark)
+    return _relationships(spark, d)
 
 
 @query(
@@ -177,7 +177,7 @@ def compose(spark, d):
     ),
 )
 def partners(spark, d):
-    return erd.partner_stats(_relationships(spark))
+    return erd.partner_stats(_relationships(spark, d))
 
 
 @query(
@@ -189,12 +189,12 @@ def partners(spark, d):
     ),
 )
 def reachable(spark, d):
-    return erd.reachable(_relationships(spark), "customers", 2)
+    return erd.reachable(_relationships(spark, d), "customers", 2)
 
 
 @query("erd_key_columns", oracle(f"WITH {_COMPOSED}, f AS (SELECT DISTINCT source AS uid, lower(source_column) AS c, true AS x FROM cm), p AS (SELECT uid, lower(f.column_name) AS c FROM facts f GROUP BY ALL HAVING count(DISTINCT test_type) FILTER (test_type IN ('unique', 'not_null')) = 2) SELECT coalesce(f.uid, p.uid) AS uid, coalesce(f.c, p.c) AS column_name, f.c IS NOT NULL AS is_foreign, p.c IS NOT NULL AS is_primary FROM f FULL JOIN p ON f.uid = p.uid AND f.c = p.c", *_REL))
 def key_columns(spark, d):
-    return erd.key_columns(_relationships(spark), table(spark, "facts"))
+    return erd.key_columns(_relationships(spark, d), table(spark, d, "facts"))
 
 
 _SEM = """CASE WHEN regexp_matches(lower(name), '(_id|_key)$|^id$') THEN 'identifier' WHEN regexp_matches(lower(name), '(_at|_date|_time|_timestamp)$|^(created|updated)_') THEN 'timestamp' WHEN regexp_matches(lower(name), '^(is|has|was)_') THEN 'boolean'
@@ -205,11 +205,11 @@ _SEM = """CASE WHEN regexp_matches(lower(name), '(_id|_key)$|^id$') THEN 'identi
 
 @query("semantic_types", oracle(f"SELECT model, name, {_SEM} AS semantic_type FROM insight_columns", "insight_columns"))
 def semantic(spark, d):
-    return insights.enrich(table(spark, "insight_columns")).select("model", "name", "semantic_type")
+    return insights.enrich(table(spark, d, "insight_columns")).select("model", "name", "semantic_type")
 
 
-_ROLE = f"""r AS (SELECT *, CASE WHEN list_contains(t, 'unique') AND list_contains(t, 'not_null') THEN 'primary_key' WHEN list_contains(t, 'relationships') OR (s = 'identifier' AND list_contains(u, 'join_key')) THEN 'foreign_key' WHEN s = 'timestamp' THEN 'timestamp'
-  WHEN s IN ('amount', 'count', 'percentage') OR list_contains(u, 'aggregated') THEN 'metric' WHEN s IN ('categorical', 'boolean') OR list_contains(t, 'accepted_values') THEN 'categorical' WHEN s IN ('name', 'email', 'url') OR list_contains(u, 'group_by') THEN 'dimension' END AS role
+_ROLE = f"""r AS (SELECT *, CASE WHEN list_contains(t, 'unique') AND list_contains(t, 'not_null') THEN 'primary_key' WHEN list_contains(t, 'relationships') OR (s = 'identifier' AND list_contains(u, 'join_key') AND NOT list_contains(t, 'unique')) THEN 'foreign_key' WHEN s = 'timestamp' THEN 'timestamp'
+  WHEN s IN ('amount', 'count', 'percentage') OR list_contains(u, 'aggregated') THEN 'metric' WHEN s = 'categorical' OR list_contains(t, 'accepted_values') THEN 'categorical' WHEN s IN ('name', 'email', 'url') OR list_contains(u, 'group_by') THEN 'dimension' END AS role
   FROM (SELECT *, coalesce({_SEM}, '') AS s, string_split(tests, ',') AS t, string_split(usages, ',') AS u FROM insight_columns))"""
 
 
@@ -218,12 +218,12 @@ _ROLE = f"""r AS (SELECT *, CASE WHEN list_contains(t, 'unique') AND list_contai
     oracle(
         f"""WITH {_ROLE} SELECT model, name, role, CASE WHEN role IS NULL THEN 0 ELSE round(least(1.0, 0.5 + CASE WHEN role = 'primary_key' OR (role = 'foreign_key' AND list_contains(t, 'relationships')) OR (role = 'categorical' AND list_contains(t, 'accepted_values')) THEN 0.2 ELSE 0 END
         + CASE WHEN (role = 'primary_key' AND list_contains(u, 'join_key')) OR (role = 'foreign_key' AND (list_contains(u, 'join_key') OR list_contains(u, 'filtered'))) OR (role = 'metric' AND list_contains(u, 'aggregated')) OR (role = 'categorical' AND list_contains(u, 'filtered')) OR (role = 'dimension' AND list_contains(u, 'group_by')) THEN 0.2 ELSE 0 END
-        + CASE WHEN (role IN ('primary_key', 'foreign_key') AND s = 'identifier') OR (role = 'timestamp' AND s = 'timestamp') OR (role = 'metric' AND s IN ('amount', 'count', 'percentage')) OR (role = 'categorical' AND s IN ('categorical', 'boolean')) OR (role = 'dimension' AND s IN ('name', 'email', 'url')) THEN 0.1 ELSE 0 END), 2)::DOUBLE END AS confidence FROM r""",
+        + CASE WHEN (role IN ('primary_key', 'foreign_key') AND s = 'identifier') OR (role = 'timestamp' AND s = 'timestamp') OR (role = 'metric' AND s IN ('amount', 'count', 'percentage')) OR (role = 'categorical' AND s = 'categorical') OR (role = 'dimension' AND s IN ('name', 'email', 'url')) THEN 0.1 ELSE 0 END), 2)::DOUBLE END AS confidence FROM r""",
         "insight_columns",
     ),
 )
 def roles(spark, d):
-    return insights.enrich(table(spark, "insight_columns")).select("model", "name", "role", "confidence")
+    return insights.enrich(table(spark, d, "insight_columns")).select("model", "name", "role", "confidence")
 
 
 @query(
@@ -236,12 +236,12 @@ def roles(spark, d):
     ),
 )
 def descriptions(spark, d):
-    return insights.enrich(table(spark, "insight_columns")).select("model", "name", "description")
+    return insights.enrich(table(spark, d, "insight_columns")).select("model", "name", "description")
 
 
-def _entries(spark):
-    nodes, columns = table(spark, "nodes"), table(spark, "declared_columns").groupBy(F.col("uid").alias("node")).agg(F.collect_set("name").alias("columns"))
-    sql = table(spark, "models").select(F.col("uid").alias("node"), "sql")
+def _entries(spark, d):
+    nodes, columns = table(spark, d, "nodes"), table(spark, d, "declared_columns").groupBy(F.col("uid").alias("node")).agg(F.collect_set("name").alias("columns"))
+    sql = table(spark, d, "models").select(F.col("uid").alias("node"), "sql")
     return nodes.join(columns, "node", "left").join(sql, "node", "left").withColumnRenamed("node", "id")
 
 
@@ -251,7 +251,7 @@ _SCORE = """CASE WHEN lower(n.name) = '{q}' THEN 100 WHEN contains(lower(n.name)
 
 @query("search_scored", oracle(f"SELECT node AS id, name, score, description FROM (SELECT node, n.name, n.description, {_SCORE.format(q='orders')} AS score FROM nodes n LEFT JOIN models m ON m.uid = node) WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 20", "nodes", "models", "declared_columns"))
 def search_scored(spark, d):
-    return search.scored(_entries(spark), "Orders")
+    return search.scored(_entries(spark, d), "Orders")
 
 
 @query("search_parts", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN lower(p_name) = 'red' THEN 100 WHEN contains(lower(p_name), 'red') THEN 80 WHEN contains(lower(p_type), 'red') THEN 50 END AS score, substr(p_type, 1, 200) AS description FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') ORDER BY score DESC, id LIMIT 20")
@@ -266,8 +266,8 @@ _FUZZY = "len(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lamb
 
 @query("search_two_tier", oracle(f"WITH a AS (SELECT 1 AS tier, node AS id, name FROM nodes WHERE {_FUZZY.format(q='amount', k=1)}), b AS (SELECT 2 AS tier, uid || '::' || name AS id, name FROM declared_columns WHERE {_FUZZY.format(q='amount', k=1)}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM a) < 5", "nodes", "declared_columns"))
 def two_tier(spark, d):
-    columns = table(spark, "declared_columns").select(F.concat_ws("::", "uid", "name").alias("id"), "name")
-    return search.two_tier(table(spark, "nodes").select(F.col("node").alias("id"), "name"), columns, "amount")
+    columns = table(spark, d, "declared_columns").select(F.concat_ws("::", "uid", "name").alias("id"), "name")
+    return search.two_tier(table(spark, d, "nodes").select(F.col("node").alias("id"), "name"), columns, "amount")
 
 
 @query("inverted_index_parts", "SELECT token, id, count(*) AS tf FROM (SELECT p_partkey AS id, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM part) GROUP BY ALL")
@@ -277,9 +277,9 @@ def inverted(spark, d):
 
 @query("column_occurrences", oracle("SELECT uid, name, data_type FROM declared_columns WHERE lower(name) = 'id'", "declared_columns"))
 def occurrences(spark, d):
-    return search.column_occurrences(table(spark, "declared_columns"), "ID").select("uid", "name", "data_type")
+    return search.column_occurrences(table(spark, d, "declared_columns"), "ID").select("uid", "name", "data_type")
 
 
 @query("list_models", oracle("SELECT node, name FROM nodes WHERE resource_type = 'model' AND name LIKE '%orders' AND folder LIKE 'models/%' AND NOT is_package AND list_contains(string_split(tags, ','), 'core')", "nodes"))
 def list_models(spark, d):
-    return search.list_models(table(spark, "nodes").where("resource_type = 'model'"), "*orders", "models/", "core").select("node", "name")
+    return search.list_models(table(spark, d, "nodes").where("resource_type = 'model'"), "*orders", "models/", "core").select("node", "name")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import erd, profile
+from ..operators import erd, graph, profile, sketches
 from .registry import query, table
 
 #: Columns by category, as the classifier should find them; the SQL is made from these alone.
@@ -204,3 +206,51 @@ def erd_endpoints(spark, d):
     both = child.select(F.col("not_null")).crossJoin(parent.select("is_unique"))  # one row each
     source_end, target_end = erd.endpoints(F.col("not_null"), F.col("is_unique"))
     return both.select(F.lit("orders").alias("source"), F.lit("customer").alias("target"), source_end.alias("source_end"), target_end.alias("target_end"))
+
+
+def _day_sql(name: str, changed: str = "false") -> str:
+    """Exact counts, bounds and means; for estimates whether they are within their error."""
+    value = f"CASE WHEN {changed} THEN 2 * value ELSE value END"
+    parts = {"event_id": ("numeric", "event_id"), "user_id": ("numeric", "user_id"), "event_type": ("string", None), "value": ("numeric", value), "props": ("string", None)}
+    num = lambda f, x: f"{f}({x})::DOUBLE" if x else "CAST(NULL AS DOUBLE)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{kind}' AS category, count(*) AS row_count, count(*) - count({c}) AS null_count, {num('min', x)} AS min_num, {num('max', x)} AS max_num, round({num('avg', x)} + 1e-10, 4) AS mean, true AS distinct_is_near, true AS median_is_near FROM {name}" for c, (kind, x) in parts.items())
+
+
+def _judged(merged, df):
+    """Merged sketches with their estimates held against exact values: distinct counts within 5 %, medians within 2 % of the ranks."""
+    estimates = {r.column_name: r for r in merged.collect()}  # a row for each column
+    columns = list(estimates)
+    exact = profile.distinct_counts(df, columns)
+    rank = lambda c: [F.count_if(F.col(c) < F.lit(estimates[c].median)) / F.count(c) <= 0.52, F.count_if(F.col(c) <= F.lit(estimates[c].median)) / F.count(c) >= 0.48]
+    held = [c for c in columns if estimates[c].median is not None]
+    row = df.agg(*[(rank(c)[0] & rank(c)[1]).alias(c) for c in held]).first() if held else {}
+    near = [(c, abs(estimates[c].distinct_count - exact[c]) <= 0.05 * exact[c] + 1, row[c] if c in held else True) for c in columns]
+    judged = df.sparkSession.createDataFrame(near, "column_name string, distinct_is_near boolean, median_is_near boolean")
+    return merged.select("column_name", "category", "row_count", "null_count", "min_num", "max_num", F.round("mean", 4).alias("mean")).join(judged, "column_name")
+
+
+def _days(spark, d):
+    return table(spark, d, "events").withColumn("day", F.to_date("ts")).drop("ts")
+
+
+@query("sketch_profile_events", _day_sql("events"))
+def sketch_profile(spark, d):
+    events = _days(spark, d)
+    return _judged(sketches.merged(graph.stored(sketches.sketched(events, F.col("day"), [c for c in events.columns if c != "day"]))), events.drop("day"))
+
+
+@query("sketch_refresh_events", _day_sql("events", "CAST(ts AS DATE) = DATE '2024-01-05'"))
+def sketch_refresh(spark, d):
+    """Sketches by day, stored; then one day is rewritten, and only that one is read again."""
+    events, path = _days(spark, d), f"{graph.shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    changed = F.col("day") == F.lit("2024-01-05").cast("date")
+    days = events.groupBy(F.col("day").alias("part")).agg(F.count(F.lit(1)).cast("string").alias("version"))
+    sketches.refresh(events, "day", days, path)
+    later = events.withColumn("value", F.when(changed, 2 * F.col("value")).otherwise(F.col("value")))
+    newer = days.withColumn("version", F.when(F.col("part") == F.lit("2024-01-05").cast("date"), F.concat("version", F.lit("b"))).otherwise(F.col("version")))
+    return _judged(sketches.merged(sketches.refresh(later, "day", newer, path)), later.drop("day"))
+
+
+@query("sketch_top_values_events", "SELECT 'event_type' AS column_name, event_type AS value, count(*) AS frequency, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INT) AS rank FROM events GROUP BY event_type")
+def sketch_top(spark, d):
+    return sketches.merged_top(sketches.sketched(_days(spark, d), F.col("day"), ["event_type"]))

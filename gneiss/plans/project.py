@@ -1,6 +1,8 @@
-"""A small project as inline rows, in SQL that Spark and DuckDB both read: one text for query and oracle alike.
+"""A project derived from the driver tables, in SQL that Spark and DuckDB both read: one text for query and oracle alike.
 
-Lists are comma-separated strings; use ``split`` in Spark and ``string_split`` in DuckDB.
+Every part is a model with columns, tests, lineage and relationships of its own; its consumer is the part of half its
+number, the last one's is ``summary``. Suppliers are sources. A few rows with names that queries ask for, and the cases that
+numbers don't make, are added. Lists are comma-separated strings; use ``split`` in Spark and ``string_split`` in DuckDB.
 """
 
 from __future__ import annotations
@@ -80,32 +82,83 @@ TABLES = {
       ('summary', 'total', 'fct_orders', 'total', 'passthrough'), ('summary', 'odd', 'fct_orders', 'x', 'untraced'), ('stg_customers', 'name', 'raw_customers', 'full_name', 'rename')
     ) AS t(target_model, target_column, source_model, source_column, transformation)""",
 }
+TABLES |= {
+    "references": """SELECT * FROM (VALUES ('raw.orders'), ('RAW.Orders'), ('"db"."raw"."customers"'), ('stg_orders'), ('STG_ORDERS'), ('nowhere.x'), ('r.events')) AS t(ref)""",
+    "known": """SELECT * FROM (VALUES ('source.orders', 'raw', 'orders', 'r'), ('source.customers', 'raw', 'customers', 'r'), ('source.events', 'raw', 'events', 'r'), ('model.stg_orders', 'main', 'stg_orders', 'none')) AS t(uid, schema, name, source_name)""",
+    "model_edges": """SELECT * FROM (VALUES ('raw_orders', 'stg_orders'), ('raw_customers', 'stg_customers'), ('stg_orders', 'int_orders'), ('stg_customers', 'int_orders'), ('int_orders', 'fct_orders'), ('fct_orders', 'summary')) AS t(source, target)""",
+    "model_columns": """SELECT * FROM (VALUES ('raw_orders', 'id'), ('raw_orders', 'cents'), ('raw_customers', 'full_name'), ('stg_orders', 'id'), ('stg_orders', 'amount'), ('int_orders', 'X'), ('int_orders', 'amount'), ('summary', 'total')) AS t(model, col)""",
+    "join_pairs": """SELECT * FROM (VALUES ('stg_orders', 'id', 'int_orders', 'order_id'), ('int_orders', 'cid', 'stg_customers', 'id'), ('stg_orders', 'id', 'int_orders', 'order_id'), ('a', 'x', 'b', 'y')) AS t(left_model, left_column, right_model, right_column)""",
+    "cte_nodes": """SELECT * FROM (VALUES ('src', false), ('p1', true), ('p2', true), ('calc', false), ('out', false)) AS t(node, passthrough)""",
+    "cte_edges": """SELECT * FROM (VALUES ('src', 'p1'), ('p1', 'p2'), ('p2', 'calc'), ('calc', 'out'), ('p1', 'out')) AS t(source, target)""",
+    "components": """SELECT * FROM (VALUES ('margin', 'revenue'), ('margin', 'cost'), ('cost', 'fees'), ('fees', 'cost')) AS t(measure, component)""",
+    "measure_sources": """SELECT * FROM (VALUES ('revenue', 'fct_orders', 'total'), ('cost', 'fct_costs', 'amount'), ('fees', 'fct_fees', 'fee')) AS t(measure, model, col)""",
+}
+
+_K, _HALF = "p_partkey", "CAST(floor(p_partkey / 2) AS BIGINT)"
+
+
+def _pick(by: str, *values: str) -> str:
+    return f"CASE {_K} % {by} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values[:-1])) + f" ELSE {values[-1]} END"
+
+
+_FOLDER = _pick("4", "'models/staging'", "'models/intermediate'", "'models/marts'", "'models/' || replace(lower(p_brand), '#', '_')")
+_NAME = f"({_pick('6', chr(39) + 'stg_' + chr(39), chr(39) + 'int_' + chr(39), chr(39) + 'fct_' + chr(39), chr(39) + 'dim_' + chr(39), chr(39) * 2)} || replace(p_name, ' ', '_') || '_' || {_K})"
+_SQL = f"CASE WHEN {_K} % 9 = 0 THEN 'with e as (select 1 as orders),' || chr(10) || 'f as (select 2) select * from (select 3) x' WHEN {_K} % 10 = 0 THEN '' ELSE 'select *' || chr(10) || 'from a' || repeat(' join b on x = y' || chr(10), CAST({_K} % 12 AS INT)) END"
+
+#: What the driver tables add to each table of the project.
+DERIVED = {
+    "nodes": f"""SELECT 'model.d.' || {_K}, {_NAME}, 'model', NULL, {_FOLDER}, {_FOLDER} || '/' || {_NAME} || '.sql', {_pick('3', "lower(p_type)", "'core,' || lower(p_type)", "''")}, CASE WHEN {_K} % 11 = 0 THEN 'mart' END, {_K} % 13 = 0, CASE WHEN {_K} % 5 = 0 THEN '' ELSE p_name END FROM {{part}}
+      UNION ALL SELECT 'source.d.' || s_suppkey, lower(s_name), 'source', 'erp', '', '', '', NULL, false, '' FROM {{supplier}}""",
+    "edges": f"""SELECT 'model.d.' || {_K}, 'model.d.' || {_HALF} FROM {{part}} WHERE {_K} > 1 UNION ALL SELECT 'model.d.1', 'model.p.summary' FROM {{part}} WHERE {_K} = 1
+      UNION ALL SELECT 'model.p.stg_customers', 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 50 = 49 UNION ALL SELECT 'model.p.stg_orders', 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 100 = 7
+      UNION ALL SELECT 'source.d.' || s_suppkey, 'model.d.' || {_K} FROM {{part}} JOIN {{supplier}} ON s_suppkey = {_K}""",
+    "cyclic": f"SELECT 'd', 'y' || {_K} FROM {{part}} UNION ALL SELECT 'y' || {_K}, 'y' || {_HALF} FROM {{part}} UNION ALL SELECT 'y1', 'a' FROM {{part}} WHERE {_K} = 1",
+    "models": f"SELECT 'model.d.' || {_K}, {_NAME}, {_FOLDER}, {_FOLDER} || '/' || {_NAME} || '.sql', CASE WHEN {_K} % 5 = 0 THEN ' ' ELSE p_name END, {_SQL} FROM {{part}}",
+    "declared_columns": f"SELECT 'model.d.' || {_K}, 'id', 1, CASE WHEN {_K} % 2 = 0 THEN 'key' ELSE '' END, 'int' FROM {{part}} UNION ALL SELECT 'model.d.' || {_K}, 'Col_' || ({_K} % 9), 2, CASE WHEN {_K} % 7 = 0 THEN p_name ELSE ' ' END, '' FROM {{part}}",
+    "catalog_columns": f"SELECT 'model.d.' || {_K}, 'ID', 'BIGINT', 2 FROM {{part}} WHERE {_K} % 3 <> 2 UNION ALL SELECT 'model.d.' || {_K}, 'extra_' || ({_K} % 4), 'DOUBLE', 1 FROM {{part}} WHERE {_K} % 3 <> 2",
+    "tests": f"""SELECT 'test.d.u' || {_K}, 'unique_' || {_K}, 'unique', 'ID', 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 2 = 0 UNION ALL SELECT 'test.d.v' || {_K}, 'values_' || {_K}, 'accepted_values', 'col_' || ({_K} % 9), 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 8 = 3
+      UNION ALL SELECT 'test.d.r' || {_K}, 'rel_' || {_K}, 'relationships', 'id', 'model.d.' || {_HALF} || ',model.d.' || {_K} FROM {{part}} WHERE {_K} % 5 = 1 AND {_K} > 1""",
+    "results": f"SELECT 'test.d.u' || {_K}, {_pick('5', chr(39) + 'success' + chr(39), chr(39) + 'failure' + chr(39), chr(39) + 'warning' + chr(39), chr(39) + 'pass' + chr(39), chr(39) + 'skipped' + chr(39))}, CAST({_K} % 3 AS INT) FROM {{part}} WHERE {_K} % 6 <> 4",
+    "freshness": "SELECT 'source.d.' || s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' WHEN 3 THEN 'runtime error' END FROM {supplier}",
+    "questions": f"SELECT 'Is ' || {_K} || ' unique?', 'unique_' || {_K} FROM {{part}} WHERE {_K} % 10 IN (0, 1, 4)",
+    "relationship_tests": f"SELECT 'rt' || {_K}, 'd' || {_K}, 'parent_id', 'd' || {_HALF}, 'id', {_pick('3', chr(39) + 'WARN' + chr(39), chr(39) + 'Error' + chr(39), 'NULL')} FROM {{part}} WHERE {_K} > 1 UNION ALL SELECT 'rc' || {_K}, 'd' || {_K}, 'customer_id', 'customers', 'id', NULL FROM {{part}} WHERE {_K} % 20 = 3",
+    "facts": f"SELECT 'd' || {_K}, 'id', 'unique' FROM {{part}} WHERE {_K} % 2 = 0 UNION ALL SELECT 'd' || {_K}, 'Parent_ID', 'not_null' FROM {{part}} WHERE {_K} % 3 = 0 UNION ALL SELECT 'd' || {_K}, 'ID', 'not_null' FROM {{part}} WHERE {_K} % 4 = 0",
+    "relationship_results": f"SELECT 'rt' || {_K}, CASE WHEN {_K} % 4 = 0 THEN 'fail' ELSE 'pass' END FROM {{part}} WHERE {_K} % 2 = 0",
+    "declared_relationships": f"""SELECT CAST(10 + {_K} AS INT), 'd' || {_K}, 'parent_id', 'd' || {_HALF}, 'id', {_pick('4', chr(39) + 'one_to_one' + chr(39), chr(39) + 'one_to_many' + chr(39), chr(39) + 'many_to_many' + chr(39), chr(39) + 'unknown' + chr(39))}, p_brand FROM {{part}} WHERE {_K} % 6 < 2 AND {_K} > 1
+      UNION ALL SELECT CAST(10 + {_K} AS INT), 'd' || {_K}, 'note', '', '', 'unknown', 'ghost' FROM {{part}} WHERE {_K} % 10 = 5 UNION ALL SELECT CAST(10 + {_K} AS INT), 'd' || {_K}, 'other', 'd' || {_HALF}, 'id', 'one_to_one', '' FROM {{part}} WHERE {_K} % 9 = 5""",
+    "insight_columns": f"""SELECT 'd' || {_K}, {_pick('13', *(chr(39) + n + chr(39) for n in ('order_id', 'Customer_Key', 'created_at', 'line_total', 'item_count', 'tax_rate', 'order_status', 'full_name', 'user_email', 'page_url', 'is_open', 'misc')), "'x_' || p_partkey")}, {_pick('4', *(chr(39) + n + chr(39) for n in ('BIGINT', 'TIMESTAMP', 'VARCHAR', 'BOOLEAN')))}, CASE WHEN {_K} % 8 = 0 THEN p_name ELSE ' ' END,
+      {_pick('5', *(chr(39) + n + chr(39) for n in ('unique,not_null', 'relationships', 'accepted_values', 'unique', '')))}, {_pick('7', *(chr(39) + n + chr(39) for n in ('join_key', 'aggregated', 'filtered', 'group_by', 'join_key,filtered', '', 'aggregated,group_by')))} FROM {{part}}""",
+    "column_lineage": f"""SELECT 'd' || {_HALF}, 'c', 'd' || {_K}, 'C', {_pick('8', *(chr(39) + n + chr(39) for n in ('passthrough', 'rename', 'derived', 'aggregated', 'constant', 'untraced', 'passthrough', 'unknown')))} FROM {{part}} WHERE {_K} > 1 UNION ALL SELECT 'summary', 'total', 'd1', 'c', 'passthrough' FROM {{part}} WHERE {_K} = 1
+      UNION ALL SELECT 'd' || {_K}, 'C', 'stg_orders', 'Amount', 'rename' FROM {{part}} WHERE {_K} % 10 = 9 UNION ALL SELECT 'd' || {_K}, 'e', 'd' || {_HALF}, 'f' || ({_K} % 3), 'derived' FROM {{part}} WHERE {_K} % 4 = 2""",
+    "references": "SELECT CASE s_suppkey % 6 WHEN 0 THEN 'raw.sup_' WHEN 1 THEN 'RAW.Sup_' WHEN 2 THEN '\"db\".\"raw\".\"sup_' WHEN 3 THEN 'erp.sup_' WHEN 4 THEN 'SUP_' ELSE 'nowhere.sup_' END || s_suppkey || CASE WHEN s_suppkey % 6 = 2 THEN '\"' ELSE '' END FROM {supplier}",
+    "known": "SELECT 'source.d.' || s_suppkey, 'raw', 'sup_' || s_suppkey, 'erp' FROM {supplier}",
+    "model_edges": f"SELECT 'd' || {_K}, 'd' || {_HALF} FROM {{part}} WHERE {_K} > 1",
+    "model_columns": f"SELECT 'd' || {_K}, CASE WHEN {_K} % 2 = 0 THEN 'c' ELSE 'C' END FROM {{part}} WHERE {_K} % 4 <> 3 UNION ALL SELECT 'd' || {_K}, 'F' || ({_K} % 3) FROM {{part}}",
+    "join_pairs": f"SELECT 'd' || {_K}, 'c', 'd' || {_HALF}, 'id' FROM {{part}} WHERE {_K} > 1 AND {_K} % 3 = 0 UNION ALL SELECT 'd' || {_HALF}, 'id', 'd' || {_K}, 'key' FROM {{part}} WHERE {_K} > 1 AND {_K} % 4 < 2",
+    "cte_nodes": f"SELECT 'x' || {_K}, {_K} % 3 = 2 OR {_K} % 4 = 0 FROM {{part}}",
+    "cte_edges": f"SELECT 'x' || {_HALF}, 'x' || {_K} FROM {{part}} WHERE {_K} > 1 UNION ALL SELECT 'x' || {_K}, 'x' || ({_K} + 1) FROM {{part}} WHERE {_K} % 5 = 1",
+    "components": f"SELECT 'm' || {_K}, 'm' || {_HALF} FROM {{part}} WHERE {_K} > 1 UNION ALL SELECT 'm1', 'm7' FROM {{part}} WHERE {_K} = 7",
+    "measure_sources": f"SELECT 'm' || {_K}, 'fct_' || {_K}, 'col' || ({_K} % 3) FROM {{part}} WHERE {_K} % 3 = 1",
+}
 LISTS = {"tags", "depends_on", "usages"}
 
 
-def table(spark: SparkSession, name: str) -> DataFrame:
+def _text(name: str) -> str:
+    return f"{TABLES[name]} UNION ALL {DERIVED[name]}"
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table of the project, its comma-separated lists as arrays."""
-    df = spark.sql(TABLES[name].replace("AS VARCHAR(20)", "AS STRING"))
+    given = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("part", "supplier") if f"{{{t}}}" in DERIVED[name]}
+    df = spark.sql(_text(name).replace("AS VARCHAR(20)", "AS STRING"), **given)
     lists = [c for c in df.columns if c in LISTS or (c == "tests" and name == "insight_columns")]
     return df.withColumns({c: F.filter(F.split(c, ","), lambda x: x != "") for c in lists}) if lists else df
 
 
 def oracle(sql: str, *names: str) -> str:
     """``sql`` with the named project tables in front of it."""
-    parts = ", ".join(f"{n} AS ({TABLES[n]})" for n in names)
+    parts = ", ".join(f"{n} AS ({_text(n).format(part='part', supplier='supplier')})" for n in names)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {parts}, {body[len('WITH RECURSIVE'):]}"
     return f"WITH {parts}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {parts} {body}"
-
-TABLES |= {
-    "references": """SELECT * FROM (VALUES ('raw.orders'), ('RAW.Orders'), ('"db"."raw"."customers"'), ('stg_orders'), ('STG_ORDERS'), ('nowhere.x'), ('r.events')) AS t(ref)""",
-    "known": """SELECT * FROM (VALUES ('source.orders', 'raw', 'orders', 'r'), ('source.customers', 'raw', 'customers', 'r'), ('source.events', 'raw', 'events', 'r'), ('model.stg_orders', 'main', 'stg_orders', 'none')) AS t(uid, schema, name, source_name)""",
-    "model_edges": """SELECT * FROM (VALUES ('raw_orders', 'stg_orders'), ('raw_customers', 'stg_customers'), ('stg_orders', 'int_orders'), ('stg_customers', 'int_orders'), ('int_orders', 'fct_orders'), ('fct_orders', 'summary')) AS t(source, target)""",
-    "model_columns": """SELECT * FROM (VALUES ('raw_orders', 'id'), ('raw_orders', 'cents'), ('raw_customers', 'full_name'), ('stg_orders', 'id'), ('stg_orders', 'amount'), ('int_orders', 'X'), ('int_orders', 'amount'), ('summary', 'total')) AS t(model, col)""",
-    "join_pairs": """SELECT * FROM (VALUES ('stg_orders', 'id', 'int_orders', 'order_id'), ('int_orders', 'cid', 'stg_customers', 'id'), ('stg_orders', 'id', 'int_orders', 'order_id'), ('a', 'x', 'b', 'y')) AS t(left_model, left_column, right_model, right_column)""",
-    "cte_nodes": """SELECT * FROM (VALUES ('src', false), ('p1', true), ('p2', true), ('calc', false), ('out', false)) AS t(node, passthrough)""",
-    "cte_edges": """SELECT * FROM (VALUES ('src', 'p1'), ('p1', 'p2'), ('p2', 'calc'), ('calc', 'out'), ('p1', 'out')) AS t(source, target)""",
-    "components": """SELECT * FROM (VALUES ('margin', 'revenue'), ('margin', 'cost'), ('cost', 'fees'), ('fees', 'cost')) AS t(measure, component)""",
-    "measure_sources": """SELECT * FROM (VALUES ('revenue', 'fct_orders', 'total'), ('cost', 'fct_costs', 'amount'), ('fees', 'fct_fees', 'fee')) AS t(measure, model, col)""",
-}
