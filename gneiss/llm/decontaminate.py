@@ -6,19 +6,21 @@ stretch of it is within floor(SHARE * n) word edits of the item.
 * An item is embedded in pieces of PIECE to 2 * PIECE - 1 words (one of n words if it is shorter).
   The allowed edits deal over the pieces, so some piece has no more than its own share of them,
   however long the item is; a fixed number of walks over whole items would lose ever more leaks.
-* Every piece-sized window of a document, where the item can stand at all (there have to be enough of
-  its word pairs: k edits spoil at most 2k of an item's n - 1 pairs, so this loses nothing), walks
+* Every piece-sized window of a document, where the item can stand at all, walks
   through the CGK embedding: at each step it emits the word it stands on and moves on or stays by a
   random bit of that word, so that few edits become few differing steps.
-* Each of REPEATS independent walks samples SAMPLED steps, hashed together; a window and a piece that
-  agree on all of them make the document and the item candidates. The tests measure the recall by
+* Where an item can stand there have to be enough of its word pairs: k edits spoil at most 2k of an item's
+  n - 1 pairs, so this loses nothing, and one of the pairs that all but 2k of its places have is there. Only an item's
+  rarest pairs that hold 2k + 1 of its places lead to it, so that a phrase that thousands of items share leads to none of them.
+* Each of REPEATS independent walks samples SAMPLED steps, hashed together; a window and a piece of an item that
+  can stand there make the document and the item candidates if they agree on all of them. The tests measure the recall by
   length and kind of edit, at all allowed edits: above 0.9 each.
 * Candidates are verified exactly, wherever in the document the word pairs suffice: edit_distance is
   the least number of word edits between the item and any stretch of the document, by a bit-parallel table.
 
 The benchmark is the query set: it is taken in blocks of about BLOCK_ITEMS items, whose tables are
 broadcast; documents stay where they are and nothing is shuffled. Word pairs are expanded to the items
-that hold them by runs of EXPANDED at most, and item by item where a single document has more.
+that they lead to by runs of EXPANDED at most, and item by item where a single document has more.
 
 Defined results: null text has no words; items of fewer than LEAST_WORDS words identify nothing and
 are left out; repeated rows give repeated results; a null doc_id or item_id stays null; an empty
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 
 SHARE, LEAST_WORDS, PIECE, REPEATS, SAMPLED = 0.2, 5, 10, 40, 4
-BLOCK_ITEMS, EXPANDED = 100_000, 1 << 21
+BLOCK_ITEMS, EXPANDED, WINDOWS = 100_000, 1 << 21, 1 << 13
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 
@@ -117,7 +119,7 @@ def edits(item: np.ndarray, words: np.ndarray) -> int:
 
 
 class Items:
-    """Word arrays, word pairs with their items, and LSH tables of the pieces of one block of the benchmark."""
+    """Word arrays, word pairs with the items that they lead to, and LSH keys of the pieces of one block of the benchmark."""
 
     def __init__(self, texts: list[str]):
         self.words: list[np.ndarray] = []
@@ -132,24 +134,33 @@ class Items:
         order = np.lexsort((owner, pair))
         first = np.ones(len(order), dtype=bool)  # an item has a pair once
         first[1:] = (pair[order][1:] != pair[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        self.pair_owner, pair = owner[order][first], pair[order][first]
-        self.pairs, self.pair_first, which = np.unique(pair, return_index=True, return_inverse=True)
-        self.pair_first = np.append(self.pair_first, len(pair))
-        by_item = np.argsort(self.pair_owner, kind="stable")
-        self.item_pairs, self.item_first = which[by_item], np.searchsorted(self.pair_owner[by_item], np.arange(len(self.size) + 1))
+        times = np.diff(np.append(np.flatnonzero(first), len(order)))
+        owner, pair = owner[order][first], pair[order][first]
+        self.pairs, which, held = np.unique(pair, return_inverse=True, return_counts=True)
+        self.members = np.sort(owner * len(self.pairs) + which)
+        self.distinct = np.bincount(owner, minlength=len(self.size))
+        rare = np.lexsort((held[which], owner))  # by item, its rarest pairs first
+        upto = np.cumsum(times[rare]) - times[rare]
+        begin = np.searchsorted(owner[rare], owner[rare])
+        rare = rare[upto - upto[begin] <= 2 * self.allowed[owner[rare]]] if len(rare) else rare
+        rare = rare[np.lexsort((owner[rare], which[rare]))]
+        self.lead, self.lead_first = owner[rare], np.searchsorted(which[rare], np.arange(len(self.pairs) + 1))
+        self.own_lead = which[rare][np.argsort(self.lead, kind="stable")]
+        self.own_first = np.searchsorted(np.sort(self.lead), np.arange(len(self.size) + 1))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.pairs & np.uint64(len(self.bits) - 1)] = True
         self.masks = [_masks(w) for w in self.words]
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for i in used:
-            for at, n in pieces(int(self.size[i])):
-                by_length.setdefault(n, []).append((i, at))
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.piece_first = np.zeros(len(self.size) + 1, dtype=np.int64)
+        by_length: dict[int, list[tuple[int, int, int]]] = {}
+        for i in range(len(self.size)):
+            own = pieces(int(self.size[i])) if self.size[i] >= LEAST_WORDS else []
+            for j, (at, n) in enumerate(own):
+                by_length.setdefault(n, []).append((i, at, int(self.piece_first[i]) + j))
+            self.piece_first[i + 1] = self.piece_first[i] + len(own)
+        self.keys = np.empty((REPEATS, int(self.piece_first[-1])), dtype=np.uint64)
         for n, own in by_length.items():
-            joined, starts = np.concatenate([self.words[i][at : at + n] for i, at in own]), np.arange(len(own)) * n
-            keys, owners = walk_keys(joined, starts, starts + n, n).ravel(), np.tile([i for i, _ in own], REPEATS)
-            order = np.argsort(keys, kind="stable")
-            self.keys[n] = keys[order], owners[order]
+            joined, starts = np.concatenate([self.words[i][at : at + n] for i, at, _ in own]), np.arange(len(own)) * n
+            self.keys[:, [j for _, _, j in own]] = walk_keys(joined, starts, starts + n, n)
 
     def runs(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(row, item, first, last): the runs of window starts at which the row holds enough of the item's word pairs."""
@@ -163,7 +174,10 @@ class Items:
         at, place = at[known], place[known]
         if not len(at):
             return none
-        times, out, lo = self.pair_first[place + 1] - self.pair_first[place], [], 0
+        held = np.full(len(words), -1, dtype=np.int64)
+        held[at] = place
+        times, out, lo = self.lead_first[place + 1] - self.lead_first[place], [none], 0
+        at, place, times = at[times > 0], place[times > 0], times[times > 0]
         total, ends = np.cumsum(times), np.append(np.flatnonzero(np.diff(row[at])) + 1, len(at))
         while lo < len(at):
             done = total[lo - 1] if lo else 0
@@ -171,21 +185,53 @@ class Items:
             hi = int(ends[max(k, np.searchsorted(total[ends - 1], done + EXPANDED, side="right") - 1)])
             if total[hi - 1] - done <= EXPANDED:
                 inner = np.arange(total[hi - 1] - done) - np.repeat(total[lo:hi] - times[lo:hi] - done, times[lo:hi])
-                item = self.pair_owner[np.repeat(self.pair_first[place[lo:hi]], times[lo:hi]) + inner]
-                out.append(self._enough(item, np.repeat(at[lo:hi], times[lo:hi]), row))
+                item = self.lead[np.repeat(self.lead_first[place[lo:hi]], times[lo:hi]) + inner]
+                out += self._around(item, np.repeat(at[lo:hi], times[lo:hi]), row, held)
             else:  # one document, item by item, for those of which it has enough pairs at all
-                for i in self._possible(np.unique(place[lo:hi])):
-                    own = at[lo:hi][np.isin(place[lo:hi], self.item_pairs[self.item_first[i] : self.item_first[i + 1]])]
-                    out.append(self._enough(np.full(len(own), i), own, row))
+                order = np.argsort(place[lo:hi], kind="stable")
+                there, where = place[lo:hi][order], at[lo:hi][order]
+                for i in self._possible(np.unique(held[np.searchsorted(row, row[at[lo]]) : np.searchsorted(row, row[at[lo]], side="right")])):
+                    own = self.own_lead[self.own_first[i] : self.own_first[i + 1]]
+                    left, right = np.searchsorted(there, own), np.searchsorted(there, own, side="right")
+                    own = np.concatenate([where[a:b] for a, b in zip(left, right, strict=True)])
+                    out += self._around(np.full(len(own), i), own, row, held) if len(own) else []
             lo = hi
         return np.concatenate(out)
 
     def _possible(self, place: np.ndarray) -> np.ndarray:
         """Items of which all pairs but those that the allowed edits spoil are among the distinct pairs ``place``."""
-        count = np.zeros(len(self.size), dtype=np.int64)
-        for p in place:
-            count[self.pair_owner[self.pair_first[p] : self.pair_first[p + 1]]] += 1
-        return np.flatnonzero((count > 0) & (count >= np.diff(self.item_first) - 2 * self.allowed))
+        here = np.zeros(len(self.pairs), dtype=bool)
+        here[place[place >= 0]] = True
+        count = np.bincount(self.members[here[self.members % len(self.pairs)]] // len(self.pairs), minlength=len(self.size))
+        return np.flatnonzero((count > 0) & (count >= self.distinct - 2 * self.allowed))
+
+    def _around(self, item: np.ndarray, at: np.ndarray, row: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+        """The runs near places that lead to items: of what stands within a window of these, all pairs of the item count."""
+        order = np.lexsort((at, item, row[at]))
+        item, at, reach = item[order], at[order], self.size[item[order]] - 2
+        low = np.maximum(at - reach, np.searchsorted(row, row[at]))
+        high = np.minimum(at + reach, np.searchsorted(row, row[at], side="right") - 1)
+        new = np.ones(len(item), dtype=bool)  # stretches of one document and item that overlap are one
+        new[1:] = (item[1:] != item[:-1]) | (row[at[1:]] != row[at[:-1]]) | (low[1:] > high[:-1])
+        first = np.flatnonzero(new)
+        item, low, high = item[first], low[first], high[np.append(first[1:], len(new)) - 1]
+        apart = np.ones(len(item), dtype=bool)
+        apart[1:] = (item[1:] != item[:-1]) | (row[low[1:]] != row[low[:-1]])
+        groups, total, out, lo = np.append(np.flatnonzero(apart)[1:], len(item)), np.cumsum(high - low + 1), [], 0
+        while lo < len(item):
+            done = total[lo - 1] if lo else 0
+            k = np.searchsorted(groups, lo, side="right")
+            hi = int(groups[max(k, np.searchsorted(total[groups - 1], done + EXPANDED, side="right") - 1)])
+            sizes = (high - low + 1)[lo:hi]
+            place = np.repeat(low[lo:hi] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            whose = np.repeat(item[lo:hi], sizes)
+            known = held[place] >= 0
+            place, whose = place[known], whose[known]
+            key = whose * len(self.pairs) + held[place]
+            hit = self.members[np.minimum(np.searchsorted(self.members, key), len(self.members) - 1)] == key
+            out.append(self._enough(whose[hit], place[hit], row))
+            lo = hi
+        return out
 
     def _enough(self, item: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
         order = np.lexsort((at, item, row[at]))
@@ -207,26 +253,28 @@ class Items:
         return np.stack((row[high[first]], item[first], low[first], high[last]), axis=1)
 
     def met(self, runs: np.ndarray, words: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) of the runs in which a walk of a window of the row met that of a piece of the item."""
-        asked: dict[int, list[np.ndarray]] = {}
-        for r, i, first, last in runs.tolist():
+        """(row, item) of the runs in which a walk of a window met that of a piece of the item."""
+        asked: dict[int, list[tuple[int, int, int, int]]] = {}
+        for number, (r, i, first, last) in enumerate(runs.tolist()):
             begin, end = np.searchsorted(row, (r, r + 1)).tolist()
             k = int(self.allowed[i])
-            for at, n in pieces(int(self.size[i])):
-                asked.setdefault(n, []).append(np.arange(max(begin, first + at - k), min(end, last + at + k + 1)))
-        out: set[tuple[int, int]] = set()
-        for n, starts in asked.items():
-            starts = np.unique(np.concatenate(starts))
-            table, owners = self.keys[n]
-            for lo in range(0, len(starts), 1 << 13):
-                own = starts[lo : lo + (1 << 13)]
-                keys = walk_keys(words, own, np.minimum(own + n, np.searchsorted(row, row[own], side="right")), n).ravel()
-                left, right = np.searchsorted(table, keys), np.searchsorted(table, keys, side="right")
-                hit = np.flatnonzero(left < right)
-                times = right[hit] - left[hit]
-                item = owners[np.repeat(left[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                out.update(zip(row[own[np.repeat(hit, times) % len(own)]].tolist(), item.tolist(), strict=True))
-        return out
+            for j, (at, n) in enumerate(pieces(int(self.size[i])), int(self.piece_first[i])):
+                low, high = max(begin, first + at - k), min(end, last + at + k + 1)
+                asked.setdefault(n, []).extend((a, min(a + WINDOWS, high), j, number) for a in range(low, high, WINDOWS))
+        found = np.zeros(len(runs), dtype=bool)
+        for n, parts in asked.items():
+            low, high, piece, number = np.array(sorted(parts), dtype=np.int64).T
+            total, lo = np.cumsum(high - low), 0
+            while lo < len(low):  # by blocks of windows, those that stand together together
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + WINDOWS, side="right")))
+                sizes = (high - low)[lo:hi]
+                starts = np.repeat(low[lo:hi] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                own, place = np.unique(starts, return_inverse=True)
+                keys = walk_keys(words, own, np.minimum(own + n, np.searchsorted(row, row[own], side="right")), n)
+                same = (keys[:, place] == self.keys[:, np.repeat(piece[lo:hi], sizes)]).any(0)
+                found[np.repeat(number[lo:hi], sizes)[same]] = True
+                lo = hi
+        return {(r, i) for r, i in runs[found, :2].tolist()}
 
     def leaked(self, words: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], int]:
         """(row, item) of every leak, with its edit distance."""

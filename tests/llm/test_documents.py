@@ -341,6 +341,48 @@ def test_a_common_pair_takes_bounded_memory():
     assert found == [(1, 700)] and peak < 200 << 20
 
 
+@pytest.mark.parametrize("shape", ["prefix", "middle", "alike"])
+def test_items_that_share_most_of_their_words(shape):
+    """Thousands of items made by one template, and a document that holds hundreds of them."""
+    import time
+    import tracemalloc
+
+    rng, many = np.random.default_rng(5), 20_000 if shape != "alike" else 400
+    shared = "which of the following statements about this topic is true"
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(50_000, size=n))
+    items = [f"{shared} {own(10)}" if shape == "prefix" else f"{own(5)} {shared} {own(5)}" if shape == "middle" else f"{shared} {shared[::-1]} {own(1)}" for _ in range(many)]
+    made = decontaminate.Items(items)
+    planted = rng.choice(many, size=2000 if shape != "alike" else 40, replace=False).tolist()
+    text = " ".join(f"{own(3)} {items[i]}" for i in planted)
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = {i: d for _, _, words, row in decontaminate.word_arrays(pa.array(["", text])) for (_, i), d in made.leaked(words, row).items()}
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {i for i, d in found.items() if d == 0} >= set(planted) and peak < 300 << 20 and took < 60
+    assert len(found) == (many if shape == "alike" else len(planted))
+
+
+def test_rare_pairs_lose_no_leak():
+    """Runs found from the rarest pairs alone hold every stretch within the allowed edits, repeated words included."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        texts = [" ".join(map(str, rng.integers(rng.choice([3, 8, 40]), size=int(rng.integers(5, 40))))) for _ in range(6)]
+        made = decontaminate.Items(texts)
+        doc = []
+        for t in texts:
+            copy = t.split()
+            for _ in range(decontaminate.allowed(len(copy))):
+                q = int(rng.integers(len(copy)))
+                copy[q : q + int(rng.integers(0, 2))] = [str(rng.integers(60))] * int(rng.integers(0, 2))
+            doc += [str(x) for x in rng.integers(60, size=5)] + copy
+        for _, _, words, row in decontaminate.word_arrays(pa.array([" ".join(doc)])):
+            runs = {i for _, i, _, _ in made.runs(words, row).tolist()}
+            for i, w in enumerate(made.words):
+                if decontaminate.edits(w, words) <= decontaminate.allowed(len(w)):
+                    assert i in runs
+
+
 @pytest.mark.parametrize("n", [5, 50, 100, 200, 400])
 def test_every_allowed_leak_is_found(n):
     rng, k = np.random.default_rng(n), decontaminate.allowed(n)
