@@ -1,12 +1,13 @@
 """Quality rules: robust multivariate outliers per language and source, in DataFrame functions only.
 
 Each document becomes a vector of transformed statistics. For every (lang, source) group a
-minimum-covariance-determinant estimate is sought from several starts: all rows, medians with quartile
-ranges, and HASHED samples by a hash of the vector (copies are in one or not together, so that a hot
-group of copies is in few of them). Concentration steps are taken from all starts at once: distances
+minimum-covariance-determinant estimate is sought from many starts: all rows, medians with quartile
+ranges, and ELEMENTAL ones of ELEMENT different vectors each, which are few enough that some start has no outlier among
+them (copies are one vector, so a hot group of copies is in few starts). Concentration steps are taken from
+all starts at once: distances
 under each estimate are put in fine buckets, sums per bucket give mean and covariance of the h nearest
-rows, and these are the next estimate. When determinants fall no more, the start of the least one is
-the group's estimate. Each step is one partially aggregated pass over a thin table of statistics; no
+rows, and these are the next estimate. After FIRST_STEPS steps the KEPT starts of least determinant go on; when
+determinants fall no more, the start of the least one is the group's estimate. Each step is one partially aggregated pass over a thin table of statistics; no
 group is ever gathered. Documents beyond a Mahalanobis cutoff are rejected.
 
 Defined results: null text counts as empty (no words, base_failed); null lang or source form groups
@@ -30,8 +31,8 @@ FLOORS = {"x_len": 0.10, "x_sym": 0.35, "x_dup": 0.15, "x_rep": 0.15}
 CUTOFF = 23.5127
 #: Share of a group's rows that the estimate must cover, and the most concentration steps taken.
 COVER, STEPS = 0.6, 10
-#: Hashed starts, and how many rows one of their rows stands for.
-HASHED, ONE_IN = 5, 8
+#: Elemental starts, the vectors of each, and the rows that these are drawn from; steps with all starts, and starts that then go on.
+ELEMENTAL, ELEMENT, DRAWN, FIRST_STEPS, KEPT = 32, 3, 9, 2, 4
 #: Buckets a unit of a statistic for its quartiles.
 QUARTILE_RESOLUTION = 256
 #: Distance buckets: the square root of the shape of log(1 + d2) at this resolution, and their number.
@@ -171,23 +172,38 @@ def fit(vectored: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFr
     names = [f"s_{i}" for i in range(len(dims))] + [f"q_{i}_{k}" for i, k in pairs]
     sums = [F.sum(x).alias(f"s_{i}") for i, x in enumerate(dims)]
     sums += [F.sum(F.col(dims[i]) * F.col(dims[k])).alias(f"q_{i}_{k}") for i, k in pairs]
-    sampled = F.filter(F.sequence(F.lit(1), F.lit(HASHED)), lambda seed: F.pmod(F.xxhash64(*dims, seed), F.lit(ONE_IN)) == 0)
-    starts = rows.withColumn("start", F.explode(F.concat(F.array(F.lit(0)), sampled)))
-    est = _estimate(starts.groupBy(*GROUP, "start").agg(F.count(F.lit(1)).alias("n"), *sums), dims, floors, 1.0)
-    est, inflate, before = est.unionByName(_quartile_start(rows, dims, floors, HASHED + 1)), consistency(cover, len(dims)), None
-    for _ in range(steps):
+    every = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *sums).checkpoint()
+    est = _estimate(every.withColumn("start", F.lit(0)), dims, floors, 1.0)
+    est = est.unionByName(_quartile_start(rows, dims, floors, ELEMENTAL + 1))
+    est = est.unionByName(_estimate(_elements(rows, every, dims).groupBy(*GROUP, "start").agg(F.count(F.lit(1)).alias("n"), *sums), dims, floors, 1.0))
+    inflate, before = consistency(cover, len(dims)), None
+    by_determinant = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_det", "start"))
+    for step in range(FIRST_STEPS + steps):
         near = rows.join(_small(est.checkpoint()), GROUP).withColumn("b", F.least(F.floor(F.log1p(_distance(dims)) * RESOLUTION), F.lit(BUCKETS - 1)))
         by = near.groupBy(*GROUP, "start", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
         each = Window.partitionBy(*GROUP, "start")
         by = by.withColumns({"below": F.sum("n").over(each.orderBy("b")) - F.col("n"), "all": F.sum("n").over(each)})
         core = by.where(F.col("below") < cover * F.col("all")).groupBy(*GROUP, "start").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
-        est = _estimate(core, dims, floors, inflate).checkpoint()
+        est = _estimate(core, dims, floors, inflate)
+        if step < FIRST_STEPS - 1:
+            continue
+        if step == FIRST_STEPS - 1:
+            est = est.withColumn("place", by_determinant).where(F.col("place") <= KEPT).drop("place")
+        est = est.checkpoint()
         least = est.groupBy(*GROUP).agg(F.min("log_det").alias("d")).agg(F.sum("d")).first()[0]
         if least is None or before is not None and abs(before - least) < 1e-9:
             break
         before = least
-    first = F.row_number().over(Window.partitionBy(*GROUP).orderBy("log_det", "start"))
-    return est.withColumn("place", first).where("place = 1").drop("place", "start").checkpoint()
+    return est.withColumn("place", by_determinant).where("place = 1").drop("place", "start").checkpoint()
+
+
+def _elements(rows: DataFrame, every: DataFrame, dims: list[str]) -> DataFrame:
+    """The ELEMENT different vectors of least hash of every group and elemental start, among about DRAWN rows that their hashes draw."""
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(ELEMENTAL)), lambda start: F.pmod(F.xxhash64(*dims, start), F.col("n")) < DRAWN)
+    some = rows.join(_small(every.select(*GROUP, "n")), GROUP).withColumn("start", F.explode(drawn))
+    some = some.groupBy(*GROUP, "start", *dims).agg(F.first(F.xxhash64(*dims, "start")).alias("h"))
+    first = F.row_number().over(Window.partitionBy(*GROUP, "start").orderBy("h", *dims))
+    return some.withColumn("place", first).where(F.col("place") <= ELEMENT).drop("place", "h")
 
 
 def _grouped(df: DataFrame) -> DataFrame:

@@ -92,6 +92,33 @@ def test_quality_estimates_have_the_least_determinant(spark, share):
         assert own.kept[~own.bad].mean() > 0.98 and (own.kept == (d2 <= quality.CUTOFF)).mean() > 0.97
 
 
+def test_overlapping_outliers_flip_no_verdict(spark):
+    """Groups of hundreds and thousands with a quarter to 38 % of outliers close by, against an independent search from many starts."""
+    rng, rows, floors = np.random.default_rng(7), [], list(quality.FLOORS.values())
+    for group in range(10):
+        n = (300, 2000)[group % 2]
+        x = rng.normal(size=(n, 4)) @ np.diag([0.2, 0.5, 0.2, 0.2]) @ (np.eye(4) + 0.3 * rng.random((4, 4)))
+        bad, way = int(rng.uniform(0.25, 0.38) * n), rng.normal(size=4)
+        x[:bad] = x[:bad] * rng.uniform(0.1, 1) + rng.uniform(0.8, 2) * way / np.linalg.norm(way)
+        rows += [("v" + str(group), "vs", False, i < bad, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, f"g_lang string, g_source string, base_failed boolean, bad boolean, {', '.join(f'{c} double' for c in quality.FLOORS)}")
+    est = quality.fit(df)
+    found = {r.g_lang: r.log_det for r in est.collect()}
+    for lang, own in quality.judge(df, est).toPandas().groupby("g_lang"):
+        log_det, d2 = least_determinant(own[list(quality.FLOORS)].to_numpy(), floors, quality.COVER, tries=60)
+        assert found[lang] <= log_det + 0.05
+        assert (own.kept == (d2 <= quality.CUTOFF)).mean() > 0.95
+        assert abs(own.kept[own.bad].mean() - (d2 <= quality.CUTOFF)[own.bad.to_numpy()].mean()) < 0.2
+
+
+def test_elemental_starts_take_different_vectors(spark):
+    df = spark.range(3000).selectExpr("'v' AS g_lang", "'s' AS g_source", "IF(id < 1500, 0D, id / 10D) AS x_len", "IF(id < 1500, 0D, id % 7 + 0D) AS x_sym", "0D AS x_dup", "0D AS x_rep")
+    every = df.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
+    got = quality._elements(df, every, list(quality.FLOORS)).toPandas()
+    assert got.start.nunique() >= quality.ELEMENTAL - 2 and got.groupby("start").size().max() == quality.ELEMENT
+    assert not got.duplicated().any() and (got.x_len == 0).mean() < 0.1
+
+
 def test_quality_rejects_junk_texts(spark):
     rng = np.random.default_rng(2)
     rows = []
