@@ -4,8 +4,9 @@ Every task packs the documents of its own input partition as they come, so nothi
 nothing meets in one place. A document is tokenized, closed with an end id and cut into full
 sequences; its rest goes to the fill level whose choice leaves the least sum of squared counts of
 partly filled sequences. The counts are one array with a cell per level, so that a choice is one
-vector operation. Sequences that are still open when a partition ends are run together and cut
-anew (a piece may be cut anywhere), which leaves one padded sequence per partition at most.
+vector operation. When a partition ends, the sequences that are still open keep what was placed in them, the
+fullest first, and are filled up with pieces cut off the emptiest ones (a piece may be cut anywhere), which leaves one padded
+sequence per partition at most. Only what the emptiest held is moved: by_rest marks it.
 
 Defined results: null text counts as empty and is the end id alone; a null doc_id stays null;
 repeated rows are packed each; an empty table gives no pieces; only doc_id and text are read, so
@@ -18,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,10 +104,22 @@ class LevelPacker:
         return None
 
     def rest(self) -> Iterator[list]:
-        """The pieces of the sequences still open, the fullest first."""
-        for level in range(self.size - 1, 0, -1):
-            for pieces in self.open[level]:
-                yield from pieces
+        """The sequences still open, the fullest filled up with what the emptiest hold; the last may lack something."""
+        left = deque((level, pieces) for level in range(self.size - 1, 0, -1) for pieces in self.open[level])
+        while left:
+            level, pieces = left.popleft()
+            while level < self.size and left:
+                held, donor = left.pop()
+                while donor and level < self.size:
+                    doc, start, ids, total, _ = donor.pop()
+                    taken = ids[: self.size - level]
+                    pieces.append((doc, start, taken, total, True))
+                    level, held = level + len(taken), held - len(taken)
+                    if len(taken) < len(ids):
+                        donor.append((doc, start + len(taken), ids[len(taken) :], total, True))
+                if donor:
+                    left.append((held, donor))
+            yield pieces
 
 
 def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple]:
@@ -117,41 +131,32 @@ def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
 
 
 def _sequences(documents: Iterator[tuple], size: int) -> Iterator[list]:
-    """Lists of pieces (doc_id, start, ids, doc_tokens), each list a sequence."""
+    """Lists of pieces (doc_id, start, ids, doc_tokens, by_rest), each list a sequence."""
     packer = LevelPacker(size)
     for doc, ids in documents:
         full = len(ids) // size * size
         for start in range(0, full, size):
-            yield [(doc, start, ids[start : start + size], len(ids))]
-        if full < len(ids) and (done := packer.place((doc, full, ids[full:].copy(), len(ids)), len(ids) - full)):
+            yield [(doc, start, ids[start : start + size], len(ids), False)]
+        if full < len(ids) and (done := packer.place((doc, full, ids[full:].copy(), len(ids), False), len(ids) - full)):
             yield done
-    pieces, room = [], size
-    for doc, start, ids, total in packer.rest():
-        while len(ids):
-            pieces.append((doc, start, ids[:room], total))
-            start, ids, room = start + len(pieces[-1][2]), ids[room:], room - len(pieces[-1][2])
-            if not room:
-                yield pieces
-                pieces, room = [], size
-    if pieces:
-        yield pieces
+    yield from packer.rest()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, by_rest, and ids if asked for.
 
     Sequence ``sequence_id`` is its pieces by ``offset``; what lacks to ``size`` is padding.
     """
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, by_rest boolean" + ", ids array<int>" * with_ids
+    types = [pa.int64()] * 7 + [pa.bool_()] + [pa.list_(pa.int32())] * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         base, rows = TaskContext.get().partitionId() << 40, []
         for number, pieces in enumerate(_sequences(_documents(batches, tokenizer_path, end_id), size)):
             offset = 0
-            for doc, start, ids, total in pieces:
-                row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + number, offset)
+            for doc, start, ids, total, by_rest in pieces:
+                row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + number, offset, by_rest)
                 rows.append((*row, ids.astype(np.int32)) if with_ids else row)
                 offset += len(ids)
             if len(rows) >= PIECES_AT_ONCE:

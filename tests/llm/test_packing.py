@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from gneiss.llm.packing import LevelPacker, encoding, pack, token_ids
+from gneiss.llm.packing import LevelPacker, _sequences, encoding, pack, token_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -82,3 +83,18 @@ def test_open_sequences_grow_slower_than_documents():
             packer.place(length, length)
         left.append(packer.count.sum() / n)
     assert left[1] < left[0] / 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 600, 5000])
+def test_open_sequences_keep_what_was_placed(n):
+    rng = np.random.default_rng(n)
+    documents = [(i, np.arange(length, dtype="<u4")) for i, length in enumerate(rng.integers(1, 1500, size=n).tolist())]
+    got = list(_sequences(iter(documents), 1024))
+    sizes = [sum(len(p[2]) for p in s) for s in got]
+    assert max(sizes) <= 1024 and sum(x < 1024 for x in sizes) <= 1
+    for doc, ids in documents:
+        pieces = sorted((p[1], p[2]) for s in got for p in s if p[0] == doc) if n < 100 else None
+        assert pieces is None or np.concatenate([x for _, x in pieces]).tolist() == ids.tolist()
+    assert sum(sizes) == sum(len(ids) for _, ids in documents)
+    moved = sum(len(p[2]) for s in got for p in s if p[4])
+    assert moved <= 0.25 * sum(sizes) + 1024
