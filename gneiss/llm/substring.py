@@ -61,7 +61,9 @@ def bucketed(docs: DataFrame, columns: list[str]) -> DataFrame:
     place = F.dense_rank().over(Window.partitionBy("_key").orderBy(text_key("_text")))
     rows = rows.withColumn("_key", F.coalesce("_id", text_key("_text"))).repartition(buckets, "_key").withColumn("_nth", (place - 1).cast("int"))
     rows.write.bucketBy(buckets, "_key").sortBy("_key").option("compression", "zstd").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay where they are and are what ``table`` reads
+    return table
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, size: int):
