@@ -11,6 +11,12 @@ of a page that has one. Inside it, densities and neighbours decide, with a leani
 a block ambiguous, not bad (it may be in any language); its edges count as good neighbours; and an
 ambiguous block is bad only between two bad neighbours.
 
+A page without an article has the rules alone. Stop words count there if the page's words hold a share of KNOWN of them;
+else its language is none that STOP knows, and length and links decide (ideographs count for three
+characters). If no block is decided good, the ambiguous ones are text, and if there are none either, class, id and role
+are outvoted: what they mark, menus, forms and the like aside, is text where densities say so. A page with any text
+but menus and their like thus seldom gives none.
+
 Defined results: null or empty html gives an empty text; an unclosed comment, script or excluded
 element reaches to the end of its parent or the page, an unclosed tag to the end of the page; after
 QUOTE_FAILURES tags whose quotes never close, quotes in tags are no longer minded, so that reading takes
@@ -56,7 +62,7 @@ STOP = frozenset(
 #: What can decide a block.
 BY = ("cue", "density", "neighbours")
 #: Lengths in characters, densities as shares.
-SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.5, 0.15, 0.25
+SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH, KNOWN = 70, 200, 0.5, 0.15, 0.25, 0.08
 
 #: Tags with quotes that don't close before quotes are given up.
 QUOTE_FAILURES = 16
@@ -76,6 +82,7 @@ class Block:
     link_chars: int = 0
     outside: bool = False
     inside: bool = False
+    marked: bool = False
     heading: bool = False
     text: str = ""
 
@@ -111,7 +118,7 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks that hold text, in order."""
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, inside, of the open nested elements
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, outside, inside, outside by more than a mark, of the open nested elements
     opened: dict[str, int] = {}
     now, links, at = Block(), 0, 0
     heading = False
@@ -121,8 +128,8 @@ def blocks(page: str) -> Iterator[Block]:
         return now if now.text else None
 
     def fresh() -> Block:
-        top = stack[-1] if stack else ("", False, False)
-        return Block(outside=top[1], inside=top[2], heading=heading)
+        top = stack[-1] if stack else ("", False, False, False)
+        return Block(outside=top[1], inside=top[2], marked=top[1] and not top[3], heading=heading)
 
     for start, end, name, is_end, attributes in tags(page):
         if start > at:
@@ -139,12 +146,13 @@ def blocks(page: str) -> Iterator[Block]:
         heading = name in HEADING and not is_end
         if name in NESTED:
             if not is_end:
-                outside, inside = stack[-1][1:] if stack else (False, False)
+                outside, inside, named = stack[-1][1:] if stack else (False, False, False)
                 is_main = name in INSIDE or _MAIN.search(attributes) is not None
+                named = named or name in OUTSIDE and not (name == "header" and inside)
                 apart = name in OUTSIDE and not (name == "header" and inside) or name not in ("body", "html") and not is_main and _marked(attributes, inside)
                 apart = apart or name == "article" and inside and _marked(attributes, inside)
                 if not attributes.endswith("/"):
-                    stack.append((name, outside or apart, inside or is_main and not (outside or apart)))
+                    stack.append((name, outside or apart, inside or is_main and not (outside or apart), named))
                     opened[name] = opened.get(name, 0) + 1
             elif opened.get(name):
                 gone = ""
@@ -158,27 +166,45 @@ def blocks(page: str) -> Iterator[Block]:
         yield done
 
 
-def classify(block: Block, has_main: bool) -> tuple[str, str]:
+def _stop_words(text: str) -> tuple[int, int]:
+    tokens = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP for w in tokens), len(tokens)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the words of the page's blocks, cues aside, hold enough stop words for these to be a measure."""
+    counts = [_stop_words(b.text) for b in found if not b.outside or b.marked]
+    return sum(n for n, _ in counts) >= KNOWN * sum(n for _, n in counts)
+
+
+def classify(block: Block, has_main: bool, known: bool = True, cues: bool = True) -> tuple[str, str]:
     """First pass: good, bad, or what is ambiguous (near: middling, short), from the block alone; and whether a cue or the densities say so."""
-    if block.outside or has_main and not block.inside:
+    if block.outside and (cues or not block.marked) or has_main and not block.inside:
         return "bad", "cue"
     size = len(block.text)
     linked = min(block.link_chars, size) / size
     if linked > (LINKED if has_main else LINKED / 2) and not (has_main and block.heading):
         return "bad", "density"
+    if not has_main and not known:
+        size += 2 * sum(c >= "\u3040" for c in block.text)
     if size < SHORT:
         return ("bad", "density") if linked > 0 and not has_main else ("short", "")
-    tokens = block.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP for w in tokens) / len(tokens)
-    if density >= STOP_HIGH and size > LONG:
+    if not has_main and not known:
+        return "good", "density"
+    n, words = _stop_words(block.text)
+    if n / words >= STOP_HIGH and size > LONG:
         return "good", "density"
-    return ("near", "") if density >= STOP_LOW or has_main else ("bad", "density")
+    return ("near", "") if n / words >= STOP_LOW or has_main else ("bad", "density")
 
 
 def labels(found: list[Block]) -> list[tuple[bool, str]]:
     """For every block whether it is text, and what decided that: cue, density, or neighbours (the second pass)."""
     has_main = any(b.inside and not b.outside for b in found)
-    first = [classify(b, has_main) for b in found]
+    known = has_main or known_language(found)
+    first = [classify(b, has_main, known) for b in found]
+    if not has_main and all(label == "bad" for label, _ in first):  # marks are outvoted
+        again = [classify(b, has_main, known, cues=False) for b in found]
+        return [(True, "density") if new == ("good", "density") else (False, by) for (_, by), new in zip(first, again, strict=True)]
     edge = "good" if has_main else "bad"
     before, after = _nearest(first, edge, has_main), _nearest(first[::-1], edge, has_main)[::-1]
     none_good = not any(label == "good" for label, _ in first)
@@ -186,8 +212,10 @@ def labels(found: list[Block]) -> list[tuple[bool, str]]:
     for block, (label, by), left, right in zip(found, first, before, after, strict=True):
         if by:
             out.append((label == "good", by))
+        elif not has_main and none_good:
+            out.append((True, "neighbours"))
         elif has_main or label == "near":  # one good neighbour is enough
-            out.append(("good" in (left, right) or not has_main and none_good, "neighbours"))
+            out.append(("good" in (left, right), "neighbours"))
         else:  # short: both, or what follows for a heading
             out.append((left == right == "good" or block.heading and right == "good", "neighbours"))
     return out

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -589,6 +590,133 @@ def test_pages_without_an_article():
     assert text.startswith("The heading It is one") and "And so on." in text and "More" not in text and "One" not in text and "xyz" not in text
 
 
+RUSSIAN = "Старый мост соединял два берега широкой реки, и каждое утро рыбаки выходили на него задолго до рассвета, чтобы занять лучшие места у перил. "
+JAPANESE = "川沿いの古い町では毎朝早くから市場が開き、近くの村から来た人々が野菜や魚を並べて客を待っていた。"
+
+
+@pytest.mark.parametrize("text", [RUSSIAN * 3, JAPANESE * 2, "Just a short note.", "Gwlad yr iaith Gymraeg ydyw hon, gydag afonydd llydain, mynyddoedd uchel, pentrefi bychain, ffermydd hynafol. " * 2, "the cat is on the mat " * 20, "日本"])
+def test_pages_without_an_article_keep_their_text(text):
+    want = " ".join(text.split())
+    assert extract.main_text(f"<body><div>{text}</div></body>")[0] == want
+    page = f"<nav><a href='/'>Menu</a></nav><ul><li><a href='/a'>One link</a></li><li><a href='/b'>Two links</a></li></ul><div>{text}</div><div>{text}</div><footer>{text}</footer><form>{text}</form>"
+    assert extract.main_text(page)[0] == f"{want} {want}"
+
+
+def test_marks_are_outvoted_where_nothing_else_is_text():
+    long = "It was one of the best of the books that they had in the house, and he read it to her on the first day of the year. " * 3
+    assert extract.main_text(f"<div class='widget'><p>{long}</p><p>Short.</p></div>")[0] == long.strip()
+    assert extract.main_text(f"<div class='widget'><p>{long}</p></div><p>{long}</p>")[0] == long.strip()
+    assert extract.main_text(f"<div class='cookie'>Cookies?</div><nav>{long}</nav>")[0] == ""
+
+
+class PlainReader(HTMLParser):
+    """Blocks of a well-formed page by the parser of the standard library: (text, characters in links, names and marks of what holds it, is it a heading)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.found, self.text, self.linked, self.hidden, self.heading = [], [], "", "", 0, False
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        if self.text.split():
+            self.found.append((" ".join(self.text.split()), len(self.linked), list(self.path), self.heading))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "textarea"):
+            self.hidden += 1
+        elif tag in extract.BLOCK:
+            self.cut()
+            self.heading = tag in extract.HEADING
+        if tag in extract.NESTED:
+            self.path.append((tag, {w for _, v in attrs if _ in ("class", "id", "role") for x in (v or "").lower().split() for w in (x, *x.split("-"))}))
+        if tag == "a":
+            self.path.append(("a", set()))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title", "textarea"):
+            self.hidden -= 1
+        elif tag in extract.BLOCK:
+            self.cut()
+            self.heading = False
+        if tag in extract.NESTED or tag == "a":
+            self.path.pop()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+            self.linked += data if any(t == "a" for t, _ in self.path) else ""
+
+
+def plain_text(page):
+    """The rules as the docstring of the module tells them, block by block over all others."""
+    rows = []
+    for text, linked, path, heading in PlainReader(page).found:
+        inside, named, marked = False, False, False
+        for tag, marks in path:
+            named |= tag in extract.OUTSIDE and not (tag == "header" and inside)
+            if tag not in ("a", "body", "html", "article", "main") or tag == "article" and inside:  # an article in an article may be a comment
+                marked |= bool((marks - {"header"} if inside else marks) & extract.MARKED)
+            inside |= tag in ("article", "main") and not named and not marked
+        rows.append((text, linked / len(text), heading, inside and not named and not marked, named, marked))
+    main = any(r[3] for r in rows)
+    stops = lambda t: [w.strip(".,;:!?\"'()") in extract.STOP for w in t.lower().split()]
+    own = [x for r in rows if not r[4] for x in stops(r[0])]
+    known = main or sum(own) >= 0.08 * len(own)
+
+    def verdict(r, marks=True):
+        text, linked, heading, inside, named, marked = r
+        if named or marked and marks or main and not inside:
+            return "cue"
+        if linked > (0.5 if main else 0.25) and not (main and heading):
+            return "bad"
+        size = len(text) + (0 if known else 2 * sum(c >= "\u3040" for c in text))
+        if size < 70:
+            return "short" if main or linked == 0 else "bad"
+        share = sum(stops(text)) / len(text.split())
+        if not known or share >= 0.25 and size > 200:
+            return "good"
+        return "near" if main or share >= 0.15 else "bad"
+
+    got = [verdict(r) for r in rows]
+    if not main and not {"good", "near", "short"} & set(got):
+        return " ".join(r[0] for r in rows if verdict(r, marks=False) == "good")
+    decided = [g if g in ("good", "bad") else "bad" if g == "cue" and not main else None for g in got]
+    kept = []
+    for i, (r, g) in enumerate(zip(rows, got, strict=True)):
+        left = next((d for d in reversed(decided[:i]) if d), "good" if main else "bad")
+        right = next((d for d in decided[i + 1 :] if d), "good" if main else "bad")
+        if g == "good" or g in ("near", "short") and (
+            not main and "good" not in got or (main or g == "near") and "good" in (left, right) or g == "short" and (left == right == "good" or r[2] and right == "good")
+        ):
+            kept.append(r[0])
+    return " ".join(kept)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_rules_match_a_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    languages = ["the of and to in is that it for was house river stone".split(), "lorem ipsum dolor sit amet of".split(), RUSSIAN.split(), [JAPANESE[:9], JAPANESE[9:16]]]
+    own = languages[int(rng.integers(4))]
+    say = lambda n: " ".join(rng.choice(own if rng.random() < 0.8 else languages[int(rng.integers(4))]) for _ in range(n))
+    marks = ["", "", "", ' class="widget"', ' id="comments"', ' class="story-body"', ' role="banner"', ' class="cookie-notice top"']
+
+    def part(depth):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            tag = str(rng.choice(["div", "section", "article", "aside", "nav", "footer", "header", "ul", "main", "form"]))
+            return f"<{tag}{rng.choice(marks)}>{''.join(part(depth - 1) for _ in range(int(rng.integers(1, 5))))}</{tag}>"
+        tag, text = str(rng.choice(["p", "h2", "li", "blockquote", "td", "p"])), say(int(rng.choice([1, 4, 20, 60])))
+        if rng.random() < 0.3:
+            text = f"<a href='x'>{text}</a> {say(int(rng.integers(0, 30)))}"
+        return f"<{tag}>{text} &amp; <b>more</b></{tag}>" + ("<script>var a = '<p>';</script>" if rng.random() < 0.1 else "")
+
+    page = f"<html><head><title>t</title></head><body>{''.join(part(3) for _ in range(int(rng.integers(1, 7))))}</body></html>"
+    assert extract.main_text(page)[0] == plain_text(page)
+
+
 @pytest.mark.parametrize("broken", ["<p>a <b", "<p title=\"x>y'>z", "<!-- open", "<script>never closed", "<div" * 2000, "<p>&am", "a < b > c", "<article><p>x</article></div></div>y"])
 def test_broken_pages(broken):
     assert isinstance(extract.main_text(broken)[0], str)
