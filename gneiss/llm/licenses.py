@@ -1,8 +1,10 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 A document is compared as a whole, by line, and by runs of consecutive paragraphs, so that a licence of
-several paragraphs is found inside a longer text. A run has RUN_WORDS words at most (more than any
-template admits), and its first and last paragraph hold a word pair of some template. Text is
+several paragraphs is found inside a longer text. A run has RUN_WORDS words at most (twice the pairs that any
+template admits, as pairs may repeat), and its first and last paragraph hold a word pair of some template; of a paragraph
+that is repeated in a row two copies count. A place that too few pairs of any one template follow begins no run: that
+is seen before the words of any run are taken. Text is
 lower-cased, everything but a-z and 0-9 separates words, and a unit is its set of word pairs. A Dice
 coefficient of at least t needs a set size between t/(2-t) and (2-t)/t of the template's; templates that
 do not admit a unit's size are left out before pairs are compared. Of the templates over the threshold
@@ -65,7 +67,6 @@ TEMPLATES += [
 ]
 #: Least Dice coefficient of a match, in percent, and most words in a run of paragraphs.
 LEAST = 80
-RUN_WORDS = max(len(text.split()) for _, _, text in TEMPLATES) * 3 // 2
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -80,6 +81,10 @@ def bounds(n: int, least: int = LEAST) -> tuple[int, int, int]:
     return low, high, -(-least * (n + low) // 200)
 
 
+#: Words of the longest run of paragraphs.
+RUN_WORDS = 2 * max(bounds(len(bigrams_of(text)))[1] for _, _, text in TEMPLATES)
+
+
 def needed(least: int = LEAST) -> list[str]:
     """Words of which every unit over the threshold has one: pairs without them are too few in each template.
 
@@ -129,7 +134,15 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rows = _settled(_settled(rows, "own", _words(F.col("t"))), "hits", F.array_intersect(_pairs(F.col("own")), known))
     rows = rows.where(F.exists(templates(least), lambda t: F.size(F.array_intersect(F.col("hits"), t["pairs"])) >= t["shared"])).drop("hits")
     rows = _settled(rows, "pw", F.filter(F.transform(F.split("t", r"\n\s*\n"), _words), lambda w: F.size(w) > 0))
-    rows = _settled(rows, "p", F.transform("pw", lambda w: F.struct(w.alias("w"), F.arrays_overlap(_pairs(w), known).alias("end")))).drop("pw")
+    again = lambda w, i: (i > 1) & (w == F.get("pw", i - 1)) & (w == F.get("pw", i - 2))
+    rows = _settled(rows, "p", F.transform(F.filter("pw", lambda w, i: ~again(w, i)), lambda w: F.struct(w.alias("w"), F.arrays_overlap(_pairs(w), known).alias("end")))).drop("pw")
+
+    def ahead(i):
+        return F.slice(F.flatten(F.transform(F.slice("p", i, F.lit(RUN_WORDS)), lambda q: F.slice(q["w"], 1, F.lit(RUN_WORDS)))), 1, F.lit(RUN_WORDS))
+
+    def possible(i):
+        hits = F.array(F.array_intersect(_pairs(ahead(i)), known))  # in an array, as what a lambda is given is worked out once
+        return F.exists(hits, lambda h: (F.size(h) >= fewest) & F.exists(templates(least), lambda t: F.size(F.array_intersect(h, t["pairs"])) >= t["shared"]))
 
     def ends(p, i):
         """Numbers of words of the runs from paragraph i."""
@@ -137,16 +150,14 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         def more(x, q):
             n = x["n"] + F.size(q["w"])
-            return F.struct(n.alias("n"), F.when(q["end"] & (n <= RUN_WORDS), F.array_append(x["at"], n)).otherwise(x["at"]).alias("at"))
+            return F.struct(n.alias("n"), F.when(q["end"] & (n > fewest) & (n <= RUN_WORDS), F.array_append(x["at"], n)).otherwise(x["at"]).alias("at"))
 
         return F.aggregate(F.slice(p, i, F.lit(RUN_WORDS)), start, more, lambda x: x["at"])
 
-    def run(i):
-        words = F.flatten(F.transform(F.slice("p", i, F.lit(RUN_WORDS)), lambda q: q["w"]))
-        return F.struct(F.slice(words, 1, F.lit(RUN_WORDS)).alias("w"), ends(F.col("p"), i).alias("at"))
-
+    fewest = min(bounds(len(bigrams_of(text)), least)[2] for _, _, text in TEMPLATES)
     places = F.when(F.size("p") > 0, F.sequence(F.lit(1), F.size("p"))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(F.filter(places, lambda i: F.col("p")[i - 1]["end"]), run)
+    begins = F.filter(places, lambda i: F.col("p")[i - 1]["end"] & possible(i))
+    runs = F.transform(begins, lambda i: F.struct(ahead(i).alias("w"), ends(F.col("p"), i).alias("at")))
     whole = lambda w: F.struct(w.alias("w"), F.array(F.size(w)).alias("at"))
     lines = F.transform(F.transform(F.array_distinct(F.split("t", "\n")), _words), whole)
     rows = rows.select("doc_id", F.inline(F.concat(runs, F.array(whole(F.col("own"))), lines)))
@@ -160,5 +171,5 @@ def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     admitted = F.filter(templates(least), lambda t: (t["low"] <= n) & (n <= t["high"]))
     dice = F.transform(admitted, lambda t: F.struct(F.floor(2000 * F.size(F.array_intersect(F.col("pairs"), t["pairs"])) / (n + F.size(t["pairs"]))).cast("long").alias("d"), t["license_id"].alias("license_id")))
     met = _settled(_settled(units(docs, least), "m", dice), "best", F.array_max(F.transform("m", lambda x: x["d"]))).where(F.col("best") >= 10 * least)
-    met = met.select("doc_id", F.xxhash64("pairs").alias("u"), F.explode(F.array_distinct(F.filter("m", lambda x: x["d"] == F.col("best")))).alias("x"))
+    met = met.select("doc_id", F.xxhash64(F.array_sort("pairs")).alias("u"), F.explode(F.array_distinct(F.filter("m", lambda x: x["d"] == F.col("best")))).alias("x"))
     return met.groupBy("doc_id", F.col("x.license_id").alias("license_id")).agg(F.max("x.d").alias("dice_permille"), F.count_distinct("u").alias("n_units"))

@@ -156,7 +156,8 @@ def _license_sql() -> str:
     a AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_split_to_array(text, '\\n\\s*\\n') AS ps FROM (SELECT DISTINCT doc_id, text FROM x)),
     b AS (SELECT doc_id, r, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM a),
     c AS (SELECT doc_id, r, i, {norm.format("p")} AS w FROM b),
-    e AS (SELECT doc_id, r, w, list_has_any({pairs}, every) AS ends, row_number() OVER (PARTITION BY r ORDER BY i) AS i, sum(len(w)) OVER (PARTITION BY r ORDER BY i) AS upto FROM c, known WHERE len(w) > 0),
+    n AS (SELECT *, coalesce(w = lag(w) OVER (PARTITION BY r ORDER BY i) AND w = lag(w, 2) OVER (PARTITION BY r ORDER BY i), false) AS again FROM c WHERE len(w) > 0),
+    e AS (SELECT doc_id, r, w, list_has_any({pairs}, every) AS ends, row_number() OVER (PARTITION BY r ORDER BY i) AS i, sum(len(w)) OVER (PARTITION BY r ORDER BY i) AS upto FROM n, known WHERE NOT again),
     f AS (SELECT s.doc_id, s.r, s.i, z.i AS j FROM e s JOIN e z ON z.r = s.r AND z.i >= s.i AND z.upto - s.upto + len(s.w) <= {licenses.RUN_WORDS} WHERE s.ends AND z.ends),
     g AS (SELECT f.doc_id, f.r, f.i, f.j, flatten(list(m.w ORDER BY m.i)) AS w FROM f JOIN e m ON m.r = f.r AND m.i BETWEEN f.i AND f.j GROUP BY ALL),
     p AS (SELECT DISTINCT doc_id, {pairs} AS up FROM (SELECT doc_id, w FROM q UNION ALL SELECT doc_id, w FROM g) WHERE len(w) > 1),

@@ -8,12 +8,15 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm import decontaminate, extract, hashing, licenses, neardup, ppm, quality, substring
 
+from .conftest import records
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -529,6 +532,35 @@ def test_licences(awkward, empty, spark):
     assert licenses.scan(empty).count() == 0 and licenses.scan(awkward).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["of the\n\n", "of the\n\nin the\n\nand the\n\nto the\n\nany of\n\n"])
+def test_texts_of_short_paragraphs_take_time_in_proportion(spark, piece):
+    import time
+
+    mit = paragraphs_of(licenses.TEMPLATES[0][2])
+    took = []
+    for n in (20_000, 80_000):
+        body = piece * (n // len(piece))
+        df = spark.createDataFrame([(1, f"{mit}\n\n{body}"), (2, f"{body}\n\n{mit}\n\n{body}"), (3, body)], "doc_id bigint, text string").repartition(3)
+        began = time.perf_counter()
+        got = {(r.doc_id, r.license_id): r.dice_permille for r in licenses.scan(df).collect()}
+        took.append(time.perf_counter() - began)
+        assert got == {(1, "MIT"): 1000, (2, "MIT"): 1000}
+    assert took[1] < 40
+
+
+def test_runs_of_repeated_paragraphs(spark, sql):
+    """Copies in a row, long repeats between the parts of a licence, and runs at the bound, against the SQL."""
+    from gneiss.llm import queries
+
+    parts = paragraphs_of(licenses.TEMPLATES[0][2]).split("\n\n")
+    filler = "\n\n".join(["of the software"] * 30)
+    texts = ["\n\n".join(x) for x in ([*parts, *parts], [parts[0]] * 5 + parts[1:], [parts[0], filler, *parts[1:]], [parts[0], "a b " * 300, *parts[1:]], [filler, *parts, filler], ["in the"] * 40 + parts)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = sql(queries.ORACLE_SQL["op2_license_scan"], documents=pd.DataFrame(docs, columns=["doc_id", "text"]))
+    assert records(licenses.scan(df)) == records(want) and len(want) >= 5
+
+
 def test_size_bounds_admit_every_match():
     for _, _, text in licenses.TEMPLATES:
         n = len(licenses.bigrams_of(text))
