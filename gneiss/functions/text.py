@@ -3,7 +3,8 @@
 Templated SQL is read by the grammar of templates: it is cut into plain text, comments, statements
 and expressions; statements choose what stays (of a conditional its else branch, or its first one
 without an else; definitions of macros and block variables not at all); every expression that stays
-is rendered by what it is.
+is rendered by what it is. The text of a raw block stays as it is. A quote inside a statement or expression hides
+its end marks, also where plain SQL text holds a literal start mark, as templates would read it.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _INSIDE = r"""(?:[^'"%}]++|'[^']*+'|"[^"]*+"|[%}](?!\}))*+"""
-#: Comments, statements, expressions, and runs of plain text.
-PIECE = rf"(?s)\{{#.*?#\}}|\{{%{_INSIDE}%\}}|\{{\{{{_INSIDE}\}}\}}|[^{{]++|\{{"
+_RAW, _END_RAW = r"\{%[-+]?\s*raw\s*[-+]?%\}", r"\{%[-+]?\s*endraw\s*[-+]?%\}"
+#: Raw blocks, comments, statements, expressions, and runs of plain text.
+PIECE = rf"(?s){_RAW}.*?{_END_RAW}|\{{#.*?#\}}|\{{%{_INSIDE}%\}}|\{{\{{{_INSIDE}\}}\}}|[^{{]++|\{{"
 ARGUMENT = r"""'[^']*'|"[^"]*"|-?\w[\w.]*"""
 FRAME = "array<struct<kind:string,skip:boolean,kept:array<string>>>"
 # Names that macros give to types.
@@ -36,7 +38,9 @@ def _kept_pieces(sql: Column) -> Column:
     def step(frames, piece):
         top, below = F.element_at(frames, -1), F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 1, F.lit(0)))
         word = F.regexp_extract(piece, r"^\{%[-+]?\s*(\w+)", 1)
-        kept = F.when(top["skip"], top["kept"]).otherwise(F.concat(top["kept"], F.array(piece)))
+        raw = piece.rlike(rf"(?s)^{_RAW}.*{_END_RAW}$")
+        plain = F.when(raw, F.concat(F.lit("{#"), F.regexp_extract(piece, rf"(?s)^{_RAW}(.*){_END_RAW}$", 1))).otherwise(piece)  # comments are never kept
+        kept = F.when(top["skip"], top["kept"]).otherwise(F.concat(top["kept"], F.array(plain)))
         under = F.element_at(frames, F.lit(-2))
         onto = F.concat(F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 2, F.lit(0))), _frame(under["kind"], under["skip"], F.when(under["skip"], under["kept"]).otherwise(F.concat(under["kept"], top["kept"]))))
         opens = word.isin("if", "for") | word.isin("macro", "materialization", "test", "docs") | (word == "set") & ~piece.contains("=")
@@ -46,7 +50,7 @@ def _kept_pieces(sql: Column) -> Column:
         out = out.when(closes & word.isin("endif", "endfor"), onto).when(closes, below)
         out = out.when((word == "else") & (top["kind"] == "if"), F.concat(below, _frame(top["kind"], F.lit(False), nothing)))
         out = out.when((word == "elif") & (top["kind"] == "if") | (word == "else") & (top["kind"] == "for"), F.concat(below, _frame(top["kind"], F.lit(True), top["kept"])))
-        return out.when((word != "") & (word != "set"), frames).otherwise(F.concat(below, _frame(top["kind"], top["skip"], kept)))
+        return out.when((word != "") & (word != "set") & ~raw, frames).otherwise(F.concat(below, _frame(top["kind"], top["skip"], kept)))
 
     pieces = F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0))
     return F.aggregate(pieces, _frame(F.lit(""), F.lit(False), nothing), step, lambda frames: F.flatten(F.transform(frames, lambda f: f["kept"])))
@@ -93,14 +97,14 @@ def strip_templates(sql: Column) -> Column:
     assigned = r"""(?s)^\{%[-+]?\s*set\s+(\w+)\s*=\s*(['"])([^'"]*)\2\s*[-+]?%\}$"""
 
     def render(pieces, piece, i):
-        before, after = F.right(F.get(pieces, i - 1), F.lit(1)), F.left(F.get(pieces, i + 1), F.lit(1))
+        before, after = F.right(F.get(pieces, i - 1), F.lit(1)), F.left(F.regexp_replace(F.get(pieces, i + 1), r"^\{#", ""), F.lit(1))
         in_quotes = F.coalesce(before.isin("'", '"') & (before == after), F.lit(False))
         inside = F.regexp_extract(piece, r"(?s)^\{\{[-+]?\s*(.*?)\s*[-+]?\}\}$", 1)
         sets = F.filter(pieces, lambda x: x.rlike(assigned) & (F.regexp_extract(x, assigned, 1) == inside))
         text = F.regexp_extract(F.try_element_at(sets, F.lit(-1)), assigned, 3)
         name = F.when(text.isNotNull(), F.when(in_quotes, text).otherwise(F.concat(F.lit("'"), text, F.lit("'")))).when(in_quotes, inside).otherwise("NULL")
         shown = F.when(inside.rlike(r"^[A-Za-z_]\w*$"), name).when(inside.rlike(r"^[\w.]+\s*\("), _call(inside, in_quotes)).otherwise("NULL")
-        return F.when(F.startswith(piece, F.lit("{{")), shown).when(F.startswith(piece, F.lit("{%")), "").otherwise(piece)
+        return F.when(F.startswith(piece, F.lit("{{")), shown).when(F.startswith(piece, F.lit("{%")), "").otherwise(F.regexp_replace(piece, r"^\{#", ""))
 
     # the pieces are bound once, as the only element of an array, and rendered from there
     return F.element_at(F.transform(F.array(pieces), lambda p: F.array_join(F.transform(p, lambda x, i: render(p, x, i)), "")), 1)
@@ -108,7 +112,7 @@ def strip_templates(sql: Column) -> Column:
 
 def referenced_models(sql: Column) -> Column:
     """Names in ref calls of expressions and statements, in order, each once: of several texts in a call the last."""
-    markup = F.filter(F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0)), lambda x: F.startswith(x, F.lit("{{")) | F.startswith(x, F.lit("{%")))
+    markup = F.filter(F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0)), lambda x: F.startswith(x, F.lit("{{")) | F.startswith(x, F.lit("{%")) & ~x.rlike(rf"^{_RAW}"))
     calls = F.flatten(F.transform(markup, lambda x: F.regexp_extract_all(x, F.lit(r"\bref\s*\(([^()]*)\)"), F.lit(1))))
     names = F.transform(calls, lambda x: F.try_element_at(F.filter(F.regexp_extract_all(x, F.lit(ARGUMENT), F.lit(0)), lambda y: y.rlike(r"""^['"]""")), F.lit(-1)))
     return F.array_distinct(F.transform(F.filter(names, lambda x: x.isNotNull()), _unquoted))

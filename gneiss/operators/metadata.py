@@ -153,7 +153,7 @@ def health(covered: DataFrame, complex_models: DataFrame, named: DataFrame, fres
         parts = parts.crossJoin(df.withColumnRenamed("x", name))
     active = F.when(F.col("freshness").isNull(), sum(w.values()) - w["freshness"]).otherwise(sum(w.values()))
     overall = sum((F.coalesce(F.col(k), F.lit(0.0)) * v for k, v in w.items()), F.lit(0.0)) / active
-    return parts.select(*[F.round(k, 4).alias(k) for k in w], F.round(overall, 1).alias("overall"), grade(overall).alias("grade"))
+    return parts.select(*[F.round(F.col(k) + 1e-10, 4).alias(k) for k in w], F.round(overall + 1e-10, 1).alias("overall"), grade(overall).alias("grade"))
 
 
 def ranked(models: DataFrame, missing: Column, downstream: DataFrame, limit: int = 50) -> DataFrame:
@@ -213,3 +213,48 @@ def compact_sources(sources: DataFrame, columns: DataFrame, model_count: int) ->
     named = columns.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("columns"))
     out = sources.join(named, "uid", "left") if model_count <= MOST_WITH_COLUMNS else sources.withColumn("columns", F.lit(None).cast("array<string>"))
     return out.select(F.concat_ws(".", "source_name", "name").alias("name"), F.coalesce("description", F.lit("")).alias("description"), "schema", "columns", "freshness_status")
+
+
+#: Projects of more models than these are listed without columns, and without descriptions.
+COLUMNS_TIER, DESCRIPTIONS_TIER = 200, 500
+
+
+def compact_models(models: DataFrame, columns: DataFrame, attached: DataFrame) -> DataFrame:
+    """(uid, name, description, columns, test_status) of models, the more of them the shorter: columns (by position) and descriptions are null beyond the tiers; test_status is a status:count list."""
+    many = models.agg(F.count(F.lit(1)).alias("many"))
+    named = columns.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"]).alias("columns"))
+    status = attached.groupBy("uid", "status").agg(F.count(F.lit(1)).alias("n")).groupBy("uid").agg(F.array_sort(F.collect_list(F.concat_ws(":", "status", "n"))).alias("test_status"))
+    out = models.join(named, "uid", "left").join(status, "uid", "left").crossJoin(F.broadcast(many))  # one row
+    return out.select("uid", "name", F.when(F.col("many") <= DESCRIPTIONS_TIER, F.col("description")).alias("description"), F.when(F.col("many") <= COLUMNS_TIER, F.col("columns")).alias("columns"), "test_status")
+
+
+# The warehouse type that a column's name, or what it ends with after an underscore, stands for.
+TYPE_OF_NAME = {
+    "VARCHAR": "id uuid key name title description text label slug email url path type status code address phone",
+    "DATE": "date",
+    "TIMESTAMP_NTZ": "created_at updated_at deleted_at started_at ended_at timestamp at time",
+    "NUMBER": "count number num",
+    "NUMBER(38,2)": "amount total price cost",
+    "FLOAT": "rate ratio percent percentage score weight",
+    "BOOLEAN": "flag enabled active",
+}
+#: Names that stand for a type only as an ending.
+ENDINGS = ("at", "time", "number", "num")
+
+
+def synthetic_type(name: Column, declared: Column) -> Column:
+    """A plausible warehouse type of a column that no catalog tells of: as declared, else by its name, else VARCHAR."""
+    lower = F.lower(name)
+    out = F.when(F.coalesce(declared, F.lit("")) != "", F.upper(declared))
+    for kind, names in TYPE_OF_NAME.items():
+        whole = "|".join(n for n in names.split() if n not in ENDINGS)
+        out = out.when(lower.rlike(rf"^(?:{whole})$") | lower.rlike(rf"_(?:{names.replace(' ', '|')})$"), kind)
+    return out.when(lower.rlike("^(?:is|has)_"), "BOOLEAN").otherwise("VARCHAR")
+
+
+def synthetic_catalog(columns: DataFrame) -> DataFrame:
+    """(uid, name, type, idx) of declared columns (uid, name, pos, data_type): what a catalog would say, names in capitals; of names that differ in case only the first."""
+    first = F.row_number().over(Window.partitionBy("uid", F.upper("name")).orderBy("pos", "name"))
+    rows = columns.withColumn("place", first).where("place = 1")
+    number = F.row_number().over(Window.partitionBy("uid").orderBy("pos", "name"))
+    return rows.select("uid", F.upper("name").alias("name"), synthetic_type(F.col("name"), F.col("data_type")).alias("type"), number.alias("idx"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import erd, graph, insights, metadata, search
+from ..sources.tables import profiled_models
 from .project import oracle, table
 from .registry import query
 from .registry import table as data_table
@@ -108,7 +109,7 @@ def _health_sql(fresh: str) -> str:
       orph AS (SELECT 100.0 * (1 - count(*) FILTER (uid NOT IN (SELECT source FROM edges)) / count(*)) AS orphans FROM models),
       p AS (SELECT 50 * (documented_model_rate + documented_column_rate) AS documentation, 50 * (tested_model_rate + tested_column_rate) AS testing, freshness, complexity, naming, orphans FROM cov, cx, nm, fr, orph),
       o AS (SELECT *, (0.25 * documentation + 0.25 * testing + 0.15 * coalesce(freshness, 0) + 0.15 * complexity + 0.10 * naming + 0.10 * orphans) / CASE WHEN freshness IS NULL THEN 0.85 ELSE 1 END AS x FROM p)
-      SELECT round(documentation, 4) AS documentation, round(testing, 4) AS testing, round(freshness, 4) AS freshness, round(complexity, 4) AS complexity, round(naming, 4) AS naming, round(orphans, 4) AS orphans, round(x, 1) AS overall,
+      SELECT round(documentation + 1e-10, 4) AS documentation, round(testing + 1e-10, 4) AS testing, round(freshness + 1e-10, 4) AS freshness, round(complexity + 1e-10, 4) AS complexity, round(naming + 1e-10, 4) AS naming, round(orphans + 1e-10, 4) AS orphans, round(x + 1e-10, 1) AS overall,
         CASE WHEN x >= 90 THEN 'A' WHEN x >= 80 THEN 'B' WHEN x >= 70 THEN 'C' WHEN x >= 60 THEN 'D' ELSE 'F' END AS grade FROM o"""
 
 
@@ -116,6 +117,43 @@ for _n, _f, _w in (("health_score", "SELECT 100 * sum(CASE WHEN status IN ('pass
     query(_n, oracle(_health_sql(_f).replace("{cov}", _coverage_sql("")), "models", "edges", "freshness"))(lambda spark, d, w=_w: _health(spark, d, table(spark, d, "freshness").where(w)))
 
 
+_LASTING = "FROM (SELECT * FROM models WHERE uid NOT IN (SELECT uid FROM ephemeral))"
+
+
+@query("health_without_ephemeral", oracle(_health_sql("SELECT CAST(NULL AS DOUBLE) AS freshness").replace("{cov}", _coverage_sql("")).replace("FROM models", _LASTING), "models", "edges", "freshness", "ephemeral"))
+def health_without_ephemeral(spark, d):
+    kinds = table(spark, d, "ephemeral").withColumn("materialization", F.lit("ephemeral"))
+    models = profiled_models(table(spark, d, "models").join(kinds, "uid", "left"))
+    columns = metadata.merged_columns(table(spark, d, "declared_columns"), table(spark, d, "catalog_columns"))
+    covered = metadata.coverage(models, columns, _attached(spark, d), False)
+    return metadata.health(covered, metadata.complexity(models), metadata.naming(models), metadata.freshness_score(table(spark, d, "freshness").where("false")), models, graph.orphans(models, table(spark, d, "edges"), "uid"))
+
+
+@query(
+    "compact_models",
+    oracle(
+        f"""WITH {_ATTACHED}, {_MERGED}, k AS (SELECT count(*) AS many FROM models), o AS (SELECT uid, name, row_number() OVER (PARTITION BY uid ORDER BY idx IS NULL, idx, pos, name) AS i FROM m),
+        cc AS (SELECT uid, string_agg(name, ',' ORDER BY i) AS columns FROM o GROUP BY uid), s AS (SELECT uid, string_agg(x, ',' ORDER BY x) AS test_status FROM (SELECT uid, status || ':' || count(*) AS x FROM a GROUP BY uid, status) GROUP BY uid)
+        SELECT uid, name, CASE WHEN many <= 500 THEN description END AS description, CASE WHEN many <= 200 THEN columns END AS columns, test_status FROM models LEFT JOIN cc USING (uid) LEFT JOIN s USING (uid), k""",
+        "tests", "results", "declared_columns", "catalog_columns", "models",
+    ),
+)
+def compact_models(spark, d):
+    columns = metadata.merged_columns(table(spark, d, "declared_columns"), table(spark, d, "catalog_columns"))
+    return metadata.compact_models(table(spark, d, "models"), columns, _attached(spark, d)).withColumns({c: F.array_join(c, ",") for c in ("columns", "test_status")})
+
+
+_TYPED = """CASE WHEN data_type <> '' THEN upper(data_type) WHEN regexp_matches(lower(name), '(^|_)(id|uuid|key|name|title|description|text|label|slug|email|url|path|type|status|code|address|phone)$') THEN 'VARCHAR' WHEN regexp_matches(lower(name), '(^|_)date$') THEN 'DATE'
+  WHEN regexp_matches(lower(name), '(^|_)((created|updated|deleted|started|ended)_at|timestamp)$|_(at|time)$') THEN 'TIMESTAMP_NTZ' WHEN regexp_matches(lower(name), '(^|_)count$|_(number|num)$') THEN 'NUMBER' WHEN regexp_matches(lower(name), '(^|_)(amount|total|price|cost)$') THEN 'NUMBER(38,2)'
+  WHEN regexp_matches(lower(name), '(^|_)(rate|ratio|percent|percentage|score|weight)$') THEN 'FLOAT' WHEN regexp_matches(lower(name), '(^|_)(flag|enabled|active)$|^(is|has)_') THEN 'BOOLEAN' ELSE 'VARCHAR' END"""
+
+
+@query("synthetic_catalog", oracle(f"WITH f AS (SELECT *, row_number() OVER (PARTITION BY model, upper(name) ORDER BY name) AS r FROM (SELECT model, name, CASE WHEN length(name) % 5 = 0 THEN lower(data_type) ELSE '' END AS data_type FROM insight_columns)) SELECT model AS uid, upper(name) AS name, {_TYPED} AS type, CAST(row_number() OVER (PARTITION BY model ORDER BY name) AS INT) AS idx FROM f WHERE r = 1", "insight_columns"))
+def synthetic_catalog(spark, d):
+    columns = table(spark, d, "insight_columns").select(F.col("model").alias("uid"), "name", F.lit(1).alias("pos"), F.when(F.length("name") % 5 == 0, F.lower("data_type")).otherwise("").alias("data_type"))
+    return metadata.synthetic_catalog(columns)
+
+
 _DOWN = "SELECT source AS uid, count(*) AS downstream FROM edges WHERE target NOT LIKE 'test.%' GROUP BY source"
 
 

@@ -254,3 +254,19 @@ def sketch_refresh(spark, d):
 @query("sketch_top_values_events", "SELECT 'event_type' AS column_name, event_type AS value, count(*) AS frequency, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INT) AS rank FROM events GROUP BY event_type")
 def sketch_top(spark, d):
     return sketches.merged_top(sketches.sketched(_days(spark, d), F.col("day"), ["event_type"]))
+
+
+_LINEITEM = [c for c, _ in _columns("lineitem")]
+
+
+@query("profile_lineitem_approximate_error", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, true AS distinct_is_near, true AS median_is_near FROM lineitem" for c in _LINEITEM))
+def approximate_error(spark, d):
+    """The approximate profile held against exact values: distinct counts within 15 %, medians within 2 % of the ranks."""
+    df = table(spark, d, "lineitem")
+    near = profile.table_stats(df, approximate=True)
+    rows, exact = near.collect(), profile.distinct_counts(df, _LINEITEM)  # a row for each column
+    held = {r.column_name: r.median for r in rows if r.median is not None}
+    share = lambda c, f: F.count_if(f(F.col(c), F.lit(held[c]))) / F.count(c)
+    ranks = df.agg(*[((share(c, lambda x, m: x < m) <= 0.52) & (share(c, lambda x, m: x <= m) >= 0.48)).alias(c) for c in held]).first()
+    judged = [(r.column_name, r.row_count, r.null_count, abs(r.distinct_count - exact[r.column_name]) <= 0.15 * exact[r.column_name], ranks[r.column_name] if r.column_name in held else True) for r in rows]
+    return spark.createDataFrame(judged, "column_name string, row_count bigint, null_count bigint, distinct_is_near boolean, median_is_near boolean")

@@ -94,6 +94,7 @@ TABLES |= {
     "measure_sources": """SELECT * FROM (VALUES ('revenue', 'fct_orders', 'total'), ('cost', 'fct_costs', 'amount'), ('fees', 'fct_fees', 'fee')) AS t(measure, model, col)""",
 }
 
+TABLES["ephemeral"] = "SELECT * FROM (VALUES ('model.p.loose'), ('model.p.int_orders')) AS t(uid)"
 _K, _HALF = "p_partkey", "CAST(floor(p_partkey / 2) AS BIGINT)"
 
 
@@ -114,6 +115,7 @@ DERIVED = {
       UNION ALL SELECT 'source.d.' || s_suppkey, 'model.d.' || {_K} FROM {{part}} JOIN {{supplier}} ON s_suppkey = {_K}""",
     "cyclic": f"SELECT 'd', 'y' || {_K} FROM {{part}} UNION ALL SELECT 'y' || {_K}, 'y' || {_HALF} FROM {{part}} UNION ALL SELECT 'y1', 'a' FROM {{part}} WHERE {_K} = 1",
     "models": f"SELECT 'model.d.' || {_K}, {_NAME}, {_FOLDER}, {_FOLDER} || '/' || {_NAME} || '.sql', CASE WHEN {_K} % 5 = 0 THEN ' ' ELSE p_name END, {_SQL} FROM {{part}}",
+    "ephemeral": f"SELECT 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 6 = 5",
     "declared_columns": f"SELECT 'model.d.' || {_K}, 'id', 1, CASE WHEN {_K} % 2 = 0 THEN 'key' ELSE '' END, 'int' FROM {{part}} UNION ALL SELECT 'model.d.' || {_K}, 'Col_' || ({_K} % 9), 2, CASE WHEN {_K} % 7 = 0 THEN p_name ELSE ' ' END, '' FROM {{part}}",
     "catalog_columns": f"SELECT 'model.d.' || {_K}, 'ID', 'BIGINT', 2 FROM {{part}} WHERE {_K} % 3 <> 2 UNION ALL SELECT 'model.d.' || {_K}, 'extra_' || ({_K} % 4), 'DOUBLE', 1 FROM {{part}} WHERE {_K} % 3 <> 2",
     "tests": f"""SELECT 'test.d.u' || {_K}, 'unique_' || {_K}, 'unique', 'ID', 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 2 = 0 UNION ALL SELECT 'test.d.v' || {_K}, 'values_' || {_K}, 'accepted_values', 'col_' || ({_K} % 9), 'model.d.' || {_K} FROM {{part}} WHERE {_K} % 8 = 3

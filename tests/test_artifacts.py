@@ -200,6 +200,9 @@ def test_profile_cache_and_payload(spark, tmp_path):
         ("{{ dbt.datediff('s', 'e', 'day') }} {{ dbt.dateadd('day', -7, 'c') }} {{ type_string() }}", "DATEDIFF('day', s, e) DATEADD('day', -7, c) VARCHAR", []),
         ("{{ dbt_utils.union_relations(relations=[ref('a'), source('s', 'b')]) }}", "SELECT * FROM a\nUNION ALL\nSELECT * FROM s.b", ["a"]),
         ("{{ mac('col_a') }} {{ mac('a','b') }} {{ mac(1) }} {{ this }} {{ a + b }} {% set body %}zzz{% endset %}{- b {", "col_a (a AND b) NULL NULL NULL {- b {", []),
+        ("{% raw %}{{ x }} {% if a %}{# n #}{% endraw %} {{ ref('a') }}", "{{ x }} {% if a %}{# n #} a", ["a"]),
+        ("{% if a %}{%- raw -%}'{{ ref('no') }}'{%- endraw -%}{% else %}{% raw %}{{ b }}{% endraw %}{% endif %} {{ c }}", "{{ b }} NULL", []),
+        ("'{{ x }}{% raw %}' }}{% endraw %} {% raw %}{% endraw %}", "'x' }} ", []),
         ("", "", []),
         (None, None, None),
     ],
@@ -242,3 +245,19 @@ def test_warehouse_tables_are_read_in_ranges(spark, warehouse):
 def test_ephemeral_models_are_no_tables(spark):
     models = spark.createDataFrame([("a", "table"), ("b", "Ephemeral"), ("c", None)], "uid string, materialization string")
     assert sorted(r.uid for r in tables.profiled_models(models).collect()) == ["a", "c"]
+
+
+def test_types_by_name(spark):
+    cases = {"customer_id": "VARCHAR", "id": "VARCHAR", "created_at": "TIMESTAMP_NTZ", "seen_at": "TIMESTAMP_NTZ", "at": "VARCHAR", "order_date": "DATE", "item_count": "NUMBER", "serial_num": "NUMBER", "num": "VARCHAR", "Unit_Price": "NUMBER(38,2)", "tax_rate": "FLOAT", "is_open": "BOOLEAN", "is": "VARCHAR", "active": "BOOLEAN", "has_total": "NUMBER(38,2)", "odd": "VARCHAR"}
+    rows = spark.createDataFrame([("m", n, i, None if i % 2 else "") for i, n in enumerate(cases)] + [("m", "ID", 99, "bigint"), ("n", "odd", 1, "bigint")], "uid string, name string, pos int, data_type string")
+    got = metadata.synthetic_catalog(rows).collect()
+    assert {r.name: r.type for r in got if r.uid == "m"} == {n.upper(): t for n, t in cases.items()} and [(r.type, r.idx) for r in got if r.uid == "n"] == [("BIGINT", 1)]
+
+
+def test_tiers_of_compact_models(spark):
+    for many, described, with_columns in ((3, True, True), (201, True, False), (501, False, False)):
+        models = spark.range(many).selectExpr("string(id) AS uid", "concat('m', id) AS name", "'d' AS description")
+        columns = spark.sql("SELECT '1' AS uid, 2 AS ordinal, 'b' AS name UNION ALL SELECT '1', 1, 'a'")
+        attached = spark.sql("SELECT '1' AS uid, 'pass' AS status UNION ALL SELECT '1', 'pass' UNION ALL SELECT '1', 'fail'")
+        row = metadata.compact_models(models, columns, attached).where("uid = '1'").first()
+        assert (row.description == "d", row.columns == ["a", "b"], row.test_status) == (described, with_columns, ["fail:1", "pass:2"])
