@@ -17,7 +17,7 @@ _RAW, _END_RAW = r"\{%[-+]?\s*raw\s*[-+]?%\}", r"\{%[-+]?\s*endraw\s*[-+]?%\}"
 #: Raw blocks, comments, statements, expressions, and runs of plain text.
 PIECE = rf"(?s){_RAW}.*?{_END_RAW}|\{{#.*?#\}}|\{{%{_INSIDE}%\}}|\{{\{{{_INSIDE}\}}\}}|[^{{]++|\{{"
 ARGUMENT = r"""'[^']*'|"[^"]*"|-?\w[\w.]*"""
-FRAME = "array<struct<kind:string,skip:boolean,kept:array<string>>>"
+FRAME = "array<struct<kind:string,skip:boolean,since:int,runs:array<struct<since:int,size:int>>>>"
 # Names that macros give to types.
 TYPES = {"type_string": "VARCHAR", "type_int": "INTEGER", "type_timestamp": "TIMESTAMP", "type_float": "FLOAT", "type_numeric": "NUMERIC", "type_boolean": "BOOLEAN"}
 
@@ -27,33 +27,51 @@ def sql_hash(sql: Column) -> Column:
     return F.substring(F.sha2(sql, 256), 1, 16)
 
 
-def _frame(kind: Column, skip: Column, kept: Column) -> Column:
-    return F.array(F.struct(kind.alias("kind"), skip.alias("skip"), kept.alias("kept"))).cast(FRAME)
+def _frame(kind: Column, skip: Column, since: Column, runs: Column) -> Column:
+    """An open statement: what it is, whether what follows goes, where its last run of pieces begins, and its runs before."""
+    return F.array(F.struct(kind.alias("kind"), skip.alias("skip"), since.alias("since"), runs.alias("runs")))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, as the only element of an array, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _read(piece: Column) -> Column:
+    """A piece with the word of its statement; a raw block is plain text, marked by ``{#``, as comments are never kept."""
+    word = F.regexp_extract(piece, r"^\{%[-+]?\s*(\w+)", 1)
+    raw = rf"(?s)^{_RAW}(.*){_END_RAW}$"
+    return _bound(word, lambda w: F.when((w == "raw") & piece.rlike(raw), F.struct(F.lit("").alias("word"), F.concat(F.lit("{#"), F.regexp_extract(piece, raw, 1)).alias("piece"))).otherwise(F.struct(w.alias("word"), piece.alias("piece"))))
 
 
 def _kept_pieces(sql: Column) -> Column:
     """The pieces that conditionals and definitions leave, in order; inline assignments are among them."""
-    nothing = F.array().cast("array<string>")
-
-    def step(frames, piece):
-        top, below = F.element_at(frames, -1), F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 1, F.lit(0)))
-        word = F.regexp_extract(piece, r"^\{%[-+]?\s*(\w+)", 1)
-        raw = piece.rlike(rf"(?s)^{_RAW}.*{_END_RAW}$")
-        plain = F.when(raw, F.concat(F.lit("{#"), F.regexp_extract(piece, rf"(?s)^{_RAW}(.*){_END_RAW}$", 1))).otherwise(piece)  # comments are never kept
-        kept = F.when(top["skip"], top["kept"]).otherwise(F.concat(top["kept"], F.array(plain)))
-        under = F.element_at(frames, F.lit(-2))
-        onto = F.concat(F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 2, F.lit(0))), _frame(under["kind"], under["skip"], F.when(under["skip"], under["kept"]).otherwise(F.concat(under["kept"], top["kept"]))))
-        opens = word.isin("if", "for") | word.isin("macro", "materialization", "test", "docs") | (word == "set") & ~piece.contains("=")
+    pieces = F.filter(F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0)), lambda x: ~F.startswith(x, F.lit("{#")))
+    chosen = _bound(F.transform(pieces, _read), lambda p: F.flatten(F.transform(_kept_runs(p), lambda r: F.slice(p, r["since"] + 1, r["size"]))))
+    return F.transform(F.filter(chosen, lambda x: x["word"].isin("", "set")), lambda x: x["piece"])
+
+
+def _kept_runs(pieces: Column) -> Column:
+    """(since, size) of the runs of pieces that stay. Only statements are gone through, and runs carried along, so plain text and expressions cost nothing here."""
+    nothing = F.array().cast("array<struct<since:int,size:int>>")
+    statements = F.filter(F.transform(pieces, lambda x, i: F.struct(i.alias("at"), x["word"].alias("word"), x["piece"].alias("piece"))), lambda x: x["word"] != "")
+    until = lambda frame, at: F.when(frame["skip"], frame["runs"]).otherwise(F.concat(frame["runs"], F.array(F.struct(frame["since"].alias("since"), (at - frame["since"]).alias("size")))))
+    but_last = lambda frames, n: F.slice(frames, F.lit(1), F.greatest(F.size(frames) - n, F.lit(0)))
+
+    def step(frames, x):
+        word, at, after, top, under = x["word"], x["at"], x["at"] + 1, F.element_at(frames, -1), F.try_element_at(frames, F.lit(-2))
+        below = but_last(frames, 1)
+        opens = word.isin("if", "for", "macro", "materialization", "test", "docs") | (word == "set") & ~x["piece"].contains("=")
         closes = (F.size(frames) > 1) & (word == F.concat(F.lit("end"), top["kind"]))
-        out = F.when(F.startswith(piece, F.lit("{#")), frames)
-        out = out.when(opens, F.concat(frames, _frame(word, ~word.isin("if", "for"), nothing)))
-        out = out.when(closes & word.isin("endif", "endfor"), onto).when(closes, below)
-        out = out.when((word == "else") & (top["kind"] == "if"), F.concat(below, _frame(top["kind"], F.lit(False), nothing)))
-        out = out.when((word == "elif") & (top["kind"] == "if") | (word == "else") & (top["kind"] == "for"), F.concat(below, _frame(top["kind"], F.lit(True), top["kept"])))
-        return out.when((word != "") & (word != "set") & ~raw, frames).otherwise(F.concat(below, _frame(top["kind"], top["skip"], kept)))
+        left = F.when(under["skip"] | ~word.isin("endif", "endfor"), under["runs"]).otherwise(F.concat(under["runs"], until(top, at)))
+        out = F.when(opens, F.concat(below, _frame(top["kind"], top["skip"], top["since"], until(top, at)), _frame(word, ~word.isin("if", "for"), after, nothing)))
+        out = out.when(closes, F.concat(but_last(frames, 2), _frame(under["kind"], under["skip"], after, left)))
+        out = out.when((word == "else") & (top["kind"] == "if"), F.concat(below, _frame(top["kind"], F.lit(False), after, nothing)))
+        out = out.when((word == "elif") & (top["kind"] == "if") | (word == "else") & (top["kind"] == "for"), F.concat(below, _frame(top["kind"], F.lit(True), after, until(top, at))))
+        return out.otherwise(frames)
 
-    pieces = F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0))
-    return F.aggregate(pieces, _frame(F.lit(""), F.lit(False), nothing), step, lambda frames: F.flatten(F.transform(frames, lambda f: f["kept"])))
+    start = _frame(F.lit(""), F.lit(False), F.lit(0), nothing).cast(FRAME)
+    return F.aggregate(statements, start, step, lambda frames: F.concat(F.flatten(F.transform(but_last(frames, 1), lambda f: f["runs"])), until(F.element_at(frames, -1), F.size(pieces))))
 
 
 def _unquoted(x: Column) -> Column:
@@ -64,8 +82,13 @@ def _call(inside: Column, in_quotes: Column) -> Column:
     """A macro call as SQL: known macros by what they stand for, others by the columns named in them, else NULL."""
     name = F.element_at(F.split(F.regexp_extract(inside, r"^([\w.]+)\s*\(", 1), r"\."), -1)
     between = F.regexp_extract(inside, r"(?s)^[\w.]+\s*\((.*)\)\s*$", 1)
-    given = F.regexp_extract_all(between, F.lit(ARGUMENT), F.lit(0))
-    texts = F.transform(F.filter(given, lambda x: x.rlike(r"""^['"]""")), _unquoted)
+    call = _bound(between, lambda x: F.struct(name.alias("name"), x.alias("between"), F.regexp_extract_all(x, F.lit(ARGUMENT), F.lit(0)).alias("given")))
+    texts = lambda x: F.transform(F.filter(x["given"], lambda y: y.rlike(r"""^['"]""")), _unquoted)
+    return _bound(call, lambda x: _bound(F.struct(x["name"].alias("name"), x["between"].alias("between"), x["given"].alias("given"), texts(x).alias("texts")), lambda y: _known(y["name"], y["between"], y["given"], y["texts"], in_quotes)))
+
+
+def _known(name: Column, between: Column, given: Column, texts: Column, in_quotes: Column) -> Column:
+    """The call of a macro by its name, what stands between its brackets, the arguments there and those of them that are texts."""
     at = lambda k: _unquoted(F.try_element_at(given, F.lit(k)))
     default = F.try_element_at(given, F.lit(2))
     value = F.when(default.rlike(r"""^['"]"""), F.when(in_quotes, _unquoted(default)).otherwise(F.concat(F.lit("'"), _unquoted(default), F.lit("'"))))
@@ -74,7 +97,6 @@ def _call(inside: Column, in_quotes: Column) -> Column:
         F.regexp_extract_all(between, F.lit(r"""\bref\s*\(\s*['"]([^'"]+)"""), F.lit(1)),
         F.transform(F.regexp_extract_all(between, F.lit(r"\bsource\s*\(([^()]*)\)"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, r"""['"\s]""", ""), ",", ".")),
     )
-    named = F.filter(texts, lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
     out = F.when(name == "config", "").when(name == "ref", F.try_element_at(texts, F.lit(-1))).when(name == "source", F.array_join(texts, ".")).when(name == "var", value)
     out = out.when(name.isin("surrogate_key", "generate_surrogate_key"), F.when(F.size(texts) > 0, F.concat(F.lit("CONCAT("), F.array_join(texts, ", "), F.lit(")"))).otherwise("NULL"))
     out = out.when(name == "star", "*").when(name == "date_trunc", F.format_string("DATE_TRUNC('%s', %s)", at(1), at(2))).when(name == "safe_cast", F.format_string("CAST(%s AS %s)", at(1), at(2)))
@@ -82,9 +104,13 @@ def _call(inside: Column, in_quotes: Column) -> Column:
     out = out.when(name == "dateadd", F.format_string("DATEADD('%s', %s, %s)", at(1), at(2), at(3)))
     for macro, kind in TYPES.items():
         out = out.when(name == macro, kind)
-    union = F.array_join(F.transform(relations, lambda x: F.concat(F.lit("SELECT * FROM "), x)), "\nUNION ALL\n")
-    out = out.when(name == "union_relations", F.when(F.size(relations) > 0, union).otherwise("NULL"))
-    return out.when(F.size(named) == 1, F.element_at(named, 1)).when(F.size(named) > 1, F.concat(F.lit("("), F.array_join(named, " AND "), F.lit(")"))).otherwise("NULL")
+    joined = _bound(relations, lambda x: F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda y: F.concat(F.lit("SELECT * FROM "), y)), "\nUNION ALL\n")).otherwise("NULL"))
+    named = F.filter(texts, lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
+    columns = _bound(named, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))).when(F.size(x) > 1, F.concat(F.lit("("), F.array_join(x, " AND "), F.lit(")"))).otherwise("NULL"))
+    return out.when(name == "union_relations", joined).otherwise(columns)
+
+
+_ASSIGNED = r"""(?s)^\{%[-+]?\s*set\s+(\w+)\s*=\s*(['"])([^'"]*)\2\s*[-+]?%\}$"""
 
 
 def strip_templates(sql: Column) -> Column:
@@ -93,21 +119,23 @@ def strip_templates(sql: Column) -> Column:
     References become names, known macros SQL, variables set to a text that text (quoted, unless quotes stand around
     the expression already), other names in quotes themselves, all other expressions NULL; the rest of the markup goes.
     """
-    pieces = _kept_pieces(sql)
-    assigned = r"""(?s)^\{%[-+]?\s*set\s+(\w+)\s*=\s*(['"])([^'"]*)\2\s*[-+]?%\}$"""
+    sets = lambda pieces: F.transform(F.filter(pieces, lambda x: x.rlike(_ASSIGNED)), lambda x: F.struct(F.regexp_extract(x, _ASSIGNED, 1).alias("name"), F.regexp_extract(x, _ASSIGNED, 3).alias("text")))
+
+    def expression(text, x):
+        inside, in_quotes = x["inside"], x["in_quotes"]
+        given = F.try_element_at(F.filter(text["sets"], lambda s: s["name"] == inside), F.lit(-1))["text"]
+        name = _bound(given, lambda t: F.when(t.isNotNull(), F.when(in_quotes, t).otherwise(F.concat(F.lit("'"), t, F.lit("'")))).when(in_quotes, inside).otherwise("NULL"))
+        return F.when(inside.rlike(r"^[A-Za-z_]\w*$"), name).when(inside.rlike(r"^[\w.]+\s*\("), _call(inside, in_quotes)).otherwise("NULL")
 
-    def render(pieces, piece, i):
+    def render(text, piece, i):
+        pieces = text["pieces"]
         before, after = F.right(F.get(pieces, i - 1), F.lit(1)), F.left(F.regexp_replace(F.get(pieces, i + 1), r"^\{#", ""), F.lit(1))
-        in_quotes = F.coalesce(before.isin("'", '"') & (before == after), F.lit(False))
         inside = F.regexp_extract(piece, r"(?s)^\{\{[-+]?\s*(.*?)\s*[-+]?\}\}$", 1)
-        sets = F.filter(pieces, lambda x: x.rlike(assigned) & (F.regexp_extract(x, assigned, 1) == inside))
-        text = F.regexp_extract(F.try_element_at(sets, F.lit(-1)), assigned, 3)
-        name = F.when(text.isNotNull(), F.when(in_quotes, text).otherwise(F.concat(F.lit("'"), text, F.lit("'")))).when(in_quotes, inside).otherwise("NULL")
-        shown = F.when(inside.rlike(r"^[A-Za-z_]\w*$"), name).when(inside.rlike(r"^[\w.]+\s*\("), _call(inside, in_quotes)).otherwise("NULL")
-        return F.when(F.startswith(piece, F.lit("{{")), shown).when(F.startswith(piece, F.lit("{%")), "").otherwise(F.regexp_replace(piece, r"^\{#", ""))
-
-    # the pieces are bound once, as the only element of an array, and rendered from there
-    return F.element_at(F.transform(F.array(pieces), lambda p: F.array_join(F.transform(p, lambda x, i: render(p, x, i)), "")), 1)
+        read = F.struct(inside.alias("inside"), F.coalesce(before.isin("'", '"') & (before == after), F.lit(False)).alias("in_quotes"))
+        return F.when(F.startswith(piece, F.lit("{{")), _bound(read, lambda x: expression(text, x))).when(F.startswith(piece, F.lit("{%")), "").otherwise(F.regexp_replace(piece, r"^\{#", ""))
+
+    text = _bound(_kept_pieces(sql), lambda p: F.struct(p.alias("pieces"), sets(p).alias("sets")))
+    return _bound(text, lambda t: F.array_join(F.transform(t["pieces"], lambda x, i: render(t, x, i)), ""))
 
 
 def referenced_models(sql: Column) -> Column:

@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import pytest
@@ -213,6 +214,48 @@ def test_templates(spark, raw, plain, models):
     assert (row.a, row.b) == (plain, models)
 
 
+def kept_by_hand(pieces):
+    """The pieces that stay, by a stack that holds the pieces themselves."""
+    stack = [["", False, []]]
+    for piece in pieces:
+        word = piece[2:-2].split()[0] if piece.startswith("{%") else ""
+        top = stack[-1]
+        if piece.startswith("{#"):
+            continue
+        if word in ("if", "for", "macro", "docs") or word == "set" and "=" not in piece:
+            stack.append([word, word not in ("if", "for"), []])
+        elif len(stack) > 1 and word == "end" + top[0]:
+            stack.pop()
+            if word in ("endif", "endfor") and not stack[-1][1]:
+                stack[-1][2] += top[2]
+        elif word == "else" and top[0] == "if":
+            stack[-1] = ["if", False, []]
+        elif word == "elif" and top[0] == "if" or word == "else" and top[0] == "for":
+            top[1] = True
+        elif word in ("", "set") and not top[1]:
+            top[2].append(piece)
+    return [piece for frame in stack for piece in frame[2]]
+
+
+def test_kept_pieces_by_hand(spark):
+    words = "if a|elif b|else|endif|for x in y|endfor|macro f()|endmacro|set k = 'v'|set body|endset|docs d|enddocs|do z()".split("|")
+    some = [f"{{% {w} %}}" for w in words] * 2 + ["{# c #}", "{{ x }}", "a", "b"] * 4
+    draw = random.Random(7)
+    texts = []
+    for _ in range(400):
+        pieces = [draw.choice(some) for _ in range(draw.randrange(25))]
+        texts.append([p for i, p in enumerate(pieces) if not i or p not in "ab" or pieces[i - 1] not in "ab"])  # plain text is one piece
+    rows = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)], "i int, s string").select("i", text._kept_pieces(F.col("s")).alias("kept"))
+    assert {r.i: r.kept for r in rows.collect()} == {i: kept_by_hand(t) for i, t in enumerate(texts)}
+
+
+def test_long_templates(spark):
+    sql = spark.range(1).select(F.repeat(F.lit("select {{ ref('m') }} "), 20_000).alias("s"))
+    began = time.time()
+    assert sql.select(F.length(text.strip_templates(F.col("s")))).first()[0] == 20_000 * len("select m ")
+    assert time.time() - began < 30  # a minute where the pieces that stay are copied for every piece
+
+
 def test_formulas_and_formats(spark):
     row = spark.range(1).select(
         text.formula_columns(F.lit("sum(case when kind = 'x' then amount else 0 end) / count(id)")).alias("c"),
