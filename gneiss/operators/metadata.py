@@ -156,11 +156,12 @@ def health(covered: DataFrame, complex_models: DataFrame, named: DataFrame, fres
     return parts.select(*[F.round(F.col(k) + 1e-10, 4).alias(k) for k in w], F.round(overall + 1e-10, 1).alias("overall"), grade(overall).alias("grade"))
 
 
-def ranked(models: DataFrame, missing: Column, downstream: DataFrame, limit: int = 50) -> DataFrame:
-    """The models for which ``missing`` holds, by downstream count, then id; ``total`` counts them before the limit."""
+def ranked(models: DataFrame, missing: Column, downstream: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The models for which ``missing`` holds, by downstream count, then id; ``total`` counts them before the limit, None sets none."""
     rows = models.where(missing).join(downstream, "uid", "left").withColumn("downstream", F.coalesce("downstream", F.lit(0)))
     total = models.where(missing).agg(F.count(F.lit(1)).alias("total"))
-    return rows.orderBy(F.desc("downstream"), "uid").limit(limit).crossJoin(F.broadcast(total)).select("uid", "downstream", "total")  # one row
+    first = rows.orderBy(F.desc("downstream"), "uid")
+    return (first if limit is None else first.limit(limit)).crossJoin(F.broadcast(total)).select("uid", "downstream", "total")  # one row
 
 
 def looked_up(asked: DataFrame, entries: DataFrame) -> DataFrame:

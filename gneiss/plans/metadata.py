@@ -161,8 +161,16 @@ def _downstream(spark, d):
     return metadata.referenced_by(table(spark, d, "edges")).select("uid", F.size("consumers").cast("bigint").alias("downstream"))
 
 
-@query("undocumented_topk", oracle(f"WITH w AS ({_DOWN}) SELECT uid, coalesce(downstream, 0) AS downstream, count(*) OVER () AS total FROM models LEFT JOIN w USING (uid) WHERE trim(description) = ''", "models", "edges"))
+_UNDOCUMENTED = f"WITH w AS ({_DOWN}) SELECT uid, coalesce(downstream, 0) AS downstream, count(*) OVER () AS total FROM models LEFT JOIN w USING (uid) WHERE trim(description) = ''"
+
+
+@query("undocumented_topk", oracle(_UNDOCUMENTED, "models", "edges"))
 def undocumented(spark, d):
+    return metadata.ranked(table(spark, d, "models"), F.trim("description") == "", _downstream(spark, d), limit=None)
+
+
+@query("undocumented_first_fifty", oracle(f"{_UNDOCUMENTED} ORDER BY 2 DESC, 1 LIMIT 50", "models", "edges"))
+def undocumented_first(spark, d):
     return metadata.ranked(table(spark, d, "models"), F.trim("description") == "", _downstream(spark, d))
 
 
