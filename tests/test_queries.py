@@ -37,3 +37,14 @@ def test_matches_sql(spark, connection, name):
 
 def test_the_rest_has_rows(spark):
     assert registry.QUERIES["profile_lineitem_approximate"](spark, str(SMALL)).count() == 11
+
+
+@pytest.mark.parametrize("name", ["closure_upstream", "closure_downstream", "closure_cyclic"])
+def test_closures_end_at_the_depth_of_their_sql(spark, tmp_path, name):
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE part AS SELECT CAST(1 AS BIGINT) << i AS p_partkey, * EXCLUDE (p_partkey, i) FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM '{SMALL}/part.parquet') WHERE i < 30")
+    c.execute(f"CREATE TABLE supplier AS FROM '{SMALL}/supplier.parquet'")
+    for t in ("part", "supplier"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path)).select("node", "depth")
+    assert cells(got.collect()) == cells(c.execute(registry.ORACLE_SQL[name]).fetchall())
