@@ -10,13 +10,13 @@ how far the bit's classifier beats chance on training texts; the language of the
 predicted, its share among the exponentials of all totals is the score, and it is ambiguous if the next
 codeword's total lies within AMBIGUOUS of it, relative to what a step between the two can cost.
 
-Two passes over all training texts sum n-grams by language and margins by bit; arrays of a size that only the
-number of languages and buckets sets leave a task. The languages are the MAX_LANGS most frequent ones.
+Two passes over all training texts sum n-grams by language and margins by language and bit. Every language is learned,
+however rare and however many there are: Spark sums shares over languages by bucket and margins over languages by bit, so the
+driver and a task hold buckets times bits (which grow with the logarithm of the languages), and of each language its name and codeword.
 
 Defined results: null text, and text without letters, is ``und`` with score 0 and not ambiguous; so is
 every text if nothing is learned. With one language that one is predicted, with score 1. A null doc_id
-has the empty text as its number. Rows without lang, and rows of languages beyond MAX_LANGS, are
-predicted but not learned from. N-grams don't cross the runs of CHUNK characters that a text is read in.
+has the empty text as its number. Rows without lang are predicted but not learned from. N-grams don't cross the runs of CHUNK characters that a text is read in.
 Repeated rows count and are predicted each; other columns can have any name; an empty table stays empty.
 """
 
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 
-BITS, MAX_LANGS = 16, 32
+BITS = 16
 #: Weight of a smoothed n-gram, and n-grams that a text's margin is drawn to 0 by.
 ALPHA, DRAWN = 0.5, 20
 AMBIGUOUS = 0.25
 #: Characters that are read at once, and languages whose counts a training task holds before it passes them on.
 CHUNK, HELD = 1 << 18, 64
+#: Losses that are held at once, and languages up to which codes are compared by all their pairs.
+CELLS, COMPARED = 1 << 22, 1024
 UNKNOWN = "und"
 
 
@@ -129,7 +131,10 @@ def gram_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def codewords(languages: int, tries: int = 200) -> np.ndarray:
-    """A codeword of -1 and 1 for each language: every way to split a few languages, else the best of random codes by least distance."""
+    """A codeword of -1 and 1 for each language: every way to split a few languages, else the best of random codes by least distance.
+
+    Of more than COMPARED languages it is the first random code whose words all differ.
+    """
     if languages < 2:
         return np.zeros((languages, 0))
     if languages <= 6:
@@ -138,7 +143,11 @@ def codewords(languages: int, tries: int = 200) -> np.ndarray:
     rng, best, width = np.random.default_rng(0), None, 2 * int(np.ceil(np.log2(languages))) + 21
     for _ in range(tries):
         code = np.where(rng.random((languages, width)) < 0.5, 1.0, -1.0)
-        apart = (code[:, None, :] != code[None, :, :]).sum(2) + width * np.eye(languages)
+        if languages > COMPARED:
+            if len(np.unique(np.packbits(code > 0, axis=1), axis=0)) == languages:
+                return code
+            continue
+        apart = (width - code @ code.T) / 2 + width * np.eye(languages)
         if (np.abs(code.sum(0)) < languages).all() and (best is None or apart.min() > best[0]):
             best = (apart.min(), code)
     return best[1]
@@ -169,13 +178,21 @@ class Coder:
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """The weighted logistic loss of every text against every codeword."""
         scaled = (margins - self.shift) * self.scale
-        return np.stack([(np.logaddexp(0, -scaled * word) * self.trust).sum(1) for word in self.code], axis=1)
+        has, lacks = np.logaddexp(0, -scaled) * self.trust, np.logaddexp(0, scaled) * self.trust
+        return np.stack([np.where(word > 0, has, lacks).sum(1) for word in self.code], axis=1)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and ambiguity of every text."""
         if not self.languages:
             return [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column), dtype=bool)
         n, margins = self.margins(column)
+        block = max(1, CELLS // len(self.languages))
+        best, score, unsure = (np.concatenate(x) for x in zip(*(self._decoded(margins[i : i + block]) for i in range(0, max(1, len(margins)), block)), strict=True))
+        some = n > 0
+        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0), unsure & some
+
+    def _decoded(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language's number, score and ambiguity by the losses of margins."""
         loss = self.losses(margins)
         best = loss.argmin(1)  # ties go to the language that sorts first
         least = loss[np.arange(len(loss)), best]
@@ -186,36 +203,74 @@ class Coder:
             second = loss.argmin(1)
             apart = ((self.code[best] != self.code[second]) * self.trust).sum(1)
             unsure = loss.min(1) - least < AMBIGUOUS * apart
-        some = n > 0
-        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0), unsure & some
+        return best, score, unsure
 
 
-def learn(docs: DataFrame, bits: int = BITS, most: int = MAX_LANGS) -> Coder:
-    """A coder from (lang, text); rows without lang count for nothing."""
-    size = 1 << bits
+def learn(docs: DataFrame, bits: int = BITS, most: int | None = None) -> Coder:
+    """A coder from (lang, text), for all languages or only the ``most`` frequent; rows without lang count for nothing."""
     counts = gram_counts(docs.where("lang IS NOT NULL"), bits).cache()
     try:
-        many = counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(most).select("lang")
-        got = counts.join(F.broadcast(many), "lang").toArrow()  # at most ``most`` languages of 2 ** bits buckets
+        sizes = counts.groupBy("lang").agg(F.sum(F.when(F.col("bucket") < 0, F.col("n"))).alias("rows"), F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)).alias("grams"))
+        got = (sizes if most is None else sizes.orderBy(F.desc("rows"), "lang").limit(most)).toArrow()  # a row for each language
+        grams_of = dict(zip(got["lang"].to_pylist(), got["grams"].to_pylist(), strict=True))
+        languages = sorted(grams_of)
+        code = codewords(len(languages))
+        weights = log_ratios(counts, languages, np.array([grams_of[x] for x in languages], dtype=float), code, bits) if len(languages) > 1 else np.zeros((1 << bits, 0))
     finally:
         counts.unpersist()
-    names = got["lang"].to_pylist()
-    languages = sorted(set(names))
-    at, bucket = np.searchsorted(np.array(languages, dtype=object), np.array(names, dtype=object)) if names else np.zeros(0, int), got["bucket"].to_numpy()
-    n = np.zeros((len(languages), size))
-    n[at[bucket >= 0], bucket[bucket >= 0]] = got["n"].to_numpy()[bucket >= 0]
-    shares = (n + ALPHA) / (n.sum(1, keepdims=True) + ALPHA * size)
-    code = codewords(len(languages))
-    weights = np.zeros((size, code.shape[1]))
-    for b in range(code.shape[1]):
-        weights[:, b] = np.log(shares[code[:, b] > 0].mean(0) / shares[code[:, b] < 0].mean(0))
-    if len(languages):
-        weights[n.sum(0) == 0] = 0
     ones = np.ones(code.shape[1])
     coder = Coder(languages, code, weights, 0 * ones, ones, ones, bits)
     return calibrated(coder, docs) if len(languages) > 1 else coder
 
 
+def _numbers(names: pa.Array, place: dict[str, int]) -> np.ndarray:
+    """The numbers of languages, or -1 for those that are not learned."""
+    names = names.dictionary_encode("encode")
+    return np.array([place.get(x, -1) for x in names.dictionary.to_pylist()], dtype=int)[names.indices.to_numpy()] if len(names) else np.zeros(0, int)
+
+
+def log_ratios(counts: DataFrame, languages: list[str], grams_of: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
+    """Weights by bucket and bit: the log ratio of the mean smoothed shares in the languages that have the bit and those that have not.
+
+    All counts of a bucket come to one task, at most one a language; what leaves it is a row for each bucket.
+    """
+    size, wide = 1 << bits, code.shape[1]
+    whole = grams_of + ALPHA * size
+    has = np.concatenate((code > 0, code < 0), axis=1)
+    least, many = (has * (ALPHA / whole)[:, None]).sum(0), has.sum(0)
+    place = {x: k for k, x in enumerate(languages)}
+
+    def made(bucket: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        mean = (sums + least) / many
+        ratio = np.log(mean[:, :wide] / mean[:, wide:])
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.FixedSizeListArray.from_arrays(pa.array(ratio.ravel()), wide).cast(pa.list_(pa.float64()))], ["bucket", "w"])
+
+    def run(batches):
+        last = None  # a bucket's counts may go on in the next batch
+        for batch in batches:
+            k = _numbers(batch.column(0), place)
+            bucket, n = (batch.column(i).to_numpy()[k >= 0] for i in (1, 2))
+            k = k[k >= 0]
+            if not len(k):
+                continue
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            sums, bucket = np.add.reduceat(has[k] * (n / whole[k])[:, None], first, axis=0), bucket[first]
+            if last is not None and last[0][0] == bucket[0]:
+                sums[0] += last[1][0]
+            elif last is not None:
+                yield made(*last)
+            yield made(bucket[:-1], sums[:-1])
+            last = bucket[-1:], sums[-1:]
+        if last is not None:
+            yield made(*last)
+
+    rows = counts.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "lang")
+    got = rows.mapInArrow(run, "bucket bigint, w array<double>").toArrow()  # at most 2 ** bits rows
+    out = np.zeros((size, wide))
+    out[got["bucket"].to_numpy()] = got["w"].combine_chunks().flatten().to_numpy().reshape(-1, wide)
+    return out
+
+
 def calibrated(coder: Coder, docs: DataFrame) -> Coder:
     """``coder`` with shifts and scales of its margins from all texts that are learned from, and the trust in its bits from those that they decide rightly."""
     wide = coder.code.shape[1]
@@ -224,25 +279,25 @@ def calibrated(coder: Coder, docs: DataFrame) -> Coder:
     def run(batches):
         sums = np.zeros((len(place), 1 + 2 * wide))
         for batch in batches:
-            lang = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=int)
+            lang = _numbers(batch.column(0), place)
             n, margins = coder.margins(batch.column(1))
-            rows = np.column_stack((np.ones(len(n)), margins, margins**2))
-            for k in np.unique(lang):
-                sums[k] += rows[(lang == k) & (n > 0)].sum(0)
-        k, j = np.indices(sums.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(j.ravel()), pa.array(sums.ravel())], ["k", "j", "x"])
-
-    rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where(F.col("lang").isin(*coder.languages))
-    sums = np.zeros((len(place), 1 + 2 * wide))
-    for r in rows.mapInArrow(run, "k bigint, j bigint, x double").groupBy("k", "j").agg(F.sum("x").alias("x")).collect():  # a row for each language and bit
-        sums[r.k, r.j] = r.x
-    seen = sums[:, 0] > 0
-    mean, square = (sums[:, 1 + i * wide : 1 + (i + 1) * wide] / np.maximum(sums[:, :1], 1) for i in (0, 1))
+            some = np.flatnonzero((lang >= 0) & (n > 0))
+            some = some[np.argsort(lang[some], kind="stable")]
+            if len(some):
+                first = np.flatnonzero(np.diff(lang[some], prepend=-1))
+                sums[lang[some[first]]] += np.add.reduceat(np.column_stack((np.ones(len(some)), margins[some], margins[some] ** 2)), first, axis=0)
+        k, bit = (x.ravel() for x in np.indices((len(place), wide))[:, sums[:, 0] > 0])
+        cells = [k, bit, coder.code[k, bit] > 0, sums[k, 0], sums[k, 1 + bit], sums[k, 1 + wide + bit]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["k", "bit", "has", "n", "x", "xx"])
+
+    rows = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = rows.mapInArrow(run, "k bigint, bit bigint, has boolean, n double, x double, xx double").groupBy("k", "bit", "has").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx")])
+    groups = rows.groupBy("bit", "has").agg(F.avg(F.col("x") / F.col("n")).alias("mean"), F.avg(F.col("xx") / F.col("n")).alias("square"))
+    by = {(r.bit, r.has): (r.mean, r.square) for r in groups.collect()}  # two rows for each bit
     for b in range(wide):
-        yes, no = seen & (coder.code[:, b] > 0), seen & (coder.code[:, b] < 0)
-        if yes.any() and no.any():
-            high, low = mean[yes, b].mean(), mean[no, b].mean()
-            variance = np.mean([square[g, b].mean() - mean[g, b].mean() ** 2 for g in (yes, no)]) + 1e-4
+        if (b, True) in by and (b, False) in by:
+            (high, _), (low, _) = by[b, True], by[b, False]
+            variance = np.mean([square - mean**2 for mean, square in (by[b, True], by[b, False])]) + 1e-4
             coder.shift[b] = (high + low) / 2
             coder.scale[b] = max(high - low, 0.0) / variance
             coder.trust[b] = 1 - np.exp(-((high - low) ** 2) / (8 * variance))  # how far beyond chance two such normal groups are told apart, at least

@@ -156,3 +156,33 @@ def test_weighted_decoding_prefers_trusted_bits():
         noisy = 3 * word
         noisy[4:] *= -1  # bits without trust may all be wrong
         assert coder.losses(noisy[None])[0].argmin() == k
+
+
+def many(languages, per=40, seed=3):
+    """Texts of many languages, each with syllables of its own."""
+    rng = np.random.default_rng(seed)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for k in range(languages):
+        parts = ["".join(rng.choice(letters, 2)) for _ in range(6)]
+        rows += [(" ".join("".join(rng.choice(parts, 2)) for _ in range(30)), f"l{k:03}") for _ in range(per)]
+    return [(i, *rows[j]) for i, j in enumerate(rng.permutation(len(rows)))]
+
+
+def test_every_language_is_learned(spark):
+    rows = many(40) + [(10_000 + i, t, "zz") for i, (_, t, _) in enumerate(made(["dd"], per=6, words=(20, 30)))]
+    out = {r.doc_id: r.lang_pred for r in language.identify(frame(spark, rows)).collect()}
+    assert {g for _, _, g in rows} == set(out.values())
+    assert all(out[i] == "zz" for i, _, g in rows if g == "zz")
+    assert np.mean([out[i] == g for i, _, g in rows if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.97
+
+
+def test_blocks_and_large_codes(spark, monkeypatch):
+    coder = language.learn(frame(spark, made(["aa", "bb", "cc"], per=20)).select("lang", "text"))
+    texts = pa.array([t for _, t, _ in made(["aa", "cc"], per=9)] + [None])
+    whole = coder.predict(texts)
+    monkeypatch.setattr(language, "CELLS", 7)
+    assert [list(x) for x in coder.predict(texts)] == [list(x) for x in whole]
+    monkeypatch.setattr(language, "COMPARED", 20)
+    code = language.codewords(50)
+    assert len(np.unique(code, axis=0)) == 50 and (np.abs(code.sum(0)) < 50).all()
