@@ -217,3 +217,14 @@ def test_filters_include_and_exclude(spark):
     assert kept(tags=("include", ["y"])) == "c" and kept(tags=("exclude", ["x"])) == "bd"
     assert kept(layers=("include", [1.0])) == "ad" and kept(layers=("exclude", [1.0])) == "bc"
     assert kept(folders=("include", ["f2"]), layers=("exclude", [2.0])) == "b" and kept(folders=("exclude", ["f2"])) == "ad"
+
+
+def test_waves_leave_what_is_numbered_behind(spark, monkeypatch):
+    """A tree to its root: half of the nodes are numbered at once, so later jobs may not read the moves of all again."""
+    sizes, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: sizes.append((df.columns, (out := write(df)).count())) or out)
+    df = spark.range(2, 4096).select(F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), F.floor(F.col("id") / 2)).alias("target"))
+    got = graph.depth_waves(spark.range(1, 4096).select(F.concat(F.lit("n"), "id").alias("node")), df)
+    assert {(int(r.node[1:]).bit_length(), r.wave) for r in got.collect()} == {(k, 12 - k) for k in range(1, 13)}
+    states = [n for columns, n in sizes if "left" in columns]
+    assert sum(states[2:]) < states[0] and min(n for columns, n in sizes if "own" in columns) < 64
