@@ -62,9 +62,13 @@ def collapsed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def leaf_sources(components: DataFrame, direct: DataFrame) -> DataFrame:
-    """(measure, model, column): everything a measure rests on through its components, cycles included once."""
-    got = reach(components.select(F.col("measure").alias("source"), F.col("component").alias("target")), direct.select("measure").union(components.select("measure")), "downstream")
-    return got.join(direct.withColumnRenamed("measure", "node"), "node").select(F.col("seed").alias("measure"), "model", "column").distinct()
+    """(measure, model, column): everything a measure rests on through its components, cycles included once.
+
+    The search goes from the measures with sources to those that rest on them: it finds no pair that the result doesn't
+    have, and where many measures rest on one they are not gathered at it in each step.
+    """
+    got = reach(components.select(F.col("measure").alias("source"), F.col("component").alias("target")), direct.select("measure"), "upstream")
+    return got.join(direct.withColumnRenamed("measure", "seed"), "seed").select(F.col("node").alias("measure"), "model", "column").distinct()
 
 
 def lineage_nodes(lineage: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import erd, graph
+from gneiss.operators import erd, graph, lineage
 
 
 def edges_of(spark, pairs):
@@ -228,3 +228,27 @@ def test_waves_leave_what_is_numbered_behind(spark, monkeypatch):
     assert {(int(r.node[1:]).bit_length(), r.wave) for r in got.collect()} == {(k, 12 - k) for k in range(1, 13)}
     states = [n for columns, n in sizes if "left" in columns]
     assert sum(states[2:]) < states[0] and min(n for columns, n in sizes if "own" in columns) < 64
+
+
+def test_leaf_sources_search_only_what_they_return(spark, monkeypatch):
+    """Twelve levels of measures of which few have sources: no table of the search is longer than the result."""
+    sizes, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: sizes.append((df.columns, (out := write(df)).count())) or out)
+    rests = spark.range(2, 4096).select(F.concat(F.lit("m"), "id").alias("measure"), F.concat(F.lit("m"), F.floor(F.col("id") / 2)).alias("component"))
+    rests = rests.unionByName(spark.createDataFrame([("m1", "m7"), ("m5", None), (None, "m5")], "measure string, component string"))
+    direct = spark.createDataFrame([("m4", "a", "x"), ("m4", "a", "x"), ("m9", "b", "y"), ("m9", "c", "z"), ("m7", "d", "x"), ("none", "e", "x"), (None, "f", "x")], "measure string, model string, column string")
+    want, rows = {("none", "e", "x")}, direct.collect()
+    for k in range(1, 4096):
+        up = {k >> i for i in range(k.bit_length())}
+        want |= {(f"m{k}", *row) for node, *row in rows if node in {f"m{j}" for j in up | {7, 3, 1}}}
+    got = [tuple(r) for r in lineage.leaf_sources(rests, direct).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(n for columns, n in sizes if "depth" in columns) <= len(got) + 1
+
+
+def test_a_deep_search_without_chains_goes_on(spark, monkeypatch):
+    made = tables_of(monkeypatch)
+    pairs = [(f"{a}{i}", f"{b}{i + 1}") for i in range(24) for a in "xy" for b in "xy"]
+    got = {r.node: r.depth for r in graph.distances(edges_of(spark, pairs), "x0", "downstream").collect()}
+    assert got == bfs(pairs, "x0")
+    assert len(made) <= 10  # seeds, moves, links and at most seven jobs of four steps
