@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import erd, graph, lineage, metadata, search
 from ..sources import tables
-from .registry import query, table
+from .registry import dealt, query, table
 
 NODES_SQL = "n AS (SELECT 'm.' || p_partkey AS node, 'part_' || p_partkey AS name, p_brand AS folder, 'models/' || p_brand || '/part_' || p_partkey || '.sql' AS path, lower(p_type) AS kind, p_partkey AS k FROM part)"
 EDGES_SQL = "e AS (SELECT 'm.' || a.p_partkey AS source, 'm.' || b.p_partkey AS target FROM part a JOIN part b ON b.p_partkey // 2 = a.p_partkey AND b.p_partkey > 1)"
@@ -212,7 +212,8 @@ def templated_sql(spark, d):
         F.when(F.col("p_size") % 2 == 0, "{% if a %}{% if b %} no{% endif %}{% else %} where d = {{ d }}{% endif %}").otherwise("{% if a %} where e{% elif b %} no{% endif %}"),
         F.lit(" and x = '{{ var('v', '"), F.col("p_size").cast("string"), F.lit("') }}'"),
     )
-    return table(spark, d, "part").select("p_partkey", text.strip_templates(raw).alias("plain"), F.array_join(text.referenced_models(raw), ",").alias("models"), text.sql_hash(F.col("p_name")).alias("hash"))
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name"))
+    return part.select("p_partkey", text.strip_templates(raw).alias("plain"), F.array_join(text.referenced_models(raw), ",").alias("models"), text.sql_hash(F.col("p_name")).alias("hash"))
 
 
 _TOKENS = "SELECT p_partkey AS id, t AS token, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM part {1}) WHERE t <> '' GROUP BY ALL"

@@ -48,3 +48,11 @@ def test_closures_end_at_the_depth_of_their_sql(spark, tmp_path, name):
         c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
     got = registry.QUERIES[name](spark, str(tmp_path)).select("node", "depth")
     assert cells(got.collect()) == cells(c.execute(registry.ORACLE_SQL[name]).fetchall())
+
+
+def test_templates_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    part = spark.read.parquet(f"{SMALL}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_name")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["templated_sql_parts"](spark, str(tmp_path))
+    sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
