@@ -50,6 +50,20 @@ def test_closures_end_at_the_depth_of_their_sql(spark, tmp_path, name):
     assert cells(got.collect()) == cells(c.execute(registry.ORACLE_SQL[name]).fetchall())
 
 
+def test_closure_upstream_has_no_last_depth(spark, tmp_path):
+    c = duckdb.connect()
+    keys = [1 << i for i in range(45)] + [3 << 30]
+    c.execute("CREATE TABLE part AS SELECT unnest(?::BIGINT[]) AS p_partkey", [keys])
+    c.execute("CREATE TABLE supplier AS SELECT unnest([1::BIGINT << 44, 3]) AS s_suppkey")
+    for t in ("part", "supplier"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    rows = [tuple(r) for r in registry.QUERIES["closure_upstream"](spark, str(tmp_path)).select("node", "depth").collect()]
+    far = {n: depth for n, depth in rows if n.split(".")[1] == "d"}
+    assert len(rows) == len(dict(rows))
+    assert far == {**{f"model.d.{1 << i}": i + 1 for i in range(45)}, f"source.d.{1 << 44}": 46}
+    assert cells(rows) == cells(c.execute(registry.ORACLE_SQL["closure_upstream"]).fetchall())
+
+
 def test_templates_of_one_file_are_read_by_many_tasks(spark, tmp_path):
     part = spark.read.parquet(f"{SMALL}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_name")
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
